@@ -123,7 +123,7 @@ class Words:
             for k, out in self.prefix.items():
                 longer = size > k
                 ends = np.minimum(start + k, hi - lo)
-                h = mix((sums[ends] - before) * down + U(k) * U(0xA24BAED4963EE407))
+                h = mix((sums[ends] - before) * down + U(k * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF))
                 out[a:b] = np.where(longer, h, U(0))
 
     @property

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pelagia.llm import bpe, langid, urlfilter
+from pelagia.llm import bpe, langid, toxicity, urlfilter
 from pelagia.session import table
 
 
@@ -14,6 +14,7 @@ def queries() -> dict:
     return {
         "op2_bpe": _bpe,
         "op5_language_id": langid.query,
+        "op7_toxicity": toxicity.query,
         "op10_url_filter": urlfilter.query,
     }
 
