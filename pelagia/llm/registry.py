@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pelagia.llm import bpe, langid, substring, toxicity, urlfilter
+from pelagia.llm import bpe, jaccard_join, langid, substring, toxicity, urlfilter
 from pelagia.session import table
 
 
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op2_bpe": _bpe,
         "op4_substring_dedup": substring.query,
         "op5_language_id": langid.query,
+        "op6_jaccard_join": jaccard_join.query,
         "op7_toxicity": toxicity.query,
         "op10_url_filter": urlfilter.query,
     }
