@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pelagia.llm import bpe, jaccard_join, langid, substring, toxicity, urlfilter
+from pelagia.llm import bpe, fingerprint, jaccard_join, langid, substring, toxicity, urlfilter
 from pelagia.session import table
 
 
@@ -13,6 +13,7 @@ def _bpe(spark, sf_dir):
 def queries() -> dict:
     return {
         "op2_bpe": _bpe,
+        "op3_fingerprint": fingerprint.query,
         "op4_substring_dedup": substring.query,
         "op5_language_id": langid.query,
         "op6_jaccard_join": jaccard_join.query,
