@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pelagia.llm import bpe, fingerprint, jaccard_join, langid, substring, toxicity, urlfilter
+from pelagia.llm import bpe, fingerprint, jaccard_join, langid, substring, topk, toxicity, urlfilter
 from pelagia.session import table
 
 
@@ -18,9 +18,12 @@ def queries() -> dict:
         "op5_language_id": langid.query,
         "op6_jaccard_join": jaccard_join.query,
         "op7_toxicity": toxicity.query,
+        "op8_topk_search": topk.query,
         "op10_url_filter": urlfilter.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_topk_search": topk.SQL,
+    }
