@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pelagia.llm import bpe, fingerprint, jaccard_join, langid, substring, topk, toxicity, urlfilter
+from pelagia.llm import bpe, fingerprint, jaccard_join, langid, license_scan, mixing, substring, topk, toxicity, urlfilter
 from pelagia.session import table
 
 
@@ -12,6 +12,7 @@ def _bpe(spark, sf_dir):
 
 def queries() -> dict:
     return {
+        "op1_license_scan": license_scan.query,
         "op2_bpe": _bpe,
         "op3_fingerprint": fingerprint.query,
         "op4_substring_dedup": substring.query,
@@ -19,11 +20,14 @@ def queries() -> dict:
         "op6_jaccard_join": jaccard_join.query,
         "op7_toxicity": toxicity.query,
         "op8_topk_search": topk.query,
+        "op9_mixing": mixing.query,
         "op10_url_filter": urlfilter.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_license_scan": license_scan.sql(),
         "op8_topk_search": topk.SQL,
+        "op9_mixing": mixing.sql(),
     }
