@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from pelagia.plans import imaging, register, scene, tabular  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(register.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(register.ORACLE)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return register.QUERIES["ag_alpha_composite"](spark, sf_dir)
