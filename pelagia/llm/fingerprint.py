@@ -110,8 +110,9 @@ def neighbours(docs: DataFrame) -> DataFrame:
     rows = keys.rows(docs)
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     coarse = min(parts, 512)
-    known = [int(x) for x in rows.approxQuantile("_d", [i / coarse for i in range(coarse + 1)], 1 / (10 * coarse))] or [0]
-    full = sorted({*known, known[-1] + 1}) if known[-1] < keys.LAST else sorted(set(known))
+    known = rows.where(F.col("_d") < keys.LAST).approxQuantile("_d", [float(i) / coarse for i in range(coarse + 1)], 1 / (10 * coarse)) or [0.0]
+    known = [min(int(x), keys.LAST - 1) for x in known]
+    full = sorted({*known, known[-1] + 1})
     full = full if len(full) > 1 else [full[0] - 1, full[0]]
     fine = -(-parts // (len(full) - 1))
     # _p: ranges from the largest ids to the least; quantiles first, then equal widths of ids within them
