@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pelagia.plans import imaging, register, scene, tabular  # noqa: F401
+from pelagia.plans import extended, imaging, register, scene, streams, tabular  # noqa: F401
 
 
 def queries() -> dict:

@@ -231,7 +231,7 @@ def _(view):
     return T.regions(view("telemetry"), F.col("value") > 50)
 
 
-@query("wn_sequence_gaps", "with g as (select user_id, event_id as at, lead(event_id) over (partition by user_id order by event_id) as \"to\" from events) select user_id, at, \"to\" from g where \"to\" - at > 1")
+@query("wn_sequence_gaps", "with g as (select user_id, event_id as a, lead(event_id) over (partition by user_id order by event_id) as b from events) select user_id, a as \"at\", b as \"to\" from g where b - a > 1")
 def _(view):
     return T.gaps(view("events"), "user_id", "event_id")
 
