@@ -297,3 +297,95 @@ def sample_added(splats: DataFrame, growth: float, cap: int) -> DataFrame:
     draws = weighted_sample(splats, "gid", "o", more, "add")
     added = draws.join(splats, "gid").withColumn("gid", F.col("draw") + int(top) + 1).drop("draw")
     return splats.unionByName(added)
+
+
+def surfel_projection(pairs: DataFrame) -> DataFrame:
+    """u, v, radius and the normal towards the viewer of flat splats: the ray transform T = K [s_u t_u, s_v t_v, p] maps the
+    splat's plane to the image; its bound at three sigmas gives the centre and the half extents."""
+    from pelagia.functions import geometry as G
+
+    m = G.quat_to_rotmat(*(F.col(c) for c in ("qw", "qx", "qy", "qz")))
+    df = pairs.withColumns({f"m{i}": c for i, c in enumerate(m)})
+    ca, sa = F.col("ca"), F.col("sa")
+    turn = lambda x, y, z: (ca * x + sa * z, y, -sa * x + ca * z)
+    a = turn(*(F.col(f"m{i}") * F.col("sx") for i in (0, 3, 6)))
+    b = turn(*(F.col(f"m{i}") * F.col("sy") for i in (1, 4, 7)))
+    p = [c + t for c, t in zip(turn(F.col("x"), F.col("y"), F.col("z")), (F.col("tx"), F.col("ty"), F.col("tz")), strict=True)]
+    n = turn(*(F.col(f"m{i}") for i in (2, 5, 8)))
+    df = df.withColumns({**{f"p{i}": c for i, c in enumerate(p)}, **{f"n{i}": c for i, c in enumerate(n)}, **{f"t{k}{i}": c for i, col in enumerate((a, b, p)) for k, c in enumerate((F.col("fx") * col[0] + F.col("cx") * col[2], F.col("fy") * col[1] + F.col("cy") * col[2], col[2]))}})
+    f = (9.0, 9.0, -1.0)
+    total = lambda r, s: f[0] * F.col(f"t{r}0") * F.col(f"t{s}0") + f[1] * F.col(f"t{r}1") * F.col(f"t{s}1") + f[2] * F.col(f"t{r}2") * F.col(f"t{s}2")
+    df = df.withColumn("d", total(2, 2)).withColumns({"u": total(0, 2) / F.col("d"), "v": total(1, 2) / F.col("d"), "e0": total(0, 0) / F.col("d"), "e1": total(1, 1) / F.col("d")})
+    half = lambda c, e: F.sqrt(F.greatest(F.lit(1e-4), F.col(c) * F.col(c) - F.col(e)))
+    sign = F.when(F.col("p0") * F.col("n0") + F.col("p1") * F.col("n1") + F.col("p2") * F.col("n2") > 0, -1.0).otherwise(1.0)
+    return df.select("cam", "gid", "u", "v", F.greatest(half("u", "e0"), half("v", "e1")).alias("extent"), (sign * F.col("n0")).alias("nx"), (sign * F.col("n2")).alias("nz"), "p2")
+
+
+def median_filtered(images: DataFrame, reach: int) -> DataFrame:
+    """Median of each pixel's column within reach, and whether the pixel is an outlier of it."""
+    near = F.array_sort(F.collect_list("v").over(Window.partitionBy("img", "px").orderBy("py").rowsBetween(-reach, reach)))
+    df = images.withColumn("s", near).withColumn("n", F.size("s"))
+    low, high = F.get("s", F.floor((F.col("n") - 1) / 2).cast("int")), F.get("s", F.floor(F.col("n") / 2).cast("int"))
+    return df.withColumn("m", (low + high) / 2.0).select("img", "py", "px", "m", (F.abs(F.col("v") - F.col("m")) > 60).alias("odd"))
+
+
+def edge_peaks(images: DataFrame, least: float, keep: int) -> DataFrame:
+    """The strongest local maxima of the steps between row means."""
+    rows = images.groupBy("img", "py").agg((F.sum("v").cast("double") / F.count("*")).alias("m"))
+    w = Window.partitionBy("img").orderBy("py")
+    d = rows.select("img", "py", F.round(F.abs(F.col("m") - F.lag("m").over(w)), 9).alias("d")).where("d is not null")
+    d = d.withColumns({"b": F.coalesce(F.lag("d").over(w), F.lit(0.0)), "a": F.coalesce(F.lead("d").over(w), F.lit(0.0))})
+    best = Window.partitionBy("img").orderBy(F.desc("d"), "py")
+    return d.where((F.col("d") >= least) & (F.col("d") > F.col("b")) & (F.col("d") >= F.col("a"))).withColumn("r", F.row_number().over(best)).where(F.col("r") <= keep).select("img", "py", "d", "r")
+
+
+def mask_props(images: DataFrame, threshold: int) -> DataFrame:
+    """Area, centroid, box and contrast of each image's bright mask."""
+    on = F.col("v") > threshold
+    return images.groupBy("img").agg(F.count_if(on).alias("area"), F.avg(F.when(on, F.col("py"))).alias("cy"), F.avg(F.when(on, F.col("px"))).alias("cx"), F.min(F.when(on, F.col("py"))).alias("y0"), F.max(F.when(on, F.col("py"))).alias("y1"), F.avg(F.when(on, F.col("v"))).alias("inside"), F.avg(F.when(~on, F.col("v"))).alias("outside")).where("area > 0")
+
+
+def exact_corr(a: str, b: str) -> Column:
+    """Correlation from plain sums, which are exact for integers and halves; null where a side does not vary."""
+    x, y, n = F.col(a).cast("double"), F.col(b).cast("double"), F.count("*")
+    return F.try_divide(n * F.sum(x * y) - F.sum(x) * F.sum(y), F.sqrt((n * F.sum(x * x) - F.sum(x) * F.sum(x)) * (n * F.sum(y * y) - F.sum(y) * F.sum(y))))
+
+
+def template_match(images: DataFrame, side: int) -> DataFrame:
+    """The block of each image that correlates best with the median image's first block; blocks without variance are out."""
+    median = images.where((F.col("py") < side) & (F.col("px") < side)).groupBy("py", "px").agg(F.median("v").alias("t"))
+    template = F.broadcast(median.select(F.col("py").alias("ty"), F.col("px").alias("tx"), "t"))  # side x side rows
+    at = images.withColumns({"by": F.floor(F.col("py") / side), "bx": F.floor(F.col("px") / side), "ty": F.col("py") % side, "tx": F.col("px") % side})
+    sums = at.join(template, ["ty", "tx"]).groupBy("img", "by", "bx").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.min("t").alias("tl"), F.max("t").alias("th"), exact_corr("v", "t").alias("c"))
+    full = sums.where((F.col("n") == side * side) & (F.col("lo") < F.col("hi")) & (F.col("tl") < F.col("th")))
+    return full.groupBy("img").agg(F.max(F.struct(F.round("c", 6).alias("c"), (-F.col("by")).alias("ny"), (-F.col("bx")).alias("nx"))).alias("b")).select("img", F.col("b.c").alias("c"), (-F.col("b.ny")).alias("by"), (-F.col("b.nx")).alias("bx"))
+
+
+def color_corrected(pairs: DataFrame) -> DataFrame:
+    """Slope and intercept of the least-squares match of b to a, by image."""
+    return pairs.groupBy("img").agg(F.regr_slope("b", "a").alias("slope"), F.regr_intercept("b", "a").alias("intercept"), F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi")
+
+
+def normalised(points: DataFrame) -> DataFrame:
+    """Points centred at their medians and scaled by the median distance."""
+    mid = F.broadcast(points.agg(*(F.median(c).alias(f"m{c}") for c in "xyz")))  # one row
+    moved = points.crossJoin(mid).select("pid", *((F.col(c) - F.col(f"m{c}")).alias(c) for c in "xyz"))
+    scale = F.broadcast(moved.agg(F.median(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)).alias("s")))
+    return moved.crossJoin(scale).select("pid", *((F.col(c) / F.col("s")).alias(c) for c in "xyz"))
+
+
+def polar_to_cart(frames: DataFrame, side: int, ranges: int, columns: int) -> DataFrame:
+    """A side x side Cartesian image of each frame by the nearest polar sample; the grid is broadcast."""
+    grid = frames.sparkSession.range(side * side).select((F.col("id") / side).cast("int").alias("i"), (F.col("id") % side).cast("int").alias("j"))
+    x, y = (F.col("i") + 0.5) / side, (F.col("j") + 0.5) / side - 0.5
+    rng, az = F.floor(F.sqrt(x * x + y * y) * ranges).cast("int"), F.floor((F.atan2(y, x) / (math.pi / 2) + 0.5) * columns).cast("int")
+    return frames.join(F.broadcast(grid.withColumns({"rng": rng, "az": az})), ["rng", "az"]).select("frame", "i", "j", "v")
+
+
+def undistorted(images: DataFrame, side: int, k: float) -> DataFrame:
+    """Square images resampled through x' = x (1 + k r^2) at the nearest pixel; the map is broadcast."""
+    grid = images.sparkSession.range(side * side).select((F.col("id") / side).cast("int").alias("y"), (F.col("id") % side).cast("int").alias("x"))
+    cx, cy = (F.col("x") + 0.5) / side - 0.5, (F.col("y") + 0.5) / side - 0.5
+    bend = 1 + k * (cx * cx + cy * cy)
+    px, py = F.floor((cx * bend + 0.5) * side).cast("int"), F.floor((cy * bend + 0.5) * side).cast("int")
+    return images.join(F.broadcast(grid.withColumns({"px": px, "py": py})), ["px", "py"]).select("img", "y", "x", "v")

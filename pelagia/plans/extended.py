@@ -10,13 +10,14 @@ from pelagia.plans import scene
 from pelagia.plans.imaging import I, S
 from pelagia.plans.register import R, query, r6
 from pelagia.plans.views import ctes
+from pelagia.session import written
 
 SP = ctes("splats")
 
 
-@query("flt_label_mask", f"{S}, m as (select ltrim(lpad(frame::varchar, 4, '0'), '0') as stem, rng, az from sonar_px where v > 0.5), p as (select frame, frame::varchar as stem, rng, az, v from sonar_px) select frame, count(*) as n, {R('sum(case when m.rng is not null then v else 0 end)')} as v from p left join m using (stem, rng, az) where frame > 0 group by frame")
+@query("flt_label_mask", f"{S}, m as (select ltrim(lpad(frame::varchar, 4, '0'), '0') as stem, rng, az from sonar_px where v > 0.5), p as (select frame, ltrim(frame::varchar, '0') as stem, rng, az, v from sonar_px) select frame, count(*) as n, {R('sum(case when m.rng is not null then v else 0 end)')} as v from p left join m using (stem, rng, az) group by frame")
 def _(view):
-    px = view("sonar_px").where("frame > 0")
+    px = view("sonar_px")
     labels = px.where("v > 0.5").select(F.lpad(F.col("frame").cast("string"), 4, "0").alias("file"), "rng", "az")
     return X.masked(px.withColumn("file", F.col("frame").cast("string")), labels).groupBy("frame").agg(F.count("*").alias("n"), r6(F.sum("v")).alias("v"))
 
@@ -47,10 +48,10 @@ def _(view):
     return df.select("gid", *(r6(c).alias(n) for n, c in zip("wxyz", X.quat_of([F.col(f"m{i}") for i in range(9)]), strict=True)))
 
 
-@query("sc_depth_to_normal", f"""{I}, d as (select img, py, px, v::double as v, lead(v) over (partition by img, py order by px)::double - v as gx, lead(v) over (partition by img, px order by py)::double - v as gy from img_px where img < 200)
+@query("sc_depth_to_normal", f"""{I}, d as (select img, py, px, v::double as v, lead(v) over (partition by img, py order by px)::double - v as gx, lead(v) over (partition by img, px order by py)::double - v as gy from img_px)
 select img, py, px, {R('-gx / sqrt(gx * gx + gy * gy + 1)')} as nx, {R('-gy / sqrt(gx * gx + gy * gy + 1)')} as ny from d where gx is not null and gy is not null""")
 def _(view):
-    return X.normals(view("img_px").where("img < 200")).select("img", "py", "px", r6("nx").alias("nx"), r6("ny").alias("ny"))
+    return X.normals(view("img_px")).select("img", "py", "px", r6("nx").alias("nx"), r6("ny").alias("ny"))
 
 
 @query("sc_cart_sector_to_polar", f"""{I}, g as (select r.i::int as r, a.i::int as a, least(15, trunc(8 + (r.i + 0.5) / 16 * 8 * sin((a.i - 8) * pi() / 24)))::int as px, least(15, trunc((r.i + 0.5) / 16 * 16 * cos((a.i - 8) * pi() / 24)))::int as py from range(16) r(i), range(16) a(i))
@@ -83,10 +84,10 @@ def _(view):
     return stems.join(files, "stem", "left").groupBy("stem").agg(F.max("k").alias("k"))
 
 
-@query("jn_nav_index", "select doc_id as i, lpad((doc_id + 1)::varchar, 5, '0') as file from documents where (doc_id + 1) % 3 <> 0")
+@query("jn_nav_index", "select doc_id as i, printf('%05d', doc_id + 1) as file from documents where doc_id + 1 in (select doc_id from labels)")
 def _(view):
-    nav = view("documents").select(F.col("doc_id").alias("i"), F.lpad((F.col("doc_id") + 1).cast("string"), 5, "0").alias("file"))
-    files = view("documents").select((F.col("doc_id") + 1).alias("k")).where("k % 3 <> 0").select(F.lpad(F.col("k").cast("string"), 5, "0").alias("file"))
+    nav = view("documents").select(F.col("doc_id").alias("i"), F.format_string("%05d", F.col("doc_id") + 1).alias("file"))
+    files = view("labels").select(F.format_string("%05d", "doc_id").alias("file")).distinct()
     return nav.join(files, "file").select("i", "file")
 
 
@@ -140,11 +141,11 @@ def _(view):
     return X.kernel_histogram(view("sonar_px"), 10, 0.05).select("frame", "bin", r6("w").alias("w"))
 
 
-@query("ag_static_corr", f"{I}, m as (select *, median(v) over (partition by py, px) as m from img_px) select img, {R('corr(v, m)')} as c, {R('stddev_pop(v)')} as s from m group by img having count(distinct v) > 1 and count(distinct m) > 1")
+@query("ag_static_corr", f"{I}, m as (select *, median(v) over (partition by py, px) as m from img_px) select img, {R('(count(*) * sum(v::double * m) - sum(v::double) * sum(m)) / nullif(sqrt((count(*) * sum(v::double * v) - sum(v::double) * sum(v::double)) * (count(*) * sum(m * m) - sum(m) * sum(m))), 0)')} as c, {R('stddev_pop(v)')} as s from m group by img having count(distinct v) > 1 and count(distinct m) > 1")
 def _(view):
     image = view("img_px")
     med = image.groupBy("py", "px").agg(F.median("v").alias("m"))
-    both = image.join(med, ["py", "px"]).groupBy("img").agg(F.corr("v", "m").alias("c"), F.stddev_pop("v").alias("s"), F.count_distinct("v").alias("a"), F.count_distinct("m").alias("b"))
+    both = image.join(med, ["py", "px"]).groupBy("img").agg(X.exact_corr("v", "m").alias("c"), F.stddev_pop("v").alias("s"), F.count_distinct("v").alias("a"), F.count_distinct("m").alias("b"))
     return both.where("a > 1 and b > 1").select("img", r6("c").alias("c"), r6("s").alias("s"))
 
 
@@ -277,6 +278,63 @@ def _(view):
     return scene.weighted(view).groupBy("cam", "px", "py").agg(F.round(F.sum(w), 9).alias("a"), r6(F.sum(w * F.col("depth"))).alias("d"), r6(F.max(F.when(F.round("t", 9) > 0.5, F.col("depth")))).alias("median"))
 
 
+@query("sc_proj_2dgs", scene.CAMERA.replace("cc as (select *,", "cc as (select *, ca * m00 * sx + sa * m20 * sx as a0, m10 * sx as a1, -sa * m00 * sx + ca * m20 * sx as a2, ca * m01 * sy + sa * m21 * sy as b0, m11 * sy as b1, -sa * m01 * sy + ca * m21 * sy as b2, ca * m02 + sa * m22 as n0, m12 as n1, -sa * m02 + ca * m22 as n2,") + f""",
+t as (select *, fx * a0 + cx * a2 as t00, fx * b0 + cx * b2 as t01, fx * mx + cx * mz as t02, fy * a1 + cy * a2 as t10, fy * b1 + cy * b2 as t11, fy * my + cy * mz as t12 from cc),
+d as (select *, 9 * a2 * a2 + 9 * b2 * b2 - mz * mz as d from t),
+e as (select *, (9 * t00 * a2 + 9 * t01 * b2 - t02 * mz) / d as u, (9 * t10 * a2 + 9 * t11 * b2 - t12 * mz) / d as v, (9 * t00 * t00 + 9 * t01 * t01 - t02 * t02) / d as e0, (9 * t10 * t10 + 9 * t11 * t11 - t12 * t12) / d as e1 from d)
+select cam, gid, {R('u')} as u, {R('v')} as v, {R('greatest(sqrt(greatest(1e-4, u * u - e0)), sqrt(greatest(1e-4, v * v - e1)))')} as extent, {R('case when mx * n0 + my * n1 + mz * n2 > 0 then -n0 else n0 end')} as nx, {R('case when mx * n0 + my * n1 + mz * n2 > 0 then -n2 else n2 end')} as nz from e where mz > 3""")
+def _(view):
+    df = X.surfel_projection(raster.cameras_by_splats(view("cams"), view("splats").repartition("gid")))
+    return written(df).where("p2 > 3").select("cam", "gid", *(r6(c).alias(c) for c in ("u", "v", "extent", "nx", "nz")))
+
+
+@query("wn_median_filter", f"{I}, m as (select img, py, px, v, median(v) over (partition by img, px order by py rows between 2 preceding and 2 following) as m from img_px) select img, py, px, m::double as m, abs(v - m) > 60 as odd from m")
+def _(view):
+    return X.median_filtered(view("img_px"), 2)
+
+
+@query("wn_edge_peaks", f"{I}, r as (select img, py, sum(v)::double / count(*) as m from img_px group by 1, 2), d as (select img, py, round(abs(m - lag(m) over (partition by img order by py)), 9) as d from r), n as (select *, coalesce(lag(d) over w, 0) as b, coalesce(lead(d) over w, 0) as a from d where d is not null window w as (partition by img order by py)), k as (select img, py, d, row_number() over (partition by img order by d desc, py)::int as r from n where d >= 2 and d > b and d >= a) select img, py, d, r from k where r <= 3")
+def _(view):
+    return X.edge_peaks(view("img_px"), 2.0, 3)
+
+
+@query("ag_mask_props", f"{I} select img, count(*) filter (v > 110) as area, {R('avg(py) filter (v > 110)')} as cy, {R('avg(px) filter (v > 110)')} as cx, min(py) filter (v > 110) as y0, max(py) filter (v > 110) as y1, {R('avg(v) filter (v > 110)')} as inside, {R('avg(v) filter (v <= 110)')} as outside from img_px group by img having count(*) filter (v > 110) > 0")
+def _(view):
+    return X.mask_props(view("img_px"), 110).select("img", "area", r6("cy").alias("cy"), r6("cx").alias("cx"), "y0", "y1", r6("inside").alias("inside"), r6("outside").alias("outside"))
+
+
+@query("ag_template_match", f"{I}, t as (select py as ty, px as tx, median(v) as t from img_px where py < 4 and px < 4 group by 1, 2), b as (select img, py // 4 as by_, px // 4 as bx, v, t from img_px join t on py % 4 = ty and px % 4 = tx), c as (select img, by_, bx, round((count(*) * sum(v::double * t) - sum(v::double) * sum(t)) / nullif(sqrt((count(*) * sum(v::double * v) - sum(v::double) * sum(v::double)) * (count(*) * sum(t * t) - sum(t) * sum(t))), 0), 6) as c from b group by 1, 2, 3 having count(*) = 16 and min(v) < max(v) and min(t) < max(t)) select img, max(c) as c, arg_max(by_, (c, -by_, -bx))::bigint as \"by\", arg_max(bx, (c, -by_, -bx))::bigint as bx from c group by img")
+def _(view):
+    return X.template_match(view("img_px"), 4)
+
+
+@query("sc_affine_color", f"{SP} select gid, round(0.9 * r + 0.05 * g + 0.02 * b + 0.01, 9) as r, round(0.03 * r + 0.92 * g - 0.01 * b, 9) as g, round(0.01 * r + 0.04 * g + 0.88 * b + 0.02, 9) as b from splats")
+def _(view):
+    rows = ((0.9, 0.05, 0.02, 0.01), (0.03, 0.92, -0.01, 0.0), (0.01, 0.04, 0.88, 0.02))
+    return view("splats").select("gid", *(F.round(a * F.col("r") + b * F.col("g") + c * F.col("b") + d, 9).alias(n) for n, (a, b, c, d) in zip("rgb", rows, strict=True)))
+
+
+@query("sc_color_correct", f"{I}, p as (select img, v::double as a, v * 0.8::double + (px % 3) as b from img_px) select img, {R('regr_slope(b, a)')} as slope, {R('regr_intercept(b, a)')} as intercept from p group by img having min(a) < max(a)")
+def _(view):
+    pairs = view("img_px").select("img", F.col("v").cast("double").alias("a"), (F.col("v") * 0.8 + F.col("px") % 3).alias("b"))
+    return X.color_corrected(pairs).select("img", r6("slope").alias("slope"), r6("intercept").alias("intercept"))
+
+
+@query("ag_pose_normalise", ctes("cloud_a") + f", m as (select median(x) as a, median(y) as b, median(z) as c from cloud_a), q as (select pid, x - a as x, y - b as y, z - c as z from cloud_a, m), s as (select median(sqrt(x * x + y * y + z * z)) as s from q) select pid, {R('x / s')} as x, {R('y / s')} as y, {R('z / s')} as z from q, s")
+def _(view):
+    return X.normalised(view("cloud_a")).select("pid", *(r6(c).alias(c) for c in "xyz"))
+
+
+@query("sc_polar_to_cart", f"{S}, g as (select a.i::int as i, b.j::int as j, (a.i + 0.5) / 32 as x, (b.j + 0.5) / 32 - 0.5 as y from range(32) a(i), range(32) b(j)), p as (select i, j, floor(sqrt((x * x + y * y)::double) * 64)::int as rng, floor((atan2(y::double, x::double) / (pi() / 2) + 0.5) * 48)::int as az from g) select frame, i, j, v from sonar_px join p using (rng, az)")
+def _(view):
+    return X.polar_to_cart(view("sonar_px"), 32, 64, 48)
+
+
+@query("flt_undistort", f"{I}, g as (select a.i::int as y, b.j::int as x, (b.j + 0.5::double) / 16 - 0.5 as cx, (a.i + 0.5::double) / 16 - 0.5 as cy from range(16) a(i), range(16) b(j)), m as (select y, x, floor((cx * (1 + 0.1::double * (cx * cx + cy * cy)) + 0.5) * 16)::int as px, floor((cy * (1 + 0.1::double * (cx * cx + cy * cy)) + 0.5) * 16)::int as py from g) select img, y, x, v from img_px join m using (px, py)")
+def _(view):
+    return X.undistorted(view("img_px"), 16, 0.1)
+
+
 # Below, randomness is hashed from ids: equal on every run and at every partitioning; rows only, no oracle.
 
 

@@ -71,11 +71,13 @@ def _(view):
 
 
 _DOT = "list_sum(list_transform(range(1, 65), lambda k: e.embedding[k]::double * q.embedding[k]::double))"
-_PR = f"with pr as (select vec_id as prompt, embedding from embeddings where vec_id < 5), cs as (select e.vec_id, q.prompt, {_DOT} as cos from embeddings e, pr q)"
+_PR = f"with pr as (select vec_id as prompt, embedding from embeddings where vec_id in (select min(vec_id) from embeddings group by label)), cs as (select e.vec_id, q.prompt, {_DOT} as cos from embeddings e, pr q)"
 
 
 def prompts(view):
-    return view("embeddings").where("vec_id < 5").select(F.col("vec_id").alias("prompt"), F.col("embedding").alias("p"))
+    """The first vector of each label stands for the label's prompt."""
+    first = view("embeddings").groupBy("label").agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("e"))
+    return first.select(F.col("e.vec_id").alias("prompt"), F.col("e.embedding").alias("p"))
 
 
 @query("vs_cosine_mean", f"{_PR} select vec_id, {R('least(1, greatest(0, (avg(cos) + 1) / 2))')} as score from cs group by vec_id")
@@ -236,9 +238,9 @@ def _(view):
     return T.gaps(view("events"), "user_id", "event_id")
 
 
-@query("wn_best_checkpoint", f"{TL}, k as (select *, max(value) over (partition by run order by step rows between unbounded preceding and 1 preceding) as top from telemetry where step % 3 <> 0) select run, step, {R('value')} as value from k where top is null or value > top")
+@query("wn_best_checkpoint", f"{TL}, k as (select *, max(value) over (partition by run order by step rows between unbounded preceding and 1 preceding) as top from telemetry where kind <> 'view') select run, step, {R('value')} as value from k where top is null or value > top")
 def _(view):
-    return T.best_checkpoints(view("telemetry"), "value", F.col("step") % 3 != 0).select("run", "step", r6("value").alias("value"))
+    return T.best_checkpoints(view("telemetry"), "value", F.col("kind") != "view").select("run", "step", r6("value").alias("value"))
 
 
 @query("wn_peaks", f"{TL} select run, step, {R('max(value) over w')} as peak, {R('sum(value / 3600) over w')} as energy from telemetry window w as (partition by run order by step rows unbounded preceding)")
@@ -300,10 +302,10 @@ def _(view):
     return view("nation").select(k.alias("k"), r6(640 / (2 * F.tan((40 + k) * F.pi() / 360))).alias("focal"), r6(2 * F.atan(640 / (2 * (300.0 + k))) * 180 / F.pi()).alias("fov"))
 
 
-@query("sc_depth_to_points", ctes("img_px") + f" select img, py, px, {R('(px + 0.5 - 8) / 20 * v')} as x, {R('(py + 0.5 - 8) / 20 * v')} as y, v::double as z from img_px where img < 100")
+@query("sc_depth_to_points", ctes("img_px") + f" select img, py, px, {R('(px + 0.5 - 8) / 20 * v')} as x, {R('(py + 0.5 - 8) / 20 * v')} as y, v::double as z from img_px")
 def _(view):
     v = F.col("v").cast("double")
-    return view("img_px").where("img < 100").select("img", "py", "px", r6((F.col("px") + 0.5 - 8) / 20 * v).alias("x"), r6((F.col("py") + 0.5 - 8) / 20 * v).alias("y"), v.alias("z"))
+    return view("img_px").select("img", "py", "px", r6((F.col("px") + 0.5 - 8) / 20 * v).alias("x"), r6((F.col("py") + 0.5 - 8) / 20 * v).alias("y"), v.alias("z"))
 
 
 @query("sc_schedule", f"select s::int as step, {R('least(1, s / 50.0::double)')} as ramp, {R('exp(-s / 40.0::double)')} as decay, {R('exp(ln(0.01::double) * (1 - s / 100.0::double) + ln(0.0001::double) * (s / 100.0::double))')} as lr from range(101) t(s)")
@@ -437,9 +439,9 @@ def _(view):
     return full.agg(both.alias("both_"), r6(both / F.count("*")).alias("iou"))
 
 
-@query("flt_aabb", f"{CL} select pid from cloud_a where x between (select min(x) from cloud_b where pid < 500) and (select max(x) from cloud_b where pid < 500) and y between (select min(y) from cloud_b where pid < 500) and (select max(y) from cloud_b where pid < 500)")
+@query("flt_aabb", f"{CL} select pid from cloud_a where x between (select min(x) from cloud_b) and (select max(x) from cloud_b) and y between (select min(y) from cloud_b) and (select max(y) from cloud_b)")
 def _(view):
-    box = view("cloud_b").where("pid < 500").agg(*(f(c).alias(n + c) for c in "xy" for f, n in ((F.min, "l"), (F.max, "h"))))
+    box = view("cloud_b").agg(*(f(c).alias(n + c) for c in "xy" for f, n in ((F.min, "l"), (F.max, "h"))))
     return view("cloud_a").crossJoin(F.broadcast(box)).where("x between lx and hx and y between ly and hy").select("pid")
 
 
@@ -513,9 +515,10 @@ def _(view):
     return view("splats").select("gid", *(r6(G.signed_log(F.col(c))).alias(c) for c in "xy"))
 
 
-@query("dm_kmeans", f"{SP}, c as (select gid as c, x as cx, y as cy, z as cz from splats where gid < 8), d as (select gid, c, abs(x - cx) + abs(y - cy) + abs(z - cz) as d from splats, c) select gid, arg_min(c, (round(d, 9), c)) as c from d group by gid")
+@query("dm_kmeans", f"{SP}, c as (select gid as c, x as cx, y as cy, z as cz from splats where gid in (select min(gid) from splats group by scene)), d as (select gid, c, abs(x - cx) + abs(y - cy) + abs(z - cz) as d from splats, c) select gid, arg_min(c, (round(d, 9), c)) as c from d group by gid")
 def _(view):
-    centres = view("splats").where("gid < 8").select(F.col("gid").alias("c"), *(F.col(a).alias(f"c{a}") for a in "xyz"))
+    first = view("splats").groupBy("scene").agg(F.min_by(F.struct("gid", "x", "y", "z"), "gid").alias("s"))
+    centres = first.select(F.col("s.gid").alias("c"), *(F.col(f"s.{a}").alias(f"c{a}") for a in "xyz"))
     return model.assign(view("splats"), centres)
 
 

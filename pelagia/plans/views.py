@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pelagia.session import table
 
-#: A view's text. {e:i} is the i-th embedding component as double; {code:x} the code point of character x.
+#: A view's text. {e:i} is the i-th embedding component as double; {code:x} the code point of character x; {chars:t} the characters c of text t at i.
 TEXTS = {
     "splats": """select vec_id as gid, label as scene,
   round(6 * {e:1}, 6) as x, round(6 * {e:2}, 6) as y, round(6 * {e:3}, 6) as z,
@@ -24,20 +24,19 @@ TEXTS = {
   round(1 / (1 + exp(-8 * {e:11})), 6) as o, round(1 / (1 + exp(-8 * {e:12})), 6) as r, round(1 / (1 + exp(-8 * {e:13})), 6) as g,
   round(1 / (1 + exp(-8 * {e:14})), 6) as b, round(1 / (1 + exp(-8 * {e:15})), 6) as refl, round(1 / (1 + exp(-8 * {e:16})), 6) as sat
   from embeddings""",
-    "cams": """select n_nationkey as cam, round(cos(2 * pi() * n_nationkey / 25), 9) as ca, round(sin(2 * pi() * n_nationkey / 25), 9) as sa,
+    "cams": """select r_regionkey as cam, round(cos(2 * pi() * r_regionkey / 25), 9) as ca, round(sin(2 * pi() * r_regionkey / 25), 9) as sa,
   cast(0 as double) as tx, cast(0 as double) as ty, cast(6 as double) as tz, cast(40 as double) as fx, cast(40 as double) as fy,
-  cast(32 as double) as cx, cast(24 as double) as cy, 64 as width, 48 as height, 16 as tile from nation where n_nationkey < 5""",
+  cast(32 as double) as cx, cast(24 as double) as cy, 64 as width, 48 as height, 16 as tile from region""",
     "sonar_px": """select cast(l_suppkey % 20 as int) as frame, cast(l_partkey % 64 as int) as rng, cast(l_orderkey % 48 as int) as az,
   round(avg(cast(l_quantity as double)) / 50, 6) as v from lineitem group by 1, 2, 3""",
     "cloud_a": """select p_partkey as pid, cast(p_partkey * 37 % 101 as double) / 10 as x, cast(p_partkey * 53 % 97 as double) / 10 as y,
-  cast(p_size as double) / 10 as z from part where p_partkey <= 2000""",
-    "cloud_b": """select p_partkey as pid, cast((p_partkey * 37 + 7) % 101 as double) / 10 as x, cast((p_partkey * 53 + 7) % 97 as double) / 10 as y,
-  cast(p_size as double) / 10 as z from part where p_partkey <= 2000 and p_partkey % 3 <> 0""",
-    "img_px": """select doc_id as img, cast(i {div} 16 as int) as py, cast(i % 16 as int) as px, {code:substr(text, cast(i as int) + 1, 1)} % 256 as v
-  from (select doc_id, text, {seq:0, least(255, length(text) - 1)} as i from documents)""",
+  cast(p_size as double) / 10 as z from part""",
+    "cloud_b": """select c_custkey as pid, cast((c_custkey * 37 + 7) % 101 as double) / 10 as x, cast((c_custkey * 53 + 7) % 97 as double) / 10 as y,
+  cast(c_custkey % 50 + 1 as double) / 10 as z from customer""",
+    "img_px": """select doc_id as img, cast(i {div} 16 as int) as py, cast(i % 16 as int) as px, {code:c} % 256 as v from (select doc_id, {chars:text} from documents)""",
     "scores": """select doc_id as idx, source as scene, concat(source, '/', cast(doc_id as {str})) as path,
   round(1 - 1 / (1 + cast(n_chars as double) / 1000), 6) as clip, round(cast(n_chars % 97 as double) / 97, 6) as entropy,
-  round(cast(n_chars % 31 as double) / 31, 6) as edge, cast(row_number() over (order by doc_id) - 1 as int) as scan from documents""",
+  round(cast(n_chars % 31 as double) / 31, 6) as edge, doc_id as scan from documents""",
     "catalog": """select cast(l_suppkey as int) as dataset, concat(l_returnflag, l_linestatus) as cls, count(*) as n from lineitem group by 1, 2""",
     "telemetry": """select user_id as run, cast(row_number() over (partition by user_id order by ts, event_id) as int) as step, value, event_type as kind from events""",
     "nav": """select user_id as session, event_id, round(20 + value / 1000, 9) as lat, round(30 + cast(event_id % 1000 as double) / 1000, 9) as lon,
@@ -52,7 +51,7 @@ def _text(name: str, duck: bool) -> str:
     text = re.sub(r"\{e:(\d+)\}", r"cast(embedding[\1] as double)" if duck else r"cast(element_at(embedding, \1) as double)", text)
     text = text.replace("{div}", "//" if duck else "div").replace("{str}", "varchar" if duck else "string")
     text = re.sub(r"\{code:((?:[^{}])*)\}", r"unicode(\1)" if duck else r"ascii(\1)", text)
-    return re.sub(r"\{seq:([^{}]*)\}", r"unnest(range(0, 1 + least(255, length(text) - 1)))" if duck else r"explode(sequence(\1))", text)
+    return re.sub(r"\{chars:(\w+)\}", r"unnest(string_split(\1, '')) as c, unnest(range(0, length(\1))) as i" if duck else r"posexplode(split(\1, '')) as (i, c)", text)
 
 
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

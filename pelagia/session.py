@@ -36,13 +36,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/pelagia-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a Parquet table in the shared folder (survives lost executors)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pelagia-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote; DataFrames that read them end with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -16,7 +16,7 @@ from pelagia.session import shared_dir
 def _run(stream: DataFrame, fold, first: DataFrame, mode: str = "append") -> DataFrame:
     """Fold every micro-batch into a state table: fold(state, batch) -> state. Returns the last state."""
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/pelagia-stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/pelagia-{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
     first.write.parquet(f"{root}/state/-1")
     done = {"at": -1}
 
