@@ -221,6 +221,6 @@ def _(view):
     return view("splats").select("gid", P.color_class(*(F.col(c) for c in "rgb")).alias("cls"))
 
 
-@query("sc_blur_quality", ctes("scores") + f""" select idx, case when clip < 0.3 then 'blurry' when clip < 0.7 then 'soft' else 'sharp' end as blur, {R('100 * (0.4 * least(clip / 0.8, 1) + 0.3 * least(entropy / 0.8, 1) + 0.3 * least(edge / 0.8, 1))')} as quality from scores""")
+@query("sc_blur_quality", ctes("scores") + f""" select idx, case when clip < 0.3 then 'blurry' when clip < 0.7 then 'soft' else 'sharp' end as blur, round(100 * (0.4 * least(clip / 0.8, 1) + 0.3 * least(entropy / 0.8, 1) + 0.3 * least(edge / 0.8, 1)), 9) as quality from scores""")
 def _(view):
-    return view("scores").select("idx", P.blur_class(F.col("clip")).alias("blur"), r6(P.quality(F.col("clip"), F.col("entropy"), F.col("edge"))).alias("quality"))
+    return view("scores").select("idx", P.blur_class(F.col("clip")).alias("blur"), F.round(P.quality(F.col("clip"), F.col("entropy"), F.col("edge")), 9).alias("quality"))
