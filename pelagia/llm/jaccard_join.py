@@ -16,8 +16,9 @@ where a set has little else. Which hash cells are frequent is counted over all d
 broadcast has a fixed size (``CELLS`` bits), and any map gives the same links.
 
 A signature's members are compared with its least member, not with each other: a group of copies costs a comparison
-for each member. Members whose components then still differ are compared in pairs, unless sizes or Jaccard distances to
-the least member (a metric) exclude a link. Comparisons are exact, on whole texts. Components follow.
+for each member. Members whose components then still differ are compared in pairs. A pair whose sizes exclude a link is
+dropped, and so is one whose histograms do: each set has counts of its elements in ``HISTOGRAM`` hash cells, and sets
+differ in at least the sum of the counts' differences. What is left is compared exactly, on whole texts. Components follow.
 
 Defined results: a null or wordless text has an empty set, links with nothing and is its own component; under five
 words the whole sequence is the one shingle; repeated rows share a component; a null doc_id counts as larger than any
@@ -42,6 +43,8 @@ CELLS = 1 << 20
 #: A cell is frequent if a task sees it in more than one of so many of its documents, and in at least so many.
 FREQUENT, FREQUENT_AT_LEAST = 128, 12
 SMALL, SPREAD = 128, 1.5
+#: Cells of a set's histogram.
+HISTOGRAM = 256
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -117,8 +120,21 @@ def signatures(h: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, use: np
     return np.concatenate(out_s), np.concatenate(out_o)
 
 
+def histograms(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """[set, cell]: how many elements fall in each cell, 255 at most."""
+    n = len(offsets) - 1
+    text = np.repeat(np.arange(n), np.diff(offsets))
+    counts = np.bincount(text * HISTOGRAM + (mix(h) >> U(56)).astype(np.int64), minlength=n * HISTOGRAM)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(n, HISTOGRAM)
+
+
+def _blobs(table: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(table.shape[1]), len(table), [None, pa.py_buffer(np.ascontiguousarray(table))]).cast(pa.binary())
+
+
 def _sets(docs: DataFrame) -> DataFrame:
-    """_d, _h, n (set size), g (set hash) of every document, and (cell) rows, with null _d, of frequent cells."""
+    """_d, _h, n (set size), g (set hash), hist of every document, and (cell) rows, with null _d, of frequent cells."""
+    names = ["_d", "_h", "n", "g", "hist", "cell"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, texts = np.zeros(CELLS, np.uint32), 0
@@ -128,12 +144,26 @@ def _sets(docs: DataFrame) -> DataFrame:
                 seen += np.bincount((h >> U(44)).astype(np.int64), minlength=CELLS).astype(np.uint32)
                 texts += part.num_rows
                 n = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column("_d"), part.column("_h"), pa.array(np.diff(offsets)), pa.array(signed(set_hashes(h, offsets))), pa.nulls(n, pa.int32())], ["_d", "_h", "n", "g", "cell"])
+                yield pa.RecordBatch.from_arrays([part.column("_d"), part.column("_h"), pa.array(np.diff(offsets)), pa.array(signed(set_hashes(h, offsets))), _blobs(histograms(h, offsets)), pa.nulls(n, pa.int32())], names)
         cells = np.flatnonzero(seen >= max(FREQUENT_AT_LEAST, texts // FREQUENT)).astype(np.int32)
         empty = pa.nulls(len(cells), pa.int64())
-        yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array(cells)], ["_d", "_h", "n", "g", "cell"])
+        yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.nulls(len(cells), pa.binary()), pa.array(cells)], names)
+
+    return docs.mapInArrow(run, "_d long, _h long, n long, g long, hist binary, cell int")
+
 
-    return docs.mapInArrow(run, "_d long, _h long, n long, g long, cell int")
+def _may_link(pairs: DataFrame) -> DataFrame:
+    """x, y of the pairs (x, y, nx, ny, hx, hy) whose histograms do not exclude a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                hx, hy = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HISTOGRAM).astype(np.int16) for c in ("hx", "hy"))
+                sizes = batch.column("nx").to_numpy().astype(np.int64) + batch.column("ny").to_numpy()
+                batch = batch.filter(pa.array(9 * np.abs(hx - hy).sum(1) <= sizes))
+            yield batch.select(["x", "y"])
+
+    return pairs.mapInArrow(run, "x long, y long")
 
 
 def _signed_sets(docs: DataFrame, cells: np.ndarray) -> DataFrame:
@@ -158,8 +188,10 @@ def _signed_sets(docs: DataFrame, cells: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "s long, g long, n int")
 
 
-def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """x, y, links, far (Jaccard distance) of the pairs (x, y) of sets, from their texts (g, text)."""
+def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (x, y) of sets that link, compared on the texts of the sets' least documents."""
+    needed = pairs.select(F.col("x").alias("g")).unionByName(pairs.select(F.col("y").alias("g"))).distinct().join(nodes.select("g", "_d", "_h"), "g")
+    texts = written(needed.join(rows, ["_d", "_h"]).dropDuplicates(["g"]).select("g", "text"))
     left = pairs.join(texts.select(F.col("g").alias("x"), F.col("text").alias("tx")), "x")
     both = left.join(texts.select(F.col("g").alias("y"), F.col("text").alias("ty")), "y").select("x", "y", "tx", "ty")
 
@@ -178,41 +210,37 @@ def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                         place[place == len(v)] = 0
                         both[i] = np.count_nonzero(v[place] == u)
                 every = np.diff(a[1]) + np.diff(b[1])[at] - both
-                far = 1 - both / np.maximum(every, 1)
-                yield pa.RecordBatch.from_arrays([part.column("x"), part.column("y"), pa.array(100 * both >= 80 * every), pa.array(far)], ["x", "y", "links", "far"])
+                yield part.select(["x", "y"]).filter(pa.array(100 * both >= 80 * every))
 
-    return both.mapInArrow(run, "x long, y long, links boolean, far double")
+    return both.mapInArrow(run, "x long, y long")
 
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row, and _d, _h (its key)."""
     rows = keys.rows(docs)
     every = written(_sets(rows))
-    sets = every.where("_d is not null").drop("cell")
+    sets = every.where("_d is not null").drop("cell", "hist")
     cells = np.array([r.cell for r in every.where("cell is not null").select("cell").distinct().collect()], np.int64)  # CELLS at most
     # one row for a set: its least document
-    nodes = sets.where("n > 0").groupBy("g").agg(F.min(F.struct("_d", "_h")).alias("k"))
-    signed_sets = _signed_sets(rows, cells).repartition(F.col("s"))
-    groups = signed_sets.groupBy("s").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least < most").drop("most")
-    members = written(signed_sets.join(groups, "s").distinct())
-    pairs = written(members.where("g <> least").select(F.col("g").alias("x"), F.col("least").alias("y")).distinct())
-    needed = members.select("g").distinct().join(nodes, "g").select("g", F.col("k._d").alias("_d"), F.col("k._h").alias("_h"))
-    texts = written(needed.join(rows, ["_d", "_h"]).dropDuplicates(["g"]).select("g", "text"))
-    first = written(_compare(pairs, texts))
-    links = first.where("links").select("x", "y")
+    nodes = every.where("n > 0").groupBy("g").agg(F.min(F.struct("_d", "_h", "n", "hist")).alias("k")).select("g", "k.*")
+    nodes = written(nodes)
+    # one exchange of signatures serves the count and the join
+    signed_sets = _signed_sets(rows, cells).select("s", F.struct("g", "n").alias("m")).repartition(F.col("s"))
+    groups = signed_sets.groupBy("s").agg(F.min("m").alias("least"), F.max("m").alias("most")).where("least.g < most.g").select("s", F.col("least.g").alias("y"), F.col("least.n").alias("ny"))
+    members = written(signed_sets.join(groups, "s").select("s", F.col("m.g").alias("g"), F.col("m.n").alias("n"), "y", "ny").distinct())
+    sizes_fit = 5 * F.least("nx", "ny") >= 4 * F.greatest("nx", "ny")
+    x, y = (nodes.select(F.col("g").alias(k), F.col("n").cast("int").alias(f"n{k}"), F.col("hist").alias(f"h{k}")) for k in "xy")
+    pairs = members.where("g <> y").select(F.col("g").alias("x"), F.col("n").alias("nx"), "y", "ny").where(sizes_fit).select("x", "y").distinct()
+    links = written(_links(written(_may_link(pairs.join(x, "x").join(y, "y"))), nodes, rows))
     roots = written(components(links))
     # signatures whose members are in several components still
     placed = members.join(roots.withColumnRenamed("node", "g"), "g", "left").withColumn("root", F.coalesce("root", "g"))
     split = placed.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("s")
-    distance = first.select(F.col("x").alias("g"), F.col("y").alias("least"), "far")
-    open_ = placed.join(split, "s").join(distance, ["g", "least"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
-    open_ = written(open_.select("s", "g", "n", "root", "far", "least"))
-    x, y = (open_.select("s", *(F.col(c).alias(c + k) for c in ("g", "n", "root", "far", "least"))) for k in "xy")
-    may = (F.col("gx") < F.col("gy")) & (F.col("rootx") != F.col("rooty")) & (F.abs(F.col("farx") - F.col("fary")) <= 0.2000001) & (F.col("farx") + F.col("fary") > 0)
-    may &= (5 * F.least("nx", "ny") >= 4 * F.greatest("nx", "ny")) & (F.col("gx") != F.col("leastx")) & (F.col("gy") != F.col("leasty"))
-    more = x.join(y, "s").where(may).select(F.col("gx").alias("x"), F.col("gy").alias("y")).distinct()
-    second = _compare(written(more), texts).where("links").select("x", "y")
-    roots = written(components(links.unionByName(written(second))))
+    open_ = written(placed.join(split, "s").join(nodes.select("g", "hist"), "g").select("s", "g", "n", "root", "y", "hist"))
+    x, y = (open_.where("g <> y").select("s", F.col("g").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}"), F.col("hist").alias(f"h{k}")) for k in "xy")
+    more = x.join(y, (x.s == y.s) & (F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & sizes_fit).select("x", "y", "nx", "ny", "hx", "hy")
+    more = written(_may_link(more).distinct())
+    roots = written(components(links.unionByName(written(_links(more, nodes, rows)))))
     # the least document of each component
     of = sets.join(roots.withColumnRenamed("node", "g"), "g", "left").withColumn("root", F.coalesce("root", "g"))
     least = of.where("n > 0").groupBy("root").agg(F.min("_d").alias("component"))
