@@ -20,16 +20,13 @@ def components(links: DataFrame) -> DataFrame:
         # large star: each larger neighbour of a node, and the node's least neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large)
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         # small star: each smaller neighbour, and the node itself, to the least smaller neighbour
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        after = written(small.where("u <> v").distinct())
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        edges = written(small.where("u <> v").distinct())
         # done when every node has one parent, which has none
-        parents = after.groupBy("u").agg(F.count("*").alias("n"))
-        twice = parents.where("n > 1").limit(1).count()
-        if not twice and not after.join(after.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
-            return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        edges = after
+        ends = edges.select(F.col("u").alias("k"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(edges.select(F.col("v").alias("k"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+        open_ = ends.groupBy("k").agg(F.sum("child").alias("child"), F.max("parent").alias("parent")).where("child > 1 or (child = 1 and parent = 1)")
+        if not open_.limit(1).count():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -15,7 +15,8 @@ Frequent shingles (boilerplate) come in the last partitions of the order, so a s
 where a set has little else. Which hash cells are frequent is counted over all documents; the bit map of cells that is
 broadcast has a fixed size (``CELLS`` bits), and any map gives the same links.
 
-A signature's members are compared with its least member, not with each other: a group of copies costs a comparison
+A signature's members are compared with one of them, the one that meets the most others over all its signatures,
+not with each other: a group of copies costs a comparison
 for each member. Members whose components then still differ are compared in pairs. A pair whose sizes exclude a link is
 dropped, and so is one whose histograms do: each set has counts of its elements in ``HISTOGRAM`` hash cells, and sets
 differ in at least the sum of the counts' differences. What is left is compared exactly, on whole texts. Components follow.
@@ -40,8 +41,8 @@ from pelagia.session import table, written
 
 SHINGLE = 5
 CELLS = 1 << 20
-#: A cell is frequent if a task sees it in more than one of so many of its documents, and in at least so many.
-FREQUENT, FREQUENT_AT_LEAST = 128, 12
+#: A cell is frequent if tasks where it stands out see it, together, for one in so many documents, and so often at least.
+FREQUENT, FREQUENT_AT_LEAST = 2000, 24
 SMALL, SPREAD = 128, 1.5
 #: Cells of a set's histogram.
 HISTOGRAM = 256
@@ -133,21 +134,22 @@ def _blobs(table: np.ndarray) -> pa.Array:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """_d, _h, n (set size), g (set hash), hist of every document, and (cell) rows, with null _d, of frequent cells."""
+    """_d, _h, n (set size), g (set hash), hist of every document, and (cell, n) rows, with null _d, of the cells that stand out in a task."""
     names = ["_d", "_h", "n", "g", "hist", "cell"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, texts = np.zeros(CELLS, np.uint32), 0
+        seen = np.zeros(CELLS, np.uint32)
         for batch in batches:
             for part in slices(batch):
                 h, offsets = shingle_sets(part.column("text"))
                 seen += np.bincount((h >> U(44)).astype(np.int64), minlength=CELLS).astype(np.uint32)
-                texts += part.num_rows
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays([part.column("_d"), part.column("_h"), pa.array(np.diff(offsets)), pa.array(signed(set_hashes(h, offsets))), _blobs(histograms(h, offsets)), pa.nulls(n, pa.int32())], names)
-        cells = np.flatnonzero(seen >= max(FREQUENT_AT_LEAST, texts // FREQUENT)).astype(np.int32)
+        # a few thousand cells stand out by chance in a task; their sums stay small
+        mean = seen.mean()
+        cells = np.flatnonzero(seen >= max(2, np.ceil(mean + 3 * np.sqrt(mean)))).astype(np.int32)
         empty = pa.nulls(len(cells), pa.int64())
-        yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.nulls(len(cells), pa.binary()), pa.array(cells)], names)
+        yield pa.RecordBatch.from_arrays([empty, empty, pa.array(seen[cells].astype(np.int64)), empty, pa.nulls(len(cells), pa.binary()), pa.array(cells)], names)
 
     return docs.mapInArrow(run, "_d long, _h long, n long, g long, hist binary, cell int")
 
@@ -220,19 +222,26 @@ def join(docs: DataFrame) -> DataFrame:
     rows = keys.rows(docs)
     every = written(_sets(rows))
     sets = every.where("_d is not null").drop("cell", "hist")
-    cells = np.array([r.cell for r in every.where("cell is not null").select("cell").distinct().collect()], np.int64)  # CELLS at most
+    least_often = max(FREQUENT_AT_LEAST, sets.count() // FREQUENT)
+    often = every.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= least_often)
+    cells = np.array([r.cell for r in often.select("cell").collect()], np.int64)  # CELLS at most
     # one row for a set: its least document
     nodes = every.where("n > 0").groupBy("g").agg(F.min(F.struct("_d", "_h", "n", "hist")).alias("k")).select("g", "k.*")
     nodes = written(nodes)
     # one exchange of signatures serves the count and the join
     signed_sets = _signed_sets(rows, cells).select("s", F.struct("g", "n").alias("m")).repartition(F.col("s"))
-    groups = signed_sets.groupBy("s").agg(F.min("m").alias("least"), F.max("m").alias("most")).where("least.g < most.g").select("s", F.col("least.g").alias("y"), F.col("least.n").alias("ny"))
-    members = written(signed_sets.join(groups, "s").select("s", F.col("m.g").alias("g"), F.col("m.n").alias("n"), "y", "ny").distinct())
+    groups = signed_sets.groupBy("s").agg(F.min("m.g").alias("least"), F.max("m").alias("most"), F.count("*").alias("n")).where("least < most.g").select("s", F.col("n").alias("size"))
+    shared = written(signed_sets.join(groups, "s").select("s", F.col("m.g").alias("g"), F.col("m.n").alias("n"), "size").distinct())
+    # the member that meets the most others over all its signatures leads: the text that the copies of a group come from
+    meets = shared.groupBy("g").agg(F.sum("size").alias("meets"))
+    ranked = written(shared.join(meets, "g").select("s", "g", "n", "meets"))
+    leads = ranked.groupBy("s").agg(F.max(F.struct("meets", "g", "n")).alias("k")).select("s", F.col("k.g").alias("y"), F.col("k.n").alias("ny"))
+    members = written(ranked.join(leads, "s").select("s", "g", "n", "y", "ny"))
     sizes_fit = 5 * F.least("nx", "ny") >= 4 * F.greatest("nx", "ny")
     x, y = (nodes.select(F.col("g").alias(k), F.col("n").cast("int").alias(f"n{k}"), F.col("hist").alias(f"h{k}")) for k in "xy")
     pairs = members.where("g <> y").select(F.col("g").alias("x"), F.col("n").alias("nx"), "y", "ny").where(sizes_fit).select("x", "y").distinct()
-    links = written(_links(written(_may_link(pairs.join(x, "x").join(y, "y"))), nodes, rows))
-    roots = written(components(links))
+    links = _links(written(_may_link(pairs.join(x, "x").join(y, "y"))), nodes, rows)
+    roots = components(links)
     # signatures whose members are in several components still
     placed = members.join(roots.withColumnRenamed("node", "g"), "g", "left").withColumn("root", F.coalesce("root", "g"))
     split = placed.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("s")
@@ -240,7 +249,9 @@ def join(docs: DataFrame) -> DataFrame:
     x, y = (open_.where("g <> y").select("s", F.col("g").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}"), F.col("hist").alias(f"h{k}")) for k in "xy")
     more = x.join(y, (x.s == y.s) & (F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & sizes_fit).select("x", "y", "nx", "ny", "hx", "hy")
     more = written(_may_link(more).distinct())
-    roots = written(components(links.unionByName(written(_links(more, nodes, rows)))))
+    if more.head(1):  # the first roots stand for the first links
+        known = roots.select(F.col("node").alias("x"), F.col("root").alias("y"))
+        roots = components(known.unionByName(_links(more, nodes, rows)))
     # the least document of each component
     of = sets.join(roots.withColumnRenamed("node", "g"), "g", "left").withColumn("root", F.coalesce("root", "g"))
     least = of.where("n > 0").groupBy("root").agg(F.min("_d").alias("component"))
