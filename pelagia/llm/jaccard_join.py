@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pelagia.llm import keys
-from pelagia.llm._text import U, Words, mix, powers, inverse_powers, signed, slices
+from pelagia.llm._text import U, Words, inverse_powers, mix, powers, signed, slices, spans
 from pelagia.llm.components import components
 from pelagia.session import table, written
 
@@ -46,6 +46,8 @@ FREQUENT, FREQUENT_AT_LEAST = 2000, 24
 SMALL, SPREAD = 128, 1.5
 #: Cells of a set's histogram.
 HISTOGRAM = 256
+#: Members of a signature that are compared in one group of pairs, about.
+BLOCK = 256
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -190,6 +192,64 @@ def _signed_sets(docs: DataFrame, cells: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "s long, g long, n int")
 
 
+def _pairs_within(members: DataFrame) -> DataFrame:
+    """x, y of the pairs of one signature's members (s, g, n, root, hist) in different components that sizes and histograms
+    let link. A signature's members are dealt to blocks of about ``BLOCK``; each pair of blocks is one task's group, so no
+    group grows and only the pairs that may link are made."""
+    sizes = members.groupBy("s").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "s").withColumn("b", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
+    # a member meets every block: in the pair (smaller block, larger block)
+    met = dealt.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("s", F.least("b", "c").alias("i"), F.greatest("b", "c").alias("j"), "b", "g", "n", "root", "hist")
+
+    names = ["s", "i", "j", "b", "g", "n", "root"]
+
+    def survivors(rows: pa.Table) -> pa.RecordBatch:
+        """Of whole groups, in order of (s, i, j, b)."""
+        s, i, j, b, g, n, root = (rows.column(c).to_numpy().astype(np.int64) for c in names)
+        hist = np.frombuffer(b"".join(rows.column("hist").to_pylist()), np.uint8).reshape(-1, HISTOGRAM)
+        group = np.cumsum(np.append(0, (s[1:] != s[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        end = np.searchsorted(group, group, "right")
+        # a row of block i meets the later rows of its group, or all of block j where that is another block
+        first = np.searchsorted(group * 2 + (b == j), group * 2 + 1)  # where block j begins in the group
+        start = np.where(i == j, np.arange(len(s)) + 1, first)
+        count = np.where(b == i, end - start, 0)
+        out, at, upto = [np.zeros((0, 2), np.int64)], 0, np.cumsum(count)
+        while at < len(s):  # about 200,000 pairs at a time
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 200_000, "right")))
+            x, y = np.repeat(np.arange(at, min(stop, len(s))), count[at:stop]), spans(start[at:stop], count[at:stop])
+            keep = (root[x] != root[y]) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
+            x, y = x[keep], y[keep]
+            for k in range(0, len(x), 20_000):
+                u, v = x[k : k + 20_000], y[k : k + 20_000]
+                near = 9 * np.abs(hist[u].astype(np.int16) - hist[v]).sum(1) <= n[u] + n[v]
+                u, v = g[u[near]], g[v[near]]
+                out.append(np.stack((np.minimum(u, v), np.maximum(u, v)), 1))
+            at = stop
+        found = np.unique(np.concatenate(out), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None  # the last group waits for the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            last = np.ones(rows.num_rows, bool)
+            for c in ("s", "i", "j"):
+                column = rows.column(c).to_numpy()
+                last &= column == column[-1]
+            cut = int(np.argmax(last))
+            if cut:
+                yield survivors(rows.slice(0, cut))
+            rest = rows.slice(cut)
+        if rest is not None:
+            yield survivors(rest)
+
+    return met.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j", "b").mapInArrow(run, "x long, y long")
+
+
 def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (x, y) of sets that link, compared on the texts of the sets' least documents."""
     needed = pairs.select(F.col("x").alias("g")).unionByName(pairs.select(F.col("y").alias("g"))).distinct().join(nodes.select("g", "_d", "_h"), "g")
@@ -246,9 +306,7 @@ def join(docs: DataFrame) -> DataFrame:
     placed = members.join(roots.withColumnRenamed("node", "g"), "g", "left").withColumn("root", F.coalesce("root", "g"))
     split = placed.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("s")
     open_ = written(placed.join(split, "s").join(nodes.select("g", "hist"), "g").select("s", "g", "n", "root", "y", "hist"))
-    x, y = (open_.where("g <> y").select("s", F.col("g").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}"), F.col("hist").alias(f"h{k}")) for k in "xy")
-    more = x.join(y, (x.s == y.s) & (F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & sizes_fit).select("x", "y", "nx", "ny", "hx", "hy")
-    more = written(_may_link(more).distinct())
+    more = written(_pairs_within(open_.where("g <> y").select("s", "g", "n", "root", "hist")).distinct())
     if more.head(1):  # the first roots stand for the first links
         known = roots.select(F.col("node").alias("x"), F.col("root").alias("y"))
         roots = components(known.unionByName(_links(more, nodes, rows)))
