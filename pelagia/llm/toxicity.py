@@ -4,7 +4,7 @@ Learning, on a bounded sample of labelled documents (at most ``MAX_DOCS`` of eac
 hashes): Spark counts in how many toxic and clean documents every word and word prefix occurs; the at most
 ``MAX_FEATURES`` that mark toxic documents are the features of the field, and a word of a toxic document that has one
 is labelled 1, any other 0. The field (weights, bias, transitions) is fitted by gradient ascent on its conditional
-likelihood, with forward-backward expectations, over chunks of at most ``CHUNK`` words around marked words.
+likelihood, with forward-backward expectations, over at most ``MAX_CHUNKS`` chunks of ``CHUNK`` words with marked words.
 
 Scoring, for every word of every whole text: most words have no feature, and runs of such words have one constant
 transition matrix; its powers are taken in closed form, so forward-backward visits only the words with features and is
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from pelagia.llm._text import LETTER, U, Words, signed, slices
 from pelagia.session import table
 
-MAX_DOCS, MAX_FEATURES, CHUNK, PREFIXES = 4000, 4096, 32, (4, 5, 6)
+MAX_DOCS, MAX_FEATURES, MAX_CHUNKS, CHUNK, PREFIXES = 4000, 4096, 4000, 32, (4, 5, 6)
 
 
 def _words(part: pa.RecordBatch) -> tuple[Words, list[np.ndarray]]:
@@ -108,7 +108,8 @@ def _chunks(sample: DataFrame, known: np.ndarray) -> tuple[np.ndarray, np.ndarra
     fields = ", ".join(f"f{i} int" for i in range(len(PREFIXES) + 1))
     rows = sample.mapInArrow(run, f"chunk string, place int, y int, {fields}").limit(200_000).toPandas()
     chunk = rows.chunk.astype("category").cat.codes.to_numpy().astype(np.int64)
-    return chunk, rows.place.to_numpy(), rows[[f"f{i}" for i in range(len(PREFIXES) + 1)]].to_numpy(), rows.y.to_numpy()
+    some = chunk < MAX_CHUNKS  # codes follow random keys
+    return chunk[some], rows.place.to_numpy()[some], rows[[f"f{i}" for i in range(len(PREFIXES) + 1)]].to_numpy()[some], rows.y.to_numpy()[some]
 
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -116,7 +117,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
 
 
-def fit_field(chunk: np.ndarray, place: np.ndarray, ids: np.ndarray, labels: np.ndarray, n_features: int, steps: int = 120) -> dict:
+def fit_field(chunk: np.ndarray, place: np.ndarray, ids: np.ndarray, labels: np.ndarray, n_features: int, steps: int = 80) -> dict:
     """Weights of the features, bias of label 1 and transitions [2, 2], by Adam on the penalised conditional likelihood."""
     n = int(chunk.max()) + 1
     y = np.zeros((n, CHUNK), np.int64)
