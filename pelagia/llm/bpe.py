@@ -81,9 +81,11 @@ class PairIndexBPE:
         self.token_first = np.cumsum(self.token_sizes) - self.token_sizes
         self.token_bytes = np.frombuffer(b"".join(self.token), np.uint8)
         self.known, self.sizes, self.first, self.flat = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.always = np.zeros(0, U)  # the special tokens' hashes: merge() cannot make their ids, so their entries stay
         for word, i in self.special.items():
             _, _, h = self.words(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word.encode())]))
             self._keep(h[:1], np.array([i], np.int32), np.array([1]))
+            self.always = np.append(self.always, h[:1])
 
     def merge(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words raw[starts:ends], flat, and how many each word has; one index over all the words."""
@@ -225,7 +227,7 @@ class PairIndexBPE:
             at = stop
         if new:
             if len(self.known) + len(new) > CACHED:  # what this batch needs is encoded anew
-                need = np.unique(np.concatenate([p[0] for p in pieces]))
+                need = np.unique(np.concatenate([self.always, *(p[0] for p in pieces)]))
                 keep = np.flatnonzero(np.isin(self.known, need, assume_unique=True))
                 self.flat, self.sizes = self.flat[spans(self.first[keep], self.sizes[keep])], self.sizes[keep]
                 self.known, self.first = self.known[keep], np.cumsum(self.sizes) - self.sizes

@@ -70,6 +70,16 @@ def test_bpe_over_all_kinds_of_characters():
         assert got == own.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_keeps_special_tokens_when_words_are_evicted(monkeypatch):
+    mine = bpe.PairIndexBPE(open(bpe.default_vocabulary(), encoding="utf-8").read())
+    want = mine.encode(pa.array(["a <|endoftext|> b"])).to_pylist()
+    monkeypatch.setattr(bpe, "CACHED", 10)
+    mine.encode(pa.array([words(50)]))
+    mine.encode(pa.array([words(50, 1)]))
+    assert len(mine.known) < 80
+    assert mine.encode(pa.array(["a <|endoftext|> b"])).to_pylist() == want and 50256 in want[0]
+
+
 def test_fingerprints(spark, docs, empty):
     rows = fingerprint.neighbours(docs).collect()
     order = sorted(cases(), key=lambda r: (r[0] is not None, -(r[0] or 0)))
