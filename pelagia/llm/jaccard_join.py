@@ -278,7 +278,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row, and _d, _h (its key)."""
+    """doc_id, n_shingles, component_id of every row, _d, _h (its key), and stays: whether it has the least key of its group."""
     rows = keys.rows(docs)
     every = written(_sets(rows))
     sets = every.where("_d is not null").drop("cell", "hist")
@@ -312,9 +312,10 @@ def join(docs: DataFrame) -> DataFrame:
         roots = components(known.unionByName(_links(more, nodes, rows)))
     # the least document of each component
     of = sets.join(roots.withColumnRenamed("node", "g"), "g", "left").withColumn("root", F.coalesce("root", "g"))
-    least = of.where("n > 0").groupBy("root").agg(F.min("_d").alias("component"))
-    found = of.join(least, "root", "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_d")))
-    return found.select(keys.doc_id(F.col("_d")).alias("doc_id"), F.col("n").alias("n_shingles"), keys.doc_id(F.col("component")).alias("component_id"), "_d", "_h")
+    least = of.where("n > 0").groupBy("root").agg(F.min(F.struct("_d", "_h")).alias("k")).select("root", F.col("k._d").alias("component"), F.col("k._h").alias("_least_h"))
+    stays = F.when(F.col("n") > 0, (F.col("_d") == F.col("component")) & (F.col("_h") == F.col("_least_h"))).otherwise(True)
+    found = of.join(least, "root", "left").withColumn("stays", stays).withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_d")))
+    return found.select(keys.doc_id(F.col("_d")).alias("doc_id"), F.col("n").alias("n_shingles"), keys.doc_id(F.col("component")).alias("component_id"), "_d", "_h", "stays")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -322,7 +323,14 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document with the least doc_id; all others without links."""
+    """Pipeline stage: of each group one document, that with the least doc_id (of several texts under it that with the least
+    hash, of equal rows any one); all others without links. Rows are told apart by (_d, _h), so null and repeated ids count."""
     found = join(docs.select("doc_id", "text"))
-    gone = found.where("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    fates = written(found.groupBy("_d", "_h").agg(F.min("stays").alias("stays"), F.max("n_shingles").alias("n"), F.count("*").alias("rows")))
+    key = ["_d", "_h"]
+    keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(keys.LAST)), "_h": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    left = keyed.join(fates.where("not stays").select(*key), key, "left_anti")
+    twice = fates.where("stays and n > 0 and rows > 1").select(*key)
+    if twice.head(1):  # equal rows of a group's least document
+        left = left.join(twice, key, "left_anti").unionByName(left.join(twice, key, "left_semi").dropDuplicates(key))
+    return left.select(*docs.columns)

@@ -74,20 +74,27 @@ def described(docs: DataFrame, topic_of=topic) -> DataFrame:
     return counted.select("doc_id", "source", "lang", topic_of(F.col("text"), F.col("n_tokens")).alias("topic"), "n_tokens")
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, iterations: int = ITERATIONS) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, ratio, probability, weight, sampled of every document."""
-    rows = written(described(docs))
+def _ratios(rows: DataFrame, targets: dict[str, DataFrame] | None = None, iterations: int = ITERATIONS) -> DataFrame:
+    """(_source, _lang, _topic, ratio) of every cell of ``rows``; few cells are marked for a broadcast."""
     cells = written(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
     raked = written(rake(cells, {m: (targets or {}).get(m) or targets_of(cells, m) for m in MARGINS}, iterations=iterations))
     ratio = raked.select(*(F.col(m).alias(f"_{m}") for m in MARGINS), F.when(F.col("tokens") > 0, F.round(F.col("w") / F.col("tokens"), 9)).otherwise(1.0).alias("ratio"))
     # few cells are broadcast; beyond that the join is a shuffle that Spark splits where a cell is hot
-    side = F.broadcast(ratio) if ratio.count() <= BROADCAST_CELLS else ratio
-    on = None
-    for m in MARGINS:
-        same = F.col(m).eqNullSafe(F.col(f"_{m}"))
-        on = same if on is None else on & same
+    return F.broadcast(ratio) if ratio.count() <= BROADCAST_CELLS else ratio
+
+
+def _same_cell(topic: str = "topic") -> Column:
+    on = F.col(topic).eqNullSafe(F.col("_topic"))
+    for m in MARGINS[:2]:
+        on = on & F.col(m).eqNullSafe(F.col(f"_{m}"))
+    return on
+
+
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, iterations: int = ITERATIONS) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens, ratio, probability, weight, sampled of every document."""
+    rows = written(described(docs))
     p = F.least(F.col("ratio"), F.lit(1.0))
-    found = rows.join(side, on, "left").drop(*(f"_{m}" for m in MARGINS))
+    found = rows.join(_ratios(rows, targets, iterations), _same_cell(), "left").drop(*(f"_{m}" for m in MARGINS))
     return found.select("doc_id", *MARGINS, "n_tokens", "ratio", p.alias("probability"), F.greatest(F.col("ratio"), F.lit(1.0)).alias("weight"), (uniform(F.col("doc_id")) < p).alias("sampled"))
 
 
@@ -97,9 +104,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the sampled documents."""
-    chosen = mix(docs.select("doc_id", "source", "lang", "text")).where("sampled").select("doc_id").distinct()
-    return docs.join(chosen, "doc_id", "left_semi").select(*docs.columns)
+    """Pipeline stage: the sampled documents. Each row is decided by its own cell and id; rows are not joined by doc_id,
+    so null and repeated ids are sampled like any."""
+    ratios = _ratios(written(described(docs)))
+    own = docs.withColumn("_cell_topic", topic(F.col("text"), n_tokens(F.col("text"))))
+    return own.join(ratios, _same_cell("_cell_topic"), "left").where(uniform(F.col("doc_id")) < F.least(F.col("ratio"), F.lit(1.0))).select(*(docs.columns))
 
 
 def sql() -> str:

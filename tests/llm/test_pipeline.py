@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from tests.llm.test_operators import SCHEMA, brute_groups, brute_repeats, near_rows, words
-from pelagia.llm import mixing
+from pelagia.llm import jaccard_join, mixing
 
 
 def test_stages(spark, tmp_path):
@@ -31,3 +31,20 @@ def test_stages(spark, tmp_path):
     mixed = mixing.mix(spark.createDataFrame(after[2], SCHEMA)).where("sampled").collect()
     assert {r[0] for r in after[3]} == {r.doc_id for r in mixed} and len(after[3]) > 0.5 * len(after[2])
     assert {r[0] for r in after[4]} == {r[0] for r in after[3]}
+
+
+def test_null_and_repeated_ids(spark):
+    a, b, c, d = (words(60, 70 + i) for i in range(4))
+    near = a + " end"
+    rows = [(1, a, "en", "s", 1), (1, a, "en", "s", 1), (None, near, "en", "s", 1), (2, near, "en", "s", 1), (2, b, "en", "s", 1), (None, c, "en", "s", 1), (None, c, "en", "s", 1), (3, "", "en", "s", 1), (3, "", "en", "s", 1), (None, None, None, None, None), (4, d, "en", "s", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    found = jaccard_join.stage(spark, df, "")
+    assert found.columns == df.columns
+    kept = [(1, a), (2, b), (None, c), (3, ""), (3, ""), (None, None), (4, d)]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in found.collect()))) == sorted(map(str, kept))
+
+    rows = [(i % 50 if i % 3 else None, words(20 + i % 7, i), "en" if i % 3 else None, "hot" if i % 2 else f"s{i % 5}", 1) for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = [r.doc_id for r in mixing.mix(df).where("sampled").collect()]
+    got = [r.doc_id for r in mixing.stage(spark, df, "").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and None in got and len(got) < len(rows)
