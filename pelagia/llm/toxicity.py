@@ -4,7 +4,8 @@ Learning, on a bounded sample of labelled documents (at most ``MAX_DOCS`` of eac
 hashes): Spark counts in how many toxic and clean documents every word and word prefix occurs; the at most
 ``MAX_FEATURES`` that mark toxic documents are the features of the field, and a word of a toxic document that has one
 is labelled 1, any other 0. The field (weights, bias, transitions) is fitted by gradient ascent on its conditional
-likelihood, with forward-backward expectations, over at most ``MAX_CHUNKS`` chunks of ``CHUNK`` words with marked words.
+likelihood, with forward-backward expectations, over all chunks of ``CHUNK`` words of the sample that have marked words.
+A chunk is cut by place in its text, so neither chunks nor fit depend on how the rows are dealt.
 
 Scoring, for every word of every whole text: most words have no feature, and runs of such words have one constant
 transition matrix; its powers are taken in closed form, so forward-backward visits only the words with features and is
@@ -26,7 +27,9 @@ from pyspark.sql import DataFrame, functions as F
 from pelagia.llm._text import LETTER, U, Words, signed, slices
 from pelagia.session import table
 
-MAX_DOCS, MAX_FEATURES, MAX_CHUNKS, CHUNK, PREFIXES = 4000, 4096, 4000, 32, (4, 5, 6)
+MAX_DOCS, MAX_FEATURES, CHUNK, PREFIXES = 4000, 4096, 32, (4, 5, 6)
+#: Chunks of which the gradient is taken at a time; bounds the driver's memory, not what is learned from.
+CHUNK_BLOCK = 2048
 
 
 def _words(part: pa.RecordBatch) -> tuple[Words, list[np.ndarray]]:
@@ -39,7 +42,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     order = F.xxhash64("doc_id")
     some = [known.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(MAX_DOCS) for t in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id").select("text", "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id").select("doc_id", "text", "toxic")
 
 
 def features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -92,65 +95,78 @@ class Marked:
 
 
 def _chunks(sample: DataFrame, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Training chunks as rows (chunk, place, feature ids, label); chunk lengths. Bounded by the sample and the cap below."""
+    """The marked words of all chunks of the sample (a bounded number of documents): chunk, place, feature ids, label.
+    Chunks are numbered by a hash of (doc_id, text) and their place in the text."""
     shared = sample.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 m = Marked(part, shared.value)
-                toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-                chunk = m.index // CHUNK  # chunks are cut by place in the slice
-                rows = [m.index % CHUNK, chunk, toxic[m.text], *m.ids.T]
-                key = f"{np.random.default_rng().integers(1 << 62)}-"
-                yield pa.RecordBatch.from_arrays([pa.array([key + str(c) for c in chunk], pa.string()), *(pa.array(np.asarray(r, np.int32)) for r in (rows[0], *rows[2:]))], ["chunk", "place", "y", *(f"f{i}" for i in range(len(PREFIXES) + 1))])
+                toxic, key, row = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[m.text] for c in ("toxic", "key", "row"))
+                rank = m.index - m.words.first[m.text]
+                rows = [key, row, rank // CHUNK, *(np.asarray(r, np.int32) for r in (rank % CHUNK, toxic, *m.ids.T))]
+                yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["key", "row", "part", "place", "y", *(f"f{i}" for i in range(len(PREFIXES) + 1))])
 
     fields = ", ".join(f"f{i} int" for i in range(len(PREFIXES) + 1))
-    rows = sample.mapInArrow(run, f"chunk string, place int, y int, {fields}").limit(200_000).toPandas()
-    chunk = rows.chunk.astype("category").cat.codes.to_numpy().astype(np.int64)
-    some = chunk < MAX_CHUNKS  # codes follow random keys
-    return chunk[some], rows.place.to_numpy()[some], rows[[f"f{i}" for i in range(len(PREFIXES) + 1)]].to_numpy()[some], rows.y.to_numpy()[some]
-
-
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
+    # row tells equal rows apart
+    keyed = sample.select("text", "toxic", F.xxhash64("doc_id", "text").alias("key"), F.monotonically_increasing_id().alias("row"))
+    rows = keyed.mapInArrow(run, f"key long, row long, part long, place int, y int, {fields}").toPandas().sort_values(["key", "row", "part", "place"])
+    edges = (rows[["key", "row", "part"]].diff() != 0).any(axis=1).to_numpy()
+    return np.cumsum(edges) - 1, rows.place.to_numpy(), rows[[f"f{i}" for i in range(len(PREFIXES) + 1)]].to_numpy(), rows.y.to_numpy()
+
+
+def _expected(theta: np.ndarray, n: int, chunk: np.ndarray, place: np.ndarray, flat_rows: np.ndarray, flat_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of label 1 [n, CHUNK] and expected transitions of each chunk [n, 2, 2], by forward-backward."""
+    n_features = len(theta) - 5
+    weights, bias, moves = theta[:n_features], theta[n_features], theta[n_features + 1 :].reshape(2, 2)
+    lift = bias + np.bincount(chunk[flat_rows] * CHUNK + place[flat_rows], weights[flat_ids], n * CHUNK).reshape(n, CHUNK)
+    # each word's factors are scaled by the larger, each step's sums to 1: the scales cancel
+    unary = np.stack((np.exp(np.minimum(-lift, 0)), np.exp(np.minimum(lift, 0))), 2)
+    step = np.exp(moves - moves.max())
+    ahead, back = np.zeros((n, CHUNK, 2)), np.ones((n, CHUNK, 2))
+    own = unary[:, 0]
+    for t in range(CHUNK):
+        if t:
+            own = (ahead[:, t - 1] @ step) * unary[:, t]
+        ahead[:, t] = own / own.sum(1, keepdims=True)
+    for t in range(CHUNK - 2, -1, -1):
+        own = (unary[:, t + 1] * back[:, t + 1]) @ step.T
+        back[:, t] = own / own.sum(1, keepdims=True)
+    joint = ahead * back
+    marginal = joint[:, :, 1] / joint.sum(2)
+    both = ahead[:, :-1, :, None] * step * (unary[:, 1:] * back[:, 1:])[:, :, None, :]
+    return marginal, (both / both.sum((2, 3), keepdims=True)).sum(1)
 
 
-def fit_field(chunk: np.ndarray, place: np.ndarray, ids: np.ndarray, labels: np.ndarray, n_features: int, steps: int = 80) -> dict:
-    """Weights of the features, bias of label 1 and transitions [2, 2], by Adam on the penalised conditional likelihood."""
+def fit_field(chunk: np.ndarray, place: np.ndarray, ids: np.ndarray, labels: np.ndarray, n_features: int, steps: int = 120) -> dict:
+    """Weights of the features, bias of label 1 and transitions [2, 2], by Adam on the penalised conditional likelihood.
+    ``chunk`` ascends."""
     n = int(chunk.max()) + 1
     y = np.zeros((n, CHUNK), np.int64)
     y[chunk, place] = labels
-    flat_rows, flat_ids = np.repeat(np.arange(len(ids)), (ids >= 0).sum(1)), ids[ids >= 0]
+    seen = np.bincount((2 * y[:, :-1] + y[:, 1:]).ravel(), minlength=4).astype(float)
+    blocks = []
+    for first in range(0, n, CHUNK_BLOCK):
+        last = min(n, first + CHUNK_BLOCK)
+        a, b = np.searchsorted(chunk, (first, last))
+        own = ids[a:b]
+        blocks.append((first, last, chunk[a:b] - first, place[a:b], np.repeat(np.arange(b - a), (own >= 0).sum(1)), own[own >= 0]))
     theta = np.zeros(n_features + 5)
     theta[n_features] = -3.0
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
+    first_moment, second_moment = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        weights, bias, moves = theta[:n_features], theta[n_features], theta[n_features + 1 :].reshape(2, 2)
-        unary = np.zeros((n, CHUNK, 2))
-        unary[:, :, 1] = bias
-        np.add.at(unary, (chunk[flat_rows], place[flat_rows], 1), weights[flat_ids])
-        ahead = np.zeros((n, CHUNK, 2))
-        ahead[:, 0] = unary[:, 0]
-        for t in range(1, CHUNK):
-            ahead[:, t] = unary[:, t] + _log_sum(ahead[:, t - 1, :, None] + moves, 1)
-        back = np.zeros((n, CHUNK, 2))
-        for t in range(CHUNK - 2, -1, -1):
-            back[:, t] = _log_sum(moves + (unary[:, t + 1] + back[:, t + 1])[:, None, :], 2)
-        total = _log_sum(ahead[:, -1], 1)
-        marginal = np.exp(ahead[:, :, 1] + back[:, :, 1] - total[:, None])
-        both = np.exp(ahead[:, :-1, :, None] + moves + (unary[:, 1:] + back[:, 1:])[:, :, None, :] - total[:, None, None, None]).sum((0, 1))
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
-        error = y - marginal
         slope = np.zeros_like(theta)
-        np.add.at(slope, flat_ids, error[chunk[flat_rows], place[flat_rows]])
-        slope[n_features] = error.sum()
-        slope[n_features + 1 :] = (seen - both).ravel()
+        slope[n_features + 1 :] = seen
+        for first, last, own, at, flat_rows, flat_ids in blocks:
+            marginal, both = _expected(theta, last - first, own, at, flat_rows, flat_ids)
+            error = y[first:last] - marginal
+            slope[:n_features] += np.bincount(flat_ids, error[own[flat_rows], at[flat_rows]], n_features)
+            slope[n_features] += error.sum()
+            slope[n_features + 1 :] -= both.sum(0).ravel()
         slope = slope / n - 1e-4 * theta
-        first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
-        theta = theta + 0.15 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+        first_moment, second_moment = 0.9 * first_moment + 0.1 * slope, 0.99 * second_moment + 0.01 * slope**2
+        theta = theta + 0.15 * (first_moment / (1 - 0.9**step)) / (np.sqrt(second_moment / (1 - 0.99**step)) + 1e-8)
     return {"weights": theta[:n_features], "bias": float(theta[n_features]), "moves": theta[n_features + 1 :].reshape(2, 2)}
 
 

@@ -193,6 +193,15 @@ def test_toxicity_finds_marked_words_and_offsets(spark, empty):
     assert {r.score for r in toxicity.tag(docs, None).collect()} == {0.0}
 
 
+def test_toxicity_trains_on_all_chunks(spark):
+    text = " ".join(f"zzgrumbl {words(31, i)}" for i in range(100))
+    sample = spark.createDataFrame([(i, text, i % 2) for i in range(45)] + [(45, "zzgrumbl", 1)] * 2, "doc_id long, text string, toxic int")
+    known = toxicity.Words(pa.array(["zzgrumbl"]), lower=True, inside=toxicity.LETTER).hashes
+    one, other = (toxicity._chunks(sample.repartition(n), known) for n in (1, 7))
+    assert one[0].max() + 1 == 45 * 100 + 2 and len(one[0]) == 4502 and not one[1].any()
+    assert all((a == b).all() for a, b in zip(one, other))
+
+
 def test_field_marginals_against_the_plain_recursion():
     rng = np.random.default_rng(3)
     field = {"weights": np.array([2.0, -1.0]), "bias": -1.5, "moves": rng.normal(size=(2, 2))}
