@@ -1,7 +1,8 @@
 """Toxicity: a linear-chain conditional random field tags toxic words.
 
 Learning, on a bounded sample of labelled documents (at most ``MAX_DOCS`` of each label, those with the smallest
-hashes): Spark counts in how many toxic and clean documents every word and word prefix occurs; the at most
+hashes; a sampled document counts in the fits for as many as its label has for each sampled one, so scores and marginals
+keep the prior of all labels): Spark counts in how many toxic and clean documents every word and word prefix occurs; the at most
 ``MAX_FEATURES`` that mark toxic documents are the features of the field, and a word of a toxic document that has one
 is labelled 1, any other 0. The field (weights, bias, transitions) is fitted by gradient ascent on its conditional
 likelihood, with forward-backward expectations, over all chunks of ``CHUNK`` words of the sample that have marked words.
@@ -37,14 +38,24 @@ def _words(part: pa.RecordBatch) -> tuple[Words, list[np.ndarray]]:
     return words, [words.hashes, *words.prefix.values()]
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    return labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+
+
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic of at most MAX_DOCS labelled documents of each label; the ids, a bounded table, are broadcast."""
-    known = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    """doc_id, text, toxic of at most MAX_DOCS labelled documents of each label; the ids, a bounded table, are broadcast."""
+    known = _known(labels)
     order = F.xxhash64("doc_id")
     some = [known.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(MAX_DOCS) for t in (0, 1)]
     return docs.select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id").select("doc_id", "text", "toxic")
 
 
+def stands_for(labels: DataFrame) -> np.ndarray:
+    """How many labelled documents each sampled one stands for, by label: 1 up to MAX_DOCS."""
+    counts = dict(_known(labels).groupBy("toxic").count().where("toxic in (0, 1)").toPandas().itertuples(index=False))
+    return np.array([max(counts.get(t, 0) / MAX_DOCS, 1.0) for t in (0, 1)])
+
+
 def features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of at most MAX_FEATURES words and prefixes that mark toxic documents; documents by label."""
 
@@ -95,8 +106,8 @@ class Marked:
 
 
 def _chunks(sample: DataFrame, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The marked words of all chunks of the sample (a bounded number of documents): chunk, place, feature ids, label.
-    Chunks are numbered by a hash of (doc_id, text) and their place in the text."""
+    """The marked words of all chunks of the sample (a bounded number of documents): chunk, place, feature ids, label
+    (that of the document, so of all words of a chunk). Chunks are numbered by a hash of (doc_id, text) and their place in the text."""
     shared = sample.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,13 +150,14 @@ def _expected(theta: np.ndarray, n: int, chunk: np.ndarray, place: np.ndarray, f
     return marginal, (both / both.sum((2, 3), keepdims=True)).sum(1)
 
 
-def fit_field(chunk: np.ndarray, place: np.ndarray, ids: np.ndarray, labels: np.ndarray, n_features: int, steps: int = 120) -> dict:
+def fit_field(chunk: np.ndarray, place: np.ndarray, ids: np.ndarray, labels: np.ndarray, n_features: int, steps: int = 120, shares: np.ndarray = np.ones(2)) -> dict:
     """Weights of the features, bias of label 1 and transitions [2, 2], by Adam on the penalised conditional likelihood.
-    ``chunk`` ascends."""
+    ``chunk`` ascends; ``shares``: how much a chunk of a clean and of a toxic document counts."""
     n = int(chunk.max()) + 1
     y = np.zeros((n, CHUNK), np.int64)
     y[chunk, place] = labels
-    seen = np.bincount((2 * y[:, :-1] + y[:, 1:]).ravel(), minlength=4).astype(float)
+    weight = shares[y.max(1)]
+    seen = np.bincount((2 * y[:, :-1] + y[:, 1:]).ravel(), np.repeat(weight, CHUNK - 1), 4)
     blocks = []
     for first in range(0, n, CHUNK_BLOCK):
         last = min(n, first + CHUNK_BLOCK)
@@ -160,11 +172,11 @@ def fit_field(chunk: np.ndarray, place: np.ndarray, ids: np.ndarray, labels: np.
         slope[n_features + 1 :] = seen
         for first, last, own, at, flat_rows, flat_ids in blocks:
             marginal, both = _expected(theta, last - first, own, at, flat_rows, flat_ids)
-            error = y[first:last] - marginal
+            error = (y[first:last] - marginal) * weight[first:last, None]
             slope[:n_features] += np.bincount(flat_ids, error[own[flat_rows], at[flat_rows]], n_features)
             slope[n_features] += error.sum()
-            slope[n_features + 1 :] -= both.sum(0).ravel()
-        slope = slope / n - 1e-4 * theta
+            slope[n_features + 1 :] -= np.tensordot(weight[first:last], both, 1).ravel()
+        slope = slope / weight.sum() - 1e-4 * theta
         first_moment, second_moment = 0.9 * first_moment + 0.1 * slope, 0.99 * second_moment + 0.01 * slope**2
         theta = theta + 0.15 * (first_moment / (1 - 0.9**step)) / (np.sqrt(second_moment / (1 - 0.99**step)) + 1e-8)
     return {"weights": theta[:n_features], "bias": float(theta[n_features]), "moves": theta[n_features + 1 :].reshape(2, 2)}
@@ -237,11 +249,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     known, sizes = features(sample)
     if not sizes.all():
         return None
-    model = {"known": known, "field": {"weights": np.zeros(0), "bias": -3.0, "moves": np.zeros((2, 2))}, "doc": np.array([np.log(sizes[1] / sizes[0]), 0.0, 0.0])}
+    shares = stands_for(labels)
+    prior = np.log(shares[1] / shares[0])  # the odds of all labels by those of the sample
+    model = {"known": known, "field": {"weights": np.zeros(0), "bias": -3.0, "moves": np.zeros((2, 2))}, "doc": np.array([np.log(sizes[1] / sizes[0]) + prior, 0.0, 0.0])}
     if not len(known):
         return model
     chunk, place, ids, labels_ = _chunks(sample, known)
-    model["field"] = fit_field(chunk, place, ids, labels_, len(known))
+    model["field"] = fit_field(chunk, place, ids, labels_, len(known), shares=shares)
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,8 +272,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3)
         w = w + np.linalg.solve(hessian, x.T @ (y - p) - 0.05 * w)
-    # the sample holds as many documents of each label as it can; the odds are put back to those of the labels
-    model["doc"] = w
+    # the sample holds as many documents of each label as it can; the odds are put back to those of all labels
+    model["doc"] = w + np.array([prior, 0.0, 0.0])
     return model
 
 

@@ -193,6 +193,20 @@ def test_toxicity_finds_marked_words_and_offsets(spark, empty):
     assert {r.score for r in toxicity.tag(docs, None).collect()} == {0.0}
 
 
+def test_toxicity_keeps_the_prior_of_all_labels(spark, monkeypatch):
+    plain = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("nothing marked").alias("text"))
+    known = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 0).cast("int").alias("toxic"))
+    # half of the toxic and one in eight of the clean documents have the word
+    marked = plain.withColumn("text", F.when(F.when(F.col("doc_id") % 10 == 0, F.col("doc_id") % 20 == 0).otherwise(F.col("doc_id") % 8 == 1), "one zzgrumbl here").otherwise("one plain text"))
+    monkeypatch.setattr(toxicity, "features", lambda sample, found=toxicity.features: (np.zeros(0, np.uint64), found(sample)[1]))
+    monkeypatch.setattr(toxicity, "MAX_DOCS", 30)
+    assert abs(toxicity.tag(plain, toxicity.fit(plain, known)).first().score - 0.1) < 1e-6
+    word = toxicity.Words(pa.array(["zzgrumbl"]), lower=True, inside=toxicity.LETTER).hashes
+    monkeypatch.setattr(toxicity, "features", lambda sample: (word, np.array([30, 30])))
+    few = toxicity.tag(marked, toxicity.fit(marked, known)).groupBy("text").agg(F.max("score").alias("s"), F.max(F.size("spans")).alias("n")).collect()
+    assert all(r.s < 0.5 and r.n == 0 for r in few) and max(r.s for r in few) > 0.15
+
+
 def test_toxicity_trains_on_all_chunks(spark):
     text = " ".join(f"zzgrumbl {words(31, i)}" for i in range(100))
     sample = spark.createDataFrame([(i, text, i % 2) for i in range(45)] + [(45, "zzgrumbl", 1)] * 2, "doc_id long, text string, toxic int")
