@@ -300,6 +300,40 @@ def test_url_rules_and_models(spark):
     assert none.verdict == "allow" and none.score == 0
 
 
+def brute_scores(labelled, urls):
+    """Exact counts of byte strings; contexts at a text's start are padded with zeros."""
+    counts = [defaultdict(int), defaultdict(int)]
+    padded = lambda u: b"\0" * 4 + u.lower().encode()
+    for u, bad in labelled:
+        t = padded(u)
+        for i in range(4, len(t)):
+            for k in range(5):
+                counts[bad]["full", t[i - k : i + 1]] += 1
+                counts[bad]["context", t[i - k : i]] += 1
+    out = {}
+    for u in urls:
+        t, total = padded(u), 0.0
+        for i in range(4, len(t)):
+            p = [1 / 256, 1 / 256]
+            for k in range(5):
+                p = [(counts[c]["full", t[i - k : i + 1]] + 8 * p[c]) / (counts[c]["context", t[i - k : i]] + 8) for c in (0, 1)]
+            total += np.log(p[1]) - np.log(p[0])
+        out[u] = total / max(len(t) - 4, 1)
+    return out
+
+
+@pytest.mark.parametrize("hot", [1 << 18, 50])
+def test_url_models_count_exactly(spark, monkeypatch, hot):
+    monkeypatch.setattr(urlfilter, "HOT", hot, raising=False)
+    rng = np.random.default_rng(4)
+    urls = ["https://" + "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789-._"), 40)) + f"/{i}" for i in range(400)]
+    df = spark.createDataFrame([(i, u, i % 2 == 0) for i, u in enumerate(urls)] + [(400, None, None), (401, urls[0], None), (402, "", None)], "page_id long, url string, bad boolean").repartition(3)
+    fold = {r.url for r in df.where(F.crc32("url") % 5 == 0).select("url").collect()}
+    want = brute_scores([(u, int(i % 2 == 0)) for i, u in enumerate(urls) if u not in fold], urls)
+    got = urlfilter.filter_urls(df, rules=(), labels="bad").collect()
+    assert len(got) == 403 and all(abs(r.score - want.get(r.url, 0.0)) < 1e-9 for r in got)
+
+
 @pytest.mark.parametrize("name", ["op1_license_scan", "op8_topk_search", "op9_mixing"])
 def test_sql_agrees(spark, name):
     from pelagia.llm import registry
