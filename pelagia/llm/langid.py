@@ -4,7 +4,8 @@
 the sums, and the log-probability matrix [BUCKETS, languages] is broadcast (its size is fixed by the number of
 languages). A text's score is the sum of its grams' rows: a sparse product, batch by batch in numpy.
 
-The model learns from all rows given, or from at most ``max_rows`` of them, those with the smallest hashes.
+The model learns from all rows given: counts are summed in each task, and what reaches the driver is bounded by the
+cells and the languages, however many rows there are.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; with no learned language so is every
 text; ties go to the first language in alphabetical order; a null lang is not learned from; repeated rows repeat.
@@ -22,8 +23,6 @@ from pelagia.llm._text import LOWER, buffers, slices
 from pelagia.session import table
 
 BUCKETS, ORDERS, SMOOTHING = 1 << 15, 3, 0.5
-#: At most so many rows are learned from.
-MAX_ROWS = 20_000
 
 
 def grams(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
@@ -43,13 +42,9 @@ def grams(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     return out, offsets
 
 
-def fit(labelled: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndarray] | None:
+def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray] | None:
     """(languages, log-probabilities [BUCKETS + 1, languages]) of rows (text, lang); null without rows."""
     rows = labelled.select("text", "lang").where("text is not null and lang is not null")
-    total = rows.count()
-    if total > max_rows:  # a share of the rows by their hashes; ties go together
-        share = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20))
-        rows = rows.where(share < F.lit(int((1 << 20) * max_rows / total)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

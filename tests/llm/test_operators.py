@@ -171,6 +171,16 @@ def test_language(spark, docs, empty):
     assert langid.fit(empty) is None and langid.predict(empty, None).count() == 0
 
 
+def test_language_learns_rare_languages_and_hot_copies(spark):
+    copies = spark.range(30_000).select(F.lit("qqq www qqq").alias("text"), F.lit("hot").alias("lang"))
+    others = spark.range(60_000).select(F.concat(F.lit("abc bcd "), F.col("id")).alias("text"), F.lit("big").alias("lang"))
+    rare = spark.createDataFrame([(f"zyx zzy xyz {i}", "rare") for i in range(2)], "text string, lang string")
+    model = langid.fit(copies.unionByName(others).unionByName(rare))
+    assert model[0] == ["big", "hot", "rare"]
+    asked = spark.createDataFrame([("zyx zzy",), ("qqq www",), ("abc bcd",)], "text string")
+    assert sorted(r.lang_pred for r in langid.predict(asked.withColumn("doc_id", F.lit(1)).select("doc_id", "text"), model).collect()) == ["big", "hot", "rare"]
+
+
 def test_toxicity_finds_marked_words_and_offsets(spark, empty):
     rows, labels = [], []
     for i in range(80):
