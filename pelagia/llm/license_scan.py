@@ -5,6 +5,13 @@ so a line that a third of all documents share is one row. Terms are weighted by
 df counted over all headers and the templates; a header's licence is the template of the highest cosine, if that is at
 least ``LEAST``; ties go to the licence first in order. A document's own licence is that of its best header.
 
+Units of more than a line are scored besides: the whole text, each paragraph, and each two to four lines in a row, against
+whole licence texts and notices (``licence_texts``) and the one-line templates. Their weights are (1 + ln tf) * idf with
+idf over the templates alone, so a unit's score does not depend on other documents. A text is left out of this only if it
+has none of the ``signal`` words: each template has so much of its norm in these that no unit without them can reach
+``LEAST`` (Cauchy-Schwarz). A whole licence text or notice in a document decides before its single lines (a BSD text has a
+line 'All rights reserved.'); of a header wrapped over lines and a single line the higher cosine decides.
+
 A directory has the licence of the least doc_id among the licensed files directly in it. A file without its own takes
 the licence of the nearest ancestor directory that has one; this joins distinct directories' paths, not files'.
 
@@ -17,11 +24,18 @@ directory and without its own licence has a null licence, found ``none``.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pelagia.llm import licence_texts
 from pelagia.session import table, written
 
 LEAST = 0.6
+#: Templates of fewer terms are notices and short licences, which runs of lines are scored for.
+FEW_TERMS = 150
 #: Words that mark a header line.
 CUES = r"(?i)licen[cs]e|copyright|spdx|rights reserved|public domain|warrant"
 TERM = r"[^a-z0-9.+-]+"
@@ -73,6 +87,66 @@ def scored_lines(lines: DataFrame, templates=TEMPLATES) -> DataFrame:
     return best.select("line", F.col("b.licence").alias("licence"), (-F.col("b.minus")).alias("cosine"))
 
 
+def _vectors(templates) -> tuple[dict[str, float], list[dict[str, float]]]:
+    """idf of the templates' terms and their unit vectors."""
+    bags = [Counter(t for t in re.split(TERM, text.lower()) if t) for _, text in templates]
+    df = Counter(t for bag in bags for t in bag)
+    idf = {t: math.log((1 + len(bags)) / (1 + n)) + 1 for t, n in df.items()}
+    raw = [{t: (1 + math.log(n)) * idf[t] for t, n in bag.items()} for bag in bags]
+    return idf, [{t: x / math.sqrt(sum(v * v for v in one.values())) for t, x in one.items()} for one in raw]
+
+
+def signal(vectors: list[dict[str, float]]) -> list[str]:
+    """Words without which no unit reaches LEAST with any vector: the others' part of each norm is less than LEAST. Words that
+    many templates share and long ones, which are rare elsewhere, come first."""
+    chosen: set[str] = set()
+    for one in sorted(vectors, key=len):
+        left = sum(x * x for t, x in one.items() if t not in chosen)
+        for t in sorted(one.keys() - chosen, key=lambda t: (-min(len(t), 12) * one[t], t)):
+            if left < (LEAST - 0.001) ** 2:
+                break
+            chosen.add(t)
+            left -= one[t] ** 2
+    return sorted(chosen)
+
+
+def scored_units(files: DataFrame) -> DataFrame:
+    """(doc_id, _h, kind, licence, cosine) of the rows (doc_id, _h, text) with a unit that reaches LEAST; kind: 0 whole licence
+    texts and notices, 1 one-line templates. Equal units are scored once."""
+    spark = files.sparkSession
+    long = licence_texts.templates()
+    every = [(0, *t) for t in long] + [(1, *t) for t in TEMPLATES]
+    idf, vectors = _vectors([t[1:] for t in every])
+    rare = math.log(1 + len(every)) + 1
+    pattern = lambda some: "(?i)(?<![a-z0-9.+-])(?:" + "|".join(re.escape(t) for t in signal(some)) + ")(?![a-z0-9.+-])"
+    word, word_of_few = pattern(vectors), pattern([one for one in vectors if len(one) < FEW_TERMS])
+    names = spark.createDataFrame([(i, kind, licence) for i, (kind, licence, _) in enumerate(every)], "t int, kind int, licence string")
+    weights = spark.createDataFrame(list(idf.items()), "term string, idf double")
+    # one row for a term of the templates: idf and (template, weight)
+    of: dict[str, list] = {t: [] for t in idf}
+    for i, one in enumerate(vectors):
+        for t, x in one.items():
+            of[t].append((i, x))
+    side = spark.createDataFrame(list(of.items()), "term string, at array<struct<t:int,y:double>>")
+    docs = files.where(F.col("text").rlike(word)).select("doc_id", "_h", "text")
+    lines = F.split(F.col("text"), r"\r\n|\n|\r")
+    runs = [F.transform(F.sequence(F.lit(1), F.size(lines) - k + 1), lambda i, k=k: F.array_join(F.slice(F.col("lines"), i, k), "\n")) for k in (2, 3, 4)]
+    runs = [F.when(F.size("lines") >= k, run).otherwise(F.array().cast("array<string>")) for k, run in zip((2, 3, 4), runs, strict=True)]
+    # comment marks are blank: a paragraph ends at a line without letters or digits
+    runs = [F.filter(run, lambda u: u.rlike(word_of_few)) for run in runs]  # the longest templates are whole files
+    units = F.concat(F.array("text"), F.split(F.col("text"), r"(?:\r\n|\n|\r)[^\p{L}\p{N}\r\n]*(?=\r|\n)"), *runs)
+    found = docs.withColumn("lines", lines).select("doc_id", "_h", F.explode(F.array_distinct(F.filter(units, lambda u: u.rlike(word)))).alias("unit"))
+    found = written(found.select("doc_id", "_h", F.xxhash64("unit").alias("u"), "unit"))
+    tf = found.dropDuplicates(["u"]).select("u", F.explode(terms(F.col("unit"))).alias("term")).groupBy("u", "term").agg((F.log(F.count("*")) + 1).alias("tf"))
+    x = written(tf.join(F.broadcast(weights), "term", "left").select("u", "term", (F.col("tf") * F.coalesce("idf", F.lit(rare))).alias("x")))
+    norms = x.groupBy("u").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = x.join(F.broadcast(side), "term").select("u", "x", F.inline("at")).groupBy("u", "t").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    near = dots.join(norms, "u").select("u", "t", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine")).where(F.col("cosine") >= LEAST)
+    best = near.join(F.broadcast(names), "t").groupBy("u", "kind").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "licence")).alias("b"))
+    best = found.select("doc_id", "_h", "u").join(best, "u").groupBy("doc_id", "_h", "kind").agg(F.min("b").alias("b"))
+    return best.select("doc_id", "_h", "kind", F.col("b.licence").alias("licence"), (-F.col("b.minus")).alias("cosine"))
+
+
 def path_of() -> Column:
     """The directory of a row of ``documents``."""
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
@@ -91,7 +165,9 @@ def scan(docs: DataFrame, directory: Column | None = None) -> DataFrame:
     lines = files.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("n"))
     scored = written(scored_lines(written(lines)))
     heads = files.where(F.size("lines") > 0).select("doc_id", "_h", F.explode("lines").alias("line"))
-    own = heads.join(scored, "line").groupBy("doc_id", "_h").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "licence")).alias("b"))
+    single = heads.join(scored, "line").select("doc_id", "_h", F.lit(1).alias("kind"), "licence", "cosine")
+    every = single.unionByName(scored_units(rows.select("doc_id", "_h", "text")))
+    own = every.groupBy("doc_id", "_h").agg(F.min(F.struct("kind", (-F.col("cosine")).alias("minus"), "licence")).alias("b"))
     own = own.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_g"), F.col("b.licence").alias("own_licence"), (-F.col("b.minus")).alias("cosine"))
     judged = written(files.drop("lines").join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left").drop("_id", "_g", "_h"))
     licensed = judged.where("own_licence is not null").groupBy("dir").agg(F.min(F.struct("doc_id", "own_licence")).alias("f")).select(F.col("dir").alias("up"), F.col("f.own_licence").alias("licence_up"))

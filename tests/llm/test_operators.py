@@ -310,6 +310,27 @@ def test_url_rules_and_models(spark):
     assert none.verdict == "allow" and none.score == 0
 
 
+def test_licence_texts_and_wrapped_headers(spark):
+    from pelagia.llm import licence_texts as t
+
+    star = lambda text: "/*\n" + "\n".join(" * " + x for x in text.split("\n")) + "\n */\n"
+    code = "int main() { return value + other; }\n" * 40
+    texts = {
+        "MIT": f"Copyright (c) 2020 A Person\n\n{t._MIT}\n\n{t._MIT_REST}",
+        "BSD-2-Clause": f"Copyright 2001 A. Person\nAll rights reserved.\n\n{t._BSD}\n\n{t._BSD_REST}",
+        "BSD-3-Clause": star(f"{t._BSD}\n{t._BSD_THIRD}\n\n{t._BSD_REST}") + "\n" + code,
+        "ISC": f"{t._ISC}\n\n{t._ISC_REST}",
+        "AGPL-3.0": star(t._gnu("GNU Affero General Public License", "3")) + "\n" + code,
+        "EPL-2.0": dict(t._TEXTS)["EPL-2.0"],
+        "Apache-2.0": dict(t.templates())["Apache-2.0"],
+        "GPL-2.0": dict(t.templates())["GPL-2.0"],
+    }
+    wrapped = code + "# Use of this source code is governed by a BSD-style\n# license that can be found in the LICENSE file.\n" + code
+    rows = [(10_000 * (i + 1) + 77, x, "en", f"s{i}", 1) for i, x in enumerate([*texts.values(), wrapped, code, "\n".join([words(300)] * 3)])]
+    found = {r.doc_id: r.own_licence for r in license_scan.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [found[r[0]] for r in rows] == [*texts, "BSD-3-Clause", None, None]
+
+
 def brute_scores(labelled, urls):
     """Exact counts of byte strings; contexts at a text's start are padded with zeros."""
     counts = [defaultdict(int), defaultdict(int)]
