@@ -7,9 +7,8 @@ least ``LEAST``; ties go to the licence first in order. A document's own licence
 
 Units of more than a line are scored besides: the whole text, each paragraph, and each two to four lines in a row, against
 whole licence texts and notices (``licence_texts``) and the one-line templates. Their weights are (1 + ln tf) * idf with
-idf over the templates alone, so a unit's score does not depend on other documents. A text is left out of this only if it
-has none of the ``signal`` words: each template has so much of its norm in these that no unit without them can reach
-``LEAST`` (Cauchy-Schwarz). A whole licence text or notice in a document decides before its single lines (a BSD text has a
+idf over the templates alone, so a unit's score does not depend on other documents. Texts and units are left out of this
+only if they share so few of each template's words that none can reach ``LEAST`` (``signals``). A whole licence text or notice in a document decides before its single lines (a BSD text has a
 line 'All rights reserved.'); of a header wrapped over lines and a single line the higher cosine decides.
 
 A directory has the licence of the least doc_id among the licensed files directly in it. A file without its own takes
@@ -36,6 +35,8 @@ from pelagia.session import table, written
 LEAST = 0.6
 #: Templates of fewer terms are notices and short licences, which runs of lines are scored for.
 FEW_TERMS = 150
+#: Part of a template's squared norm that its most common words may have beside its signal words.
+SHARED = 0.2
 #: Words that mark a header line.
 CUES = r"(?i)licen[cs]e|copyright|spdx|rights reserved|public domain|warrant"
 TERM = r"[^a-z0-9.+-]+"
@@ -96,18 +97,36 @@ def _vectors(templates) -> tuple[dict[str, float], list[dict[str, float]]]:
     return idf, [{t: x / math.sqrt(sum(v * v for v in one.values())) for t, x in one.items()} for one in raw]
 
 
-def signal(vectors: list[dict[str, float]]) -> list[str]:
-    """Words without which no unit reaches LEAST with any vector: the others' part of each norm is less than LEAST. Words that
-    many templates share and long ones, which are rare elsewhere, come first."""
-    chosen: set[str] = set()
-    for one in sorted(vectors, key=len):
-        left = sum(x * x for t, x in one.items() if t not in chosen)
-        for t in sorted(one.keys() - chosen, key=lambda t: (-min(len(t), 12) * one[t], t)):
-            if left < (LEAST - 0.001) ** 2:
+def signals(idf: dict[str, float], vectors: list[dict[str, float]]) -> list[tuple[list[str], int, list[str]]]:
+    """For each vector: words, how many of them at least, and words one of which, at least, a unit that reaches LEAST has. By
+    Cauchy-Schwarz the squared weights of the terms that it shares sum to LEAST ** 2 or more; the terms that most templates
+    have and those of at most three characters are left out first."""
+    least, out = (LEAST - 0.001) ** 2, []
+    for one in vectors:
+        words, rare = sorted(one, key=lambda t: (len(t) > 3, idf[t], t)), []
+        left, many = 0.0, []
+        for t in words:
+            left += one[t] ** 2
+            if left > SHARED:
+                many.append(t)
+            if left >= least:
+                rare.append(t)
+        gap, need = least - sum(one[t] ** 2 for t in one.keys() - set(many)), 0
+        for x in sorted((one[t] ** 2 for t in many), reverse=True):
+            if gap <= 0:
                 break
-            chosen.add(t)
-            left -= one[t] ** 2
-    return sorted(chosen)
+            gap, need = gap - x, need + 1
+        out.append((many, need, rare))
+    return out
+
+
+def may_reach(text: Column, found: list[tuple[list[str], int, list[str]]]) -> Column:
+    """Whether ``text`` has enough of some vector's words."""
+    literal = lambda ws: F.split(F.lit(" ".join(sorted(ws))), " ")
+    hits = F.array_intersect(F.split(F.lower(text), TERM), literal({w for many, _, rare in found for w in (*many, *rare)}))
+    sets = F.array(*(F.struct(F.lit(need).alias("need"), literal(many).alias("many"), literal(rare).alias("rare")) for many, need, rare in found))
+    one = lambda h, s: (F.size(h) >= s.need) & F.arrays_overlap(h, s.rare) & (F.size(F.array_intersect(h, s.many)) >= s.need)
+    return F.exists(F.array(hits), lambda h: F.exists(sets, lambda s: one(h, s)))
 
 
 def scored_units(files: DataFrame) -> DataFrame:
@@ -118,8 +137,8 @@ def scored_units(files: DataFrame) -> DataFrame:
     every = [(0, *t) for t in long] + [(1, *t) for t in TEMPLATES]
     idf, vectors = _vectors([t[1:] for t in every])
     rare = math.log(1 + len(every)) + 1
-    pattern = lambda some: "(?i)(?<![a-z0-9.+-])(?:" + "|".join(re.escape(t) for t in signal(some)) + ")(?![a-z0-9.+-])"
-    word, word_of_few = pattern(vectors), pattern([one for one in vectors if len(one) < FEW_TERMS])
+    words = signals(idf, vectors)
+    few = [x for x, one in zip(words, vectors, strict=True) if len(one) < FEW_TERMS]
     names = spark.createDataFrame([(i, kind, licence) for i, (kind, licence, _) in enumerate(every)], "t int, kind int, licence string")
     weights = spark.createDataFrame(list(idf.items()), "term string, idf double")
     # one row for a term of the templates: idf and (template, weight)
@@ -128,14 +147,17 @@ def scored_units(files: DataFrame) -> DataFrame:
         for t, x in one.items():
             of[t].append((i, x))
     side = spark.createDataFrame(list(of.items()), "term string, at array<struct<t:int,y:double>>")
-    docs = files.where(F.col("text").rlike(word)).select("doc_id", "_h", "text")
+    docs = files.where(may_reach(F.col("text"), words)).select("doc_id", "_h", "text")
     lines = F.split(F.col("text"), r"\r\n|\n|\r")
     runs = [F.transform(F.sequence(F.lit(1), F.size(lines) - k + 1), lambda i, k=k: F.array_join(F.slice(F.col("lines"), i, k), "\n")) for k in (2, 3, 4)]
     runs = [F.when(F.size("lines") >= k, run).otherwise(F.array().cast("array<string>")) for k, run in zip((2, 3, 4), runs, strict=True)]
     # comment marks are blank: a paragraph ends at a line without letters or digits
-    runs = [F.filter(run, lambda u: u.rlike(word_of_few)) for run in runs]  # the longest templates are whole files
-    units = F.concat(F.array("text"), F.split(F.col("text"), r"(?:\r\n|\n|\r)[^\p{L}\p{N}\r\n]*(?=\r|\n)"), *runs)
-    found = docs.withColumn("lines", lines).select("doc_id", "_h", F.explode(F.array_distinct(F.filter(units, lambda u: u.rlike(word)))).alias("unit"))
+    units = F.concat(F.array("text"), F.split(F.col("text"), r"(?:\r\n|\n|\r)[^\p{L}\p{N}\r\n]*(?=\r|\n)"))
+    # the longest templates are whole files: runs of lines are not scored for them
+    docs = docs.withColumn("lines", lines)
+    each = docs.select("doc_id", "_h", F.explode(units).alias("unit")).where(may_reach(F.col("unit"), words))
+    short = docs.where(may_reach(F.col("text"), few)).select("doc_id", "_h", F.explode(F.concat(*runs)).alias("unit")).where(may_reach(F.col("unit"), few))
+    found = each.unionByName(short)
     found = written(found.select("doc_id", "_h", F.xxhash64("unit").alias("u"), "unit"))
     tf = found.dropDuplicates(["u"]).select("u", F.explode(terms(F.col("unit"))).alias("term")).groupBy("u", "term").agg((F.log(F.count("*")) + 1).alias("tf"))
     x = written(tf.join(F.broadcast(weights), "term", "left").select("u", "term", (F.col("tf") * F.coalesce("idf", F.lit(rare))).alias("x")))
