@@ -105,7 +105,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the sampled documents. Each row is decided by its own cell and id; rows are not joined by doc_id,
-    so null and repeated ids are sampled like any."""
+    so null and repeated ids are sampled like any. The weight is dropped: cells of a ratio over 1 fall short of their targets."""
     ratios = _ratios(written(described(docs)))
     own = docs.withColumn("_cell_topic", topic(F.col("text"), n_tokens(F.col("text"))))
     return own.join(ratios, _same_cell("_cell_topic"), "left").where(uniform(F.col("doc_id")) < F.least(F.col("ratio"), F.lit(1.0))).select(*(docs.columns))
