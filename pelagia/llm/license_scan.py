@@ -5,20 +5,24 @@ so a line that a third of all documents share is one row. Terms are weighted by
 df counted over all headers and the templates; a header's licence is the template of the highest cosine, if that is at
 least ``LEAST``; ties go to the licence first in order. A document's own licence is that of its best header.
 
-Units of more than a line are scored besides: the whole text, each paragraph, and each two to four lines in a row, against
-whole licence texts and notices (``licence_texts``) and the one-line templates. Their weights are (1 + ln tf) * idf with
-idf over the templates alone, so a unit's score does not depend on other documents. Texts and units are left out of this
-only if they share so few of each template's words that none can reach ``LEAST`` (``signals``). A whole licence text or notice in a document decides before its single lines (a BSD text has a
-line 'All rights reserved.'); of a header wrapped over lines and a single line the higher cosine decides.
-
-A directory has the licence of the least doc_id among the licensed files directly in it. A file without its own takes
+Units of more than a line are scored besides, if they have a cue word: the whole text (a licence file), each paragraph, and
+each two to four lines in a row (a header wrapped over lines), against whole licence texts and notices (``licence_texts``) and
+the one-line templates. Every template has a cue word itself. Their weights are (1 + ln tf) * idf with idf over the templates
+alone, so a unit's score does not depend on other documents. Units with a cue word are left out only if they share so few of
+each template's words that none can reach ``LEAST`` (``signals``). A whole licence text or notice in a document decides
+before its single lines (a BSD text has a line 'All rights reserved.'); of a header wrapped over lines and a single line the
+higher cosine decides.
+
+A directory has the licence of the least doc_id among the licensed files directly in it (a null doc_id is larger than any;
+of several files under one doc_id the first licence in order). A file without its own takes
 the licence of the nearest ancestor directory that has one; this joins distinct directories' paths, not files'.
 
 ``documents`` has no paths: ``path_of`` lays the table out as a tree (source, language, thousands, fifties), with round
 ids higher up; a table with a path column passes its own.
 
 Defined results: a null text has no headers; a null part of a path is ``_``; repeated rows repeat; a file in no licensed
-directory and without its own licence has a null licence, found ``none``.
+directory and without its own licence has a null licence, found ``none``; rows of one doc_id with different texts are judged
+apart; the input's other columns are not passed on, so none can clash.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pelagia.llm import licence_texts
+from pelagia.llm import keys, licence_texts
 from pelagia.session import table, written
 
 LEAST = 0.6
@@ -39,6 +43,8 @@ FEW_TERMS = 150
 SHARED = 0.2
 #: Words that mark a header line.
 CUES = r"(?i)licen[cs]e|copyright|spdx|rights reserved|public domain|warrant"
+#: The same over several lines.
+UNIT_CUES = r"(?i)licen[cs]e|copyright|spdx|rights\W+reserved|public\W+domain|warrant"
 TERM = r"[^a-z0-9.+-]+"
 #: Licences and phrases of their headers.
 TEMPLATES = (
@@ -147,7 +153,7 @@ def scored_units(files: DataFrame) -> DataFrame:
         for t, x in one.items():
             of[t].append((i, x))
     side = spark.createDataFrame(list(of.items()), "term string, at array<struct<t:int,y:double>>")
-    docs = files.where(may_reach(F.col("text"), words)).select("doc_id", "_h", "text")
+    docs = files.where(F.col("text").rlike(UNIT_CUES)).select("doc_id", "_h", "text")
     lines = F.split(F.col("text"), r"\r\n|\n|\r")
     runs = [F.transform(F.sequence(F.lit(1), F.size(lines) - k + 1), lambda i, k=k: F.array_join(F.slice(F.col("lines"), i, k), "\n")) for k in (2, 3, 4)]
     runs = [F.when(F.size("lines") >= k, run).otherwise(F.array().cast("array<string>")) for k, run in zip((2, 3, 4), runs, strict=True)]
@@ -155,10 +161,10 @@ def scored_units(files: DataFrame) -> DataFrame:
     units = F.concat(F.array("text"), F.split(F.col("text"), r"(?:\r\n|\n|\r)[^\p{L}\p{N}\r\n]*(?=\r|\n)"))
     # the longest templates are whole files: runs of lines are not scored for them
     docs = docs.withColumn("lines", lines)
-    each = docs.select("doc_id", "_h", F.explode(units).alias("unit")).where(may_reach(F.col("unit"), words))
-    short = docs.where(may_reach(F.col("text"), few)).select("doc_id", "_h", F.explode(F.concat(*runs)).alias("unit")).where(may_reach(F.col("unit"), few))
-    found = each.unionByName(short)
-    found = written(found.select("doc_id", "_h", F.xxhash64("unit").alias("u"), "unit"))
+    runs_or_all = F.concat(F.transform(units, lambda x: F.struct(F.lit(True).alias("whole"), x.alias("unit"))), F.transform(F.concat(*runs), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))))
+    each = docs.select("doc_id", "_h", F.inline(F.filter(runs_or_all, lambda x: x.unit.rlike(UNIT_CUES))))
+    each = each.where((F.col("whole") & may_reach(F.col("unit"), words)) | may_reach(F.col("unit"), few))
+    found = written(each.select("doc_id", "_h", F.xxhash64("unit").alias("u"), "unit"))
     tf = found.dropDuplicates(["u"]).select("u", F.explode(terms(F.col("unit"))).alias("term")).groupBy("u", "term").agg((F.log(F.count("*")) + 1).alias("tf"))
     x = written(tf.join(F.broadcast(weights), "term", "left").select("u", "term", (F.col("tf") * F.coalesce("idf", F.lit(rare))).alias("x")))
     norms = x.groupBy("u").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
@@ -183,7 +189,8 @@ def scan(docs: DataFrame, directory: Column | None = None) -> DataFrame:
     """doc_id, dir, own_licence, cosine, licence, found (header, inherited, none), licence_dir of every row."""
     place = directory if directory is not None else path_of()
     rows = docs.select("doc_id", place.alias("dir"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_h"), "text")
-    files = written(rows.select("doc_id", "dir", "_h", F.coalesce(F.filter(F.split(F.col("text"), r"\r\n|\n|\r"), lambda x: x.rlike(CUES)), F.array().cast("array<string>")).alias("lines")))
+    heads = F.when(F.col("text").rlike(CUES), F.filter(F.split(F.col("text"), r"\r\n|\n|\r"), lambda x: x.rlike(CUES)))
+    files = written(rows.select("doc_id", "dir", "_h", F.coalesce(heads, F.array().cast("array<string>")).alias("lines")))
     lines = files.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("n"))
     scored = written(scored_lines(written(lines)))
     heads = files.where(F.size("lines") > 0).select("doc_id", "_h", F.explode("lines").alias("line"))
@@ -192,7 +199,8 @@ def scan(docs: DataFrame, directory: Column | None = None) -> DataFrame:
     own = every.groupBy("doc_id", "_h").agg(F.min(F.struct("kind", (-F.col("cosine")).alias("minus"), "licence")).alias("b"))
     own = own.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_g"), F.col("b.licence").alias("own_licence"), (-F.col("b.minus")).alias("cosine"))
     judged = written(files.drop("lines").join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left").drop("_id", "_g", "_h"))
-    licensed = judged.where("own_licence is not null").groupBy("dir").agg(F.min(F.struct("doc_id", "own_licence")).alias("f")).select(F.col("dir").alias("up"), F.col("f.own_licence").alias("licence_up"))
+    order = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(keys.LAST)).alias("d"), "own_licence")
+    licensed = judged.where("own_licence is not null").groupBy("dir").agg(F.min(order).alias("f")).select(F.col("dir").alias("up"), F.col("f.own_licence").alias("licence_up"))
     # each distinct directory with its ancestors, itself included
     parts = F.split(F.col("dir"), "/")
     ups = judged.select("dir").distinct().select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("up"))
@@ -211,10 +219,10 @@ def sql() -> str:
     known = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(TEMPLATES))
     return rf"""
 with known(t, licence, line) as (values {known}),
-files as (select doc_id, text, case when doc_id % 1000 = 0 then top when doc_id % 100 = 0 then top || '/d' || (doc_id // 1000)
-    else top || '/d' || (doc_id // 1000) || '/d' || (doc_id // 50) end as dir
-  from (select doc_id, text, coalesce(source, '_') || '/' || coalesce(lang, '_') as top from documents)),
-heads as (select doc_id, unnest(list_filter(regexp_split_to_array(text, '\r\n|\n|\r'), lambda x: regexp_matches(x, '{CUES}'))) as line from files),
+files as (select doc_id, coalesce(text, '') as text, case when d % 1000 = 0 then top when d % 100 = 0 then top || '/d' || floor(d / 1000.0)::bigint
+    else top || '/d' || floor(d / 1000.0)::bigint || '/d' || floor(d / 50.0)::bigint end as dir
+  from (select doc_id, text, coalesce(doc_id, -1) as d, coalesce(source, '_') || '/' || coalesce(lang, '_') as top from documents)),
+heads as (select doc_id, text, unnest(list_filter(regexp_split_to_array(text, '\r\n|\n|\r'), lambda x: regexp_matches(x, '{CUES}'))) as line from files),
 lines as (select line, count(*) as n from heads group by line),
 every as (select line, n from lines union all select line, 1 from known),
 words as (select line, list_filter(regexp_split_to_array(lower(line), '{TERM}'), lambda x: length(x) > 0) as ws from (select distinct line from every)),
@@ -226,9 +234,10 @@ norm as (select line, sqrt(sum(x * x)) as norm from x group by line),
 y as (select t, term, x / norm as y from known join x using (line) join norm using (line)),
 near as (select line, licence, round(dot / norm, 6) as cosine from (select line, t, sum(x * y) as dot from x join y using (term) group by line, t) join norm using (line) join known k using (t)),
 fine as (select line, licence, cosine from (select n.line, n.licence, n.cosine, row_number() over (partition by n.line order by cosine desc, licence) as r from near n) where cosine >= {LEAST} and r = 1),
-own as (select doc_id, licence as own_licence, cosine from (select doc_id, licence, cosine, row_number() over (partition by doc_id order by cosine desc, licence) as r from heads join fine using (line)) where r = 1),
-judged as (select doc_id, dir, own_licence, cosine from files left join own using (doc_id)),
-licensed as (select dir as up, arg_min(own_licence, doc_id) as licence_up from judged where own_licence is not null group by dir),
+own as (select doc_id, text, licence as own_licence, cosine from (select doc_id, text, licence, cosine, row_number() over (partition by doc_id, text order by cosine desc, licence) as r from heads join fine using (line)) where r = 1),
+judged as (select f.doc_id, dir, own_licence, cosine from files f left join own o on f.doc_id is not distinct from o.doc_id and f.text = o.text),
+licensed as (select dir as up, own_licence as licence_up from judged where own_licence is not null
+  qualify row_number() over (partition by dir order by coalesce(doc_id, 9223372036854775807), own_licence) = 1),
 ups as (select dir, unnest(list_transform(range(1, len(string_split(dir, '/')) + 1), lambda k: array_to_string(string_split(dir, '/')[1:k], '/'))) as up from (select distinct dir from judged)),
 nearest as (select dir, arg_max(up, length(up)) as licence_dir, arg_max(licence_up, length(up)) as licence_up from ups join licensed using (up) group by dir)
 select doc_id, j.dir, own_licence, cosine, coalesce(own_licence, licence_up) as licence,
