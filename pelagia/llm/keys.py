@@ -16,3 +16,9 @@ def rows(docs: DataFrame) -> DataFrame:
 
 def doc_id(d: Column) -> Column:
     return F.nullif(d, F.lit(LAST))
+
+
+def hidden(docs: DataFrame, *shown: str) -> DataFrame:
+    """``docs`` with every column but ``shown`` named after its place, so that none clashes with an operator's own columns;
+    ``toDF(*docs.columns)`` gives the names back."""
+    return docs.toDF(*(c if c in shown else f"_c{i}" for i, c in enumerate(docs.columns)))

@@ -10,11 +10,16 @@ anchor occurs in one document only is unique. Consecutive windows with one ancho
 3. where they differ, equal runs are counted by (anchor, run hash) and, but for the least document's, are repeats;
    the windows of the least documents' runs are hashed and counted one by one. This is about the edges of passages.
 
-All counts are hash aggregations with map-side combining, joined back with joins that Spark can split, so that a
-passage in a third of all documents makes no hot task. Repeated windows are merged per document, where its text is.
+All counts are hash aggregations with map-side combining. They are written before they are joined back: a join of two tables,
+unlike one that stands on an aggregate's exchange, can be split by Spark, so a passage in a third of all documents makes no hot
+task. Repeated windows are merged per document, where its text is.
+
+The prefilter loses nothing: a window's anchor is a value, the least of its grams' hashes, not a place. However many grams tie
+for it, equal windows have equal anchors, so a window that a second document has stands in a run whose anchor that document has.
 
 Defined results: a null text has no words; texts under ``WINDOW`` words lose nothing; repeated rows (one doc_id) never
-repeat each other; a null doc_id counts as larger than any; equal windows inside one document are not repeats.
+repeat each other; a null doc_id counts as larger than any; equal windows inside one document are not repeats; input columns
+named n_words, n_removed, removed or kept are replaced by ``dedup``, and passed on unchanged by ``stage``.
 """
 
 from __future__ import annotations
@@ -75,7 +80,7 @@ def runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
 
 def _single(docs: DataFrame, parts: DataFrame, window: int, gram: int) -> DataFrame:
     """_d, _h, a, w (window hash), s of every window in the runs ``parts`` (_d, _h, a, s, e)."""
-    wanted = parts.groupBy("_d", "_h").agg(F.collect_set(F.struct("s", "e")).alias("runs"))
+    wanted = written(parts.groupBy("_d", "_h").agg(F.collect_set(F.struct("s", "e")).alias("runs")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,15 +107,15 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     ``docs`` has _d, _h, text."""
     found = written(runs(docs, window, gram))
     by_anchor = found.groupBy("a").agg(F.min("_d").alias("d0"), F.max("_d").alias("d1"), F.min("r").alias("r0"), F.max("r").alias("r1")).where("d0 < d1").drop("d1")
-    shared = written(found.join(by_anchor, "a"))
+    shared = written(found.join(written(by_anchor), "a"))
     plain = shared.where("r0 = r1 and _d > d0").select("_d", "_h", "s", "e")
     mixed = shared.where("r0 < r1").select("_d", "_h", "a", "r", "s", "e")
-    by_run = mixed.groupBy("a", "r").agg(F.min("_d").alias("d0"))
+    by_run = written(mixed.groupBy("a", "r").agg(F.min("_d").alias("d0")))
     mixed = written(mixed.join(by_run, ["a", "r"]))
     equal = mixed.where("_d > d0").select("_d", "_h", "s", "e")
     single = written(_single(docs, mixed.where("_d = d0").select("_d", "_h", "a", "s", "e"), window, gram))
     by_window = single.groupBy("a", "w").agg(F.min("_d").alias("d0"), F.max("_d").alias("d1")).where("d0 < d1").drop("d1")
-    later = single.join(by_window, ["a", "w"]).where("_d > d0").select("_d", "_h", "s", F.col("s").alias("e"))
+    later = single.join(written(by_window), ["a", "w"]).where("_d > d0").select("_d", "_h", "s", F.col("s").alias("e"))
     every = plain.unionByName(equal).unionByName(later)
     return every.groupBy("_d", "_h").agg(F.collect_set(F.struct("s", "e")).alias("removed"))
 
@@ -176,6 +181,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document, its text without the repeated passages; a text that repeats nothing is unchanged,
     and n_chars follows the text."""
-    found = dedup(docs).withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
-    columns = [F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
-    return found.select(*columns)
+    own = keys.hidden(docs, "doc_id", "text", "n_chars")
+    found = dedup(own).withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
+    columns = [F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in own.columns]
+    return found.select(*columns).toDF(*docs.columns)
