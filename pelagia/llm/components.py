@@ -1,7 +1,7 @@
 """Connected components of a link table, by alternating large-star and small-star steps over Spark joins.
 
 Only (node, root) tables are kept, each step written to the shared folder; nothing is collected but a count. A node
-with a third of all links is aggregated map-side and its join side is split by Spark.
+with a third of all links is aggregated map-side; the sums are written before they are joined, so Spark can split its join side.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         # large star: each larger neighbour of a node, and the node's least neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         # small star: each smaller neighbour, and the node itself, to the least smaller neighbour
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = written(small.where("u <> v").distinct())
         # done when every node has one parent, which has none

@@ -17,13 +17,18 @@ broadcast has a fixed size (``CELLS`` bits), and any map gives the same links.
 
 A signature's members are compared with one of them, the one that meets the most others over all its signatures,
 not with each other: a group of copies costs a comparison
-for each member. Members whose components then still differ are compared in pairs. A pair whose sizes exclude a link is
+for each member. Members whose components then still differ are compared in pairs; those of a signature's largest component meet
+only the members outside it. What stays quadratic is the number of members of one signature that lie outside its largest
+component. A pair whose sizes exclude a link is
 dropped, and so is one whose histograms do: each set has counts of its elements in ``HISTOGRAM`` hash cells, and sets
 differ in at least the sum of the counts' differences. What is left is compared exactly, on whole texts. Components follow.
 
+A signature can be hot, that is shared by one set in ``FREQUENT`` or more, only if its elements are frequent. Signatures of frequent elements are therefore
+dealt by (signature, salt), all others by the signature alone; sums over the salts are joined back to both.
+
 Defined results: a null or wordless text has an empty set, links with nothing and is its own component; under five
 words the whole sequence is the one shingle; repeated rows share a component; a null doc_id counts as larger than any
-and its component_id is null where it is alone.
+and its component_id is null where it is alone; only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -47,7 +52,9 @@ SMALL, SPREAD = 128, 1.5
 #: Cells of a set's histogram.
 HISTOGRAM = 256
 #: Members of a signature that are compared in one group of pairs, about.
-BLOCK = 256
+BLOCK = 1024
+#: Tasks over which the members of a signature of frequent elements are dealt.
+SALTS = 32
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,12 +94,12 @@ def partitions(b: np.ndarray) -> np.ndarray:
     return np.where(top < SMALL, 0, (SPREAD * (top // 4 + 1)).astype(np.int64))
 
 
-def signatures(h: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set) of the sets that ``use`` marks. frequent: a flag for each cell."""
+def signatures(h: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, set, whether of frequent elements) of the sets that ``use`` marks. frequent: a flag for each cell."""
     size = np.diff(offsets)
     own = band(size)
     nexts = size * 5 >= 2 ** (own + 1) * 4  # 1.25 * size reaches the next band
-    out_s, out_o = [], []
+    out_s, out_o, out_late = [], [], []
     rare_last = frequent[(h >> U(44)).astype(np.int64)] if len(h) else np.zeros(0, bool)
     text = np.repeat(np.arange(len(size)), size)
     for step in (0, 1):
@@ -118,9 +125,10 @@ def signatures(h: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, use: np
         keep = rank <= size[t] // 4
         out_s.append(sig[keep])
         out_o.append(t[keep])
+        out_late.append(late[order][begin][keep])
     if not out_s:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    return np.concatenate(out_s), np.concatenate(out_o)
+        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, bool)
+    return np.concatenate(out_s), np.concatenate(out_o), np.concatenate(out_late)
 
 
 def histograms(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -171,7 +179,8 @@ def _may_link(pairs: DataFrame) -> DataFrame:
 
 
 def _signed_sets(docs: DataFrame, cells: np.ndarray) -> DataFrame:
-    """s (signature), g (set), n (its size); a set that a task has met before is not signed again."""
+    """s (signature), salt (0, or 1 to SALTS where the signature is of frequent elements), g (set), n (its size); a set that a
+    task has met before is not signed again."""
     bits = np.zeros(CELLS, bool)
     bits[cells] = True
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
@@ -186,20 +195,26 @@ def _signed_sets(docs: DataFrame, cells: np.ndarray) -> DataFrame:
                 use = np.zeros(len(g), bool)
                 use[first[~np.isin(distinct, met, assume_unique=True)]] = True
                 met = np.union1d(met, distinct)
-                s, own = signatures(h, offsets, frequent, use)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(s)), pa.array(signed(g[own])), pa.array(size[own].astype(np.int32))], ["s", "g", "n"])
+                s, own, late = signatures(h, offsets, frequent, use)
+                salt = np.where(late, (mix(g[own]) % U(SALTS)).astype(np.int32) + 1, 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(s)), pa.array(salt), pa.array(signed(g[own])), pa.array(size[own].astype(np.int32))], ["s", "salt", "g", "n"])
 
-    return docs.select("text").mapInArrow(run, "s long, g long, n int")
+    return docs.select("text").mapInArrow(run, "s long, salt int, g long, n int")
 
 
 def _pairs_within(members: DataFrame) -> DataFrame:
     """x, y of the pairs of one signature's members (s, g, n, root, hist) in different components that sizes and histograms
-    let link. A signature's members are dealt to blocks of about ``BLOCK``; each pair of blocks is one task's group, so no
-    group grows and only the pairs that may link are made."""
-    sizes = members.groupBy("s").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "s").withColumn("b", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
-    # a member meets every block: in the pair (smaller block, larger block)
-    met = dealt.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    let link. A signature's members are dealt to blocks of about ``BLOCK``: first those outside its largest component, then those of
+    it, which meet the first only. Each pair of blocks is one task's group, so no group grows and only the pairs that may link
+    are made."""
+    each = members.groupBy("s", "root").count().groupBy("s").agg(F.max(F.struct("count", "root")).alias("k"), F.sum("count").alias("all"))
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    sizes = written(each.select("s", F.col("k.root").alias("largest"), blocks(F.col("all") - F.col("k.count")).alias("some"), blocks(F.col("k.count")).alias("more")))
+    outside, h = F.col("root") != F.col("largest"), F.xxhash64("g")
+    place = F.when(outside, F.pmod(h, F.col("some"))).otherwise(F.col("some") + F.pmod(h, F.col("more"))).cast("int")
+    dealt = members.join(sizes, "s").withColumn("b", place)
+    # a member meets every block, or every block of the first kind: in the pair (smaller block, larger block)
+    met = dealt.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("some") - 1 + F.when(outside, F.col("more")).otherwise(0))))
     met = met.select("s", F.least("b", "c").alias("i"), F.greatest("b", "c").alias("j"), "b", "g", "n", "root", "hist")
 
     names = ["s", "i", "j", "b", "g", "n", "root"]
@@ -288,14 +303,18 @@ def join(docs: DataFrame) -> DataFrame:
     # one row for a set: its least document
     nodes = every.where("n > 0").groupBy("g").agg(F.min(F.struct("_d", "_h", "n", "hist")).alias("k")).select("g", "k.*")
     nodes = written(nodes)
-    # one exchange of signatures serves the count and the join
-    signed_sets = _signed_sets(rows, cells).select("s", F.struct("g", "n").alias("m")).repartition(F.col("s"))
-    groups = signed_sets.groupBy("s").agg(F.min("m.g").alias("least"), F.max("m").alias("most"), F.count("*").alias("n")).where("least < most.g").select("s", F.col("n").alias("size"))
-    shared = written(signed_sets.join(groups, "s").select("s", F.col("m.g").alias("g"), F.col("m.n").alias("n"), "size").distinct())
+    # one exchange of signatures serves the counts and the join; _salt is opaque, so no filter moves below the exchange
+    dealt = _signed_sets(rows, cells).select("s", "salt", F.struct("g", "n").alias("m")).repartition("s", "salt")
+    counts = dealt.groupBy("s", "salt").agg(F.min("m.g").alias("least"), F.max("m").alias("most"), F.count("*").alias("n"), F.max("salt").alias("_salt"))
+    plain = counts.where("_salt = 0 and least < most.g").select("s", "salt", F.col("n").alias("size"))
+    salted = counts.where("_salt > 0").groupBy("s").agg(F.min("least").alias("least"), F.max("most.g").alias("most"), F.sum("n").alias("size")).where("least < most")
+    groups = plain.unionByName(salted.select("s", F.explode(F.sequence(F.lit(1), F.lit(SALTS))).alias("salt"), "size"))
+    shared = written(dealt.join(groups, ["s", "salt"]).select("s", F.col("m.g").alias("g"), F.col("m.n").alias("n"), "size").distinct())
     # the member that meets the most others over all its signatures leads: the text that the copies of a group come from
     meets = shared.groupBy("g").agg(F.sum("size").alias("meets"))
     ranked = written(shared.join(meets, "g").select("s", "g", "n", "meets"))
-    leads = ranked.groupBy("s").agg(F.max(F.struct("meets", "g", "n")).alias("k")).select("s", F.col("k.g").alias("y"), F.col("k.n").alias("ny"))
+    # sums are written before a join, so that Spark can split the join's hot keys
+    leads = written(ranked.groupBy("s").agg(F.max(F.struct("meets", "g", "n")).alias("k")).select("s", F.col("k.g").alias("y"), F.col("k.n").alias("ny")))
     members = written(ranked.join(leads, "s").select("s", "g", "n", "y", "ny"))
     sizes_fit = 5 * F.least("nx", "ny") >= 4 * F.greatest("nx", "ny")
     x, y = (nodes.select(F.col("g").alias(k), F.col("n").cast("int").alias(f"n{k}"), F.col("hist").alias(f"h{k}")) for k in "xy")
@@ -304,17 +323,20 @@ def join(docs: DataFrame) -> DataFrame:
     roots = components(links)
     # signatures whose members are in several components still
     placed = members.join(roots.withColumnRenamed("node", "g"), "g", "left").withColumn("root", F.coalesce("root", "g"))
-    split = placed.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("s")
+    split = written(placed.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("s"))
     open_ = written(placed.join(split, "s").join(nodes.select("g", "hist"), "g").select("s", "g", "n", "root", "y", "hist"))
     more = written(_pairs_within(open_.where("g <> y").select("s", "g", "n", "root", "hist")).distinct())
     if more.head(1):  # the first roots stand for the first links
         known = roots.select(F.col("node").alias("x"), F.col("root").alias("y"))
         roots = components(known.unionByName(_links(more, nodes, rows)))
     # the least document of each component
-    of = sets.join(roots.withColumnRenamed("node", "g"), "g", "left").withColumn("root", F.coalesce("root", "g"))
-    least = of.where("n > 0").groupBy("root").agg(F.min(F.struct("_d", "_h")).alias("k")).select("root", F.col("k._d").alias("component"), F.col("k._h").alias("_least_h"))
+    ends = written(roots.select(F.col("node").alias("g"), "root").unionByName(roots.select(F.col("root").alias("g"), "root").distinct()))
+    least = written(ends.join(nodes.select("g", "_d", "_h"), "g").groupBy("root").agg(F.min(F.struct("_d", "_h")).alias("k")))
+    first = ends.join(least, "root").select("g", "k")
+    own = F.coalesce("k", F.struct("_d", "_h"))
+    of = written(nodes.join(first, "g", "left").select("g", own.alias("k")).select("g", F.col("k._d").alias("component"), F.col("k._h").alias("_least_h")))
     stays = F.when(F.col("n") > 0, (F.col("_d") == F.col("component")) & (F.col("_h") == F.col("_least_h"))).otherwise(True)
-    found = of.join(least, "root", "left").withColumn("stays", stays).withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_d")))
+    found = sets.join(of, "g", "left").withColumn("stays", stays).withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_d")))
     return found.select(keys.doc_id(F.col("_d")).alias("doc_id"), F.col("n").alias("n_shingles"), keys.doc_id(F.col("component")).alias("component_id"), "_d", "_h", "stays")
 
 
@@ -327,10 +349,10 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     hash, of equal rows any one); all others without links. Rows are told apart by (_d, _h), so null and repeated ids count."""
     found = join(docs.select("doc_id", "text"))
     fates = written(found.groupBy("_d", "_h").agg(F.min("stays").alias("stays"), F.max("n_shingles").alias("n"), F.count("*").alias("rows")))
-    key = ["_d", "_h"]
-    keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(keys.LAST)), "_h": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    key, own = ["_d", "_h"], keys.hidden(docs, "doc_id", "text")
+    keyed = own.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(keys.LAST)), "_h": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
     left = keyed.join(fates.where("not stays").select(*key), key, "left_anti")
     twice = fates.where("stays and n > 0 and rows > 1").select(*key)
     if twice.head(1):  # equal rows of a group's least document
         left = left.join(twice, key, "left_anti").unionByName(left.join(twice, key, "left_semi").dropDuplicates(key))
-    return left.select(*docs.columns)
+    return left.select(*own.columns).toDF(*docs.columns)
