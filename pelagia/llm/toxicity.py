@@ -14,7 +14,9 @@ exact. Marginals aggregate to a document's score (a logistic of the expected num
 marginal), and words with a marginal of 0.5 or more give the offending spans. No shuffle.
 
 Defined results: a null or empty text scores like a text without marked words; without labelled documents of both
-labels all scores are 0; repeated rows repeat; duplicates among the labels count each.
+labels all scores are 0; repeated rows repeat; of several texts under one labelled doc_id that with the least hash is learned
+from, so the sample is bounded; duplicates among the labels count each; input columns named score or spans are replaced by
+``tag``, and passed on unchanged by ``stage``.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from pelagia.llm import keys
 from pelagia.llm._text import LETTER, U, Words, signed, slices
 from pelagia.session import table
 
@@ -47,7 +50,10 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = _known(labels)
     order = F.xxhash64("doc_id")
     some = [known.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(MAX_DOCS) for t in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id").select("doc_id", "text", "toxic")
+    some = some[0].unionByName(some[1])
+    met = docs.select("doc_id", "text").join(F.broadcast(some.select("doc_id").distinct()), "doc_id")
+    one = met.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")).alias("k"))
+    return one.select("doc_id", F.col("k.text").alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic")
 
 
 def stands_for(labels: DataFrame) -> np.ndarray:
@@ -319,4 +325,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that are not toxic (score under 0.5), with their own columns."""
     model = fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
-    return tag(docs, model).where("score < 0.5").select(*docs.columns)
+    own = keys.hidden(docs, "doc_id", "text")
+    return tag(own, model).where("score < 0.5").select(*own.columns).toDF(*docs.columns)
