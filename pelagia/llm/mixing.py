@@ -4,26 +4,27 @@ Documents are summed to cells (source, language, topic) before anything is shuff
 all rows is a few cells. Each step scales the cells' token weights so that one margin meets its target; the margins are
 taken in turn, ``ITERATIONS`` times. A document's calibrated ratio is its cell's raked weight over its tokens: documents
 of ratio r are sampled with probability min(1, r) by a hash of the id, and carry the weight max(1, r), so the expected
-weighted tokens of every cell are the raked ones. No row is sampled before the end, and a document's tokens are counted
+weighted tokens of every cell are the raked ones. ``copies`` puts the weight into whole numbers: floor(r) of each document and
+one more with probability r - floor(r), by the same hash. No row is sampled before the end, and a document's tokens are counted
 once, from its whole text.
 
 Targets are shares of tokens by value. The default of a margin is its own share to the power ``TEMPERATURE``, normalised;
 values without a target in a given table get none.
 
 Defined results: a null source or language is a value of its own (shown as null); a null text has no tokens and its cell,
-if it has no others, the ratio 1; repeated rows count each and share a fate; a null doc_id is sampled as id ``null``.
+if it has no others, the ratio 1; repeated rows count each and share a fate; a null doc_id is sampled as id ``null``; ``mix``
+passes no other input columns on, ``stage`` passes all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from pelagia.llm import keys
 from pelagia.session import table, written
 
 MARGINS, ITERATIONS, TEMPERATURE, SEED = ("source", "lang", "topic"), 12, 0.8, "mix-1"
-#: Steps of raking in one plan; then the cells are written.
-STEPS_IN_PLAN = 12
-#: Cells under this number are broadcast to the documents.
+#: Sums of a margin, and cells, are broadcast up to this number of rows; beyond it they are joined by a shuffle.
 BROADCAST_CELLS = 20_000
 
 
@@ -52,18 +53,21 @@ def targets_of(cells: DataFrame, margin: str, temperature: float = TEMPERATURE)
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], margins=MARGINS, iterations: int = ITERATIONS) -> DataFrame:
-    """``cells`` (margins, tokens) with w: the raked tokens. targets: margin -> DataFrame (margin, target share)."""
-    total = cells.agg(F.sum("tokens").cast("double").alias("_total"))
-    df = cells.join(F.broadcast(total)).withColumn("w", F.col("tokens").cast("double"))
+    """``cells`` (margins, tokens) with w: the raked tokens. targets: margin -> DataFrame (margin, target share). A margin's
+    sums are aggregated map-side, so a margin of few values is no hot task; each round of margins is one plan."""
+    known = cells.agg(F.sum("tokens").alias("total"), *(F.approx_count_distinct(F.coalesce(F.col(m), F.lit(""))).alias(m) for m in margins)).first()
+    total = float(known.total or 0)
+    df = cells.withColumn("w", F.col("tokens").cast("double"))
     for m in margins:
         own = targets[m].select(F.col(m).alias("_k"), F.col("target").alias(f"_t_{m}"))
         df = df.join(own, F.col(m).eqNullSafe(F.col("_k")), "left").drop("_k").withColumn(f"_t_{m}", F.coalesce(f"_t_{m}", F.lit(0.0)))
     df = written(df)
-    steps = [m for _ in range(iterations) for m in margins]
-    for at in range(0, len(steps), STEPS_IN_PLAN):
-        for m in steps[at : at + STEPS_IN_PLAN]:
-            now = F.sum("w").over(Window.partitionBy(m))
-            df = df.withColumn("w", F.when(now > 0, F.col("w") * F.col(f"_t_{m}") * F.col("_total") / now).otherwise(0.0))
+    for _ in range(iterations):
+        for m in margins:
+            sums = df.groupBy(F.col(m).alias("_k")).agg(F.sum("w").alias("_now"))
+            sums = F.broadcast(sums) if known[m] <= BROADCAST_CELLS else sums
+            scaled = F.when(F.col("_now") > 0, F.col("w") * F.col(f"_t_{m}") * total / F.col("_now")).otherwise(0.0)
+            df = df.join(sums, F.col(m).eqNullSafe(F.col("_k")), "left").withColumn("w", scaled).drop("_k", "_now")
         df = written(df)
     return df.select(*margins, "tokens", "w")
 
@@ -83,6 +87,12 @@ def _ratios(rows: DataFrame, targets: dict[str, DataFrame] | None = None, iterat
     return F.broadcast(ratio) if ratio.count() <= BROADCAST_CELLS else ratio
 
 
+def copies() -> Column:
+    """How often a row of (doc_id, ratio) is taken: ``ratio`` times on average."""
+    whole = F.floor("ratio")
+    return (whole + (uniform(F.col("doc_id")) < F.col("ratio") - whole).cast("long")).cast("long")
+
+
 def _same_cell(topic: str = "topic") -> Column:
     on = F.col(topic).eqNullSafe(F.col("_topic"))
     for m in MARGINS[:2]:
@@ -91,11 +101,11 @@ def _same_cell(topic: str = "topic") -> Column:
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, iterations: int = ITERATIONS) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, ratio, probability, weight, sampled of every document."""
+    """doc_id, source, lang, topic, n_tokens, ratio, probability, weight, sampled, copies of every document."""
     rows = written(described(docs))
     p = F.least(F.col("ratio"), F.lit(1.0))
     found = rows.join(_ratios(rows, targets, iterations), _same_cell(), "left").drop(*(f"_{m}" for m in MARGINS))
-    return found.select("doc_id", *MARGINS, "n_tokens", "ratio", p.alias("probability"), F.greatest(F.col("ratio"), F.lit(1.0)).alias("weight"), (uniform(F.col("doc_id")) < p).alias("sampled"))
+    return found.select("doc_id", *MARGINS, "n_tokens", "ratio", p.alias("probability"), F.greatest(F.col("ratio"), F.lit(1.0)).alias("weight"), (uniform(F.col("doc_id")) < p).alias("sampled"), copies().alias("copies"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -104,11 +114,14 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the sampled documents. Each row is decided by its own cell and id; rows are not joined by doc_id,
-    so null and repeated ids are sampled like any. The weight is dropped: cells of a ratio over 1 fall short of their targets."""
+    """Pipeline stage: every document as often as ``copies`` says, so the corpus meets the targets in expectation: documents
+    of cells with a ratio under 1 are sampled, those of cells with a ratio over 1 are repeated. Each row is decided by its own cell and
+    id; rows are not joined by doc_id, so null and repeated ids count like any."""
     ratios = _ratios(written(described(docs)))
-    own = docs.withColumn("_cell_topic", topic(F.col("text"), n_tokens(F.col("text"))))
-    return own.join(ratios, _same_cell("_cell_topic"), "left").where(uniform(F.col("doc_id")) < F.least(F.col("ratio"), F.lit(1.0))).select(*(docs.columns))
+    own = keys.hidden(docs, "doc_id", "text", "source", "lang")
+    placed = own.withColumn("_cell_topic", topic(F.col("text"), n_tokens(F.col("text")))).join(ratios, _same_cell("_cell_topic"), "left")
+    n = copies()
+    return placed.where(n > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), n))).select(*own.columns).toDF(*docs.columns)
 
 
 def sql() -> str:
@@ -130,7 +143,6 @@ c as (select source, lang, topic, sum(n_tokens)::bigint as tokens from r group b
     parts.append(f"q as (select source, lang, topic, case when tokens > 0 then round(w / tokens, 9) else 1.0 end as ratio from w{at})")
     return ",\n".join(parts) + f"""
 select doc_id, r.source, r.lang, r.topic, n_tokens, round(ratio, 6) as ratio, round(least(ratio, 1.0), 6) as probability,
-  round(greatest(ratio, 1.0), 6) as weight,
-  ('0x' || substr(md5('{SEED}:' || doc_id::varchar), 1, 8))::bigint / 4294967296.0::double < least(ratio, 1.0) as sampled
-from r join q on r.source is not distinct from q.source and r.lang is not distinct from q.lang and r.topic = q.topic
+  round(greatest(ratio, 1.0), 6) as weight, u < least(ratio, 1.0) as sampled, floor(ratio)::bigint + (u < ratio - floor(ratio))::bigint as copies
+from (select *, ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::varchar, 'null')), 1, 8))::bigint / 4294967296.0::double as u from r) r join q on r.source is not distinct from q.source and r.lang is not distinct from q.lang and r.topic = q.topic
 """
