@@ -1,27 +1,34 @@
 """Exact top-k search: an impact-ordered, score-at-a-time index over integer vectors.
 
-Vectors are dealt to candidate blocks of about ``BLOCK`` rows and query blocks of about ``QUERIES`` rows; each pair of
-blocks is one group, so a stated query set meets all rows in blocks of bounded size. A block's index holds, for each
+Candidates are dealt once, to blocks of at most about ``BLOCK`` rows, and every block has one index, made once. Queries go to
+every block and stream through its task in batches of ``QUERIES``, after the block's candidates, so a task holds one block and
+one batch, and the rows shuffled are the candidates and blocks x queries. A block's index holds, for each
 dimension, its posting list in order of value: equal values are one segment, whose impact for a query is the query's
 component times the value, taken from the least such product. Segments are processed in levels of descending impact; an
 unprocessed posting adds at most the level's impact, which bounds every row's score. Processing stops when only few rows
 could still be among the k best, by proof: their bounds reach the k-th exact score among the rows found so far. The
-possible members are scored exactly.
+possible members are scored exactly. The k best of all blocks are ranked by query.
 
-Defined results: ties go to the smaller vec_id; vectors that are null or have null or non-finite components take no
-part; shorter vectors count as padded with zeros; a query does not find rows of its own vec_id; repeated candidate rows
-count each, repeated query rows once; an empty table gives no rows.
+Defined results: ties go to the smaller vec_id; vectors that are null or have null or non-finite components, and rows without a
+vec_id, take no part; shorter vectors count as padded with zeros; a query does not find rows of its own vec_id; repeated candidate
+rows count each, repeated query rows once; distinct vectors under one query id are ranked apart, so a rank occurs once for each;
+an empty table gives no rows; scores are 64-bit and wrap beyond; only vec_id and embedding are read, so other columns
+cannot clash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pelagia.session import table
 
-BLOCK, QUERIES = 65_536, 128
+BLOCK, QUERIES = 131_072, 64
+#: Blocks are not made smaller than this to occupy more tasks.
+LEAST_BLOCK = 4096
 #: Levels of impact, as shares of a query's highest.
 LEVELS = (0.1, 0.04)
 
@@ -32,13 +39,14 @@ def quantised(vector: Column, scale: int = 64) -> Column:
     return F.when(fine, F.transform(vector, lambda x: F.floor(scale * x.cast("double")).cast("long")))
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+def _matrix(lists: pa.Array, width: int | None = None) -> np.ndarray:
+    """[row, component], padded with zeros, or cut, to ``width``."""
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    out = np.zeros((len(sizes), width), np.int64)
+    most = int(sizes.max(initial=0))
+    out = np.zeros((len(sizes), max(most, width or 0)), np.int64)
     row = np.repeat(np.arange(len(sizes)), sizes)
     out[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = lists.flatten().to_numpy(zero_copy_only=False)
-    return out
+    return out[:, :width]
 
 
 class ImpactIndex:
@@ -116,25 +124,39 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 20, scale: int =
     """query_id, rank, vec_id, score: the k best rows of ``candidates`` for each row of ``queries`` (vec_id, embedding)."""
     own = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("v")).where("v is not null and vec_id is not null")
     rows, asked = own(candidates), own(queries).dropDuplicates(["vec_id", "v"])
-    n_blocks = max(1, -(-candidates.count() // BLOCK))
-    q_blocks = max(1, -(-queries.count() // QUERIES))
-    a = rows.withColumn("cb", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    b = asked.withColumn("qb", F.pmod(F.xxhash64("vec_id", "v"), F.lit(q_blocks)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
-        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in names]
-        if left.num_rows and right.num_rows:
-            width = max(max(x.column("v").combine_chunks().value_lengths().to_pylist()) for x in (left, right))
-            index = ImpactIndex(_matrix(left.column("v"), width), left.column("vec_id").to_numpy())
-            asked, own_ids = _matrix(right.column("v"), width), right.column("vec_id").to_numpy()
-            for own_id, (ids, scores) in zip(own_ids, index.search(asked, own_ids, k), strict=True):
-                for column, value in zip(out, (np.full(len(ids), own_id), ids, scores), strict=True):
-                    column.append(value)
-        return pa.table({n: pa.array(np.concatenate(c).astype(np.int64)) for n, c in zip(names, out, strict=True)})
-
-    parts = a.groupBy("cb", "qb").cogroup(b.groupBy("cb", "qb")).applyInArrow(run, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    n, tasks = candidates.count(), int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-n // BLOCK), min(tasks, -(-n // LEAST_BLOCK)))
+    tag = F.xxhash64("v")  # tells the vectors of one id apart
+    a = rows.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "vec_id", tag.alias("tag"), "v")
+    b = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"), "vec_id", tag.alias("tag"), "v")
+    dealt = a.unionByName(b).repartition("block").sortWithinPartitions("block", "asks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, index, width = None, [], None, 0
+        for batch in batches:
+            of, asks = (batch.column(c).to_numpy() for c in ("block", "asks"))
+            edges = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (asks[1:] != asks[:-1]))) if len(of) else []
+            for lo, hi in zip(edges, [*edges[1:], len(of)], strict=True):
+                if of[lo] != block:
+                    block, held, index = of[lo], [], None
+                part = batch.slice(lo, hi - lo)
+                if not asks[lo]:
+                    held.append((part.column("vec_id").to_numpy(), _matrix(part.column("v"))))
+                    continue
+                if index is None and held:
+                    width = max(m.shape[1] for _, m in held)
+                    index = ImpactIndex(np.concatenate([np.pad(m, ((0, 0), (0, width - m.shape[1]))) for _, m in held]), np.concatenate([i for i, _ in held]))
+                    held = []
+                for at in range(0, part.num_rows if index is not None else 0, QUERIES):
+                    some = part.slice(at, QUERIES)
+                    ids, tags = some.column("vec_id").to_numpy(), some.column("tag").to_numpy()
+                    found = index.search(_matrix(some.column("v"), width), ids, k)
+                    sizes = [len(x) for x, _ in found]
+                    columns = [np.repeat(ids, sizes), np.repeat(tags, sizes), *(np.concatenate(c).astype(np.int64) for c in zip(*found, strict=True))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "tag", "vec_id", "score"])
+
+    parts = dealt.mapInArrow(run, "query_id long, tag long, vec_id long, score long")
+    best = Window.partitionBy("query_id", "tag").orderBy(F.desc("score"), "vec_id")
     return parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
