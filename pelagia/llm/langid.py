@@ -1,14 +1,16 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
-1- to 3-byte grams of the lower-cased text are hashed to ``BUCKETS`` cells. Each task sums them by language, Spark adds
-the sums, and the log-probability matrix [BUCKETS, languages] is broadcast (its size is fixed by the number of
-languages). A text's score is the sum of its grams' rows: a sparse product, batch by batch in numpy.
+Grams of 1 to 3 characters (code points, lower-cased one by one) are hashed to ``BUCKETS`` cells. Each task sums them by
+language, Spark adds the sums, and the log-probability matrix [BUCKETS, languages] is broadcast (its size is fixed by the number
+of languages). A text's score is the log prior of the language, its share of the learned texts, and the sum of its grams' rows: a
+sparse product, batch by batch in numpy.
 
 The model learns from all rows given: counts are summed in each task, and what reaches the driver is bounded by the
 cells and the languages, however many rows there are.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; with no learned language so is every
-text; ties go to the first language in alphabetical order; a null lang is not learned from; repeated rows repeat.
+text; ties go to the first language in alphabetical order; a null lang is not learned from, nor is a null text; an empty text
+counts for the prior; repeated rows repeat; input columns named lang_pred, score or _letter are replaced, and text is not passed on.
 """
 
 from __future__ import annotations
@@ -19,17 +21,33 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pelagia.llm._text import LOWER, buffers, slices
+from pelagia.llm._text import buffers, slices
 from pelagia.session import table
 
 BUCKETS, ORDERS, SMOOTHING = 1 << 15, 3, 0.5
 
 
-def grams(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each order the cells of the grams that begin at each byte (BUCKETS: the gram runs over its text's end); byte offsets."""
+def _lower_table() -> np.ndarray:
+    """Code point -> that of its lower case, where that is one character; beyond the table there are no cases but rare scripts'."""
+    lower = (chr(i).lower() for i in range(1 << 16))
+    return np.array([ord(x) if len(x) == 1 else i for i, x in enumerate(lower)], np.uint32)
+
+
+LOWER = _lower_table()
+
+
+def characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased code points of all texts, and the texts' offsets into them."""
     raw, offsets = buffers(column)
-    upper = np.append(False, raw[:-1] == 0xC3) & (raw >= 0x80) & (raw <= 0x9E) & (raw != 0x97)
-    low = (LOWER[raw] + np.uint8(32) * upper).astype(np.uint32)
+    points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).copy()
+    few = points < len(LOWER)
+    points[few] = LOWER[points[few]]
+    return points, np.append(0, np.cumsum((raw & 0xC0) != 0x80))[offsets]
+
+
+def grams(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each order the cells of the grams that begin at each character (BUCKETS: the gram runs over its text's end); offsets."""
+    low, offsets = characters(column)
     n = len(low)
     left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)
     out, h = [], np.zeros(n, np.uint32)
@@ -42,23 +60,24 @@ def grams(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     return out, offsets
 
 
-def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray] | None:
-    """(languages, log-probabilities [BUCKETS + 1, languages]) of rows (text, lang); null without rows."""
+def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray] | None:
+    """(languages, log-probabilities [BUCKETS + 1, languages], log priors) of rows (text, lang); null without rows."""
     rows = labelled.select("text", "lang").where("text is not null and lang is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[str, np.ndarray] = {}  # the last cell holds the number of texts
         for batch in batches:
             for part in slices(batch):
                 cells, offsets = grams(part.column("text"))
-                langs = part.column("lang").to_pylist()
+                langs = np.array(part.column("lang").to_pylist(), object)
                 for lang in set(langs):
-                    mine = np.repeat([x == lang for x in langs], np.diff(offsets))
                     own = sums.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
+                    mine = np.repeat(langs == lang, np.diff(offsets))
                     for cell in cells:
-                        own += np.bincount(cell[mine], minlength=BUCKETS + 1)
+                        own[:BUCKETS] += np.bincount(cell[mine], minlength=BUCKETS + 1)[:BUCKETS]
+                    own[BUCKETS] += np.count_nonzero(langs == lang)
         for lang, own in sums.items():
-            at = np.flatnonzero(own[:BUCKETS])
+            at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])], ["lang", "cell", "n"])
 
     found = rows.mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
@@ -67,20 +86,21 @@ def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray] | None:
         return None
     counts = np.zeros((BUCKETS + 1, len(langs)))
     counts[found.cell, found.lang.map({x: i for i, x in enumerate(langs)})] = found.n
-    logs = np.log(counts[:BUCKETS] + SMOOTHING) - np.log(counts.sum(0) + SMOOTHING * BUCKETS)
-    return langs, np.vstack((logs, np.zeros(len(langs)))).astype(np.float32)  # the last row: no gram
+    logs = np.log(counts[:BUCKETS] + SMOOTHING) - np.log(counts[:BUCKETS].sum(0) + SMOOTHING * BUCKETS)
+    prior = np.log(counts[BUCKETS]) - np.log(counts[BUCKETS].sum())
+    return langs, np.vstack((logs, np.zeros(len(langs)))).astype(np.float32), prior  # the last row: no gram
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None) -> DataFrame:
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] | None) -> DataFrame:
     """``docs`` with lang_pred and score, the posterior of the predicted language for a gram of average evidence."""
     keep = [c for c in docs.columns if c.lower() not in {"lang_pred", "score", "_letter"}]
     if model is None:
-        return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*(c for c in keep if c != "text"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, logs = shared.value
+        langs, logs, prior = shared.value
         names = np.array(langs, object)
         for batch in batches:
             for part in slices(batch):
@@ -91,13 +111,15 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None) -> Data
                     for cell in cells:
                         for j in range(len(langs)):
                             sums[some, j] += np.add.reduceat(logs[cell, j], offsets[some], dtype=np.float64)
-                # evidence of a text counts as that of 50 bytes at most, so that the posterior stays calibrated
+                # evidence of a text counts as that of 50 characters at most, so that the posterior stays calibrated
                 scale = 50 / np.maximum(np.diff(offsets), 50)
-                shifted = np.exp((sums - sums.max(1, keepdims=True)) * scale[:, None])
+                soft = prior + sums * scale[:, None]
+                shifted = np.exp(soft - soft.max(1, keepdims=True))
+                sums += prior
                 letters = part.column("_letter").to_numpy(zero_copy_only=False).astype(bool)
                 best = names[sums.argmax(1)]
                 best[~letters] = "und"
-                score = np.where(letters, shifted.max(1) / shifted.sum(1), 0.0)
+                score = np.where(letters, shifted[np.arange(len(sums)), sums.argmax(1)] / shifted.sum(1), 0.0)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep if k != "text"), pa.array(best, pa.string()), pa.array(score)], [*(k for k in keep if k != "text"), "lang_pred", "score"])
 
     others = [c for c in keep if c != "text"]
