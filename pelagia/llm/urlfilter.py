@@ -12,8 +12,9 @@ its difference by a join with the counts; orders of at most two bytes, which nea
 and are broadcast. The ``HOT`` most frequent windows are broadcast to the URLs, a fixed size; URLs with others look
 these up by a join. Any ``HOT`` gives the same scores.
 
-Defined results: a null URL or one without ``://`` has empty host and path, fits no rule and scores 0; repeated rows
-give repeated rows; without labelled URLs of both kinds every URL scores 0 and is allowed.
+Defined results: a null URL or one without ``://`` has empty host and path and fits no rule; without a host there is no
+evidence, so it scores 0 and is allowed, whatever the threshold; repeated rows give repeated rows; input columns named host, path,
+rule, said, score, threshold or verdict are replaced; without labelled URLs of both kinds every URL scores 0 and is allowed.
 """
 
 from __future__ import annotations
@@ -227,8 +228,9 @@ def filter_urls(pages: DataFrame, rules=RULES, labels: str | None = None) -> Dat
     fold = F.crc32(F.col("url")) % 5 == 0
     model = fit(own.where(~fold), pages)
     threshold = calibrate(score(own.where(fold), model)) if model is not None else 0.0
-    scored = score(judged, model).withColumn("threshold", F.lit(threshold))
-    verdict = F.coalesce(F.col("said"), F.when(F.col("score") > F.col("threshold"), "block").otherwise("allow"))
+    known = F.col("host") != ""
+    scored = score(judged, model).withColumn("score", F.when(known, F.col("score")).otherwise(0.0)).withColumn("threshold", F.lit(threshold))
+    verdict = F.coalesce(F.col("said"), F.when(known & (F.col("score") > F.col("threshold")), "block").otherwise("allow"))
     return scored.withColumn("verdict", verdict).drop("said")
 
 
