@@ -9,11 +9,13 @@ Two fingerprints are compared by the edit distance of the signatures at an equal
 the longer; the best pair counts; without an equal block size the likeness is 0.
 
 ``neighbours`` pairs each document with the next by descending doc_id without a global sort: documents are dealt to
-ranges of ids (bounds from quantiles, a number in proportion to the shuffle partitions), sorted there, and the first
+ranges of ids (bounds from quantiles, a number in proportion to the shuffle partitions; an id that fills two quantiles, and the
+null id, are dealt further by their texts' hashes), sorted there, and the first
 document of each range is sent to the range before it as well. Texts are shuffled once.
 
 Defined results: a null text is empty; equal texts have equal fingerprints; equal doc_ids are ordered by their texts'
-hashes; a null doc_id comes first, as the largest; a single document is its own next.
+hashes; a null doc_id comes first, as the largest; a single document is its own next; only doc_id and text are read, so other
+columns cannot clash.
 """
 
 from __future__ import annotations
@@ -112,14 +114,15 @@ def neighbours(docs: DataFrame) -> DataFrame:
     coarse = min(parts, 512)
     known = rows.where(F.col("_d") < keys.LAST).approxQuantile("_d", [float(i) / coarse for i in range(coarse + 1)], 1 / (10 * coarse)) or [0.0]
     known = [min(int(x), keys.LAST - 1) for x in known]
-    full = sorted({*known, known[-1] + 1})
-    full = full if len(full) > 1 else [full[0] - 1, full[0]]
+    hot = {x + 1 for x, y in zip(known, known[1:]) if x == y}
+    full = [*sorted({*known, *hot, known[-1] + 1} - {keys.LAST}), keys.LAST, keys.LAST]
     fine = -(-parts // (len(full) - 1))
     # _p: ranges from the largest ids to the least; quantiles first, then equal widths of ids within them
     edges = F.array(*(F.lit(x) for x in full))
     j = F.least(F.greatest(F.size(F.filter(edges, lambda e: e <= F.col("_d"))), F.lit(1)), F.lit(len(full) - 1))
     low, high = F.element_at(edges, j).cast("double"), F.element_at(edges, j + 1).cast("double")
-    within = F.floor((high - F.col("_d")) / (high - low) * fine)
+    by_hash = 0.5 - F.col("_h") / F.lit(2.0**64)
+    within = F.floor(F.when(high - low <= 1, by_hash).otherwise((high - F.col("_d")) / (high - low)) * fine)
     placed = rows.withColumn("_p", ((len(full) - 1 - j) * fine + F.least(F.greatest(within, F.lit(0)), F.lit(fine - 1))).cast("int"))
     firsts = placed.groupBy("_p").agg(F.max(F.struct("_d", "_h")).alias("k")).orderBy("_p").collect()  # one row a range
     before = [(r.k._d, r.k._h, p._p) for r, p in zip(firsts, [firsts[-1], *firsts[:-1]], strict=True)] if firsts else []
