@@ -100,6 +100,67 @@ def test_fingerprints(spark, docs, empty):
     assert near.b == 1.0 and near.c > 0.6 > near.d
 
 
+def plain_fingerprint(data):
+    """One byte after the other: a rolling window of 7 bytes ends chunks; letters from the sums of the chunks' hashes."""
+    full, wide = 0xFFFFFFFF, (1 << 64) - 1
+
+    def letter(total):
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            total = (total ^ total >> shift) * times & wide
+        return chr(fingerprint.ALPHABET[(total ^ total >> 31) >> 58])
+
+    block = 3
+    while block * 64 < len(data):
+        block *= 2
+    signatures = []
+    for limit in (block, 2 * block):
+        out, total, open_ = "", 0, False
+        for i in range(len(data)):
+            roll = sum((data[i - k] + 1) * pow(0x01000193, k, 1 << 32) for k in range(min(7, i + 1))) & full
+            roll = (roll ^ roll >> 15) * 0x85EBCA6B & full
+            roll ^= roll >> 13
+            total, open_ = total + ((roll * 0xC2B2AE35 & full) ^ roll >> 11) & wide, True
+            if roll % limit == limit - 1 and len(out) < 63:
+                out, total, open_ = out + letter(total), 0, False
+        signatures.append(out + (letter(total) if open_ else ""))
+    return f"{block}:{signatures[0]}:{signatures[1]}"
+
+
+def plain_likeness(a, b):
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return row[-1]
+
+    parts = [(int(x.split(":")[0]) * (k + 1), x.split(":")[1 + k]) for x in (a, b) for k in (0, 1)]
+    near = [1 - distance(x, y) / max(len(x), len(y)) if x or y else 1.0 for p, x in parts[:2] for q, y in parts[2:] if p == q]
+    return 1.0 if a == b else max(near, default=0.0)
+
+
+def test_fingerprints_and_likeness_against_plain_loops(spark):
+    texts = ["", "a", "\u00e9\u4e2d" * 9, words(3), words(40, 5), words(41, 5), words(300, 6), words(300, 6) + " tail", "x" * 3000, words(1200, 6)]
+    prints = fingerprint.fingerprint_column(pa.array(texts))
+    assert prints == [plain_fingerprint(t.encode()) for t in texts]
+    pairs = [(i, j, a, b) for i, a in enumerate(prints) for j, b in enumerate(prints)]
+    found = spark.createDataFrame(pairs, "i int, j int, a string, b string").select("a", "b", fingerprint.likeness(F.col("a"), F.col("b")).alias("x")).collect()
+    assert all(abs(r.x - plain_likeness(r.a, r.b)) < 1e-12 for r in found)
+
+
+def test_fingerprints_of_hot_ids(spark):
+    rows = [(i if i % 2 else 7, words(6, i)) for i in range(200)] + [(None, words(5, i)) for i in range(60)] + [(None, "same"), (None, "same")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    keyed = [(r._d, r._h, r.text) for r in fingerprint.keys.rows(df).collect()]
+    keyed.sort(key=lambda r: (-r[0], -r[1]))
+    want = []
+    for i, (d, _, x) in enumerate(keyed):
+        y, cut = keyed[(i + 1) % len(keyed)][2], len(x) // 3
+        want.append(str((None if d == fingerprint.keys.LAST else d, hashlib.sha256((x[: len(x) - cut] + y[:cut]).encode()).hexdigest())))
+    assert sorted(str((r.doc_id, r.edited_sha256)) for r in fingerprint.neighbours(df).collect()) == sorted(want)
+
+
 def brute_repeats(rows, size=50):
     first, out = {}, []
     rows = sorted(((float("inf") if d is None else d, d, WORD.findall((t or "").encode())) for d, t, *_ in rows), key=lambda r: r[0])
@@ -163,14 +224,81 @@ def test_jaccard_join_against_brute_force(spark, docs, empty):
     assert jaccard_join.join(empty).count() == 0
 
 
+def test_jaccard_join_in_small_blocks_and_salts(spark, monkeypatch):
+    """Many members of one frequent signature, in several components: blocks of 3, all cells frequent."""
+    for name, value in (("BLOCK", 3), ("SALTS", 3), ("FREQUENT_AT_LEAST", 2), ("FREQUENT", 1000)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    common, rows = words(90, 9), near_rows()
+    rows += [(100 + i, common + " " + words(10 + i % 4, 300 + i // 3), "en", "s", 1) for i in range(40)]
+    rows += [(200 + i, common + " " + words(60, 400 + i), "en", "s", 1) for i in range(12)] + [(220, common, "en", "s", 1)] * 2
+    found = jaccard_join.join(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in found) == brute_groups(rows)
+
+
+def test_jaccard_pairs_within_a_signature(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    rows = [(1, i, 50 + i % 7, i if i < 9 else 100 + i % 3, bytes([i % 5] * 256)) for i in range(40)]
+    got = jaccard_join._pairs_within(spark.createDataFrame(rows, "s long, g long, n int, root long, hist binary")).distinct().collect()
+    want = {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and a[3] != b[3] and 9 * 256 * abs(a[1] % 5 - b[1] % 5) <= a[2] + b[2]}
+    assert {(r.x, r.y) for r in got if (r.x, r.y) in want} == want and all(r.x < r.y for r in got)
+
+
+def plain_cell(gram):
+    """The cell of a gram, one character after the other."""
+    h, full = 0, 0xFFFFFFFF
+    for c in gram:
+        h = (h * 0x01000193 + ord(c) + 1) & full
+    h = ((h ^ h >> 15) * 0x85EBCA6B + ((len(gram) - 1) * 0x9E3779B9 & full)) & full
+    return (h ^ h >> 13) & (langid.BUCKETS - 1)
+
+
+def plain_bayes(learned, asked):
+    """text -> (language, score), with Python's own counts; grams of characters, priors of texts."""
+    lower = lambda t: "".join(c.lower() if len(c.lower()) == 1 and ord(c) < 65536 else c for c in t)
+    cut = lambda t: [plain_cell(t[i : i + k]) for k in (1, 2, 3) for i in range(len(t) - k + 1)]
+    langs = sorted({x for _, x in learned})
+    cells = {x: defaultdict(int) for x in langs}
+    for t, x in learned:
+        for c in cut(lower(t)):
+            cells[x][c] += 1
+    out = {}
+    for t in asked:
+        if not any(c.isalpha() for c in t or ""):
+            out[t] = ("und", 0.0)
+            continue
+        own = np.zeros(len(langs))
+        for j, x in enumerate(langs):
+            total = sum(cells[x].values()) + 0.5 * langid.BUCKETS
+            own[j] = sum(np.log((cells[x][c] + 0.5) / total) for c in cut(lower(t)))
+        prior = np.log([sum(y == x for _, y in learned) / len(learned) for x in langs])
+        soft = np.exp(prior + (own - own.max()) * 50 / max(len(t), 50))
+        best = int((own + prior).argmax())
+        out[t] = (langs[best], soft[best] / soft.sum())
+    return out
+
+
 def test_language(spark, docs, empty):
-    model = langid.fit(docs.select("text", "lang"))
-    found = {r.doc_id: r for r in langid.predict(docs, model).collect()}
-    assert found[3].lang_pred == found[4].lang_pred == found[12].lang_pred == "und"
-    assert all(0 <= r.score <= 1 and r.lang_pred in {"und", "en", "fr", "de"} for r in found.values())
+    rows = [("\u00c9t\u00e9 \u00e0 la plage", "fr"), ("le \u00c9T\u00c9 arrive", "fr"), ("\u4eca\u65e5\u306f\u826f\u3044\u5929\u6c17", "ja"), ("\u4eca\u65e5\u306f", "ja"), ("the day is fine", "en"), ("a fine summer day it is", "en"), ("", "en"), (None, "en"), ("lost", None)]
+    asked = ["\u00e9t\u00e9", "\u826f\u3044\u65e5", "fine day", None, "", "12 !!", "\U0001f600 the", "qqqq", "\u0130x", "the day " * 30_000]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string").repartition(3))
+    found = langid.predict(spark.createDataFrame([(i, t, "mine") for i, t in enumerate([*asked, asked[0]])], "doc_id long, text string, score string"), model)
+    assert found.columns == ["doc_id", "lang_pred", "score"]
+    want = plain_bayes([(t, x) for t, x in rows if t is not None and x is not None], asked)
+    got = {r.doc_id: r for r in found.collect()}
+    for i, t in enumerate([*asked, asked[0]]):
+        assert got[i].lang_pred == want[t][0] and abs(got[i].score - want[t][1]) < 1e-4, t
+    tied = langid.fit(spark.createDataFrame([("ab", "x"), ("ab", "w")], "text string, lang string"))
+    assert langid.predict(spark.createDataFrame([(1, "ab")], "doc_id long, text string"), tied).first().lang_pred == "w"
+    assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
     assert langid.fit(empty) is None and langid.predict(empty, None).count() == 0
 
 
+def test_language_held_out_accuracy(spark):
+    found = langid.query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
+    held = [r for r in found.where("held_out and lang is not null and lang_pred <> 'und'").collect()]
+    assert len(held) > 150 and sum(r.lang == r.lang_pred for r in held) > 0.97 * len(held)
+
+
 def test_language_learns_rare_languages_and_hot_copies(spark):
     copies = spark.range(30_000).select(F.lit("qqq www qqq").alias("text"), F.lit("hot").alias("lang"))
     others = spark.range(60_000).select(F.concat(F.lit("abc bcd "), F.col("id")).alias("text"), F.lit("big").alias("lang"))
@@ -201,6 +329,51 @@ def test_toxicity_finds_marked_words_and_offsets(spark, empty):
     assert by[900].score == by[901].score < 0.5 and by[902].spans[0].first == 0
     assert toxicity.fit(docs, known.where("toxic = 0")) is None and toxicity.tag(empty, model).count() == 0
     assert {r.score for r in toxicity.tag(docs, None).collect()} == {0.0}
+    long = spark.createDataFrame([(1, words(100_000, 5) + " zzgrumblq", "mine")], "doc_id long, text string, score string")
+    one = toxicity.tag(long, model).first()
+    assert one.spans and one.text[one.spans[0].first :] == "zzgrumblq" and 0 <= one.score <= 1
+    scores = [sorted((r.doc_id, r.score) for r in toxicity.tag(docs, toxicity.fit(docs.repartition(n), known.repartition(n))).collect()) for n in (1, 3, 7)]
+    assert all(np.allclose([x[1] for x in scores[0]], [x[1] for x in s], atol=1e-9) for s in scores)
+
+
+def test_toxicity_samples_one_text_for_each_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "b"), (2, "b"), (3, None)], "doc_id long, text string")
+    known = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, 1), (None, 1), (4, None)], "doc_id long, toxic int")
+    got = sorted((r.doc_id, r.toxic) for r in toxicity._sample(docs, known).collect())
+    assert got == [(1, 1), (2, 0), (2, 0), (3, 1)]
+
+
+def test_field_fit_against_plain_gradients():
+    """The fitted field's likelihood has no slope: expectations by enumeration equal the labels' counts, up to the penalty."""
+    rng = np.random.default_rng(4)
+    n, chunk_words = 6, 4
+    chunk = np.repeat(np.arange(n), 2)
+    place = np.tile([0, 2], n)
+    ids = rng.integers(-1, 2, (2 * n, 2))
+    labels = np.repeat(np.arange(n) % 2, 2)
+    kept, toxicity.CHUNK = toxicity.CHUNK, chunk_words
+    try:
+        field = toxicity.fit_field(chunk, place, ids, labels, 2, steps=1500)
+        theta = np.concatenate((field["weights"], [field["bias"]], field["moves"].ravel()))
+        marginal, both = toxicity._expected(theta, n, chunk, place, np.repeat(np.arange(2 * n), (ids >= 0).sum(1)), ids[ids >= 0])
+    finally:
+        toxicity.CHUNK = kept
+    for c in range(n):
+        lift = np.full(chunk_words, field["bias"])
+        for r in np.flatnonzero(chunk == c):
+            lift[place[r]] += field["weights"][ids[r][ids[r] >= 0]].sum()
+        p, moves, total = np.zeros(chunk_words), np.zeros((2, 2)), 0.0
+        for code in range(2**chunk_words):
+            tags = [code >> i & 1 for i in range(chunk_words)]
+            x = np.exp(sum(lift[i] for i, t in enumerate(tags) if t) + sum(field["moves"][a, b] for a, b in zip(tags, tags[1:])))
+            total += x
+            p += x * np.array(tags)
+            for a, b in zip(tags, tags[1:]):
+                moves[a, b] += x
+        assert np.allclose(marginal[c], p / total) and np.allclose(both[c], moves / total)
+    y = np.zeros((n, chunk_words))
+    y[chunk, place] = labels
+    assert abs((y - marginal).sum() / n - 1e-4 * field["bias"]) < 0.02
 
 
 def test_toxicity_keeps_the_prior_of_all_labels(spark, monkeypatch):
@@ -265,6 +438,22 @@ def test_top_k_against_brute_force(spark):
     assert topk.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_over_several_blocks(spark, monkeypatch):
+    for name, value in (("BLOCK", 100), ("LEAST_BLOCK", 50), ("QUERIES", 7)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=6 if i % 50 else 8).round(1).tolist()) for i in range(900)]
+    rows += [(20, rows[3][1]), (7, rows[7][1]), (40, rows[40][1])]  # two vectors under a query's id, repeated rows
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"score": F.lit("clash"), "block": F.lit(None)})
+    found = topk.search(df, df.where("vec_id % 20 = 0"), 5).collect()
+    ints = [(i, np.pad(np.floor(64 * np.array(v)), (0, 8 - len(v))).astype(int)) for i, v in rows]
+    want = []
+    for q, v in {(i, tuple(v)) for i, v in ints if i % 20 == 0}:
+        best = sorted((-int(np.dot(v, w)), i) for i, w in ints if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
 def test_top_k_stops_on_proof():
     rng = np.random.default_rng(2)
     rows, ids = rng.integers(-30, 30, (3000, 16)), np.arange(3000)
@@ -297,6 +486,19 @@ def test_licences(spark, docs, empty):
     assert license_scan.scan(docs).count() == len(cases()) and license_scan.scan(empty).count() == 0
 
 
+def test_licences_of_null_and_repeated_ids(spark, tmp_path):
+    mit, gpl = "Released under the MIT License.", "SPDX-License-Identifier: GPL-3.0-or-later"
+    rows = [(None, mit, "en", "s", 1), (-1, gpl, "en", "s", 1), (-2, "plain", "en", "s", 1), (8, mit, "en", "t", 1), (8, gpl, "en", "t", 1), (9, None, "en", "t", 1), (9, None, "en", "t", 1), (None, "", None, None, None)]
+    spark.createDataFrame(rows, SCHEMA).withColumns({"licence": F.lit("clash"), "dir": F.lit(0)}).write.parquet(f"{tmp_path}/documents.parquet")
+    got = license_scan.query(spark, str(tmp_path))
+    found = [tuple(r) for r in got.select("doc_id", "licence", "found").collect()]
+    assert (-2, "GPL-3.0", "inherited") in found and found.count((9, "GPL-3.0", "inherited")) == 2
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(license_scan.sql()).fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.select("doc_id", "dir", "own_licence", "cosine", "licence", "found", "licence_dir").collect())
+
+
 def test_url_rules_and_models(spark):
     urls = [None, "no scheme", "http://A.Example.com/en/71?x", "ftp://com/en/", "https://xcom/en/", "http://www.example.net/de/8#t", "http://b.net/de/1", "http://w.org/es/2", "http://q.org", "x://h?/en/", "http://a.com/en/5"]
     rows = list(enumerate(urls)) + [(100 + i, f"http://spam{i}.com/en/{i}") for i in range(40)] + [(200 + i, f"http://good{i}.net/de/{i}") for i in range(40)]
@@ -310,6 +512,16 @@ def test_url_rules_and_models(spark):
     assert none.verdict == "allow" and none.score == 0
 
 
+def test_urls_without_a_host_are_allowed(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "calibrate", lambda scored: -4.0)  # everything is above it
+    urls = [None, "", "no scheme", "http:///x", "http://a.io/" + "y" * 200_000, "http://a.io/1", "http://a.io/1"] + [f"http://b.com/en/{i}" for i in range(9)] + [f"http://b.net/de/{i}" for i in range(9)]
+    df = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
+    found = {r.page_id: r for r in urlfilter.filter_urls(df).collect()}
+    assert [found[i].verdict for i in range(7)] == ["allow"] * 4 + ["block"] * 3 and len(found) == len(urls)
+    assert all(found[i].score == 0 and found[i].rule is None for i in range(4)) and found[5].score == found[6].score
+    assert urlfilter.filter_urls(df.limit(0)).count() == 0
+
+
 def test_licence_texts_and_wrapped_headers(spark):
     from pelagia.llm import licence_texts as t
 

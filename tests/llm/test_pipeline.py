@@ -1,5 +1,7 @@
 """The pipeline's stages against brute force, each on its predecessor's rows."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_operators import SCHEMA, brute_groups, brute_repeats, near_rows, words
 from pelagia.llm import jaccard_join, mixing
@@ -29,7 +31,7 @@ def test_stages(spark, tmp_path):
     assert {r[0]: r[1] for r in after[2]} == {d: (text if n else before[d]) for d, (n, text) in gone.items()}
     assert any(n for n, _ in gone.values())
     mixed = mixing.mix(spark.createDataFrame(after[2], SCHEMA)).where("sampled").collect()
-    assert {r[0] for r in after[3]} == {r.doc_id for r in mixed} and len(after[3]) > 0.5 * len(after[2])
+    assert sorted(r[0] for r in after[3]) == sorted(r.doc_id for r in mixed for _ in range(r.copies)) and len(after[3]) > 0.5 * len(after[2])
     assert {r[0] for r in after[4]} == {r[0] for r in after[3]}
 
 
@@ -45,6 +47,34 @@ def test_null_and_repeated_ids(spark):
 
     rows = [(i % 50 if i % 3 else None, words(20 + i % 7, i), "en" if i % 3 else None, "hot" if i % 2 else f"s{i % 5}", 1) for i in range(300)]
     df = spark.createDataFrame(rows, SCHEMA)
-    want = [r.doc_id for r in mixing.mix(df).where("sampled").collect()]
+    want = [r.doc_id for r in mixing.mix(df).collect() for _ in range(r.copies)]
     got = [r.doc_id for r in mixing.stage(spark, df, "").collect()]
-    assert sorted(map(str, got)) == sorted(map(str, want)) and None in got and len(got) < len(rows)
+    assert sorted(map(str, got)) == sorted(map(str, want)) and None in got and 0.5 * len(rows) < len(got)
+
+
+CLASHES = ["score", "spans", "n_words", "n_removed", "removed", "kept", "_d", "_h", "_r", "stays", "_source", "_lang", "_topic", "ratio", "topic", "w", "_c1", "Score", "rows"]
+
+
+def test_clashing_columns_and_empty_tables_pass_all_stages(spark, tmp_path):
+    a = words(80, 1)
+    rows = [(i, a if i < 3 else a + " " + words(70, i), "en", "s", 9) for i in range(6)] + [(None, None, None, None, None), (7, "", "en", "s", 0)]
+    names = [c for c in CLASHES if c != "Score"]
+    df = spark.createDataFrame(rows, SCHEMA).select("*", *(F.concat(F.lit(c), F.coalesce(F.col("doc_id"), F.lit(-1))).alias(c) for c in names))
+    labels = [(i, int(i == 5)) for i in range(6)]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        for docs in (df, df.limit(0)):
+            found = stage(spark, docs, str(tmp_path))
+            assert found.columns == df.columns
+            kept = found.collect()
+            assert all(r[c] == f"{c}{-1 if r.doc_id is None else r.doc_id}" for r in kept for c in names)
+            assert bool(kept) == bool(docs.head(1))
+
+
+def test_mixing_meets_its_targets_by_copies(spark):
+    rows = [(i, words(30, i % 20), "en" if i % 3 else "fr", "hot" if i % 2 else f"s{i % 10}", 1) for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = mixing.mix(df).toPandas()
+    share = found.groupby("source").n_tokens.sum() ** mixing.TEMPERATURE
+    out = mixing.described(mixing.stage(spark, df, "")).toPandas().groupby("source").n_tokens.sum()
+    assert (abs(out / out.sum() - share / share.sum()) < 0.02).all() and found.copies.max() > 1
