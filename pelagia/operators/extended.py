@@ -16,8 +16,9 @@ Columns = list[Column]
 
 
 def uniform(seed: str, *keys: str) -> Column:
-    """A number in (0, 1) hashed from the seed and the keys."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    """A number in (0, 1) hashed from the seed and the keys, equal on every engine: twelve hexadecimal digits of an md5."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), *(F.col(k).cast("string") for k in keys)))
+    return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + 0.5) / float(1 << 48)
 
 
 def normal(seed: str, *keys: str) -> Column:
@@ -162,21 +163,9 @@ def coded(df: DataFrame, bits: dict[str, int]) -> DataFrame:
     return wide.select(*(F.rint(share(c) * (2 ** bits[c] - 1)).cast("int").alias(c) if c in bits else F.col(c) for c in df.columns))
 
 
-def surfel_pairs(tiled: DataFrame) -> DataFrame:
-    """(splat, pixel) pairs of surfels: the lesser of the projected and the screen-space sigma."""
-    t = F.col("tile")
-    df = tiled.withColumn("py", F.explode(F.sequence(F.col("tile_y") * t, F.least((F.col("tile_y") + 1) * t, F.col("height")) - 1)))
-    df = df.withColumn("px", F.explode(F.sequence(F.col("tile_x") * t, F.least((F.col("tile_x") + 1) * t, F.col("width")) - 1)))
-    df = df.withColumns({"dx": F.col("px") + 0.5 - F.col("u"), "dy": F.col("py") + 0.5 - F.col("v")})
-    dx, dy = F.col("dx"), F.col("dy")
-    df = df.withColumn("sigma", F.round(F.least(0.5 * (F.col("ca_") * dx * dx + F.col("cc_") * dy * dy) + F.col("cb_") * dx * dy, dx * dx + dy * dy), 9))
-    df = df.withColumn("alpha", F.round(F.least(F.lit(0.999), F.col("o") * F.exp(-F.col("sigma"))), 9))
-    return df.where((F.col("sigma") >= 0) & (F.col("alpha") >= round(1 / 255, 9)))
-
-
 def random_cap(df: DataFrame, key: str, n: int, seed: str = "cap") -> DataFrame:
     """At most n random rows of each key. The window keeps n rows of a key in each task before the shuffle."""
-    order = Window.partitionBy(key).orderBy(F.xxhash64(F.lit(seed), "gid"), "gid")
+    order = Window.partitionBy(key).orderBy(uniform(seed, "gid"), "gid")
     return df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).drop("place")
 
 
@@ -239,12 +228,12 @@ def spiral(one: DataFrame, n: int) -> DataFrame:
     return one.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).select("i", F.cos(t).alias("x"), F.sin(t).alias("y"), F.sin(t / 2).alias("z"))
 
 
-def random_patch(images: DataFrame, side: int) -> DataFrame:
-    """A random side x side patch of each image, coordinates from its corner."""
+def random_patch(images: DataFrame, side: int, cx: float, cy: float) -> DataFrame:
+    """A random side x side patch of each image, coordinates and the principal point from its corner."""
     oy, ox = (F.floor(uniform(f"patch:{a}", "img") * (16 - side + 1)).cast("int") for a in "yx")
     df = images.withColumns({"oy": oy, "ox": ox})
     inside = (F.col("py") - F.col("oy")).between(0, side - 1) & (F.col("px") - F.col("ox")).between(0, side - 1)
-    return df.where(inside).select("img", (F.col("py") - F.col("oy")).alias("py"), (F.col("px") - F.col("ox")).alias("px"), "v")
+    return df.where(inside).select("img", (F.col("py") - F.col("oy")).alias("py"), (F.col("px") - F.col("ox")).alias("px"), "v", (cx - F.col("ox")).cast("double").alias("cx"), (cy - F.col("oy")).cast("double").alias("cy"))
 
 
 def noised(splats: DataFrame, scale: float = 0.01, seed: str = "noise") -> DataFrame:
@@ -258,69 +247,6 @@ def noised(splats: DataFrame, scale: float = 0.01, seed: str = "noise") -> DataF
     return splats.withColumns({c: F.col(c) + m for c, m in zip("xyz", moved, strict=True)})
 
 
-def split(splats: DataFrame, mask: Column, shrink: float = 1.6, keep_parent: bool = False) -> DataFrame:
-    """Masked splats become two children at mean + R (scale * normal) with shrunk scales; with ``keep_parent`` the parent stays, shrunk too."""
-    from pelagia.functions import geometry as G
-
-    children = F.array(*(F.lit(k) for k in ([0, 1, 2] if keep_parent else [1, 2])))
-    df = splats.withColumn("child", F.explode(F.when(mask, children).otherwise(F.array(F.lit(-1)))))
-    made, new = F.col("child") >= 0, F.col("child") >= 1
-    noise = [F.col(s) * normal(f"split:{s}", "gid", "child") for s in ("sx", "sy", "sz")]
-    moved = G.matvec(G.quat_to_rotmat(*(F.col(c) for c in ("qw", "qx", "qy", "qz"))), noise)
-    at = {c: F.when(new, F.col(c) + m).otherwise(F.col(c)) for c, m in zip("xyz", moved, strict=True)}
-    return df.withColumns({**at, **{s: F.when(made, F.col(s) / shrink).otherwise(F.col(s)) for s in ("sx", "sy", "sz")}})
-
-
-def relocated(splats: DataFrame, dead: float) -> DataFrame:
-    """Splats of opacity up to ``dead`` take the parameters of live ones drawn by opacity; a source drawn k times shares its
-    opacity over k + 1 splats: 1 - (1 - o)^(1 / (k + 1))."""
-    gone = splats.where(F.col("o") <= dead)
-    live = splats.where(F.col("o") > dead)
-    n = gone.count()
-    if not n:
-        return splats
-    draws = written(weighted_sample(live, "gid", "o", n, "relocate"))
-    counts = draws.groupBy("gid").agg(F.count("*").alias("k"))
-    share = 1 - F.pow(1 - F.col("o"), 1 / (F.coalesce("k", F.lit(0)) + 1))
-    kept = live.join(counts, "gid", "left").withColumn("o", F.when(F.col("k").isNull(), F.col("o")).otherwise(share)).drop("k")
-    slots = indexed(gone.select(F.col("gid").alias("slot")), "slot").withColumnRenamed("i", "draw")
-    filled = slots.join(draws, "draw").join(kept, "gid").drop("gid", "draw").withColumnRenamed("slot", "gid")
-    return kept.unionByName(filled)
-
-
-def sample_added(splats: DataFrame, growth: float, cap: int) -> DataFrame:
-    """Append min(cap, growth * N) - N splats drawn by opacity; new ids follow the largest."""
-    n, top = splats.agg(F.count("*"), F.max("gid")).first()
-    more = min(cap, int(growth * n)) - n
-    if more <= 0:
-        return splats
-    draws = weighted_sample(splats, "gid", "o", more, "add")
-    added = draws.join(splats, "gid").withColumn("gid", F.col("draw") + int(top) + 1).drop("draw")
-    return splats.unionByName(added)
-
-
-def surfel_projection(pairs: DataFrame) -> DataFrame:
-    """u, v, radius and the normal towards the viewer of flat splats: the ray transform T = K [s_u t_u, s_v t_v, p] maps the
-    splat's plane to the image; its bound at three sigmas gives the centre and the half extents."""
-    from pelagia.functions import geometry as G
-
-    m = G.quat_to_rotmat(*(F.col(c) for c in ("qw", "qx", "qy", "qz")))
-    df = pairs.withColumns({f"m{i}": c for i, c in enumerate(m)})
-    ca, sa = F.col("ca"), F.col("sa")
-    turn = lambda x, y, z: (ca * x + sa * z, y, -sa * x + ca * z)
-    a = turn(*(F.col(f"m{i}") * F.col("sx") for i in (0, 3, 6)))
-    b = turn(*(F.col(f"m{i}") * F.col("sy") for i in (1, 4, 7)))
-    p = [c + t for c, t in zip(turn(F.col("x"), F.col("y"), F.col("z")), (F.col("tx"), F.col("ty"), F.col("tz")), strict=True)]
-    n = turn(*(F.col(f"m{i}") for i in (2, 5, 8)))
-    df = df.withColumns({**{f"p{i}": c for i, c in enumerate(p)}, **{f"n{i}": c for i, c in enumerate(n)}, **{f"t{k}{i}": c for i, col in enumerate((a, b, p)) for k, c in enumerate((F.col("fx") * col[0] + F.col("cx") * col[2], F.col("fy") * col[1] + F.col("cy") * col[2], col[2]))}})
-    f = (9.0, 9.0, -1.0)
-    total = lambda r, s: f[0] * F.col(f"t{r}0") * F.col(f"t{s}0") + f[1] * F.col(f"t{r}1") * F.col(f"t{s}1") + f[2] * F.col(f"t{r}2") * F.col(f"t{s}2")
-    df = df.withColumn("d", total(2, 2)).withColumns({"u": total(0, 2) / F.col("d"), "v": total(1, 2) / F.col("d"), "e0": total(0, 0) / F.col("d"), "e1": total(1, 1) / F.col("d")})
-    half = lambda c, e: F.sqrt(F.greatest(F.lit(1e-4), F.col(c) * F.col(c) - F.col(e)))
-    sign = F.when(F.col("p0") * F.col("n0") + F.col("p1") * F.col("n1") + F.col("p2") * F.col("n2") > 0, -1.0).otherwise(1.0)
-    return df.select("cam", "gid", "u", "v", F.greatest(half("u", "e0"), half("v", "e1")).alias("extent"), (sign * F.col("n0")).alias("nx"), (sign * F.col("n2")).alias("nz"), "p2")
-
-
 def median_filtered(images: DataFrame, reach: int) -> DataFrame:
     """Median of each pixel's column within reach, and whether the pixel is an outlier of it."""
     near = F.array_sort(F.collect_list("v").over(Window.partitionBy("img", "px").orderBy("py").rowsBetween(-reach, reach)))

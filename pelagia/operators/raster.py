@@ -77,10 +77,19 @@ def tiles(projected: DataFrame) -> DataFrame:
 
 
 def pixel_pairs(tiled: DataFrame, least_alpha: float = 1 / 255) -> DataFrame:
-    """One row for each (splat, pixel) with alpha of at least ``least_alpha``: px, py, sigma, alpha."""
-    t = F.col("tile")
-    df = tiled.withColumn("py", F.explode(F.sequence(F.col("tile_y") * t, F.least((F.col("tile_y") + 1) * t, F.col("height")) - 1)))
-    df = df.withColumn("px", F.explode(F.sequence(F.col("tile_x") * t, F.least((F.col("tile_x") + 1) * t, F.col("width")) - 1)))
+    """One row for each (splat, pixel) with alpha of at least ``least_alpha``: px, py, sigma, alpha. An alpha of a or more
+    means a sigma of ln(o / a) at most: only the pixels of that ellipse's box in the tile are made."""
+    t, det = F.col("tile"), F.col("ca_") * F.col("cc_") - F.col("cb_") * F.col("cb_")
+    most = F.greatest(F.ln(F.col("o") / round(least_alpha, 9)), F.lit(0.0)) + 1e-6
+
+    def pixels(at: str, tile: str, side: str, other: str) -> Column:
+        # half the box, and a pixel more against rounding; all of the tile where the conic is no ellipse
+        half = F.when(det > 0, F.sqrt(2 * most * F.col(other) / F.when(det > 0, det).otherwise(1.0)) + 1).otherwise(F.lit(1e9))
+        low = F.greatest(F.col(tile) * t, F.floor(F.greatest(F.col(at) - half - 0.5, F.lit(-1e9))).cast("int"))
+        high = F.least((F.col(tile) + 1) * t, F.col(side), F.ceil(F.least(F.col(at) + half - 0.5, F.lit(1e9))).cast("int") + 1) - 1
+        return F.when(low <= high, F.sequence(low, high))
+
+    df = tiled.withColumn("py", F.explode(pixels("v", "tile_y", "height", "ca_"))).withColumn("px", F.explode(pixels("u", "tile_x", "width", "cc_")))
     dx, dy = F.col("px") + 0.5 - F.col("u"), F.col("py") + 0.5 - F.col("v")
     df = df.withColumn("sigma", F.round(0.5 * (F.col("ca_") * dx * dx + F.col("cc_") * dy * dy) + F.col("cb_") * dx * dy, 9))
     df = df.withColumn("alpha", F.round(F.least(F.lit(0.999), F.col("o") * F.exp(-F.col("sigma"))), 9))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pelagia.functions import geometry as G
-from pelagia.operators import cloud, extended as X, raster
+from pelagia.operators import cloud, extended as X, raster, surfel
 from pelagia.plans import scene
 from pelagia.plans.imaging import I, S
 from pelagia.plans.register import R, query, r6
@@ -258,34 +258,49 @@ def _(view):
     return view("customer").repartition(F.col("c_nationkey")).groupBy(F.col("c_nationkey").alias("cam")).agg(F.count("*").alias("n"))
 
 
+_FLAT = scene.CAMERA.replace("cc as (select *,", "cc as (select *, ca * m00 * sx + sa * m20 * sx as a0, m10 * sx as a1, -sa * m00 * sx + ca * m20 * sx as a2, ca * m01 * sy + sa * m21 * sy as b0, m11 * sy as b1, -sa * m01 * sy + ca * m21 * sy as b2, ca * m02 + sa * m22 as n0, m12 as n1, -sa * m02 + ca * m22 as n2,") + """,
+t as (select * replace (0 as m00), fx * a0 + cx * a2 as t00, fx * b0 + cx * b2 as t01, fx * mx + cx * mz as t02, fy * a1 + cy * a2 as t10, fy * b1 + cy * b2 as t11, fy * my + cy * mz as t12, a2 as t20, b2 as t21, mz as t22, round(mz, 9) as depth,
+  case when mx * n0 + my * n1 + mz * n2 < 0 then 1 else -1 end as facing from cc),
+d as (select *, t20 * t20 + t21 * t21 - t22 * t22 as d from t),
+e as (select *, round((t00 * t20 + t01 * t21 - t02 * t22) / d, 9) as u, round((t10 * t20 + t11 * t21 - t12 * t22) / d, 9) as v, (t00 * t00 + t01 * t01 - t02 * t02) / d as e0, (t10 * t10 + t11 * t11 - t12 * t12) / d as e1 from d where abs(d) > 1e-6),
+h as (select *, case when depth > 0.01 and depth < 1e10 then ceil(round(3 * greatest(sqrt(greatest(1e-4, u * u - e0)), sqrt(greatest(1e-4, v * v - e1))), 6))::int else 0 end as rad from e),
+pr as materialized (select cam, gid, u, v, depth, o, r, tile, width, height, t00, t01, t02, t10, t11, t12, t20, t21, t22, facing * n0 as nx, facing * n1 as ny, facing * n2 as nz, case when u + rad > 0 and u - rad < width and v + rad > 0 and v - rad < height then rad else 0 end as radius from h)"""
+_FLAT_PAIRS = _FLAT + scene.TILED[len(scene.PROJECTED):] + """,
+p1 as (select *, unnest(range(tile_y * tile, least((tile_y + 1) * tile, height)))::int as py from tl), p2 as (select *, unnest(range(tile_x * tile, least((tile_x + 1) * tile, width)))::int as px from p1),
+p3 as (select *, (px + 0.5) * t20 - t00 as a0, (px + 0.5) * t21 - t01 as a1, (px + 0.5) * t22 - t02 as a2, (py + 0.5) * t20 - t10 as b0, (py + 0.5) * t21 - t11 as b1, (py + 0.5) * t22 - t12 as b2 from p2),
+p4 as (select *, a1 * b2 - a2 * b1 as ray0, a2 * b0 - a0 * b2 as ray1, a0 * b1 - a1 * b0 as ray2 from p3),
+p5 as (select *, round(0.5 * least(case when ray2 <> 0 then (ray0 * ray0 + ray1 * ray1) / (ray2 * ray2) end, 2 * ((px + 0.5 - u) * (px + 0.5 - u) + (py + 0.5 - v) * (py + 0.5 - v))), 9) as sigma from p4),
+p6 as (select *, round(least(0.999, o * exp(-sigma)), 9) as alpha from p5),
+pp as materialized (select * from p6 where alpha >= round(1 / 255.0::double, 9))"""
+_FLAT_WEIGHTS = _FLAT_PAIRS + scene.WEIGHTED[len(scene.PAIRS):]
+
+
+def _flat(view) -> DataFrame:
+    return written(surfel.project(raster.cameras_by_splats(view("cams"), view("splats").repartition("gid"))))
+
+
 def _surfels(view) -> DataFrame:
-    return X.surfel_pairs(raster.tiles(scene.projected(view)))
+    return surfel.pixel_pairs(raster.tiles(_flat(view)))
 
 
-@query("jn_tile_pixels_2dgs", scene.TILED + f""",
-p1 as (select *, unnest(range(tile_y * tile, least((tile_y + 1) * tile, height)))::int as py from tl), p2 as (select *, unnest(range(tile_x * tile, least((tile_x + 1) * tile, width)))::int as px from p1),
-p3 as (select *, px + 0.5 - u as dx, py + 0.5 - v as dy from p2),
-p4 as (select *, round(least(0.5 * (ca_ * dx * dx + cc_ * dy * dy) + cb_ * dx * dy, dx * dx + dy * dy), 9) as sigma from p3),
-p5 as (select *, round(least(0.999, o * exp(-sigma)), 9) as alpha from p4)
-select cam, gid, count(*) as n, round(sum(alpha), 9) as a from p5 where sigma >= 0 and alpha >= round(1 / 255.0::double, 9) group by 1, 2""")
+@query("jn_tile_pixels_2dgs", f"{_FLAT_PAIRS} select cam, gid, count(*) as n, {R('sum(alpha)')} as a from pp group by 1, 2")
 def _(view):
-    return _surfels(view).groupBy("cam", "gid").agg(F.count("*").alias("n"), F.round(F.sum("alpha"), 9).alias("a"))
+    return _surfels(view).groupBy("cam", "gid").agg(F.count("*").alias("n"), r6(F.sum("alpha")).alias("a"))
+
 
+_SUMS = ("r", "a", "d", "nx", "ny", "nz", "distortion")
 
-@query("ag_composite_2dgs", f"""{scene.WEIGHTED} select cam, px, py, round(sum(alpha * t), 9) as a, {R('sum(alpha * t * depth)')} as d, {R('max(depth) filter (round(t, 9) > 0.5)')} as median from ww group by 1, 2, 3""")
+
+@query("ag_composite_2dgs", f"""{_FLAT_WEIGHTS}, w2 as (select *, alpha * t as w from ww),
+w3 as (select *, coalesce(sum(w) over b, 0) as pa, coalesce(sum(w * depth) over b, 0) as pd from w2 window b as (partition by cam, px, py order by depth, gid rows between unbounded preceding and 1 preceding))
+select cam, px, py, {R('sum(w * r)')} as r, {R('sum(w)')} as a, {R('sum(w * depth)')} as d, {R('sum(w * nx)')} as nx, {R('sum(w * ny)')} as ny, {R('sum(w * nz)')} as nz, {R('sum(2 * w * (depth * pa - pd))')} as distortion, {R('max(depth) filter (round(t, 9) > 0.5)')} as median from w3 group by 1, 2, 3""")
 def _(view):
-    w = F.col("alpha") * F.col("t")
-    return scene.weighted(view).groupBy("cam", "px", "py").agg(F.round(F.sum(w), 9).alias("a"), r6(F.sum(w * F.col("depth"))).alias("d"), r6(F.max(F.when(F.round("t", 9) > 0.5, F.col("depth")))).alias("median"))
+    return surfel.composite(raster.transmittance(_surfels(view))).select("cam", "px", "py", *(r6(c).alias(c) for c in _SUMS), r6("median").alias("median"))
 
 
-@query("sc_proj_2dgs", scene.CAMERA.replace("cc as (select *,", "cc as (select *, ca * m00 * sx + sa * m20 * sx as a0, m10 * sx as a1, -sa * m00 * sx + ca * m20 * sx as a2, ca * m01 * sy + sa * m21 * sy as b0, m11 * sy as b1, -sa * m01 * sy + ca * m21 * sy as b2, ca * m02 + sa * m22 as n0, m12 as n1, -sa * m02 + ca * m22 as n2,") + f""",
-t as (select *, fx * a0 + cx * a2 as t00, fx * b0 + cx * b2 as t01, fx * mx + cx * mz as t02, fy * a1 + cy * a2 as t10, fy * b1 + cy * b2 as t11, fy * my + cy * mz as t12 from cc),
-d as (select *, 9 * a2 * a2 + 9 * b2 * b2 - mz * mz as d from t),
-e as (select *, (9 * t00 * a2 + 9 * t01 * b2 - t02 * mz) / d as u, (9 * t10 * a2 + 9 * t11 * b2 - t12 * mz) / d as v, (9 * t00 * t00 + 9 * t01 * t01 - t02 * t02) / d as e0, (9 * t10 * t10 + 9 * t11 * t11 - t12 * t12) / d as e1 from d)
-select cam, gid, {R('u')} as u, {R('v')} as v, {R('greatest(sqrt(greatest(1e-4, u * u - e0)), sqrt(greatest(1e-4, v * v - e1)))')} as extent, {R('case when mx * n0 + my * n1 + mz * n2 > 0 then -n0 else n0 end')} as nx, {R('case when mx * n0 + my * n1 + mz * n2 > 0 then -n2 else n2 end')} as nz from e where mz > 3""")
+@query("sc_proj_2dgs", f"{_FLAT} select cam, gid, radius, {R('u')} as u, {R('v')} as v, {R('depth')} as depth, {R('nx')} as nx, {R('ny')} as ny, {R('nz')} as nz from pr where radius > 0")
 def _(view):
-    df = X.surfel_projection(raster.cameras_by_splats(view("cams"), view("splats").repartition("gid")))
-    return written(df).where("p2 > 3").select("cam", "gid", *(r6(c).alias(c) for c in ("u", "v", "extent", "nx", "nz")))
+    return _flat(view).where("radius > 0").select("cam", "gid", "radius", *(r6(c).alias(c) for c in ("u", "v", "depth", "nx", "ny", "nz")))
 
 
 @query("wn_median_filter", f"{I}, m as (select img, py, px, v, median(v) over (partition by img, px order by py rows between 2 preceding and 2 following) as m from img_px) select img, py, px, m::double as m, abs(v - m) > 60 as odd from m")
@@ -335,79 +350,6 @@ def _(view):
     return X.undistorted(view("img_px"), 16, 0.1)
 
 
-# Below, randomness is hashed from ids: equal on every run and at every partitioning; rows only, no oracle.
-
-
-@query("so_random_cap")
-def _(view):
-    return X.random_cap(view("splats").select("gid", "scene"), "scene", 10)
-
-
-@query("so_weighted_sample")
-def _(view):
-    return X.weighted_sample(view("splats").select("gid", "o"), "gid", "o", 200)
-
-
-@query("so_uniform_box")
-def _(view):
-    return X.uniform_box(view("cloud_a"), 500)
-
-
-@query("so_gaussian_sample")
-def _(view):
-    return X.gaussian_sample(view("splats"), 4)
-
-
-@query("so_plas_grid")
-def _(view):
-    return X.morton_grid(view("splats"), "gid", "o")
-
-
-@query("sc_elevation_samples")
-def _(view):
-    return X.elevation_samples(view("sonar_px").where("v > 0.9"), 3)
-
-
-@query("sc_trajectories")
-def _(view):
-    return X.spiral(view("region").limit(1), 120)
-
-
-@query("flt_random_patch")
-def _(view):
-    return X.random_patch(view("img_px"), 8)
-
-
-@query("dm_noise")
-def _(view):
-    return X.noised(view("splats"))
-
-
-@query("dm_split")
-def _(view):
-    return X.split(view("splats"), F.col("o") > 0.5)
-
-
-@query("dm_relocate")
-def _(view):
-    return X.relocated(view("splats"), 0.05)
-
-
-@query("dm_sample_add")
-def _(view):
-    return X.sample_added(view("splats"), 1.05, 100_000)
-
-
-@query("dm_policy_mcmc")
-def _(view):
-    return X.noised(X.sample_added(X.relocated(view("splats"), 0.05), 1.05, 100_000))
-
-
-@query("dm_densify_3dgs")
-def _(view):
-    return X.split(view("splats"), (F.col("o") > 0.3) & (F.greatest("sx", "sy", "sz") > 0.1), shrink=0.8 * 2)
-
-
-@query("dm_cull_water")
+@query("sc_trajectories", f"select i::int as i, {R('cos(i / 120.0::double * 4 * pi())')} as x, {R('sin(i / 120.0::double * 4 * pi())')} as y, {R('sin(i / 120.0::double * 2 * pi())')} as z from range(120) t(i)")
 def _(view):
-    return X.split(view("splats").where((F.col("o") >= 0.1) & (F.greatest("sx", "sy", "sz") <= 0.6)), F.greatest("sx", "sy", "sz") > 0.3, keep_parent=True)
+    return X.spiral(view("region").limit(1), 120).select("i", *(r6(c).alias(c) for c in "xyz"))

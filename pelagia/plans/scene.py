@@ -29,8 +29,9 @@ cc as (select *, ca * x + sa * z + tx as mx, y + ty as my, -sa * x + ca * z + tz
   sa * sa * w00 - 2 * ca * sa * w02 + ca * ca * w22 as k22 from cov, cams)"""
 PROJECTED = CAMERA + """,
 zz as (select *, case when abs(mz) < 1e-6 then 1e-6 else mz end as z_ from cc),
-tt as (select *, z_ * least(1.3 * 0.5 * width / fx, greatest(-1.3 * 0.5 * width / fx, mx / z_)) as txc,
-  z_ * least(1.3 * 0.5 * height / fy, greatest(-1.3 * 0.5 * height / fy, my / z_)) as tyc from zz),
+lm as (select *, (width - cx) / fx + 0.3 * 0.5 * width / fx as right_, cx / fx + 0.3 * 0.5 * width / fx as left_,
+  (height - cy) / fy + 0.3 * 0.5 * height / fy as down_, cy / fy + 0.3 * 0.5 * height / fy as up_ from zz),
+tt as (select *, z_ * least(right_, greatest(-left_, mx / z_)) as txc, z_ * least(down_, greatest(-up_, my / z_)) as tyc from lm),
 jj as (select *, fx / z_ as ja, -fx * txc / (z_ * z_) as jb, fy / z_ as jc, -fy * tyc / (z_ * z_) as jd from tt),
 c2 as (select *, round(fx * mx / z_ + cx, 9) as u, round(fy * my / z_ + cy, 9) as v, round(mz, 9) as depth,
   ja * ja * k00 + 2 * ja * jb * k02 + jb * jb * k22 as c0, ja * jc * k01 + ja * jd * k02 + jb * jc * k12 + jb * jd * k22 as c1,
@@ -113,14 +114,16 @@ def _(view):
     return df.select("cam", "gid", *(r6(c).alias(n) for c, n in zip([*mean, *cov], ("u", "v", "c0", "c1", "c2"), strict=True)))
 
 
+_QUAD = lambda p: " + ".join(f"{p}{i} * {p}{j} * k{min(i, j)}{max(i, j)}" for i in range(3) for j in range(3))
+
+
 @query("sc_proj_fisheye", CAMERA + f""",
-f1 as (select *, sqrt(mx * mx + my * my) + 1e-7 as xy, mx * mx + 1e-7 as x2, my * my as y2, mx * my as xym from cc where mz > 0.1),
-f2 as (select *, atan2(xy, mz + 1e-7) as th, x2 + y2 as r2, x2 + y2 + mz * mz as r3 from f1),
-f3 as (select *, atan2(sqrt(r2), mz) / sqrt(r2) / r2 as b_, mz / (r3 * r2) as a_ from f2),
-f4 as (select *, fx * (x2 * a_ + y2 * b_) as j0, fx * xym * (a_ - b_) as j1, -fx * mx / r3 as j2, fy * xym * (a_ - b_) as j3, fy * (y2 * a_ + x2 * b_) as j4, -fy * my / r3 as j5 from f3)
-select cam, gid, {R('mx * fx * th / xy + cx')} as u, {R('my * fy * th / xy + cy')} as v,
- {R('j0*j0*k00 + j1*j1*k11 + j2*j2*k22 + 2*j0*j1*k01 + 2*j0*j2*k02 + 2*j1*j2*k12')} as c0,
- {R('j3*j3*k00 + j4*j4*k11 + j5*j5*k22 + 2*j3*j4*k01 + 2*j3*j5*k02 + 2*j4*j5*k12')} as c2 from f4""")
+f1 as (select *, sqrt(mx * mx + my * my) as off_, mx * mx + my * my + mz * mz as sq from cc where mz > 0.1),
+f2 as (select *, case when off_ > 1e-7 then mx / off_ else 1 end as dir_x, case when off_ > 1e-7 then my / off_ else 0 end as dir_y,
+  case when off_ > 1e-7 then atan2(off_, mz) / off_ else 1 / mz end as side, mz / sq as outward, -off_ / sq as ahead from f1),
+f3 as (select *, fx * (dir_x * dir_x * outward + dir_y * dir_y * side) as jx0, fx * dir_x * dir_y * (outward - side) as jx1, fx * dir_x * ahead as jx2,
+  fy * dir_x * dir_y * (outward - side) as jy0, fy * (dir_y * dir_y * outward + dir_x * dir_x * side) as jy1, fy * dir_y * ahead as jy2 from f2)
+select cam, gid, {R('fx * side * mx + cx')} as u, {R('fy * side * my + cy')} as v, {R(_QUAD('jx'))} as c0, {R(_QUAD('jy'))} as c2 from f3""")
 def _(view):
     df = raster.to_camera(_pairs(view)).where("mz > 0.1")
     fx, fy, cx, cy = (F.col(c) for c in ("fx", "fy", "cx", "cy"))

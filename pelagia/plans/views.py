@@ -25,8 +25,8 @@ TEXTS = {
   round(1 / (1 + exp(-8 * {e:14})), 6) as b, round(1 / (1 + exp(-8 * {e:15})), 6) as refl, round(1 / (1 + exp(-8 * {e:16})), 6) as sat
   from embeddings""",
     "cams": """select r_regionkey as cam, round(cos(2 * pi() * r_regionkey / 25), 9) as ca, round(sin(2 * pi() * r_regionkey / 25), 9) as sa,
-  cast(0 as double) as tx, cast(0 as double) as ty, cast(6 as double) as tz, cast(40 as double) as fx, cast(40 as double) as fy,
-  cast(32 as double) as cx, cast(24 as double) as cy, 64 as width, 48 as height, 16 as tile from region""",
+  cast(0 as double) as tx, cast(0 as double) as ty, cast(6 as double) as tz, cast(40 + r_regionkey as double) as fx, cast(40 as double) as fy,
+  cast(32 + 3 * r_regionkey as double) as cx, cast(24 - 2 * r_regionkey as double) as cy, 64 as width, 48 as height, 16 as tile from region""",
     "sonar_px": """select cast(l_suppkey % 20 as int) as frame, cast(l_partkey % 64 as int) as rng, cast(l_orderkey % 48 as int) as az,
   round(avg(cast(l_quantity as double)) / 50, 6) as v from lineitem group by 1, 2, 3""",
     "cloud_a": """select p_partkey as pid, cast(p_partkey * 37 % 101 as double) / 10 as x, cast(p_partkey * 53 % 97 as double) / 10 as y,

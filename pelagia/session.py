@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,10 +28,13 @@ def local_session(cores: str | int = 8, partitions: int = 8, **conf: str) -> Spa
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary one, and any
+    other an error: its executors could not read the driver's folder."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pelagia-checkpoints-")
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir()
@@ -45,13 +50,47 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out._pelagia_path = path
+    return out
+
+
+_written: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes, at the end, the tables ``written`` inside, but for those given to the function that it yields."""
+    first, kept = len(_written), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._pelagia_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        mine, _written[first:] = _written[first:], [p for p in _written[first:] if p in kept]
+        for path in mine:
+            if path not in kept:
+                _delete(spark, path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the table that ``written`` returned."""
+    _delete(df.sparkSession, df._pelagia_path)
 
 
 def drop_written(spark: SparkSession) -> None:
     """Delete all tables that this application wrote; DataFrames that read them end with it."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _own_dir(spark))
+    _written.clear()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Every registered query with an oracle equals DuckDB on sf0.001; the rest run."""
 
+from decimal import Decimal
+
 import duckdb
-import numpy as np
 import pytest
 
 from pelagia import catalog_of_queries as base
@@ -19,16 +20,18 @@ def con():
 
 
 def plain(v):
-    return str(np.asarray(v).tolist()) if isinstance(v, (list, np.ndarray)) else str(v)
+    return str(int(v)) if isinstance(v, Decimal) and v == int(v) else str(v)
 
 
 @pytest.mark.parametrize("name", sorted(base.queries()))
 def test_query_equals_oracle(spark, con, name):
-    got = base.queries()[name](spark, SF).toPandas()
+    found = base.queries()[name](spark, SF)
     if name not in base.oracle_sql():
+        assert found.collect() is not None
         return
-    want = con.execute(base.oracle_sql()[name]).df()
-    assert set(got.columns) == set(want.columns)
-    columns = sorted(got.columns)
-    rows = lambda df: sorted(tuple(plain(v) for v in r) for r in df[columns].itertuples(index=False))
+    # through Arrow: pandas would turn a nullable integer into a float
+    got, want = found.toArrow(), con.sql(base.oracle_sql()[name]).to_arrow_table()
+    assert set(got.column_names) == set(want.column_names)
+    columns = sorted(got.column_names)
+    rows = lambda t: sorted(tuple(plain(r[c]) for c in columns) for r in t.to_pylist())
     assert rows(got) == rows(want)
