@@ -52,7 +52,7 @@ SMALL, SPREAD = 128, 1.5
 #: Cells of a set's histogram.
 HISTOGRAM = 256
 #: Members of a signature that are compared in one group of pairs, about.
-BLOCK = 1024
+BLOCK = 256
 #: Tasks over which the members of a signature of frequent elements are dealt.
 SALTS = 32
 
@@ -303,8 +303,9 @@ def join(docs: DataFrame) -> DataFrame:
     # one row for a set: its least document
     nodes = every.where("n > 0").groupBy("g").agg(F.min(F.struct("_d", "_h", "n", "hist")).alias("k")).select("g", "k.*")
     nodes = written(nodes)
-    # one exchange of signatures serves the counts and the join; _salt is opaque, so no filter moves below the exchange
-    dealt = _signed_sets(rows, cells).select("s", "salt", F.struct("g", "n").alias("m")).repartition("s", "salt")
+    # one exchange of signatures serves the counts and the join; _salt is opaque, so no filter moves below the exchange,
+    # and the joins' null filters are there already
+    dealt = _signed_sets(rows, cells).where("s is not null and salt is not null").select("s", "salt", F.struct("g", "n").alias("m")).repartition("s", "salt")
     counts = dealt.groupBy("s", "salt").agg(F.min("m.g").alias("least"), F.max("m").alias("most"), F.count("*").alias("n"), F.max("salt").alias("_salt"))
     plain = counts.where("_salt = 0 and least < most.g").select("s", "salt", F.col("n").alias("size"))
     salted = counts.where("_salt > 0").groupBy("s").agg(F.min("least").alias("least"), F.max("most.g").alias("most"), F.sum("n").alias("size")).where("least < most")
