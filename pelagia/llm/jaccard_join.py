@@ -303,14 +303,15 @@ def join(docs: DataFrame) -> DataFrame:
     # one row for a set: its least document
     nodes = every.where("n > 0").groupBy("g").agg(F.min(F.struct("_d", "_h", "n", "hist")).alias("k")).select("g", "k.*")
     nodes = written(nodes)
-    # one exchange of signatures serves the counts and the join; _salt is opaque, so no filter moves below the exchange,
-    # and the joins' null filters are there already
-    dealt = _signed_sets(rows, cells).where("s is not null and salt is not null").select("s", "salt", F.struct("g", "n").alias("m")).repartition("s", "salt")
-    counts = dealt.groupBy("s", "salt").agg(F.min("m.g").alias("least"), F.max("m").alias("most"), F.count("*").alias("n"), F.max("salt").alias("_salt"))
-    plain = counts.where("_salt = 0 and least < most.g").select("s", "salt", F.col("n").alias("size"))
-    salted = counts.where("_salt > 0").groupBy("s").agg(F.min("least").alias("least"), F.max("most.g").alias("most"), F.sum("n").alias("size")).where("least < most")
-    groups = plain.unionByName(salted.select("s", F.explode(F.sequence(F.lit(1), F.lit(SALTS))).alias("salt"), "size"))
-    shared = written(dealt.join(groups, ["s", "salt"]).select("s", F.col("m.g").alias("g"), F.col("m.n").alias("n"), "size").distinct())
+    # one exchange of signatures serves the counts and the join: both need all its columns (_n), no filter of the counts can move
+    # below it (_salt), and the join's null filters are there already
+    dealt = _signed_sets(rows, cells).where("s is not null and salt is not null").repartition("s", "salt")
+    counts = dealt.groupBy("s", "salt").agg(F.min("g").alias("least"), F.max("g").alias("most"), F.count("*").alias("size"), F.max("salt").alias("_salt"), F.max("n").alias("_n"))
+    # a signature is of frequent elements always or never: its salts are 1 to SALTS, or 0
+    some = counts.where("_n > 0 and (_salt > 0 or least < most)").groupBy("s").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("size").alias("size"), F.max("_salt").alias("_salt"))
+    salts = F.when(F.col("_salt") > 0, F.sequence(F.lit(1), F.lit(SALTS))).otherwise(F.array(F.lit(0)))
+    groups = some.where("least < most").select("s", F.explode(salts).alias("salt"), "size")
+    shared = written(dealt.join(groups, ["s", "salt"]).select("s", "g", "n", "size").distinct())
     # the member that meets the most others over all its signatures leads: the text that the copies of a group come from
     meets = shared.groupBy("g").agg(F.sum("size").alias("meets"))
     ranked = written(shared.join(meets, "g").select("s", "g", "n", "meets"))
