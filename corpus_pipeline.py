@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages of the subpackage llm, each written as Parquet and read again by the next.
 
 toxicity drops the documents that the field scores as toxic; the n-gram Jaccard join keeps the least doc_id of each group;
-substring dedup removes passages of 50 words or more that a smaller document has; mixing samples towards its targets;
+substring dedup removes passages of 50 words or more that a smaller document has; mixing takes each document as often as its
+targets ask for, so some occur twice;
 BPE encodes what is left and returns a row for each document.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pelagia.llm import bpe, jaccard_join, mixing, substring, toxicity
-from pelagia.session import table, written
+from pelagia.session import drop, passing, table, written
 
 STAGES = [
     ("toxicity", toxicity.stage),
@@ -25,8 +26,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. A stage's own tables go when its result is written, its input when the next result is."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+    for i, (_, stage) in enumerate(STAGES):
+        with passing(spark) as keep:
+            found = keep(written(stage(spark, docs, sf_dir)))
+        if i:
+            drop(docs)
+        docs = found
     return docs

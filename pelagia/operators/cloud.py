@@ -32,14 +32,21 @@ def _near(queries: DataFrame, points: DataFrame, size: float) -> DataFrame:
 
 
 def nearest(queries: DataFrame, points: DataFrame, k: int, size: float) -> DataFrame:
-    """qid, pid, d2, rank: the k nearest points of each query by (distance, id); a query with fewer points in reach is
-    searched with doubled cells until it has k or all points are in reach."""
+    """qid, pid, d2, rank: the k nearest points of each query by (distance, id). Cells are at most ``size`` wide, and no wider than to
+    hold about k / 2 points at the mean density; a query with fewer points in reach is searched with doubled cells until it has
+    k or all points are in reach. The window keeps k rows of a query in each task before the shuffle."""
     bounds = points.agg(*(F.min(a).alias(f"l{a}") for a in "xyz"), *(F.max(a).alias(f"h{a}") for a in "xyz"), F.count("*").alias("n")).first()
     own = queries.agg(*(F.min(a).alias(f"l{a}") for a in "xyz"), *(F.max(a).alias(f"h{a}") for a in "xyz")).first()
     want = min(k, bounds.n)
     span = sum((max(bounds[f"h{a}"], own[f"h{a}"]) - min(bounds[f"l{a}"], own[f"l{a}"])) ** 2 for a in "xyz") ** 0.5 + size if bounds.n and own[0] is not None else 0
     order = Window.partitionBy("qid").orderBy("d2", "pid")
     found, left = None, queries
+    if bounds.n:
+        wide = max(bounds[f"h{a}"] - bounds[f"l{a}"] for a in "xyz") or size
+        volume = 1.0
+        for a in "xyz":
+            volume *= max(bounds[f"h{a}"] - bounds[f"l{a}"], wide / 100)
+        size = min(size, (volume * k / (2 * bounds.n)) ** (1 / 3))
     while True:
         ranked = written(_near(left, points, size).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
         full = ranked.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= want)

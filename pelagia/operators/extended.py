@@ -48,7 +48,7 @@ def normals(images: DataFrame) -> DataFrame:
     v = F.col("v").cast("double")
     gx = F.lead("v").over(Window.partitionBy("img", "py").orderBy("px")) - v
     gy = F.lead("v").over(Window.partitionBy("img", "px").orderBy("py")) - v
-    d = images.select("img", "py", "px", gx.alias("gx"), gy.alias("gy")).where("gx is not null and gy is not null")
+    d = images.repartition("img").select("img", "py", "px", gx.alias("gx"), gy.alias("gy")).where("gx is not null and gy is not null")
     n = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") + 1)
     return d.select("img", "py", "px", (-F.col("gx") / n).alias("nx"), (-F.col("gy") / n).alias("ny"))
 
@@ -94,14 +94,6 @@ def grid_density(splats: DataFrame, low: int, high: int) -> DataFrame:
     return near.groupBy(F.col("gx").cast("int").alias("gx"), F.col("gy").cast("int").alias("gy")).agg(density.alias("density"))
 
 
-def kernel_histogram(frames: DataFrame, bins: int, sigma: float) -> DataFrame:
-    """Gaussian-kernel histogram of v over [0, 1], normalised by frame."""
-    spread = frames.select("frame", "v", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    w = F.exp(-0.5 * ((F.col("v") - (F.col("bin") + 0.5) / bins) / sigma) ** 2)
-    sums = spread.groupBy("frame", "bin").agg(F.sum(w).alias("w"))
-    return sums.withColumn("w", F.try_divide(F.col("w"), F.sum("w").over(Window.partitionBy("frame"))))
-
-
 def edge_profile(images: DataFrame) -> DataFrame:
     """Row of the hardest step between row means, its size, and whether it stands out."""
     rows = images.groupBy("img", "py").agg((F.sum("v").cast("double") / F.count("*")).alias("m"))
@@ -120,14 +112,101 @@ def icv(images: DataFrame, side: int) -> DataFrame:
     return s.groupBy("img").agg(F.avg(F.col("m") / F.col("s")).alias("icv"))
 
 
-def block_ssim(pairs: DataFrame, side: int, c1: float = 0.0001, c2: float = 0.0009) -> DataFrame:
-    """Mean structural similarity of (a, b) over blocks of side x side."""
-    w = pairs.groupBy("img", F.floor(F.col("py") / side), F.floor(F.col("px") / side)).agg(F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.var_pop("a").alias("va"), F.var_pop("b").alias("vb"), F.covar_pop("a", "b").alias("c"))
-    ma, mb = F.col("ma"), F.col("mb")
-    s = (2 * ma * mb + c1) * (2 * F.col("c") + c2) / ((ma * ma + mb * mb + c1) * (F.col("va") + F.col("vb") + c2))
+def gaussian_weights(reach: int, sigma: float) -> list[float]:
+    """Weights of -reach .. reach that sum to 1."""
+    raw = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(-reach, reach + 1)]
+    return [x / sum(raw) for x in raw]
+
+
+def blurred(images: DataFrame, names: tuple[str, ...], reach: int, sigma: float) -> DataFrame:
+    """Columns ``names`` smoothed along rows, then along columns, with zeros beyond the image; rows and columns have no gaps."""
+    weights = gaussian_weights(reach, sigma)
+
+    def along(c: str, w) -> Column:
+        at = lambda k: F.col(c) if not k else (F.lag(c, -k, 0.0) if k < 0 else F.lead(c, k, 0.0)).over(w)
+        return sum((weights[k + reach] * at(k) for k in range(-reach + 1, reach + 1)), weights[0] * at(-reach))
+
+    rows, columns = Window.partitionBy("img", "py").orderBy("px"), Window.partitionBy("img", "px").orderBy("py")
+    df = images.repartition("img").select("img", "py", "px", *(along(c, rows).alias(c) for c in names))
+    return df.select("img", "py", "px", *(along(c, columns).alias(c) for c in names))
+
+
+def ssim(pairs: DataFrame, reach: int = 5, sigma: float = 1.5, c1: float = 0.01**2, c2: float = 0.03**2) -> DataFrame:
+    """Mean structural similarity of (a, b) by image, under a Gaussian window of 2 reach + 1 pixels."""
+    a, b = F.col("a"), F.col("b")
+    w = blurred(pairs.select("img", "py", "px", "a", "b", (a * a).alias("aa"), (b * b).alias("bb"), (a * b).alias("ab")), ("a", "b", "aa", "bb", "ab"), reach, sigma)
+    s = (2 * a * b + c1) * (2 * (F.col("ab") - a * b) + c2) / ((a * a + b * b + c1) * (F.col("aa") - a * a + F.col("bb") - b * b + c2))
     return w.groupBy("img").agg(F.avg(s).alias("ssim"))
 
 
+def information(weights: DataFrame, *keys: str) -> DataFrame:
+    """Mutual information, in bits, of each member (p) of a distribution by ``keys`` with the whole: H(X) less p_i times the entropy
+    of p / p_i. The sums over pairs cancel and leave -log2(p_i) times the sum of p; a member of no weight has H(X)."""
+    by = Window.partitionBy(*keys)
+    logs = F.when(F.col("p") > 0, F.log2("p"))
+    return weights.withColumn("h", F.coalesce(-F.sum("p").over(by) * logs, -F.sum(F.col("p") * logs).over(by)))
+
+
+def kernel_histogram_2d(points: DataFrame, bins: int, sigma: float) -> DataFrame:
+    """Two-dimensional histogram of (a, b) in [0, 1] by frame: each point spreads a unit over the bins, by Gaussian kernels that are
+    normalised along either axis, so a frame's histogram sums to its number of points."""
+    centres = F.sequence(F.lit(0), F.lit(bins - 1))
+    kernel = lambda c: F.transform(centres, lambda k: F.exp(-0.5 * ((F.col(c) - (k + 0.5) / bins) / sigma) ** 2))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    df = points.select("frame", kernel("a").alias("ka"), kernel("b").alias("kb"))
+    df = df.select("frame", "kb", total("kb").alias("tb"), total("ka").alias("ta"), F.posexplode("ka").alias("i", "wa")).select("frame", "i", (F.col("wa") / F.col("ta") / F.col("tb")).alias("w"), F.posexplode("kb").alias("j", "wb"))
+    return df.groupBy("frame", "i", "j").agg(F.sum(F.col("w") * F.col("wb")).alias("w"))
+
+
+def grid_variation(grid: DataFrame, axes: tuple[str, ...], value: str) -> DataFrame:
+    """Squared differences of neighbours along each axis of a grid, each axis over its number of neighbours, summed."""
+    sides = []
+    for a in axes:
+        w = Window.partitionBy(*(x for x in axes if x != a)).orderBy(a)
+        near = F.lead(a).over(w) == F.col(a) + 1
+        sides.append(F.when(near, (F.lead(value).over(w) - F.col(value)) ** 2).alias(f"_{a}"))
+    df = grid
+    for a, side in zip(axes, sides, strict=True):
+        df = df.withColumn(f"_{a}", side)
+    return df.agg(sum((F.avg(f"_{a}") for a in axes[1:]), F.avg(f"_{axes[0]}")).alias("tv"))
+
+
+def band_component(images: DataFrame, low: int, high: int, least_area: int, width: int, reach: int, share: float) -> DataFrame:
+    """The largest 8-connected component of each image's pixels with low <= v <= high: img, n (components), area, row_ (its top row, null
+    where the area, the distance of that row's last pixel from the right edge or the share of the band's pixels fails). The
+    first component in reading order of those of the largest area. One image, an input row, is in a task at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(rows: pa.Table) -> pa.Table:
+        img, py, px = (rows.column(c).to_numpy().astype(np.int64) for c in ("img", "py", "px"))
+        order = np.lexsort((px, py))
+        place = {(y, x): i for i, (y, x) in enumerate(zip(py[order].tolist(), px[order].tolist(), strict=True))}
+        label = np.full(len(place), -1)
+        areas, tops = [], []
+        for (y, x), i in place.items():
+            if label[i] >= 0:
+                continue
+            label[i], open_, found = len(areas), [(y, x)], []
+            while open_:
+                at = open_.pop()
+                found.append(at)
+                for near in ((at[0] + a, at[1] + b) for a in (-1, 0, 1) for b in (-1, 0, 1)):
+                    k = place.get(near, -1)
+                    if k >= 0 and label[k] < 0:
+                        label[k] = len(areas)
+                        open_.append(near)
+            top = min(a for a, _ in found)
+            areas.append(len(found))
+            tops.append((top, max(b for a, b in found if a == top)))
+        best = int(np.argmax(areas))
+        fits = areas[best] >= least_area and width - tops[best][1] <= reach and areas[best] >= share * len(place)
+        return pa.table({"img": pa.array([int(img[0])]), "n": pa.array([len(areas)]), "area": pa.array([areas[best]]), "row_": pa.array([tops[best][0] if fits else None], pa.int64())})
+
+    band = images.where(F.col("v").between(low, high)).select("img", "py", "px")
+    return band.groupBy("img").applyInArrow(run, "img long, n long, area long, row_ long")
+
+
 def edge_scan(images: DataFrame, dark: float, patience: int) -> DataFrame:
     """Deepest dark row from the top, before the first place ``patience`` rows past the deepest one so far; -1 where none is."""
     rows = images.groupBy("img", "py").agg((F.sum("v").cast("double") / F.count("*") < dark).alias("hit"))

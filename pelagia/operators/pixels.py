@@ -123,8 +123,13 @@ def _below() -> Column:
     return F.lead("v").over(Window.partitionBy("img", "px").orderBy("py"))
 
 
+def _by_image(images: DataFrame) -> DataFrame:
+    """One exchange by image: windows along rows and columns and sums by image need no other (an image is one input row)."""
+    return images.repartition("img")
+
+
 def total_variation(images: DataFrame) -> DataFrame:
-    d = images.select("img", F.abs(_right() - F.col("v")).alias("dx"), F.abs(_below() - F.col("v")).alias("dy"))
+    d = _by_image(images).select("img", F.abs(_right() - F.col("v")).alias("dx"), F.abs(_below() - F.col("v")).alias("dy"))
     dx, dy = F.coalesce("dx", F.lit(0)), F.coalesce("dy", F.lit(0))
     return d.groupBy("img").agg(F.sum(dx + dy).cast("long").alias("aniso"), F.sum(F.sqrt((dx * dx + dy * dy).cast("double"))).alias("iso"))
 
@@ -141,13 +146,13 @@ def laplacian_variance(images: DataFrame) -> DataFrame:
     x, y = Window.partitionBy("img", "py").orderBy("px"), Window.partitionBy("img", "px").orderBy("py")
     v = F.col("v")
     sides = [F.coalesce(f("v").over(w), v) for w in (x, y) for f in (F.lag, F.lead)]
-    d = images.select("img", (sides[0] + sides[1] + sides[2] + sides[3] - 4 * v).alias("v"))
+    d = _by_image(images).select("img", (sides[0] + sides[1] + sides[2] + sides[3] - 4 * v).alias("v"))
     return _sums(d, "img").select("img", _variance().alias("var"))
 
 
 def edge_density(images: DataFrame, least: int) -> DataFrame:
     dx, dy = F.coalesce(_right(), F.col("v")) - F.col("v"), F.coalesce(_below(), F.col("v")) - F.col("v")
-    hard = images.select("img", (dx * dx + dy * dy > least * least).cast("double").alias("e"))
+    hard = _by_image(images).select("img", (dx * dx + dy * dy > least * least).cast("double").alias("e"))
     return hard.groupBy("img").agg(F.least(F.lit(1.0), 10 * F.avg("e")).alias("density"))
 
 

@@ -130,15 +130,20 @@ def _(view):
     return X.grid_density(view("splats"), -4, 4).select("gx", "gy", r6("density").alias("density"))
 
 
-@query("jn_method_pairs", "with p as (select distinct lang, source from documents) select a.lang as a, b.lang as b, count(*) as scenes from p a join p b using (source) group by 1, 2")
+@query("jn_method_pairs", "with p as (select lang, source, arg_min(md5(coalesce(text, '')), doc_id) as image from documents group by all) select a.lang as a, b.lang as b, count(*) as scenes, count(*) filter (a.image = b.image) as equal_ from p a join p b using (source) group by 1, 2")
 def _(view):
-    p = view("documents").select("lang", "source").distinct()
-    return p.select("source", F.col("lang").alias("a")).join(p.select("source", F.col("lang").alias("b")), "source").groupBy("a", "b").agg(F.count("*").alias("scenes"))
+    p = view("documents").groupBy("lang", "source").agg(F.min_by(F.md5(F.coalesce("text", F.lit(""))), "doc_id").alias("image"))
+    side = lambda n: p.select("source", F.col("lang").alias(n), F.col("image").alias(f"i{n}"))
+    return side("a").join(side("b"), "source").groupBy("a", "b").agg(F.count("*").alias("scenes"), F.count_if(F.col("ia") == F.col("ib")).alias("equal_"))
 
 
-@query("ag_hist_2d_gauss", f"{S}, k as (select frame, b::int as bin, sum(exp(-0.5 * pow((v - (b + 0.5) / 10) / 0.05, 2))) as w from sonar_px, range(10) t(b) group by 1, 2) select frame, bin, {R('w / sum(w) over (partition by frame)')} as w from k")
+@query("ag_hist_2d_gauss", f"""{S}, p as (select frame, row_number() over (order by frame, rng, az) as id, v as a, rng / 64::double as b from sonar_px),
+k as (select frame, id, k, exp(-0.5 * pow((a - (k + 0.5) / 8) / 0.1, 2)) as wa, exp(-0.5 * pow((b - (k + 0.5) / 8) / 0.1, 2)) as wb from p, range(8) t(k)),
+n as materialized (select frame, id, k::int as k, wa / sum(wa) over (partition by id) as wa, wb / sum(wb) over (partition by id) as wb from k)
+select x.frame, x.k as i, y.k as j, {R('sum(x.wa * y.wb)')} as w from n x join n y using (id) group by 1, 2, 3""")
 def _(view):
-    return X.kernel_histogram(view("sonar_px"), 10, 0.05).select("frame", "bin", r6("w").alias("w"))
+    points = view("sonar_px").select("frame", F.col("v").alias("a"), (F.col("rng") / 64.0).alias("b"))
+    return X.kernel_histogram_2d(points, 8, 0.1).select("frame", "i", "j", r6("w").alias("w"))
 
 
 @query("ag_static_corr", f"{I}, m as (select *, median(v) over (partition by py, px) as m from img_px) select img, {R('(count(*) * sum(v::double * m) - sum(v::double) * sum(m)) / nullif(sqrt((count(*) * sum(v::double * v) - sum(v::double) * sum(v::double)) * (count(*) * sum(m * m) - sum(m) * sum(m))), 0)')} as c, {R('stddev_pop(v)')} as s from m group by img having count(distinct v) > 1 and count(distinct m) > 1")
@@ -159,13 +164,24 @@ def _(view):
     return X.icv(view("img_px"), 4).select("img", r6("icv").alias("icv"))
 
 
-@query("ag_ssim", f"""{I}, b as (select img, py // 4 as wy, px // 4 as wx, v / 255.0::double as a, (255 - v) / 255.0::double * 0.2 + v / 255.0::double * 0.8 as b from img_px),
-w as (select img, avg(a) as ma, avg(b) as mb, var_pop(a) as va, var_pop(b) as vb, covar_pop(a, b) as c from b group by img, wy, wx)
-select img, {R('avg((2 * ma * mb + 0.0001) * (2 * c + 0.0009) / ((ma * ma + mb * mb + 0.0001) * (va + vb + 0.0009)))')} as ssim from w group by img""")
+def _blur(of: str, names: tuple[str, ...], window: str) -> str:
+    """One pass of an 11-tap Gaussian window of sigma 1.5, zeros beyond the edge."""
+    raw = [f"exp({-k * k} / 4.5::double)" for k in range(-5, 6)]
+    total = "(" + " + ".join(raw) + ")"
+    taps = lambda c: " + ".join(f"{raw[k + 5]} / {total} * " + (c if not k else f"coalesce({'lag' if k < 0 else 'lead'}({c}, {abs(k)}) over w, 0)") for k in range(-5, 6))
+    return f"select img, py, px, {', '.join(f'{taps(c)} as {c}' for c in names)} from {of} window w as ({window})"
+
+
+_FIVE = ("a", "b", "aa", "bb", "ab")
+
+
+@query("ag_ssim", f"""{I}, p as (select img, py, px, v / 255.0::double as a, (255 - v) / 255.0::double * 0.2 + v / 255.0::double * 0.8 as b from img_px), q as (select *, a * a as aa, b * b as bb, a * b as ab from p),
+r as ({_blur('q', _FIVE, 'partition by img, py order by px')}), c as ({_blur('r', _FIVE, 'partition by img, px order by py')})
+select img, {R('avg((2 * a * b + 0.0001) * (2 * (ab - a * b) + 0.0009) / ((a * a + b * b + 0.0001) * (aa - a * a + bb - b * b + 0.0009)))')} as ssim from c group by img""")
 def _(view):
     a = F.col("v") / 255.0
     pair = view("img_px").select("img", "py", "px", a.alias("a"), ((255 - F.col("v")) / 255.0 * 0.2 + a * 0.8).alias("b"))
-    return X.block_ssim(pair, 4).select("img", r6("ssim").alias("ssim"))
+    return X.ssim(pair).select("img", r6("ssim").alias("ssim"))
 
 
 @query("ag_reflectivity_reg", ctes("cloud_a") + f", d as (select a.pid as q, b.pid as p, round((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z), 9) as d2 from cloud_a a, cloud_a b), k as (select *, row_number() over (partition by q order by d2, p) as r from d) select {R('avg(pow((k.q % 10 - k.p % 10) / 10.0::double, 2)) + 0.1 * (select var_pop((pid % 10) / 10.0::double) from cloud_a)')} as loss from k where r between 2 and 4")
@@ -176,19 +192,27 @@ def _(view):
     return smooth.crossJoin(a.agg(F.var_pop((F.col("pid") % 10) / 10.0).alias("v"))).select(r6(F.col("s") + 0.1 * F.col("v")).alias("loss"))
 
 
-@query("ag_bilagrid_tv", f"{I}, d as (select img, lead(v) over (partition by img, py order by px) - v as dx, lead(v) over (partition by img, px order by py) - v as dy from img_px) select img, {R('coalesce(avg(dx * dx), 0) + coalesce(avg(dy * dy), 0)')} as tv from d group by img")
+_AXIS = lambda a, rest: f"(select avg(pow(n - v, 2)) from (select v, lead(v) over w as n, lead({a}) over w as nx, {a} as x from sonar_px window w as (partition by {rest} order by {a})) where nx = x + 1)"
+
+
+@query("ag_bilagrid_tv", f"{S} select {R(_AXIS('frame', 'rng, az') + ' + ' + _AXIS('rng', 'frame, az') + ' + ' + _AXIS('az', 'frame, rng'))} as tv")
+def _(view):
+    return X.grid_variation(view("sonar_px"), ("frame", "rng", "az"), "v").select(r6("tv").alias("tv"))
+
+
+@query("ag_hue_component")
 def _(view):
-    v = F.col("v")
-    d = view("img_px").select("img", (F.lead("v").over(Window.partitionBy("img", "py").orderBy("px")) - v).alias("dx"), (F.lead("v").over(Window.partitionBy("img", "px").orderBy("py")) - v).alias("dy"))
-    mean = lambda c: F.coalesce(F.avg(F.col(c) * F.col(c)), F.lit(0.0))
-    return d.groupBy("img").agg(r6(mean("dx") + mean("dy")).alias("tv"))
+    return X.band_component(view("img_px").where("px >= 4"), 97, 110, 3, 16, 8, 0.2)
 
 
-@query("ag_mutual_info", f"{scene.WEIGHTED}, p as (select cam, px, py, alpha * t as w, sum(alpha * t) over (partition by cam, px, py) as s from ww) select cam, px, py, {R('-sum(w / s * ln(w / s))')} as h from p group by 1, 2, 3")
+@query("ag_mutual_info", f"""{scene.WEIGHTED}, p as materialized (select cam, px, py, gid, alpha * t / sum(alpha * t) over (partition by cam, px, py) as p from ww),
+h as (select cam, px, py, -sum(p * log2(p)) as h from p group by all),
+c as (select a.cam, a.px, a.py, a.gid, a.p * -sum(case when a.gid = b.gid then 0 else b.p / a.p * log2(b.p / a.p) end) as c from p a join p b using (cam, px, py) group by a.cam, a.px, a.py, a.gid, a.p)
+select cam, px, py, gid, {R('h - c')} as bits from c join h using (cam, px, py)""")
 def _(view):
-    w = scene.weighted(view).select("cam", "px", "py", (F.col("alpha") * F.col("t")).alias("w"))
+    w = scene.weighted(view).select("cam", "px", "py", "gid", (F.col("alpha") * F.col("t")).alias("w"))
     p = F.col("w") / F.sum("w").over(Window.partitionBy("cam", "px", "py"))
-    return w.withColumn("p", p).groupBy("cam", "px", "py").agg(r6(-F.sum(F.col("p") * F.ln("p"))).alias("h"))
+    return X.information(w.withColumn("p", p), "cam", "px", "py").select("cam", "px", "py", "gid", r6("h").alias("bits"))
 
 
 @query("wn_edge_scan", f"{I}, r as (select img, py, sum(v)::double / count(*) < 90 as hit from img_px group by 1, 2), d as (select *, max(case when hit then py end) over (partition by img order by py rows unbounded preceding) as deep from r), b as (select img, min(py) as stop from d where py - coalesce(deep, -1) >= 3 group by img) select d.img, coalesce(max(py) filter (hit and py < coalesce(stop, 1000)), -1)::int as edge from d left join b using (img) group by d.img")
