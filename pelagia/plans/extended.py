@@ -10,11 +10,20 @@ from pelagia.plans import scene
 from pelagia.plans.imaging import I, S
 from pelagia.plans.register import R, query, r6
 from pelagia.plans.views import ctes
-from pelagia.session import written
+from pelagia.session import scratch, written
 
 SP = ctes("splats")
 
 
+def _saved(df: DataFrame, form: str) -> DataFrame:
+    """``df`` written as text files of the form by the executors, and read back."""
+    path = scratch(df.sparkSession)
+    df.write.format(form).save(path)
+    return df.sparkSession.read.schema(df.schema).format(form).load(path)
+
+
+
+
 @query("flt_label_mask", f"{S}, m as (select ltrim(lpad(frame::varchar, 4, '0'), '0') as stem, rng, az from sonar_px where v > 0.5), p as (select frame, ltrim(frame::varchar, '0') as stem, rng, az, v from sonar_px) select frame, count(*) as n, {R('sum(case when m.rng is not null then v else 0 end)')} as v from p left join m using (stem, rng, az) group by frame")
 def _(view):
     px = view("sonar_px")
@@ -220,25 +229,6 @@ def _(view):
     return X.edge_scan(view("img_px"), 90.0, 3)
 
 
-@query("src_image_walk", "select row_number() over (order by url) - 1 as i, page_id from (select min(page_id) as page_id, url from pages group by url)")
-def _(view):
-    from pelagia.operators.pixels import indexed
-
-    names = view("pages").groupBy("url").agg(F.min("page_id").alias("page_id"))
-    return indexed(names, "url").select("i", "page_id")
-
-
-@query("src_scene_discovery", "select string_split(url, '/')[3] as scene, count(*) as n from pages where url not like '%spam%' group by 1")
-def _(view):
-    return view("pages").where("url not like '%spam%'").groupBy(F.get(F.split("url", "/"), F.lit(2)).alias("scene")).agg(F.count("*").alias("n"))
-
-
-@query("src_safe_image", "select source, count(*) as n, count(*) filter (n_chars % 13 = 0) as failed from documents group by source")
-def _(view):
-    value = F.when(F.col("n_chars") % 13 != 0, F.col("n_chars"))
-    return view("documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(value.isNull()).alias("failed"))
-
-
 @query("src_sonar_config", "select event_id, (event_id % 512)::int as bins, (event_id % 30)::double as range_max from events")
 def _(view):
     text = F.concat(F.lit('{"agents":[{"sensors":[{"configuration":{}},{"configuration":{"RangeBins":'), (F.col("event_id") % 512).cast("string"), F.lit(',"RangeMax":'), (F.col("event_id") % 30).cast("string"), F.lit("}}]}]}"))
@@ -256,20 +246,23 @@ def _(view):
     return q.select("cam", r6(F.coalesce(F.get("q", F.lit(0)), F.lit(0.1))).alias("near"), r6(F.coalesce(F.get("q", F.lit(1)), F.lit(100.0))).alias("far"))
 
 
-@query("sink_cameras_json", ctes("cams") + """ select cam, '{"id":' || cam || ',"width":64,"height":48,"img_name":"cam' || cam || '"}' as line from cams""")
+@query("sink_cameras_json", ctes("cams") + """ select cam, '{"id":' || cam || ',"width":64,"height":48,"img_name":"cam' || cam || '","position":[0.0,0.0,' || tz || '],"rotation":[[' || (cam = 0)::int || '.0,0.0],[0.0,1.0]],"fx":' || fx || ',"fy":' || fy || '}' as line from cams""")
 def _(view):
-    body = F.struct(F.col("cam").alias("id"), "width", "height", F.concat(F.lit("cam"), "cam").alias("img_name"))
-    return view("cams").select("cam", F.to_json(body).alias("line"))
+    first = F.when(F.col("cam") == 0, 1.0).otherwise(0.0)
+    rotation = F.array(F.array(first, F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0)))
+    body = F.struct(F.col("cam").alias("id"), "width", "height", F.concat(F.lit("cam"), "cam").alias("img_name"), F.array("tx", "ty", "tz").alias("position"), rotation.alias("rotation"), "fx", "fy")
+    return _saved(view("cams").select("cam", F.to_json(body).alias("line")), "json")
 
 
 @query("sink_jsonl_csv_json", "select doc_id, lang || ';' || source || ',' || printf('%.6f', n_chars / 7.0::double) as line from documents")
 def _(view):
-    return view("documents").select("doc_id", F.concat(F.array_join(F.array("lang", "source"), ";"), F.lit(","), F.format_string("%.6f", F.col("n_chars") / 7.0)).alias("line"))
+    df = view("documents").select("doc_id", F.concat(F.array_join(F.array("lang", "source"), ";"), F.lit(","), F.format_string("%.6f", F.col("n_chars") / 7.0)).alias("line"))
+    return _saved(_saved(df, "json"), "csv")
 
 
 @query("sink_eval_json", ctes("telemetry") + f" select kind as stage, {R('avg(value)')} as mean, count(distinct run) as runs, max(step) as last from telemetry group by kind")
 def _(view):
-    return view("telemetry").groupBy(F.col("kind").alias("stage")).agg(r6(F.avg("value")).alias("mean"), F.count_distinct("run").alias("runs"), F.max("step").alias("last"))
+    return _saved(view("telemetry").groupBy(F.col("kind").alias("stage")).agg(r6(F.avg("value")).alias("mean"), F.count_distinct("run").alias("runs"), F.max("step").alias("last")), "json")
 
 
 @query("ud_codec_map", f"{SP}, b as (select min(x) as xl, max(x) as xh, min(o) as ol, max(o) as oh from splats) select gid, round_even((x - xl) / (xh - xl) * 65535, 0)::int as x, round_even((o - ol) / (oh - ol) * 255, 0)::int as o from splats, b")

@@ -82,6 +82,13 @@ def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
                 _delete(spark, path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes with the written tables."""
+    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def drop(df: DataFrame) -> None:
     """Delete the table that ``written`` returned."""
     _delete(df.sparkSession, df._pelagia_path)

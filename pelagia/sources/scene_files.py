@@ -3,7 +3,8 @@
 Files are found and read by Spark's own file sources (``binaryFile``, ``text``, ``json``), so any store that Spark reaches
 works, and files are parsed on executors, one file a row, many files in parallel. Long records (points, vertices) leave
 in batches of ``BATCH`` rows. Pickles are read with an unpickler that knows numpy arrays and plain containers only.
-Writers stream rows to one ordered file through Hadoop's file system, a partition at a time.
+The formats of the writers are single ordered files with a count in front: rows stream through the driver to Hadoop's file
+system, a partition at a time, so tables of more than ``MOST_ROWS`` are refused; larger scenes stay in Parquet.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BATCH = 50_000
+#: Rows that a writer of a single file takes at most.
+MOST_ROWS = 50_000_000
 #: Camera models of the COLMAP format with their numbers of parameters.
 CAMERA_MODELS = (
     ("SIMPLE_PINHOLE", 3), ("PINHOLE", 4), ("SIMPLE_RADIAL", 4), ("RADIAL", 5), ("OPENCV", 8), ("OPENCV_FISHEYE", 8),
@@ -124,6 +127,103 @@ def colmap_text_points(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(*(F.get(f, F.lit(i)).cast(t).alias(n) for i, (n, t) in enumerate(names)), (F.size(f) - 8).alias("track_fields"))
 
 
+def _text_images(data: bytes) -> Iterator[dict]:
+    """Two lines for each image: its pose, and its points as x y id triples (the line may be empty)."""
+    lines = [x.strip() for x in data.decode().splitlines() if not x.startswith("#")]
+    while lines and not lines[-1]:
+        lines.pop()
+    for at in range(0, len(lines), 2):
+        f, p = lines[at].split(), lines[at + 1].split() if at + 1 < len(lines) else []
+        points = [{"x": float(x), "y": float(y), "pid": int(i)} for x, y, i in zip(p[::3], p[1::3], p[2::3], strict=True)]
+        yield {"image_id": int(f[0]), "q": [float(x) for x in f[1:5]], "t": [float(x) for x in f[5:8]], "camera_id": int(f[8]), "name": " ".join(f[9:]), "points": points}
+
+
+def colmap_text_images(spark: SparkSession, path: str) -> DataFrame:
+    return _parsed(spark, path, _text_images, IMAGES, "images.txt")
+
+
+def track_summary(points: DataFrame) -> DataFrame:
+    """pid, track (images that see the point), error."""
+    return points.select("pid", F.size("track").alias("track"), "error")
+
+
+def _dense(data: bytes) -> Iterator[dict]:
+    """``width&height&channels&`` and 32-bit floats, the first axis (across) running fastest."""
+    head, at = [], 0
+    while len(head) < 3:
+        end = data.index(b"&", at)
+        head.append(int(data[at:end]))
+        at = end + 1
+    across, down, channels = head
+    values = np.frombuffer(data, "<f4", across * down * channels, at).reshape(channels, down, across)
+    for row in range(down):
+        yield {"row": row, "v": values[:, row, :].T.astype(float).tolist()}
+
+
+def colmap_dense(spark: SparkSession, path: str, pattern: str = "*.bin") -> DataFrame:
+    """path, row, col, channel, v of dense maps (depths, normals)."""
+    lines = _parsed(spark, path, _dense, "row int, v array<array<double>>", pattern)
+    return lines.select("path", "row", F.posexplode("v").alias("col", "c")).select("path", "row", "col", F.posexplode("c").alias("channel", "v"))
+
+
+def _npy(data: bytes) -> Iterator[dict]:
+    found = np.load(io.BytesIO(data), allow_pickle=False)
+    flat = found.reshape(len(found), -1) if found.ndim > 1 else found.reshape(-1, 1)
+    for row, line in enumerate(flat):
+        yield {"row": row, "v": line.astype(float).tolist()}
+
+
+def npy_rows(spark: SparkSession, path: str, pattern: str = "*.npy") -> DataFrame:
+    """path, row, v of arrays in ``*.npy``: a time-of-flight scene's poses (4 x 4, by rows) and depth maps."""
+    return _parsed(spark, path, _npy, "row int, v array<double>", pattern)
+
+
+def tof_frames(spark: SparkSession, path: str) -> DataFrame:
+    """frame, pose (16 numbers), row, depth (a line of the map) of a scene whose poses and depths are ``poses/N.npy`` and
+    ``depths/N.npy``; a frame without a pose is left out."""
+    name = lambda kind: F.regexp_extract("path", rf"{kind}/(\d+)\.npy$", 1)
+    rows = npy_rows(spark, path)
+    poses = rows.where(name("poses") != "").groupBy(name("poses").cast("int").alias("frame")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row", "v"))), lambda x: x["v"])).alias("pose"))
+    return rows.where(name("depths") != "").select(name("depths").cast("int").alias("frame"), "row", F.col("v").alias("depth")).join(poses, "frame")
+
+
+def blended(colour, alpha, background=1.0):
+    """A colour of some opacity over a background."""
+    return colour * alpha + background * (1 - alpha)
+
+
+IMAGE_NAMES = r"(?i)\.(png|jpe?g|bmp|tiff?|pgm)$"
+
+
+def image_walk(spark: SparkSession, path: str) -> DataFrame:
+    """i, path, relative, length of the images under ``path``, numbered in order of their paths; no content is read."""
+    from pelagia.operators.pixels import indexed
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length").where(F.col("path").rlike(IMAGE_NAMES))
+    root = "/" + path.rstrip("/").rpartition("/")[2] + "/"
+    return indexed(files.select(F.substring_index("path", root, -1).alias("relative"), "path", "length"), "relative")
+
+
+def scenes(files: DataFrame, depth: int, skip: tuple[str, ...] = ()) -> DataFrame:
+    """scene, n: directories of at most ``depth`` levels that hold images (relative), directly or in a directory named images;
+    paths through a directory named in ``skip`` are left out."""
+    folders = F.slice(F.split("relative", "/"), 1, F.size(F.split("relative", "/")) - 1)
+    df = files.select(folders.alias("f")).where(~F.arrays_overlap("f", F.array(*map(F.lit, skip))) if skip else F.lit(True))
+    own = F.when(F.element_at("f", -1) == "images", F.slice("f", 1, F.size("f") - 1)).otherwise(F.col("f"))
+    return df.where(F.size("f") > 0).select(own.alias("f")).where(F.size("f").between(1, depth)).groupBy(F.array_join("f", "/").alias("scene")).agg(F.count("*").alias("n"))
+
+
+def _png_size(data: bytes) -> Iterator[dict]:
+    good = len(data) >= 33 and data[:8] == b"\x89PNG\r\n\x1a\n" and data[12:16] == b"IHDR"
+    width, height = struct.unpack(">II", data[16:24]) if good else (None, None)
+    yield {"width": width, "height": height}
+
+
+def image_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """path, width, height of ``*.png``; null where the file is no image, so failures can be counted."""
+    return _parsed(spark, path, _png_size, "width int, height int", "*.png")
+
+
 _PLY = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4", "float": "f4", "double": "f8", "int8": "i1", "uint8": "u1", "int32": "i4", "float32": "f4", "float64": "f8"}
 
 
@@ -254,12 +354,55 @@ def _saved(spark: SparkSession, path: str, chunks) -> None:
         out.close()
 
 
+def _count(df: DataFrame) -> int:
+    n = df.count()
+    if n > MOST_ROWS:
+        raise ValueError(f"{n} rows are too many for one file; write Parquet")
+    return n
+
+
+def write_colmap_cameras(cameras: DataFrame, path: str) -> None:
+    """cameras.bin in order of camera_id."""
+    numbers = {name: i for i, (name, _) in enumerate(CAMERA_MODELS)}
+
+    def chunks():
+        yield struct.pack("<Q", _count(cameras))
+        for r in cameras.orderBy("camera_id").toLocalIterator():
+            yield struct.pack(f"<iiQQ{len(r.params)}d", r.camera_id, numbers[r.model], r.width, r.height, *r.params)
+
+    _saved(cameras.sparkSession, path, chunks())
+
+
+def write_colmap_images(images: DataFrame, path: str) -> None:
+    """images.bin in order of image_id."""
+
+    def chunks():
+        yield struct.pack("<Q", _count(images))
+        for r in images.orderBy("image_id").toLocalIterator():
+            head = struct.pack("<idddddddi", r.image_id, *r.q, *r.t, r.camera_id) + r.name.encode() + b"\0"
+            yield head + struct.pack("<Q", len(r.points)) + b"".join(struct.pack("<ddq", p.x, p.y, p.pid) for p in r.points)
+
+    _saved(images.sparkSession, path, chunks())
+
+
+def write_ply_points(points: DataFrame, path: str) -> None:
+    """A little-endian PLY of x, y, z (f4) and red, green, blue in order of pid."""
+    head = "ply\nformat binary_little_endian 1.0\nelement vertex {}\n" + "".join(f"property float {n}\n" for n in "xyz") + "".join(f"property uchar {n}\n" for n in ("red", "green", "blue")) + "end_header\n"
+
+    def chunks():
+        yield head.format(_count(points)).encode()
+        for r in points.orderBy("pid").toLocalIterator():
+            yield struct.pack("<fffBBB", r.x, r.y, r.z, r.r, r.g, r.b)
+
+    _saved(points.sparkSession, path, chunks())
+
+
 def write_colmap_points(points: DataFrame, path: str) -> None:
     """points3D.bin in order of pid; rows come to the driver a partition at a time."""
     spark = points.sparkSession
 
     def chunks():
-        yield struct.pack("<Q", points.count())
+        yield struct.pack("<Q", _count(points))
         for r in points.orderBy("pid").toLocalIterator():
             flat = [x for t in r.track or [] for x in (t.image_id, t.point)]
             yield struct.pack(f"<QdddBBBdQ{len(flat)}i", r.pid, r.x, r.y, r.z, r.r, r.g, r.b, r.error, len(flat) // 2, *flat)
@@ -276,7 +419,7 @@ def write_ply_splats(splats: DataFrame, path: str) -> None:
     names = ["x", "y", "z", "nx", "ny", "nz", *(f"f_dc_{i}" for i in range(one[0])), *(f"f_rest_{i}" for i in range(one[1])), "opacity", *(f"scale_{i}" for i in range(one[2])), *(f"rot_{i}" for i in range(one[3]))]
 
     def chunks():
-        yield ("ply\nformat binary_little_endian 1.0\n" + f"element vertex {kept.count()}\n" + "".join(f"property float {n}\n" for n in names) + "end_header\n").encode()
+        yield ("ply\nformat binary_little_endian 1.0\n" + f"element vertex {_count(kept)}\n" + "".join(f"property float {n}\n" for n in names) + "end_header\n").encode()
         for r in kept.orderBy("gid").toLocalIterator():
             yield struct.pack(f"<{len(names)}f", *r.mean, 0, 0, 0, *r.dc, *r.rest, r.opacity_logit, *r.log_scale, *r.quat)
 
