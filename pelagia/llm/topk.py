@@ -1,7 +1,7 @@
 """Exact top-k search: an impact-ordered, score-at-a-time index over integer vectors.
 
 Candidates are dealt once, to blocks of at most about ``BLOCK`` rows, and every block has one index, made once. Queries go to
-every block and stream through its task in batches of ``QUERIES``, after the block's candidates, so a task holds one block and
+every block and stream through its task in batches of at most ``QUERIES`` (fewer for large blocks), after the block's candidates, so a task holds one block and
 one batch, and the rows shuffled are the candidates and blocks x queries. A block's index holds, for each
 dimension, its posting list in order of value: equal values are one segment, whose impact for a query is the query's
 component times the value, taken from the least such product. Segments are processed in levels of descending impact; an
@@ -26,7 +26,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pelagia.session import table
 
-BLOCK, QUERIES = 131_072, 64
+BLOCK, QUERIES = 131_072, 1024
+#: Bounds, a number for each row of a block and query of a batch, that a task holds at a time, about.
+BOUNDS = 1 << 23
 #: Blocks are not made smaller than this to occupy more tasks.
 LEAST_BLOCK = 4096
 #: Levels of impact, as shares of a query's highest.
@@ -129,7 +131,8 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 20, scale: int =
     tag = F.xxhash64("v")  # tells the vectors of one id apart
     a = rows.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "vec_id", tag.alias("tag"), "v")
     b = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"), "vec_id", tag.alias("tag"), "v")
-    dealt = a.unionByName(b).repartition("block").sortWithinPartitions("block", "asks")
+    # by range: a block shares its task with another only where there are more blocks than tasks
+    dealt = a.unionByName(b).repartitionByRange(blocks, "block").sortWithinPartitions("block", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, index, width = None, [], None, 0
@@ -147,8 +150,9 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 20, scale: int =
                     width = max(m.shape[1] for _, m in held)
                     index = ImpactIndex(np.concatenate([np.pad(m, ((0, 0), (0, width - m.shape[1]))) for _, m in held]), np.concatenate([i for i, _ in held]))
                     held = []
-                for at in range(0, part.num_rows if index is not None else 0, QUERIES):
-                    some = part.slice(at, QUERIES)
+                size = min(QUERIES, max(16, BOUNDS // len(index.ids))) if index is not None else 1
+                for at in range(0, part.num_rows if index is not None else 0, size):
+                    some = part.slice(at, size)
                     ids, tags = some.column("vec_id").to_numpy(), some.column("tag").to_numpy()
                     found = index.search(_matrix(some.column("v"), width), ids, k)
                     sizes = [len(x) for x, _ in found]
