@@ -288,7 +288,9 @@ def gaussian_sample(splats: DataFrame, n: int) -> DataFrame:
 def morton_grid(splats: DataFrame, key: str, weight: str, bits: int = 8) -> DataFrame:
     """The heaviest n^2 splats in Z-order of their quantised positions: key, place."""
     n = math.isqrt(splats.count())
-    kept = splats.orderBy(F.desc(weight), key).limit(n * n)
+    # ranks by ranges: nearly all rows stay, so no one task takes them
+    ranked = indexed(splats.select(key, "x", "y", "z", F.struct((-F.col(weight)).alias("w"), key).alias("_o")), "_o")
+    kept = ranked.where(F.col("i") < n * n)
     q = coded(kept.select(key, "x", "y", "z"), {c: bits for c in "xyz"})
     code = F.lit(0).cast("long")
     for b in range(bits):
@@ -345,9 +347,15 @@ def edge_peaks(images: DataFrame, least: float, keep: int) -> DataFrame:
 
 
 def mask_props(images: DataFrame, threshold: int) -> DataFrame:
-    """Area, centroid, box and contrast of each image's bright mask."""
+    """Area, centroid, box and contrast of each image's bright mask, the share of it within a tenth of the size from an edge, and
+    the deviation of its values."""
     on = F.col("v") > threshold
-    return images.groupBy("img").agg(F.count_if(on).alias("area"), F.avg(F.when(on, F.col("py"))).alias("cy"), F.avg(F.when(on, F.col("px"))).alias("cx"), F.min(F.when(on, F.col("py"))).alias("y0"), F.max(F.when(on, F.col("py"))).alias("y1"), F.avg(F.when(on, F.col("v"))).alias("inside"), F.avg(F.when(~on, F.col("v"))).alias("outside")).where("area > 0")
+    size = images.groupBy("img").agg((F.max("py") + 1).alias("h"), (F.max("px") + 1).alias("w"))
+    my, mx = F.floor(F.col("h") / 10), F.floor(F.col("w") / 10)
+    edge = (F.col("py") < my) | (F.col("py") >= F.col("h") - my) | (F.col("px") < mx) | (F.col("px") >= F.col("w") - mx)
+    n, v = F.count_if(on), F.when(on, F.col("v").cast("long"))
+    spread = F.sqrt((n * F.sum(v * v) - F.sum(v) * F.sum(v)).cast("double")) / n
+    return images.join(size, "img").groupBy("img").agg((F.count_if(on & edge) / F.greatest(n, F.lit(1))).alias("edge"), F.when(n > 0, spread).alias("std"), F.count_if(on).alias("area"), F.avg(F.when(on, F.col("py"))).alias("cy"), F.avg(F.when(on, F.col("px"))).alias("cx"), F.min(F.when(on, F.col("py"))).alias("y0"), F.max(F.when(on, F.col("py"))).alias("y1"), F.avg(F.when(on, F.col("v"))).alias("inside"), F.avg(F.when(~on, F.col("v"))).alias("outside")).where("area > 0")
 
 
 def exact_corr(a: str, b: str) -> Column:
@@ -387,10 +395,40 @@ def polar_to_cart(frames: DataFrame, side: int, ranges: int, columns: int) -> Da
     return frames.join(F.broadcast(grid.withColumns({"rng": rng, "az": az})), ["rng", "az"]).select("frame", "i", "j", "v")
 
 
-def undistorted(images: DataFrame, side: int, k: float) -> DataFrame:
-    """Square images resampled through x' = x (1 + k r^2) at the nearest pixel; the map is broadcast."""
+def undistorted(images: DataFrame, side: int, k: float, roi: tuple[int, int, int, int]) -> DataFrame:
+    """Square images resampled through x' = x (1 + k r^2) by bilinear taps, zero beyond the image, and cut to the region (x, y, width,
+    height); the map, four taps a pixel, is broadcast (4 side^2 rows)."""
     grid = images.sparkSession.range(side * side).select((F.col("id") / side).cast("int").alias("y"), (F.col("id") % side).cast("int").alias("x"))
     cx, cy = (F.col("x") + 0.5) / side - 0.5, (F.col("y") + 0.5) / side - 0.5
     bend = 1 + k * (cx * cx + cy * cy)
-    px, py = F.floor((cx * bend + 0.5) * side).cast("int"), F.floor((cy * bend + 0.5) * side).cast("int")
-    return images.join(F.broadcast(grid.withColumns({"px": px, "py": py})), ["px", "py"]).select("img", "y", "x", "v")
+    at = grid.withColumns({"u": F.round((cx * bend + 0.5) * side - 0.5, 9), "w": F.round((cy * bend + 0.5) * side - 0.5, 9)})
+    at = at.where(F.col("x").between(roi[0], roi[0] + roi[2] - 1) & F.col("y").between(roi[1], roi[1] + roi[3] - 1))
+    both = F.array(F.lit(0), F.lit(1))
+    taps = at.withColumn("a", F.explode(both)).withColumn("b", F.explode(both)).withColumns({"px": (F.floor("u") + F.col("a")).cast("int"), "py": (F.floor("w") + F.col("b")).cast("int")})
+    taps = taps.withColumn("share", (1 - F.abs(F.col("u") - F.col("px"))) * (1 - F.abs(F.col("w") - F.col("py")))).where("share > 0")
+    return images.join(F.broadcast(taps.select("x", "y", "px", "py", "share")), ["px", "py"]).groupBy("img", (F.col("y") - roi[1]).alias("y"), (F.col("x") - roi[0]).alias("x")).agg(F.sum(F.col("v") * F.col("share")).alias("v"))
+
+
+def aligned(points: DataFrame) -> DataFrame:
+    """pid, x, y, z along the principal axes of the points around their medians, the widest first; the 3 x 3 eigenproblem is the
+    driver's. An axis' sign is its largest component's, the first axis turns where that would mirror."""
+    import numpy as np
+
+    mid = points.agg(*(F.median(c).alias(c) for c in "xyz")).first()
+    cov = points.agg(*(F.covar_samp(a, b).alias(a + b) for i, a in enumerate("xyz") for b in "xyz"[i:])).first()
+    matrix = np.array([[cov["".join(sorted(a + b))] for b in "xyz"] for a in "xyz"])
+    axes = np.linalg.eigh(matrix)[1][:, ::-1].T
+    axes = axes * np.sign(axes[np.arange(3), np.abs(axes).argmax(1)])[:, None]
+    axes[0] *= np.sign(np.linalg.det(axes))
+    moved = [F.col(c) - mid[c] for c in "xyz"]
+    return points.select("pid", *((float(r[0]) * moved[0] + float(r[1]) * moved[1] + float(r[2]) * moved[2]).alias(c) for c, r in zip("xyz", axes, strict=True)))
+
+
+def ellipse_path(cameras: DataFrame, n: int, height: float) -> DataFrame:
+    """i, x, y, z: n places on the ellipse around the cameras' mean in x and y whose half axes are the 90th percentiles of the
+    distances from it; z is ``height``."""
+    mid = cameras.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    half = cameras.crossJoin(F.broadcast(mid)).agg(F.percentile(F.abs(F.col("x") - F.col("mx")), 0.9).alias("a"), F.percentile(F.abs(F.col("y") - F.col("my")), 0.9).alias("b"))
+    t = F.col("i") * (2 * math.pi / n)
+    steps = cameras.sparkSession.range(n).select(F.col("id").cast("int").alias("i")).crossJoin(F.broadcast(mid)).crossJoin(F.broadcast(half))  # one row each
+    return steps.select("i", (F.col("mx") + F.col("a") * F.cos(t)).alias("x"), (F.col("my") + F.col("b") * F.sin(t)).alias("y"), F.lit(float(height)).alias("z"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+PROMPTS = 10_000
+
 
 def weighted_score(components: dict[str, Column], weights: dict[str, float]) -> Column:
     """Weighted mean; a missing component adds nothing while its weight stays in the denominator."""
@@ -32,7 +34,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def prompt_scores(images: DataFrame, prompts: DataFrame) -> DataFrame:
-    """vec_id, prompt, cos: unit embeddings against a handful of prompt embeddings, which are broadcast."""
+    """vec_id, prompt, cos: unit embeddings against prompt embeddings, which are broadcast; at most ``PROMPTS``."""
+    if prompts.limit(PROMPTS + 1).count() > PROMPTS:
+        raise ValueError(f"prompts are broadcast; at most {PROMPTS}")
     return images.crossJoin(F.broadcast(prompts)).select("vec_id", "prompt", dot(F.col("embedding"), F.col("p")).alias("cos"))
 
 

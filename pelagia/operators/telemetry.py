@@ -1,4 +1,4 @@
-"""Run telemetry: ordered folds and windows by run. A run is one task's unit; its folds keep arrays of its steps."""
+"""Run telemetry: weighted sums and windows by run; no run is gathered into an array."""
 
 from __future__ import annotations
 
@@ -10,29 +10,35 @@ def by_run(backward: bool = False):
 
 
 def ema(df: DataFrame, a: float) -> DataFrame:
-    """Last exponential mean of each run, seeded with its first value."""
-    steps = F.transform(F.array_sort(F.collect_list(F.struct("step", "value"))), lambda s: s["value"])
-    runs = df.groupBy("run").agg(steps.alias("v"))
-    return runs.select("run", F.aggregate(F.slice("v", 2, 1_000_000_000), F.get("v", F.lit(0)), lambda s, x: a * x + (1 - a) * s).alias("ema"))
+    """Last exponential mean of each run of steps 1, 2, ..., seeded with its first value: the sum of the values by their
+    weights in it, so a run is summed map-side and never gathered."""
+    ends = df.groupBy("run").agg(F.max("step").alias("_n"))
+    share = F.when(F.col("step") == 1, 1.0).otherwise(a)
+    weight = share * F.pow(F.lit(1 - a), F.col("_n") - F.col("step"))
+    return df.join(ends, "run").groupBy("run").agg(F.sum(weight * F.col("value")).alias("ema"))
 
 
 def rolling_trend(df: DataFrame, size: int = 200, least: int = 10, bound: float = 3.0) -> DataFrame:
-    """(mean of the second half - mean of the first) / (|mean| + 1e-8) of the last ``size`` values, clipped; 0 under ``least``."""
-    recent = F.collect_list("value").over(by_run().rowsBetween(1 - size, 0))
-    df = df.withColumn("v", recent).withColumn("n", F.size("v"))
-    half = F.floor(F.col("n") / 2).cast("int")
-    mean = lambda a, n: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n
-    first, second = F.slice("v", 1, F.greatest(half, F.lit(1))), F.slice("v", half + 1, F.col("n") - half)
-    trend = (mean(second, F.col("n") - half) - mean(first, F.greatest(half, F.lit(1)))) / (F.abs(mean(F.col("v"), F.col("n"))) + 1e-8)
-    return df.select("run", "step", F.when(F.col("n") < least, 0.0).otherwise(F.greatest(F.lit(-bound), F.least(F.lit(bound), trend))).alias("trend"))
+    """(mean of the second half - mean of the first) / (|mean| + 1e-8) of the last ``size`` values (steps 1, 2, ...), clipped; 0 under
+    ``least``. Means are differences of running sums; the first ``size`` - 1 steps look up the sum at half their step."""
+    sums = df.select("run", "step", F.sum("value").over(by_run().rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
+    lagged = sums.withColumns({"h": F.lag("s", size - size // 2).over(by_run()), "z": F.coalesce(F.lag("s", size).over(by_run()), F.lit(0.0))})
+    half = sums.where(F.col("step") < size // 2 + 1).select("run", F.col("step").alias("_half"), F.col("s").alias("_h"))
+    early = lagged.where(F.col("step") < size).withColumn("_half", F.floor(F.col("step") / 2).cast("int")).join(half, ["run", "_half"], "left")
+    early = early.select("run", "step", "s", F.coalesce("_h", F.lit(0.0)).alias("h"), "z", F.col("step").alias("n"))
+    every = lagged.where(F.col("step") >= size).withColumn("n", F.lit(size)).unionByName(early)
+    k = F.floor(F.col("n") / 2)
+    first, second = (F.col("h") - F.col("z")) / F.greatest(k, F.lit(1)), (F.col("s") - F.col("h")) / (F.col("n") - k)
+    trend = (second - first) / (F.abs((F.col("s") - F.col("z")) / F.col("n")) + 1e-8)
+    return every.select("run", "step", F.when(F.col("n") < least, 0.0).otherwise(F.greatest(F.lit(-bound), F.least(F.lit(bound), trend))).alias("trend"))
 
 
 def gae(df: DataFrame, gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
-    """Generalised advantage at each run's first step: delta + gamma lam gae, folded from the last step back."""
-    then = F.coalesce(F.lead("value").over(by_run()), F.lit(0.0))
-    delta = df.select("run", "step", (F.col("value") / 100 + gamma * then - F.col("value")).alias("d"))
-    runs = delta.groupBy("run").agg(F.reverse(F.transform(F.array_sort(F.collect_list(F.struct("step", "d"))), lambda s: s["d"])).alias("d"))
-    return runs.select("run", F.aggregate("d", F.lit(0.0), lambda s, x: x + gamma * lam * s).alias("gae"))
+    """Generalised advantage at each run's first step, the sum of (gamma lam)^(step - 1) (value / 100 + gamma next - value): each
+    value is weighted as a step's own and as the next of the step before, so a run is summed map-side."""
+    fade = F.pow(F.lit(gamma * lam), F.col("step") - 1)
+    as_next = F.when(F.col("step") > 1, gamma * fade / (gamma * lam)).otherwise(0.0)
+    return df.groupBy("run").agg(F.sum(F.col("value") * ((0.01 - 1) * fade + as_next)).alias("gae"))
 
 
 def regions(df: DataFrame, mask: Column) -> DataFrame:

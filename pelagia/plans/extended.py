@@ -330,9 +330,11 @@ def _(view):
     return X.edge_peaks(view("img_px"), 2.0, 3)
 
 
-@query("ag_mask_props", f"{I} select img, count(*) filter (v > 110) as area, {R('avg(py) filter (v > 110)')} as cy, {R('avg(px) filter (v > 110)')} as cx, min(py) filter (v > 110) as y0, max(py) filter (v > 110) as y1, {R('avg(v) filter (v > 110)')} as inside, {R('avg(v) filter (v <= 110)')} as outside from img_px group by img having count(*) filter (v > 110) > 0")
+@query("ag_mask_props", f"""{I}, z as (select img, max(py) + 1 as h, max(px) + 1 as w from img_px group by img), e as (select p.*, py < h // 10 or py >= h - h // 10 or px < w // 10 or px >= w - w // 10 as edge from img_px p join z using (img))
+select img, count(*) filter (v > 110) as area, {R('avg(py) filter (v > 110)')} as cy, {R('avg(px) filter (v > 110)')} as cx, min(py) filter (v > 110) as y0, max(py) filter (v > 110) as y1, {R('avg(v) filter (v > 110)')} as inside, {R('avg(v) filter (v <= 110)')} as outside,
+{R('count(*) filter (v > 110 and edge) / (count(*) filter (v > 110))::double')} as edge, {R('stddev_pop(v) filter (v > 110)')} as std from e group by img having count(*) filter (v > 110) > 0""")
 def _(view):
-    return X.mask_props(view("img_px"), 110).select("img", "area", r6("cy").alias("cy"), r6("cx").alias("cx"), "y0", "y1", r6("inside").alias("inside"), r6("outside").alias("outside"))
+    return X.mask_props(view("img_px"), 110).select("img", "area", "y0", "y1", *(r6(c).alias(c) for c in ("cy", "cx", "inside", "outside", "edge", "std")))
 
 
 @query("ag_template_match", f"{I}, t as (select py as ty, px as tx, median(v) as t from img_px where py < 4 and px < 4 group by 1, 2), b as (select img, py // 4 as by_, px // 4 as bx, v, t from img_px join t on py % 4 = ty and px % 4 = tx), c as (select img, by_, bx, round((count(*) * sum(v::double * t) - sum(v::double) * sum(t)) / nullif(sqrt((count(*) * sum(v::double * v) - sum(v::double) * sum(v::double)) * (count(*) * sum(t * t) - sum(t) * sum(t))), 0), 6) as c from b group by 1, 2, 3 having count(*) = 16 and min(v) < max(v) and min(t) < max(t)) select img, max(c) as c, arg_max(by_, (c, -by_, -bx))::bigint as \"by\", arg_max(bx, (c, -by_, -bx))::bigint as bx from c group by img")
@@ -362,9 +364,26 @@ def _(view):
     return X.polar_to_cart(view("sonar_px"), 32, 64, 48)
 
 
-@query("flt_undistort", f"{I}, g as (select a.i::int as y, b.j::int as x, (b.j + 0.5::double) / 16 - 0.5 as cx, (a.i + 0.5::double) / 16 - 0.5 as cy from range(16) a(i), range(16) b(j)), m as (select y, x, floor((cx * (1 + 0.1::double * (cx * cx + cy * cy)) + 0.5) * 16)::int as px, floor((cy * (1 + 0.1::double * (cx * cx + cy * cy)) + 0.5) * 16)::int as py from g) select img, y, x, v from img_px join m using (px, py)")
+@query("flt_undistort", f"""{I}, g as (select a.i::int as y, b.j::int as x, (b.j + 0.5::double) / 16 - 0.5 as cx, (a.i + 0.5::double) / 16 - 0.5 as cy from range(1, 15) a(i), range(2, 14) b(j)),
+m as (select y, x, round((cx * (1 + 0.1::double * (cx * cx + cy * cy)) + 0.5) * 16 - 0.5, 9) as u, round((cy * (1 + 0.1::double * (cx * cx + cy * cy)) + 0.5) * 16 - 0.5, 9) as w from g),
+t as (select y, x, u, w, floor(u)::int + p.k as px, floor(w)::int + q.k as py from m, range(2) p(k), range(2) q(k)), s as (select *, (1 - abs(u - px)) * (1 - abs(w - py)) as share from t)
+select img, (y - 1)::int as y, (x - 2)::int as x, {R('sum(v * share)')} as v from img_px join s using (px, py) where share > 0 group by 1, 2, 3""")
 def _(view):
-    return X.undistorted(view("img_px"), 16, 0.1)
+    return X.undistorted(view("img_px"), 16, 0.1, (2, 1, 12, 14)).select("img", "y", "x", r6("v").alias("v"))
+
+
+@query("ag_pose_align", ctes("cloud_a") + f""", c as (select covar_samp(x, x) as a, covar_samp(x, y) as b, covar_samp(x, z) as c, covar_samp(y, y) as d, covar_samp(y, z) as e, covar_samp(z, z) as f from cloud_a),
+q as (select *, (a + d + f) / 3 as q from c), p as (select *, sqrt(((a - q) * (a - q) + (d - q) * (d - q) + (f - q) * (f - q) + 2 * (b * b + c * c + e * e)) / 6) as p from q),
+r as (select *, acos(greatest(-1, least(1, ((a - q) * ((d - q) * (f - q) - e * e) - b * (b * (f - q) - e * c) + c * (b * e - (d - q) * c)) / (2 * p * p * p)))) / 3 as phi from p)
+select {R('q + 2 * p * cos(phi)')} as x, {R('3 * q - (q + 2 * p * cos(phi)) - (q + 2 * p * cos(phi + 2 * pi() / 3))')} as y, {R('q + 2 * p * cos(phi + 2 * pi() / 3)')} as z from r""")
+def _(view):
+    return X.aligned(view("cloud_a")).agg(*(r6(F.var_samp(c)).alias(c) for c in "xyz"))
+
+
+@query("sc_trajectories_ellipse", ctes("splats") + f""", m as (select avg(x) as mx, avg(y) as my from splats), h as (select quantile_cont(abs(x - mx), 0.9) as a, quantile_cont(abs(y - my), 0.9) as b from splats, m)
+select i::int as i, {R('mx + a * cos(i * 2 * pi() / 120)')} as x, {R('my + b * sin(i * 2 * pi() / 120)')} as y, 1.5::double as z from range(120) t(i), m, h""")
+def _(view):
+    return X.ellipse_path(view("splats"), 120, 1.5).select("i", *(r6(c).alias(c) for c in "xyz"))
 
 
 @query("sc_trajectories", f"select i::int as i, {R('cos(i / 120.0::double * 4 * pi())')} as x, {R('sin(i / 120.0::double * 4 * pi())')} as y, {R('sin(i / 120.0::double * 2 * pi())')} as z from range(120) t(i)")

@@ -32,14 +32,14 @@ def _(spark, sf_dir):
     return found.select("user_id", r6("peak").alias("peak"), r6("total").alias("total"))
 
 
-@_add("ss_rl_controller", "with l as (select user_id, value, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) select user_id, round(avg(value), 6) + 0.0 as recent, count(*) as n from l where r <= 50 group by user_id")
+@_add("ss_rl_controller", f"""with l as (select user_id, value, row_number() over (partition by user_id order by ts desc, event_id desc) - 1 as age from events), k as (select *, count(*) over (partition by user_id) as n from l where age < 50),
+b as (select user_id, count(*) as n, avg(value) as recent, sum(value * case when age = n - 1 then 1 else 0.1 end * pow(0.9::double, age)) as balance from k group by user_id)
+select user_id, n, {R('recent')} as recent, {R('balance')} as balance, {R('greatest(-5, least(5, 0.2 * (50 - balance)))')} as step from b""")
 def _(spark, sf_dir):
-    from pyspark.sql import Window
-
-    events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
-    last = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    kept = events.withColumn("r", F.row_number().over(last)).where("r <= 50")
-    return kept.groupBy("user_id").agg(r6(F.avg("value")).alias("recent"), F.count("*").alias("n"))
+    events = S.table_stream(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    buffer = S.recent(events, "user_id", ["ts", "event_id"], 50)
+    found = S.control(buffer, "user_id", ["ts", "event_id"], "value", target=50.0, alpha=0.1, gain=0.2, bound=5.0)
+    return found.select("user_id", "n", *(r6(c).alias(c) for c in ("recent", "balance", "step")))
 
 
 @_add("ss_event_windows", "select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as n from events group by 1, 2")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from pelagia.functions import geometry as G
-from pelagia.operators import cloud, model, parse, ranking, telemetry as T
+from pelagia.operators import cloud, extended as X, model, parse, ranking, telemetry as T
 from pelagia.plans.register import R, query, r6
 from pelagia.plans.views import ctes
+from pelagia.session import scratch
 
 SC = ctes("scores") + ", sc as (select *, (0.5 * clip + 0.3 * entropy + 0.2 * edge) / 1.25 as raw from scores), s as (select *, round(raw, 6) as score from sc)"
 
@@ -157,8 +158,11 @@ def _(view):
 
 @query("ag_type_summary", "select event_type, count(*) as n, sum(value) > 0 as some, array_to_string(list_sort(list(event_id::varchar))[1:5], ',') as first from events group by 1")
 def _(view):
-    names = F.slice(F.sort_array(F.collect_list(F.col("event_id").cast("string"))), 1, 5)
-    return view("events").groupBy("event_type").agg(F.count("*").alias("n"), (F.sum("value") > 0).alias("some"), F.array_join(names, ",").alias("first"))
+    events, name = view("events"), F.col("event_id").cast("string").alias("name")
+    # five names of a type in each task, then five of all: nothing else is gathered
+    first = events.select("event_type", name).withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy("name"))).where("r <= 5")
+    first = first.groupBy("event_type").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("first"))
+    return events.groupBy("event_type").agg(F.count("*").alias("n"), (F.sum("value") > 0).alias("some")).join(first, "event_type")
 
 
 @query("ag_mean_rms", f"{ctes('telemetry')} select run, {R('avg(value)')} as mean, {R('sqrt(avg(value * value))')} as rms from telemetry group by run")
@@ -183,7 +187,10 @@ def _(view):
     every = view("documents").select("lang").distinct()
     by = docs.groupBy("lang").pivot("source", ["src0", "src1"]).agg(F.avg("n_chars"))
     all_ = docs.groupBy(F.lit("average").alias("lang")).pivot("source", ["src0", "src1"]).agg(F.avg("n_chars"))
-    return every.join(by, "lang", "left").unionByName(all_).select("lang", r6("src0").alias("src0"), r6("src1").alias("src1"))
+    found = every.join(by, "lang", "left").unionByName(all_).select("lang", r6("src0").alias("src0"), r6("src1").alias("src1"))
+    path = scratch(found.sparkSession)
+    found.write.option("header", True).csv(path)
+    return found.sparkSession.read.schema(found.schema).option("header", True).csv(path)
 
 
 @query("wn_cumulative_year", "with y as (select year(o_orderdate)::int as yr, count(*) as n from orders group by 1) select yr, n, (sum(n) over (order by yr rows unbounded preceding))::bigint as upto from y")
@@ -515,11 +522,23 @@ def _(view):
     return view("splats").select("gid", *(r6(G.signed_log(F.col(c))).alias(c) for c in "xy"))
 
 
-@query("dm_kmeans", f"{SP}, c as (select gid as c, x as cx, y as cy, z as cz from splats where gid in (select min(gid) from splats group by scene)), d as (select gid, c, abs(x - cx) + abs(y - cy) + abs(z - cz) as d from splats, c) select gid, arg_min(c, (round(d, 9), c)) as c from d group by gid")
+def _fit(i: int) -> str:
+    return f"""d{i} as (select gid, x, y, z, c, abs(x - cx) + abs(y - cy) + abs(z - cz) as d from splats, c{i}), a{i} as materialized (select gid, any_value(x) as x, any_value(y) as y, any_value(z) as z, arg_min(c, (round(d, 9), c)) as c from d{i} group by gid)"""
+
+
+def _centres(i: int) -> str:
+    return f"c{i + 1} as materialized (select c, round(avg(x), 9) as cx, round(avg(y), 9) as cy, round(avg(z), 9) as cz from a{i} group by c)"
+
+
+@query("dm_kmeans", f"""{SP}, c0 as (select gid as c, x as cx, y as cy, z as cz from splats where gid in (select min(gid) from splats group by scene)), {_fit(0)}, {_centres(0)}, {_fit(1)}, {_centres(1)}, {_fit(2)},
+b as (select {', '.join(f'min(c{c}) as l{c}, max(c{c}) as h{c}' for c in 'xyz')} from c2),
+q as (select c, {', '.join(f'round_even((c{c} - l{c}) / (h{c} - l{c}) * 63, 0)::int as q{c}' for c in 'xyz')} from c2, b) select gid, c, qx, qy, qz from a2 join q using (c)""")
 def _(view):
     first = view("splats").groupBy("scene").agg(F.min_by(F.struct("gid", "x", "y", "z"), "gid").alias("s"))
     centres = first.select(F.col("s.gid").alias("c"), *(F.col(f"s.{a}").alias(f"c{a}") for a in "xyz"))
-    return model.assign(view("splats"), centres)
+    found, centres = model.fit_codebook(view("splats").select("gid", "x", "y", "z"), centres, 2)
+    codes = X.coded(centres, {f"c{a}": 6 for a in "xyz"}).select("c", *(F.col(f"c{a}").alias(f"q{a}") for a in "xyz"))
+    return found.join(F.broadcast(codes), "c").select("gid", "c", "qx", "qy", "qz")
 
 
 @query("ud_strategy_iface", f"{_POL} select count(*) as n from (select gid from a where action <> 'prune' union all select gid from a where action in ('clone', 'split'))")

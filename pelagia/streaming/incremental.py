@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from pelagia.session import shared_dir
+from pelagia.session import scratch, shared_dir
 
 
 def _run(stream: DataFrame, fold, first: DataFrame, mode: str = "append") -> DataFrame:
@@ -40,14 +40,36 @@ def indexed(stream: DataFrame, order: str) -> DataFrame:
     """Rows of all batches with a running index: each batch continues where the last one ended."""
     from pelagia.operators import pixels
 
-    schema = stream.select("*", F.lit(0).cast("long").alias("i")).schema
-    empty = stream.sparkSession.createDataFrame([], schema)
+    spark, schema = stream.sparkSession, stream.select("*", F.lit(0).cast("long").alias("i")).schema
+    rows = scratch(spark)
+    spark.createDataFrame([], schema).write.parquet(f"{rows}/first")
 
     def fold(state: DataFrame, batch: DataFrame) -> DataFrame:
-        start = state.agg(F.coalesce(F.max("i") + 1, F.lit(0)).alias("start")).first().start
-        return state.unionByName(pixels.indexed(batch, order).withColumn("i", F.col("i") + start).select(*state.columns))
+        # the state is the next index alone; a batch's rows are written once, under the index they begin at
+        start = state.first().next
+        batch = pixels.indexed(batch, order).withColumn("i", F.col("i") + start).select(*schema.names)
+        batch.write.mode("overwrite").parquet(f"{rows}/from-{start}")
+        return spark.range(1).select(F.lit(start + batch.count()).cast("long").alias("next"))
 
-    return _run(stream, fold, empty)
+    _run(stream, fold, spark.createDataFrame([(0,)], "next long"))
+    return spark.read.schema(schema).parquet(f"{rows}/*")
+
+
+def recent(stream: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
+    """The last n rows of each key over all batches, a rolling buffer: a state of n rows a key."""
+    last = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
+    empty = stream.sparkSession.createDataFrame([], stream.schema)
+    return _run(stream, lambda state, batch: state.unionByName(batch).withColumn("_r", F.row_number().over(last)).where(F.col("_r") <= n).drop("_r"), empty)
+
+
+def control(buffer: DataFrame, key: str, order: list[str], value: str, target: float, alpha: float, gain: float, bound: float) -> DataFrame:
+    """key, n, recent (mean), balance (exponential mean from the oldest row of the buffer on), step: the proportional step
+    gain (target - balance), within +-bound."""
+    place = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
+    df = buffer.select(key, value, (F.row_number().over(place) - 1).alias("age"), F.count("*").over(Window.partitionBy(key)).alias("n"))
+    weight = F.when(F.col("age") == F.col("n") - 1, 1.0).otherwise(alpha) * F.pow(F.lit(1 - alpha), F.col("age"))
+    found = df.groupBy(key).agg(F.count("*").alias("n"), F.avg(value).alias("recent"), F.sum(weight * F.col(value)).alias("balance"))
+    return found.withColumn("step", F.greatest(F.lit(-bound), F.least(F.lit(bound), gain * (target - F.col("balance")))))
 
 
 def peaks(stream: DataFrame, key: str, value: str) -> DataFrame:
