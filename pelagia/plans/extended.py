@@ -209,9 +209,17 @@ def _(view):
     return X.grid_variation(view("sonar_px"), ("frame", "rng", "az"), "v").select(r6("tv").alias("tv"))
 
 
-@query("ag_hue_component")
-def _(view):
-    return X.band_component(view("img_px").where("px >= 4"), 97, 110, 3, 16, 8, 0.2)
+@query("ag_hue_component", f"""{I.replace('with ', 'with recursive ', 1)}, b as materialized (select img, py, px, py * 16 + px as id from img_px where v between 102 and 104 and px >= 4),
+e as materialized (select a.img, a.id as s, c.id as t from b a join b c on a.img = c.img and abs(a.py - c.py) <= 1 and abs(a.px - c.px) <= 1),
+r as (select img, id as s, id as t from b union select r.img, r.s, e.t from r join e on r.img = e.img and r.t = e.s),
+c as materialized (select img, s as id, min(t) as root from r group by 1, 2),
+k as materialized (select c.img, root, count(*) as area, min(py) as top from c join b using (img, id) group by 1, 2),
+m as (select img, count(*) as n, sum(area) as total from k group by 1),
+o as (select * from k qualify row_number() over (partition by img order by area desc, root) = 1),
+x as (select o.img, max(px) as last from o join c on c.img = o.img and c.root = o.root join b on b.img = c.img and b.id = c.id where b.py = o.top group by 1)
+select img, n, area, case when area >= 3 and 16 - last <= 8 and area >= 0.2 * total then top end::bigint as row_ from o join m using (img) join x using (img)""")
+def _(view):
+    return X.band_component(view("img_px").where("px >= 4"), 102, 104, 3, 16, 8, 0.2)
 
 
 @query("ag_mutual_info", f"""{scene.WEIGHTED}, p as materialized (select cam, px, py, gid, alpha * t / sum(alpha * t) over (partition by cam, px, py) as p from ww),

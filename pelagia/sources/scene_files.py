@@ -220,7 +220,8 @@ def _png_size(data: bytes) -> Iterator[dict]:
 
 
 def image_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """path, width, height of ``*.png``; null where the file is no image, so failures can be counted."""
+    """path, width, height of ``*.png``; null where the file is no image, so failures can be counted. Spark lists no files
+    of no bytes."""
     return _parsed(spark, path, _png_size, "width int, height int", "*.png")
 
 

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pelagia.functions import geometry as G
-from pelagia.operators import cloud, model, pixels
+from pelagia.operators import cloud, density, extended, model, pixels, surfel, telemetry
 from pelagia.plans import scene
 from pelagia.plans.views import spark_view
 
@@ -65,3 +65,107 @@ def test_growth_replaces_splits_and_drops_pruned(spark):
     df = spark.createDataFrame([(1, "prune", 1.0), (2, "clone", 1.0), (3, "split", 1.6), (4, "keep", 1.0)], "gid int, action string, sx double").withColumns({"sy": F.col("sx"), "sz": F.col("sx")})
     out = sorted((r.gid, r.sx) for r in model.grown(df).collect())
     assert out == [(2, 1.0), (2, 1.0), (3, 1.0), (3, 1.0), (4, 1.0)]
+
+
+def test_fisheye_jacobian_against_differences(spark):
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=(3, 3))
+    c = a @ a.T
+
+    def image(v):
+        r = np.hypot(v[0], v[1])
+        return np.array([50 * np.arctan2(r, v[2]) / r * v[0] + 7, 60 * np.arctan2(r, v[2]) / r * v[1] + 9])
+
+    for p in (np.array([0.3, -0.8, 1.5]), np.array([1e-3, 2e-3, 1.0]), np.array([2.0, 1.0, 0.2])):
+        got = spark.range(1).select(*(x for part in G.fisheye([F.lit(float(v)) for v in p], [F.lit(float(c[i, j])) for i in range(3) for j in range(i, 3)], 50, 60, 7, 9) for x in part)).first()
+        jac = np.stack([(image(p + e) - image(p - e)) / 2e-6 for e in 1e-6 * np.eye(3)], 1)
+        want = jac @ c @ jac.T
+        assert np.allclose(got[:2], image(p)) and np.allclose(got[2:], [want[0, 0], want[0, 1], want[1, 1]], rtol=1e-4)
+    axis = spark.range(1).select(*G.fisheye([F.lit(0.0), F.lit(0.0), F.lit(2.0)], [F.lit(float(c[i, j])) for i in range(3) for j in range(i, 3)], 50, 60, 7, 9)[1]).first()
+    assert np.allclose(axis, [25 * 25 * c[0, 0], 25 * 30 * c[0, 1], 30 * 30 * c[1, 1]])
+
+
+def test_shared_places_keep_their_rendering(spark):
+    """The published sum over i and k of C(i - 1, k) (-1)^k p^(k + 1) / sqrt(k + 1), and opacities that compose to the source's."""
+    from math import comb
+
+    rows = [(o, float(n)) for o in (0.01, 0.3, 0.9) for n in (1, 2, 5, 12)]
+    for r, (o, n) in zip(spark.createDataFrame(rows, "o double, n double").select(*density.shared(F.col("o"), F.col("n"))).collect(), rows, strict=True):
+        p = 1 - (1 - o) ** (1 / n)
+        total = sum(comb(i - 1, k) * (-1) ** k * p ** (k + 1) / (k + 1) ** 0.5 for i in range(1, int(n) + 1) for k in range(i))
+        assert np.isclose(r[0], p) and np.isclose(1 - (1 - r[0]) ** n, o) and np.isclose(r[1], o / total)
+
+
+def test_pixels_of_the_ellipse_box_are_all_pixels(spark):
+    """Every pixel of a tile with enough alpha is made, also for thin and turned conics."""
+    from pelagia.operators import raster
+
+    rng, rows = np.random.default_rng(7), []
+    for i in range(60):
+        m = rng.normal(size=(2, 2)) * rng.choice([0.5, 4.0], 2)
+        k = np.linalg.inv(m @ m.T + 0.3 * np.eye(2))
+        rows.append((i, *map(float, rng.uniform(-8, 40, 2)), k[0, 0], k[0, 1], k[1, 1], float(rng.uniform(0.001, 1)), 0, 0, 32, 30, 28))
+    df = spark.createDataFrame([tuple(float(x) if isinstance(x, np.floating) else x for x in r) for r in rows], "gid int, u double, v double, ca_ double, cb_ double, cc_ double, o double, tile_x int, tile_y int, tile int, width int, height int")
+    got = {(r.gid, r.px, r.py) for r in raster.pixel_pairs(df).collect()}
+    want = set()
+    for g, u, v, a, b, c, o, *_ in rows:
+        for py in range(28):
+            for px in range(30):
+                dx, dy = px + 0.5 - u, py + 0.5 - v
+                sigma = round(0.5 * (a * dx * dx + c * dy * dy) + b * dx * dy, 9)
+                if sigma >= 0 and round(min(0.999, o * np.exp(-sigma)), 9) >= round(1 / 255, 9):
+                    want.add((g, px, py))
+    assert got == want and len(want) > 1000
+
+
+def test_surfels_meet_rays_in_their_plane(spark):
+    row = dict(cam=0, gid=0, x=0.2, y=-0.1, z=0.3, qw=0.9, qx=0.2, qy=0.3, qz=-0.1, sx=0.4, sy=0.2, sz=0.01, o=0.8, ca=1.0, sa=0.0, tx=0.0, ty=0.0, tz=4.0, fx=40.0, fy=42.0, cx=30.0, cy=25.0, width=64, height=48, tile=64, tile_x=0, tile_y=0)
+    df = surfel.project(spark.createDataFrame([row])).cache()
+    q = np.array([row[c] for c in ("qw", "qx", "qy", "qz")])
+    w, x, y, z = q / np.linalg.norm(q)
+    m = np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)], [2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)], [2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]])
+    centre, normal = np.array([0.2, -0.1, 4.3]), m[:, 2]
+    got = df.first()
+    facing = -np.sign(normal @ centre) * normal
+    assert np.allclose([got.nx, got.ny, got.nz], facing) and got.radius > 0
+    for r in surfel.pixel_pairs(df).collect():
+        ray = np.array([(r.px + 0.5 - 30) / 40, (r.py + 0.5 - 25) / 42, 1.0])
+        hit = ray * (normal @ centre) / (normal @ ray) - centre
+        plane = (m[:, 0] @ hit / 0.4) ** 2 + (m[:, 1] @ hit / 0.2) ** 2
+        screen = 2 * ((r.px + 0.5 - got.u) ** 2 + (r.py + 0.5 - got.v) ** 2)
+        assert np.isclose(r.sigma, 0.5 * min(plane, screen), atol=1e-6)
+
+
+def test_folds_as_sums(spark):
+    rng = np.random.default_rng(8)
+    values = {r: rng.normal(50, 20, n) for r, n in (("a", 1), ("b", 9), ("c", 450))}
+    df = spark.createDataFrame([(r, i + 1, float(v)) for r, vs in values.items() for i, v in enumerate(vs)], "run string, step int, value double").repartition(5)
+    means, gains = ({r[0]: r[1] for r in f.collect()} for f in (telemetry.ema(df, 0.1), telemetry.gae(df)))
+    trends = {(r.run, r.step): r.trend for r in telemetry.rolling_trend(df).collect()}
+    for r, vs in values.items():
+        s, g = vs[0], 0.0
+        for v in vs[1:]:
+            s = 0.1 * v + 0.9 * s
+        for i in range(len(vs) - 1, -1, -1):
+            g = vs[i] / 100 + 0.99 * (vs[i + 1] if i + 1 < len(vs) else 0) - vs[i] + 0.99 * 0.95 * g
+        assert np.isclose(means[r], s) and np.isclose(gains[r], g)
+        for i in range(len(vs)):
+            last = vs[max(0, i - 199) : i + 1]
+            half = len(last) // 2
+            want = 0.0 if len(last) < 10 else np.clip((last[half:].mean() - last[:half].mean()) / (abs(last.mean()) + 1e-8), -3, 3)
+            assert np.isclose(trends[r, i + 1], want, atol=1e-9)
+
+
+def test_largest_components(spark):
+    picture = ["#..##", "#...#", "..#..", "##...", "....#"]
+    rows = [(1, y, x, 5 if c == "#" else 0) for y, line in enumerate(picture) for x, c in enumerate(line)] + [(2, 0, 0, 9)]
+    df = spark.createDataFrame(rows, "img long, py int, px int, v int")
+    assert [tuple(r) for r in extended.band_component(df, 5, 5, 1, 5, 5, 0.1).collect()] == [(1, 4, 3, 0)]
+    assert extended.band_component(df, 5, 5, 4, 5, 5, 0.1).first().row_ is None
+
+
+def test_gaussian_similarity_is_one_for_equal_images(spark):
+    rng = np.random.default_rng(9)
+    rows = [(1, y, x, float(v), float(v)) for (y, x), v in np.ndenumerate(rng.random((13, 16)))] + [(2, y, x, float(v), 1 - float(v)) for (y, x), v in np.ndenumerate(rng.random((13, 16)))]
+    found = {r.img: r.ssim for r in extended.ssim(spark.createDataFrame(rows, "img int, py int, px int, a double, b double")).collect()}
+    assert np.isclose(found[1], 1) and found[2] < 0

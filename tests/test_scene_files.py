@@ -71,3 +71,25 @@ def test_json_npz_and_archives(spark, tmp_path):
     assert {(r.archive, len(r.parts), r.size) for r in S.archive_parts(files).collect()} == {("d.7z", 2, 3), ("e.zip", 1, 3)}
     (tmp_path / "dataverse.json").write_text(json.dumps({"data": {"latestVersion": {"files": [{"directoryLabel": "x", "dataFile": {"id": 1, "filename": "a.png", "filesize": 5, "contentType": "image/png"}}]}}}))
     assert S.dataverse_files(spark, str(tmp_path / "dataverse.json")).first().filename == "a.png"
+
+
+def test_text_images_dense_maps_and_bad_images(spark, tmp_path):
+    (tmp_path / "images.txt").write_text("# two lines an image\n1 1 0 0 0 0.5 0.6 0.7 2 a b.png\n1 2 5 3 4 -1\n2 1 0 0 0 0 0 0 2 c.png\n\n")
+    images = S.colmap_text_images(spark, str(tmp_path)).orderBy("image_id").collect()
+    assert [(r.name, len(r.points), r.t) for r in images] == [("a b.png", 2, [0.5, 0.6, 0.7]), ("c.png", 0, [0.0] * 3)]
+    array = np.arange(24, dtype="<f4").reshape(3, 2, 4)  # across, down, channels
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "x.bin").write_bytes(b"3&2&4&" + array.ravel(order="F").tobytes())
+    got = {(r.row, r.col, r.channel): r.v for r in S.colmap_dense(spark, str(tmp_path / "d")).collect()}
+    assert len(got) == 24 and all(got[d, a, c] == array[a, d, c] for a in range(3) for d in range(2) for c in range(4))
+    (tmp_path / "i").mkdir()
+    (tmp_path / "i" / "bad.png").write_bytes(b"no image")
+    (tmp_path / "i" / "cut.png").write_bytes(b"\x89PNG\r\n\x1a\n")
+    assert [r.width for r in S.image_sizes(spark, str(tmp_path / "i")).collect()] == [None, None]
+
+
+def test_single_files_refuse_large_tables(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(S, "MOST_ROWS", 1)
+    rows = spark.createDataFrame([(i, 0.0, 0.0, 0.0, 1, 2, 3) for i in range(2)], "pid long, x double, y double, z double, r int, g int, b int")
+    with pytest.raises(ValueError):
+        S.write_ply_points(rows, f"file://{tmp_path}/a.ply")
