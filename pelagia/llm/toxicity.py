@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pelagia.llm import keys
 from pelagia.llm._text import LETTER, U, Words, signed, slices
-from pelagia.session import table
+from pelagia.session import table, written
 
 MAX_DOCS, MAX_FEATURES, CHUNK, PREFIXES = 4000, 4096, 32, (4, 5, 6)
 #: Chunks of which the gradient is taken at a time; bounds the driver's memory, not what is learned from.
@@ -251,7 +251,7 @@ def _evidence(m: Marked, p: np.ndarray, rows: int) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     """The model from (doc_id, text) and (doc_id, toxic); null unless both labels occur."""
-    sample = _sample(docs, labels)
+    sample = written(_sample(docs, labels))  # 2 MAX_DOCS rows at most, read four times
     known, sizes = features(sample)
     if not sizes.all():
         return None
