@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pelagia.plans import extended, files, imaging, random, register, scene, streams, tabular  # noqa: F401
+from pelagia.plans import extended, files, imaging, kernels, paths, random, register, scene, streams, tabular  # noqa: F401
 
 
 def queries() -> dict:

@@ -304,11 +304,6 @@ def elevation_samples(frames: DataFrame, n: int, spread: float = 0.2) -> DataFra
     return df.withColumn("elevation", spread * (uniform("el", "frame", "rng", "az", "k") - 0.5))
 
 
-def spiral(one: DataFrame, n: int) -> DataFrame:
-    t = F.col("i") / float(n) * 4 * math.pi
-    return one.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).select("i", F.cos(t).alias("x"), F.sin(t).alias("y"), F.sin(t / 2).alias("z"))
-
-
 def random_patch(images: DataFrame, side: int, cx: float, cy: float) -> DataFrame:
     """A random side x side patch of each image, coordinates and the principal point from its corner."""
     oy, ox = (F.floor(uniform(f"patch:{a}", "img") * (16 - side + 1)).cast("int") for a in "yx")
@@ -364,21 +359,6 @@ def exact_corr(a: str, b: str) -> Column:
     return F.try_divide(n * F.sum(x * y) - F.sum(x) * F.sum(y), F.sqrt((n * F.sum(x * x) - F.sum(x) * F.sum(x)) * (n * F.sum(y * y) - F.sum(y) * F.sum(y))))
 
 
-def template_match(images: DataFrame, side: int) -> DataFrame:
-    """The block of each image that correlates best with the median image's first block; blocks without variance are out."""
-    median = images.where((F.col("py") < side) & (F.col("px") < side)).groupBy("py", "px").agg(F.median("v").alias("t"))
-    template = F.broadcast(median.select(F.col("py").alias("ty"), F.col("px").alias("tx"), "t"))  # side x side rows
-    at = images.withColumns({"by": F.floor(F.col("py") / side), "bx": F.floor(F.col("px") / side), "ty": F.col("py") % side, "tx": F.col("px") % side})
-    sums = at.join(template, ["ty", "tx"]).groupBy("img", "by", "bx").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.min("t").alias("tl"), F.max("t").alias("th"), exact_corr("v", "t").alias("c"))
-    full = sums.where((F.col("n") == side * side) & (F.col("lo") < F.col("hi")) & (F.col("tl") < F.col("th")))
-    return full.groupBy("img").agg(F.max(F.struct(F.round("c", 6).alias("c"), (-F.col("by")).alias("ny"), (-F.col("bx")).alias("nx"))).alias("b")).select("img", F.col("b.c").alias("c"), (-F.col("b.ny")).alias("by"), (-F.col("b.nx")).alias("bx"))
-
-
-def color_corrected(pairs: DataFrame) -> DataFrame:
-    """Slope and intercept of the least-squares match of b to a, by image."""
-    return pairs.groupBy("img").agg(F.regr_slope("b", "a").alias("slope"), F.regr_intercept("b", "a").alias("intercept"), F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi")
-
-
 def normalised(points: DataFrame) -> DataFrame:
     """Points centred at their medians and scaled by the median distance."""
     mid = F.broadcast(points.agg(*(F.median(c).alias(f"m{c}") for c in "xyz")))  # one row
@@ -387,14 +367,6 @@ def normalised(points: DataFrame) -> DataFrame:
     return moved.crossJoin(scale).select("pid", *((F.col(c) / F.col("s")).alias(c) for c in "xyz"))
 
 
-def polar_to_cart(frames: DataFrame, side: int, ranges: int, columns: int) -> DataFrame:
-    """A side x side Cartesian image of each frame by the nearest polar sample; the grid is broadcast."""
-    grid = frames.sparkSession.range(side * side).select((F.col("id") / side).cast("int").alias("i"), (F.col("id") % side).cast("int").alias("j"))
-    x, y = (F.col("i") + 0.5) / side, (F.col("j") + 0.5) / side - 0.5
-    rng, az = F.floor(F.sqrt(x * x + y * y) * ranges).cast("int"), F.floor((F.atan2(y, x) / (math.pi / 2) + 0.5) * columns).cast("int")
-    return frames.join(F.broadcast(grid.withColumns({"rng": rng, "az": az})), ["rng", "az"]).select("frame", "i", "j", "v")
-
-
 def undistorted(images: DataFrame, side: int, k: float, roi: tuple[int, int, int, int]) -> DataFrame:
     """Square images resampled through x' = x (1 + k r^2) by bilinear taps, zero beyond the image, and cut to the region (x, y, width,
     height); the map, four taps a pixel, is broadcast (4 side^2 rows)."""
@@ -422,13 +394,3 @@ def aligned(points: DataFrame) -> DataFrame:
     axes[0] *= np.sign(np.linalg.det(axes))
     moved = [F.col(c) - mid[c] for c in "xyz"]
     return points.select("pid", *((float(r[0]) * moved[0] + float(r[1]) * moved[1] + float(r[2]) * moved[2]).alias(c) for c, r in zip("xyz", axes, strict=True)))
-
-
-def ellipse_path(cameras: DataFrame, n: int, height: float) -> DataFrame:
-    """i, x, y, z: n places on the ellipse around the cameras' mean in x and y whose half axes are the 90th percentiles of the
-    distances from it; z is ``height``."""
-    mid = cameras.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    half = cameras.crossJoin(F.broadcast(mid)).agg(F.percentile(F.abs(F.col("x") - F.col("mx")), 0.9).alias("a"), F.percentile(F.abs(F.col("y") - F.col("my")), 0.9).alias("b"))
-    t = F.col("i") * (2 * math.pi / n)
-    steps = cameras.sparkSession.range(n).select(F.col("id").cast("int").alias("i")).crossJoin(F.broadcast(mid)).crossJoin(F.broadcast(half))  # one row each
-    return steps.select("i", (F.col("mx") + F.col("a") * F.cos(t)).alias("x"), (F.col("my") + F.col("b") * F.sin(t)).alias("y"), F.lit(float(height)).alias("z"))

@@ -22,8 +22,6 @@ def _saved(df: DataFrame, form: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).format(form).load(path)
 
 
-
-
 @query("flt_label_mask", f"{S}, m as (select ltrim(lpad(frame::varchar, 4, '0'), '0') as stem, rng, az from sonar_px where v > 0.5), p as (select frame, ltrim(frame::varchar, '0') as stem, rng, az, v from sonar_px) select frame, count(*) as n, {R('sum(case when m.rng is not null then v else 0 end)')} as v from p left join m using (stem, rng, az) group by frame")
 def _(view):
     px = view("sonar_px")
@@ -345,33 +343,17 @@ def _(view):
     return X.mask_props(view("img_px"), 110).select("img", "area", "y0", "y1", *(r6(c).alias(c) for c in ("cy", "cx", "inside", "outside", "edge", "std")))
 
 
-@query("ag_template_match", f"{I}, t as (select py as ty, px as tx, median(v) as t from img_px where py < 4 and px < 4 group by 1, 2), b as (select img, py // 4 as by_, px // 4 as bx, v, t from img_px join t on py % 4 = ty and px % 4 = tx), c as (select img, by_, bx, round((count(*) * sum(v::double * t) - sum(v::double) * sum(t)) / nullif(sqrt((count(*) * sum(v::double * v) - sum(v::double) * sum(v::double)) * (count(*) * sum(t * t) - sum(t) * sum(t))), 0), 6) as c from b group by 1, 2, 3 having count(*) = 16 and min(v) < max(v) and min(t) < max(t)) select img, max(c) as c, arg_max(by_, (c, -by_, -bx))::bigint as \"by\", arg_max(bx, (c, -by_, -bx))::bigint as bx from c group by img")
-def _(view):
-    return X.template_match(view("img_px"), 4)
-
-
 @query("sc_affine_color", f"{SP} select gid, round(0.9 * r + 0.05 * g + 0.02 * b + 0.01, 9) as r, round(0.03 * r + 0.92 * g - 0.01 * b, 9) as g, round(0.01 * r + 0.04 * g + 0.88 * b + 0.02, 9) as b from splats")
 def _(view):
     rows = ((0.9, 0.05, 0.02, 0.01), (0.03, 0.92, -0.01, 0.0), (0.01, 0.04, 0.88, 0.02))
     return view("splats").select("gid", *(F.round(a * F.col("r") + b * F.col("g") + c * F.col("b") + d, 9).alias(n) for n, (a, b, c, d) in zip("rgb", rows, strict=True)))
 
 
-@query("sc_color_correct", f"{I}, p as (select img, v::double as a, v * 0.8::double + (px % 3) as b from img_px) select img, {R('regr_slope(b, a)')} as slope, {R('regr_intercept(b, a)')} as intercept from p group by img having min(a) < max(a)")
-def _(view):
-    pairs = view("img_px").select("img", F.col("v").cast("double").alias("a"), (F.col("v") * 0.8 + F.col("px") % 3).alias("b"))
-    return X.color_corrected(pairs).select("img", r6("slope").alias("slope"), r6("intercept").alias("intercept"))
-
-
 @query("ag_pose_normalise", ctes("cloud_a") + f", m as (select median(x) as a, median(y) as b, median(z) as c from cloud_a), q as (select pid, x - a as x, y - b as y, z - c as z from cloud_a, m), s as (select median(sqrt(x * x + y * y + z * z)) as s from q) select pid, {R('x / s')} as x, {R('y / s')} as y, {R('z / s')} as z from q, s")
 def _(view):
     return X.normalised(view("cloud_a")).select("pid", *(r6(c).alias(c) for c in "xyz"))
 
 
-@query("sc_polar_to_cart", f"{S}, g as (select a.i::int as i, b.j::int as j, (a.i + 0.5) / 32 as x, (b.j + 0.5) / 32 - 0.5 as y from range(32) a(i), range(32) b(j)), p as (select i, j, floor(sqrt((x * x + y * y)::double) * 64)::int as rng, floor((atan2(y::double, x::double) / (pi() / 2) + 0.5) * 48)::int as az from g) select frame, i, j, v from sonar_px join p using (rng, az)")
-def _(view):
-    return X.polar_to_cart(view("sonar_px"), 32, 64, 48)
-
-
 @query("flt_undistort", f"""{I}, g as (select a.i::int as y, b.j::int as x, (b.j + 0.5::double) / 16 - 0.5 as cx, (a.i + 0.5::double) / 16 - 0.5 as cy from range(1, 15) a(i), range(2, 14) b(j)),
 m as (select y, x, round((cx * (1 + 0.1::double * (cx * cx + cy * cy)) + 0.5) * 16 - 0.5, 9) as u, round((cy * (1 + 0.1::double * (cx * cx + cy * cy)) + 0.5) * 16 - 0.5, 9) as w from g),
 t as (select y, x, u, w, floor(u)::int + p.k as px, floor(w)::int + q.k as py from m, range(2) p(k), range(2) q(k)), s as (select *, (1 - abs(u - px)) * (1 - abs(w - py)) as share from t)
@@ -386,14 +368,3 @@ r as (select *, acos(greatest(-1, least(1, ((a - q) * ((d - q) * (f - q) - e * e
 select {R('q + 2 * p * cos(phi)')} as x, {R('3 * q - (q + 2 * p * cos(phi)) - (q + 2 * p * cos(phi + 2 * pi() / 3))')} as y, {R('q + 2 * p * cos(phi + 2 * pi() / 3)')} as z from r""")
 def _(view):
     return X.aligned(view("cloud_a")).agg(*(r6(F.var_samp(c)).alias(c) for c in "xyz"))
-
-
-@query("sc_trajectories_ellipse", ctes("splats") + f""", m as (select avg(x) as mx, avg(y) as my from splats), h as (select quantile_cont(abs(x - mx), 0.9) as a, quantile_cont(abs(y - my), 0.9) as b from splats, m)
-select i::int as i, {R('mx + a * cos(i * 2 * pi() / 120)')} as x, {R('my + b * sin(i * 2 * pi() / 120)')} as y, 1.5::double as z from range(120) t(i), m, h""")
-def _(view):
-    return X.ellipse_path(view("splats"), 120, 1.5).select("i", *(r6(c).alias(c) for c in "xyz"))
-
-
-@query("sc_trajectories", f"select i::int as i, {R('cos(i / 120.0::double * 4 * pi())')} as x, {R('sin(i / 120.0::double * 4 * pi())')} as y, {R('sin(i / 120.0::double * 2 * pi())')} as z from range(120) t(i)")
-def _(view):
-    return X.spiral(view("region").limit(1), 120).select("i", *(r6(c).alias(c) for c in "xyz"))

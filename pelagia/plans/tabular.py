@@ -141,11 +141,6 @@ def _(view):
     return both.groupBy("source").agg(r6(100.0 * F.count("has") / F.count("*")).alias("rate"), r6(F.sum("n_chars").cast("double") / F.count("*")).alias("per"), (F.max("doc_id") - F.min("doc_id")).alias("spread"))
 
 
-@query("ag_dataset_health", "select w, h, count(*) as n from (select (p_size % 8)::int as w, (p_partkey % 5)::int as h from part) group by w, h")
-def _(view):
-    return view("part").select((F.col("p_size") % 8).cast("int").alias("w"), (F.col("p_partkey") % 5).cast("int").alias("h")).groupBy("w", "h").agg(F.count("*").alias("n"))
-
-
 @query("ag_dataset_plus_total", f"{CAT} select dataset, sum(n)::bigint as n, count(*) as rows from catalog group by grouping sets ((dataset), ())")
 def _(view):
     return view("catalog").groupingSets([["dataset"], []], "dataset").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))

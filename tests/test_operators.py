@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pelagia.functions import geometry as G
-from pelagia.operators import cloud, density, extended, model, pixels, surfel, telemetry
+from pelagia.operators import cloud, density, extended, kernels, model, paths, pixels, surfel, telemetry
 from pelagia.plans import scene
 from pelagia.plans.views import spark_view
 
@@ -169,3 +169,88 @@ def test_gaussian_similarity_is_one_for_equal_images(spark):
     rows = [(1, y, x, float(v), float(v)) for (y, x), v in np.ndenumerate(rng.random((13, 16)))] + [(2, y, x, float(v), 1 - float(v)) for (y, x), v in np.ndenumerate(rng.random((13, 16)))]
     found = {r.img: r.ssim for r in extended.ssim(spark.createDataFrame(rows, "img int, py int, px int, a double, b double")).collect()}
     assert np.isclose(found[1], 1) and found[2] < 0
+
+
+def test_colour_match_finds_a_quadratic_warp_of_three_channels(spark):
+    rng = np.random.default_rng(5)
+    a = rng.uniform(0.2, 0.8, (200, 3))
+    b = np.stack((0.5 * a[:, 0] ** 2 + 0.2 * a[:, 1] + 0.1, 0.3 * a[:, 0] * a[:, 2] + 0.4, 0.9 * a[:, 2]), 1)
+    b[7] = 1.0  # clipped: takes no part
+    rows = [(1, i // 20, i % 20, *map(float, (*p, *q))) for i, (p, q) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "img long, py int, px int, a0 double, a1 double, a2 double, b0 double, b1 double, b2 double")
+    got = {(r.py, r.px): (r.v0, r.v1, r.v2) for r in kernels.color_matched(df, 3).collect()}
+    assert all(np.allclose(got[i // 20, i % 20], b[i], atol=1e-9) for i in range(200) if i != 7)
+    dark = df.withColumn("b0", F.lit(0.0))  # nothing left to fit in this channel
+    assert {r.v0 for r in kernels.color_matched(dark, 3).collect()} == {0.0}
+
+
+def test_splines_pass_through_their_samples():
+    v = np.random.default_rng(6).normal(size=9)
+    at, weights = kernels.spline_taps(np.arange(9.0))
+    assert np.allclose(((kernels.spline_coefficients(9) @ v)[at + 2] * weights).sum(1), v)
+    for degree in (1, 2, 3, 4, 5):
+        u = np.sort(np.append(np.random.default_rng(degree).uniform(0, 1, 10), (0, 1)))
+        half = degree // 2
+        inner = u[half + 1 : len(u) - half - 1] if degree % 2 else (u[half : len(u) - half - 1] + u[half + 1 : len(u) - half]) / 2
+        knots = np.concatenate((np.zeros(degree + 1), inner, np.ones(degree + 1)))
+        weights = np.linalg.solve(paths._basis(knots, degree, u), u**degree)
+        t = np.linspace(0, 1, 50)
+        assert np.allclose(paths._basis(knots, degree, t) @ weights, t**degree) and np.allclose(paths._basis(knots, degree, t).sum(1), 1)
+
+
+def test_sector_image_of_a_linear_ramp(spark):
+    df = spark.createDataFrame([(0, r, a, float(r)) for r in range(40) for a in range(30)], "frame int, rng int, az int, v double")
+    got = kernels.sector_image(df, 40, 30, np.pi / 2).collect()
+    assert len(got) == 80 * 40
+    for r in got:
+        y, x = 2 * r.i / 79 - 1, r.j / 39
+        place, column = np.hypot(x, y) * 39, (np.arctan2(y, x) / (np.pi / 2) + 0.5) * 29
+        if not 0 <= column <= 29:
+            assert r.v == 0 or abs(abs(np.arctan2(y, x)) - np.pi / 4) < 1e-9
+        elif 8 < place < 31 and 8 < column < 21:  # away from the edges, where zeros begin
+            assert abs(r.v - place) < 2e-3
+
+
+def test_template_is_found_at_any_offset_or_rejected(spark):
+    rng = np.random.default_rng(8)
+    t = rng.integers(0, 255, (3, 3))
+    whole = rng.integers(0, 255, (5, 20, 20))
+    whole[0, 14:17, 11:14] = t  # found
+    whole[1, 11:14, 12:15] = t  # too far from the bottom
+    whole[2] = 9  # flat
+    whole[3, 2:5, 2:5] = t  # outside the corner
+    px = spark.createDataFrame([(k, y, x, int(whole[k, y, x])) for k in range(4) for y in range(20) for x in range(20)] + [(4, 0, 0, 1)], "img long, py int, px int, v int")
+    template = spark.createDataFrame([(y, x, float(t[y, x])) for y in range(3) for x in range(3)], "ty int, tx int, t double")
+    got = {r.img: r for r in kernels.corner_match(px, template, 3, 0.5, 0.5, 0.95, 4).collect()}
+    assert (got[0].row_, got[0].col_, got[0].score, got[0].reject) == (14, 11, 1.0, None)
+    assert (got[1].row_, got[1].reject) == (11, "edge") and got[2].reject == "flat" and got[3].reject == "score" and got[4].reject == "small"
+
+
+def test_solidity_fills_holes_and_takes_the_largest_part(spark):
+    ring = [(y, x) for y in range(5) for x in range(5) if {y, x} & {0, 4}]  # a square outline: 16
+    corner = [(y, 20 + x) for y in range(6) for x in range(6) if y == 5 or x == 0]  # an L of lines: no area
+    notched = [(y, 40 + x) for y in range(7) for x in range(7) if y <= x or x > 4]
+    rows = [(1, y, x, 200) for y, x in ring + corner] + [(2, y, x, 200) for y, x in notched] + [(3, 2, 2, 200), (4, 1, 1, 5)]
+    got = {r.img: r for r in kernels.solidity(spark.createDataFrame(rows, "img long, py int, px int, v int"), 100).collect()}
+    assert (got[1].outline, got[1].hull, got[1].solidity) == (16.0, 16.0, 1.0) and 4 not in got
+    assert (got[3].outline, got[3].hull, got[3].solidity) == (0.0, 0.0, 0.0)
+    assert got[2].outline <= got[2].hull and 0.5 < got[2].solidity <= 1
+
+
+def test_axes_of_a_path_are_rotations_that_look_at_the_centre(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(20):  # cameras on a ring that look at (1, 2, 3)
+        at = np.array([1, 2, 3]) + 4 * np.array([np.cos(i), np.sin(i), rng.normal() / 9])
+        back = (at - [1, 2, 3]) / np.linalg.norm(at - [1, 2, 3])
+        right = np.cross([0, 0, 1], back)
+        right /= np.linalg.norm(right)
+        rows.append((i, *map(float, at), *map(float, np.stack((right, np.cross(back, right), back), 1).ravel())))
+    poses = spark.createDataFrame(rows, "pid long, x double, y double, z double, " + ", ".join(f"r{k} double" for k in range(9)))
+    assert np.allclose(paths.centre_of_view(poses), [1, 2, 3])
+    for path in (paths.spiral(poses, 7, 1.0, 9.0), paths.ellipse(poses, 7), paths.ellipse(poses, 7, "y"), paths.interpolated(poses, 2)):
+        for r in path.collect():
+            m = np.array(r[4:]).reshape(3, 3)
+            assert np.allclose(m @ m.T, np.eye(3)) and np.isclose(np.linalg.det(m), 1)
+    for r in paths.ellipse(poses, 7, "z", 3.0).collect():
+        assert np.allclose(np.cross([r.x - 1, r.y - 2, r.z - 3], [r.r2, r.r5, r.r8]), 0)
