@@ -178,30 +178,19 @@ def band_component(images: DataFrame, low: int, high: int, least_area: int, widt
     import numpy as np
     import pyarrow as pa
 
+    from pelagia.operators.kernels import AROUND, parts_of
+
     def run(rows: pa.Table) -> pa.Table:
         img, py, px = (rows.column(c).to_numpy().astype(np.int64) for c in ("img", "py", "px"))
-        order = np.lexsort((px, py))
-        place = {(y, x): i for i, (y, x) in enumerate(zip(py[order].tolist(), px[order].tolist(), strict=True))}
-        label = np.full(len(place), -1)
-        areas, tops = [], []
-        for (y, x), i in place.items():
-            if label[i] >= 0:
-                continue
-            label[i], open_, found = len(areas), [(y, x)], []
-            while open_:
-                at = open_.pop()
-                found.append(at)
-                for near in ((at[0] + a, at[1] + b) for a in (-1, 0, 1) for b in (-1, 0, 1)):
-                    k = place.get(near, -1)
-                    if k >= 0 and label[k] < 0:
-                        label[k] = len(areas)
-                        open_.append(near)
-            top = min(a for a, _ in found)
-            areas.append(len(found))
-            tops.append((top, max(b for a, b in found if a == top)))
+        mask = np.zeros((int(np.ptp(py)) + 1, int(np.ptp(px)) + 1), bool)
+        mask[py - py.min(), px - px.min()] = True
+        label = parts_of(mask, AROUND)
+        areas = np.bincount(label.ravel())[1:]
         best = int(np.argmax(areas))
-        fits = areas[best] >= least_area and width - tops[best][1] <= reach and areas[best] >= share * len(place)
-        return pa.table({"img": pa.array([int(img[0])]), "n": pa.array([len(areas)]), "area": pa.array([areas[best]]), "row_": pa.array([tops[best][0] if fits else None], pa.int64())})
+        y, x = np.nonzero(label == best + 1)
+        top, last = int(y[0] + py.min()), int(x[y == y[0]].max() + px.min())
+        fits = areas[best] >= least_area and width - last <= reach and areas[best] >= share * areas.sum()
+        return pa.table({"img": pa.array([int(img[0])]), "n": pa.array([len(areas)]), "area": pa.array([int(areas[best])]), "row_": pa.array([top if fits else None], pa.int64())})
 
     band = images.where(F.col("v").between(low, high)).select("img", "py", "px")
     return band.groupBy("img").applyInArrow(run, "img long, n long, area long, row_ long")

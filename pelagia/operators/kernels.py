@@ -126,20 +126,34 @@ def corner_match(images: DataFrame, template: DataFrame, side: int, bottom: floa
     return images.select("img", "py", "px", F.col("v").cast("double").alias("v")).groupBy("img").applyInArrow(run, f"img {kind}, row_ long, col_ long, score double, reject string")
 
 
-def _components(mask: np.ndarray, near: tuple[tuple[int, int], ...]) -> np.ndarray:
-    """Labels from 1, in reading order, of the set pixels that meet by the steps ``near``; 0 elsewhere."""
-    label, found = np.zeros(mask.shape, np.int64), 0
-    for y, x in np.argwhere(mask):
-        if label[y, x]:
-            continue
-        found += 1
-        label[y, x], todo = found, [(y, x)]
-        while todo:
-            a, b = todo.pop()
-            for p, q in ((a + d, b + e) for d, e in near):
-                if 0 <= p < mask.shape[0] and 0 <= q < mask.shape[1] and mask[p, q] and not label[p, q]:
-                    label[p, q] = found
-                    todo.append((p, q))
+#: The eight and the four neighbours of a pixel.
+AROUND = tuple((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b)
+BESIDE = ((-1, 0), (1, 0), (0, -1), (0, 1))
+
+
+def parts_of(mask: np.ndarray, near: tuple[tuple[int, int], ...]) -> np.ndarray:
+    """Labels from 1, in reading order, of the set pixels that meet by the steps ``near``; 0 elsewhere. All links are taken at once:
+    each round hangs roots on their least linked root, until no link joins two roots."""
+    (h, w), n = mask.shape, int(mask.sum())
+    place = np.zeros(mask.shape, np.int64)
+    place[mask] = np.arange(n)
+    ends = [np.zeros((0, 2), np.int64)]
+    for d, e in near:
+        here = (slice(max(0, -d), h - max(0, d)), slice(max(0, -e), w - max(0, e)))
+        there = (slice(max(0, d), h - max(0, -d)), slice(max(0, e), w - max(0, -e)))
+        both = mask[here] & mask[there]
+        ends.append(np.stack((place[here][both], place[there][both]), 1))
+    link = np.concatenate(ends)
+    link = link[link[:, 0] < link[:, 1]]  # ``near`` holds each step's opposite too
+    root = np.arange(n)
+    while len(link):
+        np.minimum.at(root, link[:, 1], link[:, 0])
+        while (root[root] != root).any():
+            root = root[root]
+        link = np.sort(root[link], axis=1)
+        link = link[link[:, 0] < link[:, 1]]
+    label = np.zeros(mask.shape, np.int64)
+    label[mask] = np.unique(root, return_inverse=True)[1] + 1
     return label
 
 
@@ -150,8 +164,10 @@ def _outline_area(shape: np.ndarray) -> float:
 
 
 def hull_area(points: np.ndarray) -> float:
-    """Area of the convex hull of (x, y) points."""
+    """Area of the convex hull of (x, y) points: that of each x's least and greatest y."""
     order = points[np.lexsort((points[:, 1], points[:, 0]))]
+    fresh = order[1:, 0] != order[:-1, 0]
+    order = order[np.append(True, fresh) | np.append(fresh, True)]
 
     def chain(side: np.ndarray) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -170,25 +186,33 @@ def solidity(images: DataFrame, threshold: int) -> DataFrame:
     """img, outline, hull, solidity of the bright mask's largest part: the area in its outer outline (holes count as filled), that of
     the outline's convex hull, and their quotient, the hull's area being 1 at least. Parts hang together by eight neighbours; the
     largest is the first in reading order of those with the largest outline."""
-    around = tuple((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b)
-    beside = ((-1, 0), (1, 0), (0, -1), (0, 1))
-
     def run(rows: pa.Table) -> pa.Table:
         py, px = _columns(rows, "py", "px")
         mask = np.zeros((int(py.max() - py.min()) + 3, int(px.max() - px.min()) + 3), bool)
         mask[py - py.min() + 1, px - px.min() + 1] = True
-        label = _components(mask, around)
+        label = parts_of(mask, AROUND)
         y, x = np.nonzero(label)
         order = np.argsort(label[y, x], kind="stable")
         parts = np.split(np.stack((y, x), 1)[order], np.flatnonzero(np.diff(label[y, x][order])) + 1)
-        best, points = -1.0, parts[0]
-        for part in parts:
-            box = np.zeros(np.ptp(part, axis=0) + 3, bool)  # a border around the part belongs to the outside
-            box[tuple((part - part.min(0) + 1).T)] = True
-            area = _outline_area(_components(~box, beside) != 1)
-            if area > best:
-                best, points = area, part
-        hull = hull_area(points)
+        # the pixels of a square of four meet, so a square belongs to one part; squares of one, three and two opposite pixels tell
+        # whether a part has holes (its Euler number is under 1)
+        square = np.stack((label[:-1, :-1], label[:-1, 1:], label[1:, 1:], label[1:, :-1]))
+        of, size = square.max(0), (square > 0).sum(0)
+        opposite = (size == 2) & ((square[0] > 0) == (square[2] > 0))
+        count = lambda which: np.bincount(of[which], minlength=len(parts) + 1)[1:]
+        areas = count(size == 4) + 0.5 * count(size == 3)
+        holes = count(size == 1) - count(size == 3) - 2 * count(opposite) < 4
+        # no outline is larger than its part's box; the rest of the parts with holes, by descending box, cannot win
+        best = max([float(a) for a in areas[~holes]], default=-1.0)
+        for i, most in sorted(((i, float(np.prod(np.ptp(parts[i], axis=0)))) for i in np.flatnonzero(holes)), key=lambda r: -r[1]):
+            if most < best:
+                break
+            box = np.zeros(np.ptp(parts[i], axis=0) + 3, bool)  # a border around the part belongs to the outside
+            box[tuple((parts[i] - parts[i].min(0) + 1).T)] = True
+            areas[i] = _outline_area(parts_of(~box, BESIDE) != 1)
+            best = max(best, float(areas[i]))
+        first = int(np.flatnonzero(areas == best)[0])
+        hull = hull_area(parts[first])
         return pa.table({"img": rows.column("img").combine_chunks()[:1], "outline": pa.array([best]), "hull": pa.array([hull]), "solidity": pa.array([best / max(hull, 1.0)])})
 
     kind = images.schema["img"].dataType.simpleString()

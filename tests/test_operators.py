@@ -226,6 +226,30 @@ def test_template_is_found_at_any_offset_or_rejected(spark):
     assert (got[1].row_, got[1].reject) == (11, "edge") and got[2].reject == "flat" and got[3].reject == "score" and got[4].reject == "small"
 
 
+def test_parts_against_plain_flooding():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        mask = rng.random(tuple(rng.integers(0, 14, 2))) < rng.random()
+        for near in (kernels.AROUND, kernels.BESIDE):
+            label, found = np.zeros(mask.shape, int), 0
+            for at in map(tuple, np.argwhere(mask)):
+                todo, found = [at], found + (label[at] == 0)
+                while todo:
+                    p = todo.pop()
+                    if 0 <= p[0] < mask.shape[0] and 0 <= p[1] < mask.shape[1] and mask[p] and not label[p]:
+                        label[p] = found
+                        todo += [(p[0] + a, p[1] + b) for a, b in near]
+            assert (kernels.parts_of(mask, near) == label).all()
+
+
+def test_solidity_of_nested_parts(spark):
+    # a part inside the hole of a larger one, a part that only touches at corners, and one without holes of a smaller outline
+    picture = ["######....", "#....#.#..", "#.##.#..#.", "#.##.#.#..", "#....#....", "######.###", ".......###"]
+    rows = [(1, y, x, 200) for y, line in enumerate(picture) for x, c in enumerate(line) if c == "#"]
+    found = kernels.solidity(spark.createDataFrame(rows, "img long, py int, px int, v int"), 100).first()
+    assert (found.outline, found.hull) == (25.0, 25.0)  # the ring of 6 x 6 pixels, through their centres
+
+
 def test_solidity_fills_holes_and_takes_the_largest_part(spark):
     ring = [(y, x) for y in range(5) for x in range(5) if {y, x} & {0, 4}]  # a square outline: 16
     corner = [(y, 20 + x) for y in range(6) for x in range(6) if y == 5 or x == 0]  # an L of lines: no area
