@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pelagia.llm import bpe, fingerprint, jaccard_join, langid, license_scan, mixing, quantiles, substring, topk, toxicity, urlfilter
+from pelagia.llm import alignment, bpe, fingerprint, jaccard_join, langid, license_scan, mixing, quantiles, substring, topk, toxicity, urlfilter
 from pelagia.session import table
 
 
@@ -23,6 +23,7 @@ def queries() -> dict:
         "op9_mixing": mixing.query,
         "op10_url_filter": urlfilter.query,
         "op12_quantiles": quantiles.query,
+        "op13_alignment": alignment.query,
     }
 
 
