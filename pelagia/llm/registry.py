@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pelagia.llm import alignment, bpe, fingerprint, jaccard_join, langid, license_scan, mixing, quantiles, substring, topk, toxicity, urlfilter
+from pelagia.llm import alignment, bpe, fingerprint, jaccard_join, langid, license_scan, mixing, quantiles, substring, suffix_dedup, topk, toxicity, urlfilter
 from pelagia.session import table
 
 
@@ -22,6 +22,7 @@ def queries() -> dict:
         "op8_topk_search": topk.query,
         "op9_mixing": mixing.query,
         "op10_url_filter": urlfilter.query,
+        "op11_suffix_dedup": suffix_dedup.query,
         "op12_quantiles": quantiles.query,
         "op13_alignment": alignment.query,
     }
