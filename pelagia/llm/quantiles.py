@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pelagia.session import table, written
 
 WINDOWS = 150
-SALT = 20_000
+SALT = 4_000
 BATCHES, PER_MILLE, QUANTILES, LEAST = 8, 50, 10, 20
 
 
@@ -142,11 +142,12 @@ def _div(a: Column, b: Column) -> Column:
 
 
 def summarise(placed: DataFrame, keys: list[str], part: str, value: str) -> DataFrame:
-    """Buckets of every (keys, part) of a ``ranked`` table: keys, part, low, high, count, top (rows that have the value high)."""
+    """Buckets of every (keys, part) of a ``ranked`` table: keys, part, low, high, count, top (rows that have the value high), n."""
     window, own = _packed(F.col("bp"), F.col("c"), F.col("np"), F.col("i"), F.col("m"), F.col(value))
-    packed = placed.select(*keys, part, value, "c", window.alias("_w"), own.alias("_o"))
-    found = packed.groupBy(*keys, part, "_w", "_o").agg(F.min(value).alias("low"), F.max(value).alias("high"), F.sum("c").alias("count"), F.max_by("c", value).alias("top"))
-    return found.drop("_w", "_o")
+    packed = placed.select(*keys, part, value, "c", "np", window.alias("_w"), own.alias("_o"))
+    alone = packed.where("_o is not null").select(*keys, part, F.col(value).alias("low"), F.col(value).alias("high"), F.col("c").alias("count"), F.col("c").alias("top"), F.col("np").alias("n"))
+    light = packed.where("_o is null").groupBy(*keys, part, F.col("np").alias("n"), "_w").agg(F.min(value).alias("low"), F.max(value).alias("high"), F.sum("c").alias("count"), F.max_by("c", value).alias("top"))
+    return alone.unionByName(light.drop("_w"))
 
 
 def merge(summaries: DataFrame, keys: list[str]) -> DataFrame:
@@ -232,7 +233,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     placed = written(ranked(streams(spark, sf_dir), keys, "batch", "x"))
     parts = written(summarise(placed, keys, "batch", "x"))
     whole = merge(parts, keys)
-    answers = written(estimate(parts, of).where(F.col("n") >= LEAST))
+    answers = written(estimate(parts.where(F.col("n") >= LEAST), of))
     merged = written(estimate(whole, keys).where(F.col("n") >= LEAST))
     by_part = answers.join(exact(placed.where(F.col("np") >= LEAST), of, "bp", "c", "np", "x"), [*of, "i"])
     by_part = by_part.select(*of, "i", "n", "exact_x", "points", "answer", (F.col("upto") - F.col("top")).alias("n_below"), F.col("upto").alias("n_upto"))
