@@ -7,6 +7,7 @@ import json
 import pickle
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pelagia.plans.register import R, query, r6
@@ -62,12 +63,9 @@ def _(view):
 @query("src_colmap_text", _IMAGES)
 def _(view):
     rows = _image_rows(view)
-    spark, path = rows.sparkSession, scratch(rows.sparkSession)
-    number = lambda c: F.array_join(F.col(c).cast("array<string>"), " ")
-    points = F.array_join(F.transform("points", lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"), p["pid"].cast("string"))), " ")
-    lines = rows.select("image_id", F.concat_ws(" ", "image_id", number("q"), number("t"), "camera_id", "name", F.lit("\n")).alias("head"), points.alias("points"))
-    S._saved(spark, f"{path}/images.txt", (x for r in lines.orderBy("image_id").toLocalIterator() for x in (r["head"].replace(" \n", "\n").encode(), r.points.encode() + b"\n")))
-    return _image_columns(S.colmap_text_images(spark, path))
+    path = scratch(rows.sparkSession)
+    S.write_colmap_text_images(rows, f"{path}/images.txt")
+    return _image_columns(S.colmap_text_images(rows.sparkSession, path))
 
 
 def _point_rows(view) -> DataFrame:
@@ -103,15 +101,20 @@ def _(view):
     return images.unionByName(points)
 
 
-def _frames(view):
-    """frame, image (64 x 48) of the sonar frames, one after the other (a frame is a bounded grid)."""
+def _saved_frames(view, content) -> tuple:
+    """Files of the sonar frames, written where the frames are: ``content(frame, image)`` gives (name, bytes) pairs of a 64 x 48 grid."""
     px = view("sonar_px")
-    lines = px.groupBy("frame").agg(F.collect_list(F.struct("rng", "az", "v")).alias("cells"))
-    for r in lines.toLocalIterator():
+
+    def run(cells: pa.Table) -> pa.Table:
         image = np.zeros((64, 48))
-        for c in r.cells:
-            image[c.rng, c.az] = c.v
-        yield r.frame, image
+        rng, az, v = (cells.column(c).to_numpy() for c in ("rng", "az", "v"))
+        image[rng, az] = v
+        names, contents = zip(*content(cells.column("frame")[0].as_py(), image), strict=True)
+        return pa.table({"name": pa.array(names, pa.string()), "content": pa.array(contents, pa.binary())})
+
+    path = scratch(px.sparkSession)
+    S.write_files(px.groupBy("frame").applyInArrow(run, "name string, content binary"), path)
+    return px.sparkSession, path
 
 
 _CELLS = f"{PX} select frame::int as frame, rng, az, {R(f4('v'))} as v from sonar_px where v > 0"
@@ -119,38 +122,28 @@ _CELLS = f"{PX} select frame::int as frame, rng, az, {R(f4('v'))} as v from sona
 
 @query("src_colmap_dense", _CELLS)
 def _(view):
-    spark = view("region").sparkSession
-    path = scratch(spark)
-    for frame, image in _frames(view):
-        S._saved(spark, f"{path}/{frame}.bin", [b"48&64&1&" + image.astype("<f4").tobytes()])
+    spark, path = _saved_frames(view, lambda frame, image: [(f"{frame}.bin", b"48&64&1&" + image.astype("<f4").tobytes())])
     found = S.colmap_dense(spark, path).where("v > 0")
     return found.select(F.regexp_extract("path", r"(\d+)\.bin$", 1).cast("int").alias("frame"), F.col("row").alias("rng"), F.col("col").alias("az"), r6("v").alias("v"))
 
 
 @query("src_sonar_pkl", f"{PX} select frame::bigint as frame, rng, az, {R('v')} as v from sonar_px where v > 0")
 def _(view):
-    spark = view("region").sparkSession
-    path = scratch(spark)
-    for frame, image in _frames(view):
-        S._saved(spark, f"{path}/f{frame:04d}.pkl", [pickle.dumps({"ImagingSonar": image, "PoseSensor": np.eye(4)})])
+    spark, path = _saved_frames(view, lambda frame, image: [(f"f{frame:04d}.pkl", pickle.dumps({"ImagingSonar": image, "PoseSensor": np.eye(4)}))])
     return S.sonar_frames(spark, path).where("v > 0").select("frame", "rng", "az", r6("v").alias("v"))
 
 
 @query("src_tof_mitsuba", f"{PX} select frame::int as frame, rng as row, {R(f4('sum(v)'))} as depth, (frame * 2)::double as tx from sonar_px group by frame, rng")
 def _(view):
-    spark = view("region").sparkSession
-    path = scratch(spark)
-
-    def saved(array: np.ndarray, name: str) -> None:
-        out = io.BytesIO()
-        np.save(out, array)
-        S._saved(spark, f"{path}/{name}.npy", [out.getvalue()])
-
-    for frame, image in _frames(view):
+    def saved(frame: int, image: np.ndarray):
         pose = np.eye(4)
         pose[0, 3] = frame * 2
-        saved(pose, f"poses/{frame}")
-        saved(image, f"depths/{frame}")
+        for name, array in ((f"poses/{frame}", pose), (f"depths/{frame}", image)):
+            out = io.BytesIO()
+            np.save(out, array)
+            yield f"{name}.npy", out.getvalue()
+
+    spark, path = _saved_frames(view, saved)
     found = S.tof_frames(spark, path)
     total = F.aggregate("depth", F.lit(0.0), lambda s, x: s + x)
     return found.select("frame", "row", r6(total.cast("float").cast("double")).alias("depth"), F.get("pose", F.lit(3)).alias("tx")).where("depth > 0")
@@ -225,10 +218,11 @@ def _(view):
     return S.dataverse_files(spark, path)
 
 
-@query("src_archive", "select 'd/a' || p_size || '.7z' as archive, count(*) as parts, sum(p_partkey)::bigint as size, 'd/a' || p_size || '.7z.' || lpad((min(p_partkey) % 1000)::varchar, 3, '0') as first from part where p_partkey < 1000 group by p_size")
+@query("src_archive", "select 'd/a' || p_size || '_' || (p_partkey // 1000) || '.7z' as archive, count(*) as parts, sum(p_partkey)::bigint as size, 'd/a' || p_size || '_' || (p_partkey // 1000) || '.7z.' || lpad((min(p_partkey) % 1000)::varchar, 3, '0') as first from part group by p_size, p_partkey // 1000")
 def _(view):
-    name = F.concat(F.lit("d/a"), "p_size", F.lit(".7z."), F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0"))
-    parts = S.archive_parts(view("part").where("p_partkey < 1000").select(name.alias("path"), F.col("p_partkey").cast("long").alias("length")))
+    part = F.col("p_partkey")
+    name = F.concat(F.lit("d/a"), "p_size", F.lit("_"), F.floor(part / 1000).cast("string"), F.lit(".7z."), F.lpad((part % 1000).cast("string"), 3, "0"))
+    parts = S.archive_parts(view("part").select(name.alias("path"), part.cast("long").alias("length")))
     return parts.select("archive", F.size("parts").cast("long").alias("parts"), "size", F.get("parts", F.lit(0)).alias("first"))
 
 

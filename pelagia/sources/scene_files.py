@@ -1,10 +1,9 @@
 """Readers and writers of scene files: COLMAP models (binary and text), PLY, sonar frames, JSON and NPZ cameras.
 
-Files are found and read by Spark's own file sources (``binaryFile``, ``text``, ``json``), so any store that Spark reaches
-works, and files are parsed on executors, one file a row, many files in parallel. Long records (points, vertices) leave
-in batches of ``BATCH`` rows. Pickles are read with an unpickler that knows numpy arrays and plain containers only.
-The formats of the writers are single ordered files with a count in front: rows stream through the driver to Hadoop's file
-system, a partition at a time, so tables of more than ``MOST_ROWS`` are refused; larger scenes stay in Parquet.
+Files that hold a whole scene (points, images, PLY vertices) are read and written in ranges of records by many tasks
+(``record_files``). Small files (cameras, frames, dense maps) are found and read by Spark's own file sources (``binaryFile``, ``text``,
+``json``) and parsed on executors, one file a row, many files in parallel. Pickles are read with an unpickler that knows numpy
+arrays and plain containers only.
 """
 
 from __future__ import annotations
@@ -18,15 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-BATCH = 50_000
-#: Rows that a writer of a single file takes at most.
-MOST_ROWS = 50_000_000
-#: Camera models of the COLMAP format with their numbers of parameters.
-CAMERA_MODELS = (
-    ("SIMPLE_PINHOLE", 3), ("PINHOLE", 4), ("SIMPLE_RADIAL", 4), ("RADIAL", 5), ("OPENCV", 8), ("OPENCV_FISHEYE", 8),
-    ("FULL_OPENCV", 12), ("FOV", 5), ("SIMPLE_RADIAL_FISHEYE", 4), ("RADIAL_FISHEYE", 5), ("THIN_PRISM_FISHEYE", 12),
-)
+from pelagia.sources import record_files
+from pelagia.sources.record_files import CAMERA_MODELS, IMAGES, POINTS, SPLATS, write_files  # noqa: F401
 
+BATCH = 50_000
 
 def _parsed(spark: SparkSession, path: str, parse, schema: str, pattern: str = "*") -> DataFrame:
     """Rows that ``parse(content)`` yields as dicts, with the file's path."""
@@ -74,27 +68,7 @@ def _cameras(data: bytes) -> Iterator[dict]:
         yield {"camera_id": camera, "model": name, "width": width, "height": height, "params": list(c.take(f"{n}d"))}
 
 
-def _images(data: bytes) -> Iterator[dict]:
-    c = _Cursor(data)
-    for _ in range(c.take("Q")[0]):
-        head = c.take("idddddddi")
-        name, n = c.text(), c.take("Q")[0]
-        raw = np.frombuffer(c.data, np.dtype([("x", "<f8"), ("y", "<f8"), ("pid", "<i8")]), n, c.at)
-        c.at += raw.nbytes
-        yield {"image_id": head[0], "q": list(head[1:5]), "t": list(head[5:8]), "camera_id": head[8], "name": name, "points": [{"x": float(p[0]), "y": float(p[1]), "pid": int(p[2])} for p in raw]}
-
-
-def _points(data: bytes) -> Iterator[dict]:
-    c = _Cursor(data)
-    for _ in range(c.take("Q")[0]):
-        pid, x, y, z, r, g, b, error, n = c.take("QdddBBBdQ")
-        flat = c.take(f"{2 * n}i")
-        yield {"pid": pid, "x": x, "y": y, "z": z, "r": r, "g": g, "b": b, "error": error, "track": [{"image_id": i, "point": j} for i, j in zip(flat[::2], flat[1::2], strict=True)]}
-
-
 CAMERAS = "camera_id int, model string, width long, height long, params array<double>"
-IMAGES = "image_id int, q array<double>, t array<double>, camera_id int, name string, points array<struct<x:double,y:double,pid:long>>"
-POINTS = "pid long, x double, y double, z double, r int, g int, b int, error double, track array<struct<image_id:int,point:int>>"
 
 
 def colmap_cameras(spark: SparkSession, path: str) -> DataFrame:
@@ -102,11 +76,11 @@ def colmap_cameras(spark: SparkSession, path: str) -> DataFrame:
 
 
 def colmap_images(spark: SparkSession, path: str) -> DataFrame:
-    return _parsed(spark, path, _images, IMAGES, "images.bin")
+    return record_files.variable_records(spark, "images", path, "images.bin")
 
 
 def colmap_points(spark: SparkSession, path: str) -> DataFrame:
-    return _parsed(spark, path, _points, POINTS, "points3D.bin")
+    return record_files.variable_records(spark, "points3D", path, "points3D.bin")
 
 
 def matched_counts(images: DataFrame) -> DataFrame:
@@ -127,19 +101,9 @@ def colmap_text_points(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(*(F.get(f, F.lit(i)).cast(t).alias(n) for i, (n, t) in enumerate(names)), (F.size(f) - 8).alias("track_fields"))
 
 
-def _text_images(data: bytes) -> Iterator[dict]:
-    """Two lines for each image: its pose, and its points as x y id triples (the line may be empty)."""
-    lines = [x.strip() for x in data.decode().splitlines() if not x.startswith("#")]
-    while lines and not lines[-1]:
-        lines.pop()
-    for at in range(0, len(lines), 2):
-        f, p = lines[at].split(), lines[at + 1].split() if at + 1 < len(lines) else []
-        points = [{"x": float(x), "y": float(y), "pid": int(i)} for x, y, i in zip(p[::3], p[1::3], p[2::3], strict=True)]
-        yield {"image_id": int(f[0]), "q": [float(x) for x in f[1:5]], "t": [float(x) for x in f[5:8]], "camera_id": int(f[8]), "name": " ".join(f[9:]), "points": points}
-
-
 def colmap_text_images(spark: SparkSession, path: str) -> DataFrame:
-    return _parsed(spark, path, _text_images, IMAGES, "images.txt")
+    """Two lines for each image: its pose, and its points as x y id triples (the line may be empty)."""
+    return record_files.text_images(spark, path)
 
 
 def track_summary(points: DataFrame) -> DataFrame:
@@ -225,55 +189,12 @@ def image_sizes(spark: SparkSession, path: str) -> DataFrame:
     return _parsed(spark, path, _png_size, "width int, height int", "*.png")
 
 
-_PLY = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4", "float": "f4", "double": "f8", "int8": "i1", "uint8": "u1", "int32": "i4", "float32": "f4", "float64": "f8"}
-
-
-def ply_vertices(data: bytes) -> np.ndarray:
-    """The vertex element of a PLY file (ASCII or little-endian) as a structured array."""
-    end = data.index(b"end_header\n") + len(b"end_header\n")
-    head = [line.split() for line in data[:end].decode().splitlines()]
-    binary = next(x[1] for x in head if x[0] == "format") == "binary_little_endian"
-    n, fields, inside = 0, [], False
-    for x in head:
-        if x[0] == "element":
-            inside = x[1] == "vertex"
-            n = int(x[2]) if inside else n
-        elif x[0] == "property" and inside:
-            fields.append((x[2], "<" + _PLY[x[1]]))
-    kind = np.dtype(fields)
-    if binary:
-        return np.frombuffer(data, kind, n, end)
-    rows = [tuple(map(float, line.split())) for line in data[end:].decode().splitlines()[:n]]
-    return np.array(rows, kind)
-
-
-def _suffixed(names, prefix: str) -> list[str]:
-    return sorted((x for x in names if x.startswith(prefix)), key=lambda x: int(x.rpartition("_")[2]))
-
-
-def _ply_points(data: bytes) -> Iterator[dict]:
-    v = ply_vertices(data)
-    names = v.dtype.names
-    for i, row in enumerate(v):
-        yield {"pid": i, **{c: float(row[c]) for c in "xyz"}, **{a: int(row[b]) if b in names else None for a, b in (("r", "red"), ("g", "green"), ("b", "blue"))}}
-
-
-def _ply_splats(data: bytes) -> Iterator[dict]:
-    v = ply_vertices(data)
-    groups = {"dc": _suffixed(v.dtype.names, "f_dc_"), "rest": _suffixed(v.dtype.names, "f_rest_"), "log_scale": _suffixed(v.dtype.names, "scale_"), "quat": _suffixed(v.dtype.names, "rot_")}
-    for i, row in enumerate(v):
-        yield {"gid": i, "mean": [float(row[c]) for c in "xyz"], "opacity_logit": float(row["opacity"]), **{k: [float(row[c]) for c in names] for k, names in groups.items()}}
-
-
-SPLATS = "gid long, mean array<double>, opacity_logit double, dc array<double>, rest array<double>, log_scale array<double>, quat array<double>"
-
-
 def ply_points(spark: SparkSession, path: str) -> DataFrame:
-    return _parsed(spark, path, _ply_points, "pid long, x double, y double, z double, r int, g int, b int", "*.ply")
+    return record_files.ply_records(spark, "ply_points", path)
 
 
 def ply_splats(spark: SparkSession, path: str) -> DataFrame:
-    return _parsed(spark, path, _ply_splats, SPLATS, "*.ply")
+    return record_files.ply_records(spark, "ply_splats", path)
 
 
 class _Plain(pickle.Unpickler):
@@ -355,76 +276,50 @@ def _saved(spark: SparkSession, path: str, chunks) -> None:
         out.close()
 
 
-def _count(df: DataFrame) -> int:
-    n = df.count()
-    if n > MOST_ROWS:
-        raise ValueError(f"{n} rows are too many for one file; write Parquet")
-    return n
+def _counted(n: int) -> bytes:
+    return struct.pack("<Q", n)
 
 
-def write_colmap_cameras(cameras: DataFrame, path: str) -> None:
-    """cameras.bin in order of camera_id."""
-    numbers = {name: i for i, (name, _) in enumerate(CAMERA_MODELS)}
+def _ply_head(fields: list[tuple[str, str]]):
+    return lambda n: ("ply\nformat binary_little_endian 1.0\n" + f"element vertex {n}\n" + "".join(f"property {kind} {name}\n" for kind, name in fields) + "end_header\n").encode()
 
-    def chunks():
-        yield struct.pack("<Q", _count(cameras))
-        for r in cameras.orderBy("camera_id").toLocalIterator():
-            yield struct.pack(f"<iiQQ{len(r.params)}d", r.camera_id, numbers[r.model], r.width, r.height, *r.params)
 
-    _saved(cameras.sparkSession, path, chunks())
+def write_colmap_cameras(cameras: DataFrame, path: str) -> None:
+    """cameras.bin in order of camera_id."""
+    record_files.write_records(cameras, "cameras", path, "camera_id", _counted)
 
 
 def write_colmap_images(images: DataFrame, path: str) -> None:
     """images.bin in order of image_id."""
+    record_files.write_records(images, "images", path, "image_id", _counted)
 
-    def chunks():
-        yield struct.pack("<Q", _count(images))
-        for r in images.orderBy("image_id").toLocalIterator():
-            head = struct.pack("<idddddddi", r.image_id, *r.q, *r.t, r.camera_id) + r.name.encode() + b"\0"
-            yield head + struct.pack("<Q", len(r.points)) + b"".join(struct.pack("<ddq", p.x, p.y, p.pid) for p in r.points)
 
-    _saved(images.sparkSession, path, chunks())
-
-
-def write_ply_points(points: DataFrame, path: str) -> None:
-    """A little-endian PLY of x, y, z (f4) and red, green, blue in order of pid."""
-    head = "ply\nformat binary_little_endian 1.0\nelement vertex {}\n" + "".join(f"property float {n}\n" for n in "xyz") + "".join(f"property uchar {n}\n" for n in ("red", "green", "blue")) + "end_header\n"
-
-    def chunks():
-        yield head.format(_count(points)).encode()
-        for r in points.orderBy("pid").toLocalIterator():
-            yield struct.pack("<fffBBB", r.x, r.y, r.z, r.r, r.g, r.b)
-
-    _saved(points.sparkSession, path, chunks())
+def write_colmap_text_images(images: DataFrame, path: str) -> None:
+    """images.txt in order of image_id: two lines an image."""
+    number = lambda c: F.array_join(F.col(c).cast("array<string>"), " ")
+    points = F.array_join(F.transform("points", lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"), p["pid"].cast("string"))), " ")
+    lines = images.select("image_id", F.concat_ws(" ", "image_id", number("q"), number("t"), "camera_id", "name").alias("head"), points.alias("body"))
+    record_files.write_records(lines, "images_text", path, "image_id", lambda n: b"")
 
 
 def write_colmap_points(points: DataFrame, path: str) -> None:
-    """points3D.bin in order of pid; rows come to the driver a partition at a time."""
-    spark = points.sparkSession
+    """points3D.bin in order of pid."""
+    record_files.write_records(points, "points3D", path, "pid", _counted)
 
-    def chunks():
-        yield struct.pack("<Q", _count(points))
-        for r in points.orderBy("pid").toLocalIterator():
-            flat = [x for t in r.track or [] for x in (t.image_id, t.point)]
-            yield struct.pack(f"<QdddBBBdQ{len(flat)}i", r.pid, r.x, r.y, r.z, r.r, r.g, r.b, r.error, len(flat) // 2, *flat)
 
-    _saved(spark, path, chunks())
+def write_ply_points(points: DataFrame, path: str) -> None:
+    """A little-endian PLY of x, y, z (f4) and red, green, blue in order of pid."""
+    fields = [*(("float", n) for n in "xyz"), *(("uchar", n) for n in ("red", "green", "blue"))]
+    record_files.write_records(points, "ply_points", path, "pid", _ply_head(fields))
 
 
 def write_ply_splats(splats: DataFrame, path: str) -> None:
     """A little-endian PLY of the splats in order of gid, all f4; rows with a value that is not finite are left out."""
-    spark = splats.sparkSession
     fine = F.forall(F.concat("mean", "dc", "rest", "log_scale", "quat", F.array("opacity_logit")), lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
     kept = splats.where(fine)
     one = kept.select(F.size("dc"), F.size("rest"), F.size("log_scale"), F.size("quat")).first() or (3, 0, 3, 4)
     names = ["x", "y", "z", "nx", "ny", "nz", *(f"f_dc_{i}" for i in range(one[0])), *(f"f_rest_{i}" for i in range(one[1])), "opacity", *(f"scale_{i}" for i in range(one[2])), *(f"rot_{i}" for i in range(one[3]))]
-
-    def chunks():
-        yield ("ply\nformat binary_little_endian 1.0\n" + f"element vertex {_count(kept)}\n" + "".join(f"property float {n}\n" for n in names) + "end_header\n").encode()
-        for r in kept.orderBy("gid").toLocalIterator():
-            yield struct.pack(f"<{len(names)}f", *r.mean, 0, 0, 0, *r.dc, *r.rest, r.opacity_logit, *r.log_scale, *r.quat)
-
-    _saved(spark, path, chunks())
+    record_files.write_records(kept, "ply_splats", path, "gid", _ply_head([("float", n) for n in names]))
 
 
 def camera_list(cameras: DataFrame) -> DataFrame:

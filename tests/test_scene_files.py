@@ -86,10 +86,3 @@ def test_text_images_dense_maps_and_bad_images(spark, tmp_path):
     (tmp_path / "i" / "bad.png").write_bytes(b"no image")
     (tmp_path / "i" / "cut.png").write_bytes(b"\x89PNG\r\n\x1a\n")
     assert [r.width for r in S.image_sizes(spark, str(tmp_path / "i")).collect()] == [None, None]
-
-
-def test_single_files_refuse_large_tables(spark, monkeypatch, tmp_path):
-    monkeypatch.setattr(S, "MOST_ROWS", 1)
-    rows = spark.createDataFrame([(i, 0.0, 0.0, 0.0, 1, 2, 3) for i in range(2)], "pid long, x double, y double, z double, r int, g int, b int")
-    with pytest.raises(ValueError):
-        S.write_ply_points(rows, f"file://{tmp_path}/a.ply")
