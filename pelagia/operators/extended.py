@@ -53,15 +53,6 @@ def normals(images: DataFrame) -> DataFrame:
     return d.select("img", "py", "px", (-F.col("gx") / n).alias("nx"), (-F.col("gy") / n).alias("ny"))
 
 
-def sector_to_polar(images: DataFrame, side: int) -> DataFrame:
-    """Polar samples (r, a) of a square image by the nearest pixel, truncated and clipped; the grid is broadcast (side^2 rows)."""
-    grid = images.sparkSession.range(side * side).select((F.col("id") / side).cast("int").alias("r"), (F.col("id") % side).cast("int").alias("a"))
-    far, angle = (F.col("r") + 0.5) / side, (F.col("a") - side // 2) * math.pi / 24
-    px = F.least(F.lit(side - 1), (side // 2 + far * (side // 2) * F.sin(angle)).cast("int"))
-    py = F.least(F.lit(side - 1), (far * side * F.cos(angle)).cast("int"))
-    return images.join(F.broadcast(grid.withColumns({"px": px, "py": py})), ["px", "py"]).select("img", "r", "a", "v")
-
-
 def medium(weighted: DataFrame, attenuation: float, backscatter: float) -> DataFrame:
     """Adds object (attenuated) and medium (backscatter between consecutive depths) terms of each splat of a pixel."""
     order = Window.partitionBy("cam", "px", "py").orderBy("depth", "gid")
@@ -293,14 +284,6 @@ def elevation_samples(frames: DataFrame, n: int, spread: float = 0.2) -> DataFra
     return df.withColumn("elevation", spread * (uniform("el", "frame", "rng", "az", "k") - 0.5))
 
 
-def random_patch(images: DataFrame, side: int, cx: float, cy: float) -> DataFrame:
-    """A random side x side patch of each image, coordinates and the principal point from its corner."""
-    oy, ox = (F.floor(uniform(f"patch:{a}", "img") * (16 - side + 1)).cast("int") for a in "yx")
-    df = images.withColumns({"oy": oy, "ox": ox})
-    inside = (F.col("py") - F.col("oy")).between(0, side - 1) & (F.col("px") - F.col("ox")).between(0, side - 1)
-    return df.where(inside).select("img", (F.col("py") - F.col("oy")).alias("py"), (F.col("px") - F.col("ox")).alias("px"), "v", (cx - F.col("ox")).cast("double").alias("cx"), (cy - F.col("oy")).cast("double").alias("cy"))
-
-
 def noised(splats: DataFrame, scale: float = 0.01, seed: str = "noise") -> DataFrame:
     """Positions moved by the covariance times normal noise, gated to faint splats by sigmoid(100 (1 - o - 0.995))."""
     from pelagia.functions import geometry as G
@@ -356,20 +339,6 @@ def normalised(points: DataFrame) -> DataFrame:
     return moved.crossJoin(scale).select("pid", *((F.col(c) / F.col("s")).alias(c) for c in "xyz"))
 
 
-def undistorted(images: DataFrame, side: int, k: float, roi: tuple[int, int, int, int]) -> DataFrame:
-    """Square images resampled through x' = x (1 + k r^2) by bilinear taps, zero beyond the image, and cut to the region (x, y, width,
-    height); the map, four taps a pixel, is broadcast (4 side^2 rows)."""
-    grid = images.sparkSession.range(side * side).select((F.col("id") / side).cast("int").alias("y"), (F.col("id") % side).cast("int").alias("x"))
-    cx, cy = (F.col("x") + 0.5) / side - 0.5, (F.col("y") + 0.5) / side - 0.5
-    bend = 1 + k * (cx * cx + cy * cy)
-    at = grid.withColumns({"u": F.round((cx * bend + 0.5) * side - 0.5, 9), "w": F.round((cy * bend + 0.5) * side - 0.5, 9)})
-    at = at.where(F.col("x").between(roi[0], roi[0] + roi[2] - 1) & F.col("y").between(roi[1], roi[1] + roi[3] - 1))
-    both = F.array(F.lit(0), F.lit(1))
-    taps = at.withColumn("a", F.explode(both)).withColumn("b", F.explode(both)).withColumns({"px": (F.floor("u") + F.col("a")).cast("int"), "py": (F.floor("w") + F.col("b")).cast("int")})
-    taps = taps.withColumn("share", (1 - F.abs(F.col("u") - F.col("px"))) * (1 - F.abs(F.col("w") - F.col("py")))).where("share > 0")
-    return images.join(F.broadcast(taps.select("x", "y", "px", "py", "share")), ["px", "py"]).groupBy("img", (F.col("y") - roi[1]).alias("y"), (F.col("x") - roi[0]).alias("x")).agg(F.sum(F.col("v") * F.col("share")).alias("v"))
-
-
 def aligned(points: DataFrame) -> DataFrame:
     """pid, x, y, z along the principal axes of the points around their medians, the widest first; the 3 x 3 eigenproblem is the
     driver's. An axis' sign is its largest component's, the first axis turns where that would mirror."""

@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def schedules(step: Column, last: int) -> dict[str, Column]:
-    """A linear ramp, an exponential decay and a log-linear learning rate."""
+def schedules(step: Column, last: Column) -> dict[str, Column]:
+    """A linear ramp, an exponential decay and a log-linear learning rate that ends at step ``last``."""
     import math
 
-    share = step / float(last)
+    share = step / last.cast("double")
     return {"ramp": F.least(F.lit(1.0), step / 50.0), "decay": F.exp(-step / 40.0), "lr": F.exp(math.log(0.01) * (1 - share) + math.log(0.0001) * share)}
 
 
+def chirp(i: Column, start: Column, slope: float, rate: float) -> Column:
+    """Sample i (from 0) of a linear frequency sweep from ``start`` by ``slope`` hertz a sample: the cosine of the phase, the sum of the
+    frequencies so far, which is a polynomial of i; so a sample needs no other sample."""
+    phase = (i + 1) * start + slope / 2 * i * (i + 1)
+    return F.cos(2 * F.pi() * phase / rate)
+
+
 def completeness(*flags: Column) -> Column:
     return sum((f.cast("int") * 25 for f in flags[1:]), flags[0].cast("int") * 25)
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pelagia.functions import geometry as G
-from pelagia.operators import cloud, extended as X, raster, surfel
+from pelagia.operators import cloud, extended as X, raster, resample, surfel
 from pelagia.plans import scene
 from pelagia.plans.imaging import I, S
 from pelagia.plans.register import R, query, r6
@@ -61,10 +63,14 @@ def _(view):
     return X.normals(view("img_px")).select("img", "py", "px", r6("nx").alias("nx"), r6("ny").alias("ny"))
 
 
-@query("sc_cart_sector_to_polar", f"""{I}, g as (select r.i::int as r, a.i::int as a, least(15, trunc(8 + (r.i + 0.5) / 16 * 8 * sin((a.i - 8) * pi() / 24)))::int as px, least(15, trunc((r.i + 0.5) / 16 * 16 * cos((a.i - 8) * pi() / 24)))::int as py from range(16) r(i), range(16) a(i))
-select img, r, a, v from g join img_px using (px, py)""")
+_SIZES = f"{I}, z as (select img, max(py) + 1 as h, max(px) + 1 as w from img_px group by img)"
+
+
+@query("sc_cart_sector_to_polar", f"""{_SIZES}, e as (select *, unnest(range(h))::int as r from z), f as (select *, unnest(range(w))::int as a from e),
+g as (select img, r, a, least(w - 1, trunc(round(w // 2 + (r + 0.5::double) / h * (w // 2) * sin((a - w // 2) * (pi() * 2 / 3) / w), 9)))::int as px, least(h - 1, trunc(round((r + 0.5::double) / h * h * cos((a - w // 2) * (pi() * 2 / 3) / w), 9)))::int as py from f)
+select img, r, a, v from g join img_px using (img, px, py)""")
 def _(view):
-    return X.sector_to_polar(view("img_px"), 16)
+    return resample.sector_to_polar(view("img_px"), math.pi * 2 / 3).withColumn("v", F.col("v").cast("int"))
 
 
 @query("sc_medium_transport", f"""{scene.WEIGHTED}, k as (select *, coalesce(lag(depth) over (partition by cam, px, py order by depth, gid), 0) as d0 from ww)
@@ -252,11 +258,12 @@ def _(view):
     return q.select("cam", r6(F.coalesce(F.get("q", F.lit(0)), F.lit(0.1))).alias("near"), r6(F.coalesce(F.get("q", F.lit(1)), F.lit(100.0))).alias("far"))
 
 
-@query("sink_cameras_json", ctes("cams") + """ select cam, '{"id":' || cam || ',"width":64,"height":48,"img_name":"cam' || cam || '","position":[0.0,0.0,' || tz || '],"rotation":[[' || (cam = 0)::int || '.0,0.0],[0.0,1.0]],"fx":' || fx || ',"fy":' || fy || '}' as line from cams""")
+@query("sink_cameras_json", ctes("cams") + """ select cam, '{"id":' || cam || ',"width":64,"height":48,"img_name":"cam' || cam || '","position":[' || (tz * sa) || ',0.0,' || (-tz * ca) || '],"rotation":[[' || ca || ',0.0,' || (-sa) || '],[0.0,1.0,0.0],[' || sa || ',0.0,' || ca || ']],"fx":' || fx || ',"fy":' || fy || '}' as line from cams""")
 def _(view):
-    first = F.when(F.col("cam") == 0, 1.0).otherwise(0.0)
-    rotation = F.array(F.array(first, F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0)))
-    body = F.struct(F.col("cam").alias("id"), "width", "height", F.concat(F.lit("cam"), "cam").alias("img_name"), F.array("tx", "ty", "tz").alias("position"), rotation.alias("rotation"), "fx", "fy")
+    # where the camera stands and how it is turned in the world: the inverse of x' = R x + t, with t along z
+    zero, one, ca, sa, tz = F.lit(0.0), F.lit(1.0), F.col("ca"), F.col("sa"), F.col("tz")
+    rotation = F.array(F.array(ca, zero, -sa), F.array(zero, one, zero), F.array(sa, zero, ca))
+    body = F.struct(F.col("cam").alias("id"), "width", "height", F.concat(F.lit("cam"), "cam").alias("img_name"), F.array(tz * sa, zero, -tz * ca).alias("position"), rotation.alias("rotation"), "fx", "fy")
     return _saved(view("cams").select("cam", F.to_json(body).alias("line")), "json")
 
 
@@ -354,12 +361,28 @@ def _(view):
     return X.normalised(view("cloud_a")).select("pid", *(r6(c).alias(c) for c in "xyz"))
 
 
-@query("flt_undistort", f"""{I}, g as (select a.i::int as y, b.j::int as x, (b.j + 0.5::double) / 16 - 0.5 as cx, (a.i + 0.5::double) / 16 - 0.5 as cy from range(1, 15) a(i), range(2, 14) b(j)),
-m as (select y, x, round((cx * (1 + 0.1::double * (cx * cx + cy * cy)) + 0.5) * 16 - 0.5, 9) as u, round((cy * (1 + 0.1::double * (cx * cx + cy * cy)) + 0.5) * 16 - 0.5, 9) as w from g),
-t as (select y, x, u, w, floor(u)::int + p.k as px, floor(w)::int + q.k as py from m, range(2) p(k), range(2) q(k)), s as (select *, (1 - abs(u - px)) * (1 - abs(w - py)) as share from t)
-select img, (y - 1)::int as y, (x - 2)::int as x, {R('sum(v * share)')} as v from img_px join s using (px, py) where share > 0 group by 1, 2, 3""")
+#: Taps are added in one order, so that both engines round alike.
+_TAPS = """select img, y, x, list_reduce(list(v::double * share order by px, py), lambda s, x: s + x) as v from
+(select *, (1 - abs(u - px)) * (1 - abs(t - py)) as share from (select img, y, x, u, t, (floor(u) + a.a)::int as px, (floor(t) + b.b)::int as py from m, range(2) a(a), range(2) b(b))) join img_px using (img, px, py)
+where share > 0 group by 1, 2, 3"""
+
+
+@query("flt_undistort", f"""{_SIZES}, e as (select *, unnest(range(1, h - 1))::int as y from z), f as (select *, unnest(range(2, w - 2))::int as x from e),
+g as (select *, (x + 0.5::double) / w - 0.5 as cx, (y + 0.5::double) / h - 0.5 as cy from f),
+m as (select img, y, x, round((cx * (1 + 0.0987654321::double * (cx * cx + cy * cy)) + 0.5) * w - 0.5, 9) as u, round((cy * (1 + 0.0987654321::double * (cx * cx + cy * cy)) + 0.5) * h - 0.5, 9) as t from g),
+v as ({_TAPS}) select img, (y - 1)::int as y, (x - 2)::int as x, {R('v')} as v from v""")
+def _(view):
+    return resample.undistorted(view("img_px"), 0.0987654321, (2, 1, 2, 1)).select("img", "y", "x", r6("v").alias("v"))
+
+
+@query("flt_undistort_fisheye", f"""{_SIZES}, e as (select *, unnest(range(h))::int as y from z), f as (select *, unnest(range(w))::int as x from e),
+g as (select *, (x - w / 2.0::double) / w as x1, (y - h / 2.0::double) / h as y1 from f), k as (select *, x1 * x1 + y1 * y1 as q from g),
+l as (select *, 1 + q * (0.05::double + q * (-0.01::double + q * (0.002::double + q * -0.0005::double))) as b from k),
+m as (select *, round(w * x1 * b + w // 2, 9) as u, round(h * y1 * b + h // 2, 9) as t from l),
+s as (select *, u > 0 and t > 0 and u < w - 1 and t < h - 1 as seen from m), o as (select img, min(y) as y0, max(y) as y2, min(x) as x0, max(x) as x2 from s where seen group by img),
+v as ({_TAPS}) select img, (y - y0)::int as y, (x - x0)::int as x, {R('v.v')} as v, seen from v join s using (img, y, x) join o using (img) where y between y0 and y2 and x between x0 and x2""")
 def _(view):
-    return X.undistorted(view("img_px"), 16, 0.1, (2, 1, 12, 14)).select("img", "y", "x", r6("v").alias("v"))
+    return resample.fisheye_undistorted(view("img_px"), (0.05, -0.01, 0.002, -0.0005)).select("img", "y", "x", r6("v").alias("v"), "seen")
 
 
 @query("ag_pose_align", ctes("cloud_a") + f""", c as (select covar_samp(x, x) as a, covar_samp(x, y) as b, covar_samp(x, z) as c, covar_samp(y, y) as d, covar_samp(y, z) as e, covar_samp(z, z) as f from cloud_a),

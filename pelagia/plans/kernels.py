@@ -36,16 +36,16 @@ _ROOT = "sqrt(3.0::double)"
 _TAPS = lambda f, k: f"(case {k} when -1 then (1 - {f}) ** 3 when 0 then 3 * {f} ** 3 - 6 * {f} ** 2 + 4 when 1 then -3 * {f} ** 3 + 3 * {f} ** 2 + 3 * {f} + 1 else {f} ** 3 end / 6)"
 
 
-@query("sc_polar_to_cart", f"""{S}, p as (select * from sonar_px where rng < 24 and az < 48),
-c1 as materialized (select frame, k.k, az, sum(v * {_ROOT} * power({_ROOT} - 2, abs(k.k - rng))) as c from p, range(-2, 26) k(k) group by all),
+@query("sc_polar_to_cart", f"""{S}, p as (select * from sonar_px),
+c1 as materialized (select frame, k.k, az, sum(v * {_ROOT} * power({_ROOT} - 2, abs(k.k - rng))) as c from p, range(-2, 66) k(k) group by all),
 c2 as materialized (select frame, c1.k as kr, k.k as ka, sum(c * {_ROOT} * power({_ROOT} - 2, abs(k.k - az))) as c from c1, range(-2, 50) k(k) group by all),
-g as (select i.i::int as i, j.j::int as j, 2 * i.i / 47.0::double - 1 as y, j.j / 23.0::double as x from range(48) i(i), range(24) j(j)),
-h as (select i, j, abs(atan2(y, x)) <= radians(80) / 2 as seen, least(23, sqrt(x * x + y * y) * 23) as r, greatest(0, least(47, (atan2(y, x) / radians(80) + 0.5) * 47)) as a from g),
+g as (select i.i::int as i, j.j::int as j, 2 * i.i / 127.0::double - 1 as y, j.j / 63.0::double as x from range(128) i(i), range(64) j(j)),
+h as (select i, j, abs(atan2(y, x)) <= radians(80) / 2 as seen, least(63, sqrt(x * x + y * y) * 63) as r, greatest(0, least(47, (atan2(y, x) / radians(80) + 0.5) * 47)) as a from g),
 t as (select *, floor(r)::int as r0, floor(a)::int as a0, r - floor(r) as rf, a - floor(a) as af from h),
 w as materialized (select i, j, seen, r0 + p.k as kr, a0 + q.k as ka, {_TAPS('rf', 'p.k')} * {_TAPS('af', 'q.k')} as w from t, range(-1, 3) p(k), range(-1, 3) q(k))
 select frame, i, j, {R('case when seen then sum(w * c) else 0 end')} as v from w join c2 using (kr, ka) group by frame, i, j, seen""")
 def _(view):
-    return K.sector_image(view("sonar_px"), 24, 48, 80 * 3.141592653589793 / 180).select("frame", "i", "j", r6("v").alias("v"))
+    return K.sector_image(view("sonar_px"), 64, 48, 80 * 3.141592653589793 / 180).select("frame", "i", "j", r6("v").alias("v"))
 
 
 @query("ag_template_match", f"""{I}, t as (select py as ty, px as tx, median(v) as t from img_px where py < 4 and px < 4 group by 1, 2),

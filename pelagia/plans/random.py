@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pelagia.operators import density as D, extended as X, model
+from pelagia.operators import density as D, extended as X, model, resample
 from pelagia.plans import scene
 from pelagia.plans.register import R, query, r6
 from pelagia.plans.views import ctes
@@ -106,10 +106,11 @@ def _(view):
     return X.elevation_samples(view("sonar_px").where("v > 0.9"), 3).select("frame", "rng", "az", "k", r6("elevation").alias("elevation"))
 
 
-@query("flt_random_patch", f"""{I}, o as (select img, py, px, v, floor({U('patch:y', 'img')} * 9)::int as oy, floor({U('patch:x', 'img')} * 9)::int as ox from img_px)
+@query("flt_random_patch", f"""{I}, z as (select img, max(py) + 1 as h, max(px) + 1 as w from img_px group by img),
+o as (select img, py, px, v, floor({U('patch:y', 'img')} * greatest(h - 7, 1))::int as oy, floor({U('patch:x', 'img')} * greatest(w - 7, 1))::int as ox from img_px join z using (img))
 select img, py - oy as py, px - ox as px, v, {R('32::double - ox')} as cx, {R('24::double - oy')} as cy from o where py - oy between 0 and 7 and px - ox between 0 and 7""")
 def _(view):
-    return X.random_patch(view("img_px"), 8, 32.0, 24.0)
+    return resample.random_patch(view("img_px"), 8, 32.0, 24.0)
 
 
 _W = [f"w{min(i, j)}{max(i, j)}" for i in range(3) for j in range(3)]

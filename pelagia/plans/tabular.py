@@ -8,7 +8,7 @@ from pelagia.functions import geometry as G
 from pelagia.operators import cloud, extended as X, model, parse, ranking, telemetry as T
 from pelagia.plans.register import R, query, r6
 from pelagia.plans.views import ctes
-from pelagia.session import scratch
+from pelagia.session import scratch, written
 
 SC = ctes("scores") + ", sc as (select *, (0.5 * clip + 0.3 * entropy + 0.2 * edge) / 1.25 as raw from scores), s as (select *, round(raw, 6) as score from sc)"
 
@@ -310,17 +310,18 @@ def _(view):
     return view("img_px").select("img", "py", "px", r6((F.col("px") + 0.5 - 8) / 20 * v).alias("x"), r6((F.col("py") + 0.5 - 8) / 20 * v).alias("y"), v.alias("z"))
 
 
-@query("sc_schedule", f"select s::int as step, {R('least(1, s / 50.0::double)')} as ramp, {R('exp(-s / 40.0::double)')} as decay, {R('exp(ln(0.01::double) * (1 - s / 100.0::double) + ln(0.0001::double) * (s / 100.0::double))')} as lr from range(101) t(s)")
+@query("sc_schedule", f"{ctes('telemetry')}, e as (select run, max(step) as n from telemetry group by run) select run, step, {R('least(1, step / 50.0::double)')} as ramp, {R('exp(-step / 40.0::double)')} as decay, {R('exp(ln(0.01::double) * (1 - step / n::double) + ln(0.0001::double) * (step / n::double))')} as lr from telemetry join e using (run)")
 def _(view):
-    steps = view("region").limit(1).select(F.explode(F.sequence(F.lit(0), F.lit(100))).alias("step"))
-    return steps.select("step", *(r6(c).alias(n) for n, c in parse.schedules(F.col("step"), 100).items()))
+    df = view("telemetry")
+    ends = written(df.groupBy("run").agg(F.max("step").alias("n")))
+    return df.join(ends, "run").select("run", "step", *(r6(c).alias(n) for n, c in parse.schedules(F.col("step"), F.col("n")).items()))
 
 
-@query("sc_lfm_waveform", f"with s as (select i::int as i, 1000 + 200.0::double * i as f from range(64) t(i)) select i, {R('cos(2 * pi() * sum(f) over (order by i rows unbounded preceding) / 48000)')} as y from s")
+@query("sc_lfm_waveform", f"{ctes('telemetry')} select run, step, {R('cos(2 * pi() * (step * (1000 + run % 10 * 100) + 100.0::double * (step - 1) * step) / 48000)')} as y from telemetry")
 def _(view):
-    s = view("region").limit(1).select(F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
-    phase = F.sum(1000 + 200.0 * F.col("i")).over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))  # 64 samples
-    return s.select("i", r6(F.cos(2 * F.pi() * phase / 48000)).alias("y"))
+    """Each run sends a sweep from a frequency of its own, a sample a step."""
+    y = parse.chirp((F.col("step") - 1).cast("double"), 1000 + F.col("run") % 10 * 100, 200.0, 48000.0)
+    return view("telemetry").select("run", "step", r6(y).alias("y"))
 
 
 @query("sc_primary_sonar", "select p_partkey as k, coalesce(nullif(string_split(p_name, ' ')[1], ''), 'Unknown') as first from part")
