@@ -26,7 +26,7 @@ def _(view):
 
 @query("wn_rank", f"{SC} select idx, row_number() over (partition by scene order by score desc, scan)::int as rank from s")
 def _(view):
-    return scored(view).select("idx", F.row_number().over(Window.partitionBy("scene").orderBy(F.desc("score"), "scan")).alias("rank"))
+    return ranking.ranked(scored(view), "scene").select("idx", "rank")
 
 
 @query("so_topk_heap", f"{SC} select idx, score, row_number() over (order by score desc, scan)::int as rank from s order by score desc, scan limit 20")
@@ -89,8 +89,7 @@ def _(view):
 
 @query("vs_softmax_classify", f"{_PR}, e as (select *, exp(10 * (cos - max(cos) over (partition by vec_id))) as e from cs), p as (select *, e / sum(e) over (partition by vec_id) as p from e) select vec_id, arg_max(prompt, (round(p, 9), -prompt)) as cls, {R('max(p)')} as p from p group by vec_id")
 def _(view):
-    p = ranking.softmax(ranking.prompt_scores(view("embeddings"), prompts(view)), 10.0)
-    return p.groupBy("vec_id").agg(F.max_by("prompt", F.struct(F.round("p", 9), -F.col("prompt"))).alias("cls"), r6(F.max("p")).alias("p"))
+    return ranking.classified(view("embeddings"), prompts(view), 10.0).select("vec_id", "cls", r6("p").alias("p"))
 
 
 CAT = ctes("catalog")
@@ -258,9 +257,7 @@ def _(view):
 
 @query("wn_settle", f"{TL}, m as (select run, avg(value) as level, max(step) as last from telemetry group by run) select t.run, coalesce(min(step) filter (abs(value - level) < 1), max(last) + 1)::int as at from telemetry t join m using (run) group by t.run")
 def _(view):
-    df = view("telemetry")
-    level = df.groupBy("run").agg(F.avg("value").alias("level"), F.max("step").alias("last"))
-    return df.join(level, "run").groupBy("run").agg(F.coalesce(F.min(F.when(F.abs(F.col("value") - F.col("level")) < 1, F.col("step"))), F.max("last") + 1).alias("at"))
+    return T.settled(view("telemetry"))
 
 
 NV = ctes("nav")
@@ -269,8 +266,9 @@ _FIRST = "first_value({0}) over (partition by session order by event_id)"
 
 @query("wn_first_row_ref", f"{NV} select session, event_id, {_FIRST.format('lat')} as lat0, {_FIRST.format('lon')} as lon0, {_FIRST.format('alt')} as alt0 from nav")
 def _(view):
-    w = Window.partitionBy("session").orderBy("event_id")
-    return view("nav").select("session", "event_id", *(F.first(c).over(w).alias(f"{c}0") for c in ("lat", "lon", "alt")))
+    nav = view("nav")
+    first = written(nav.groupBy("session").agg(*(F.min_by(c, "event_id").alias(f"{c}0") for c in ("lat", "lon", "alt"))))
+    return nav.join(first, "session").select("session", "event_id", "lat0", "lon0", "alt0")
 
 
 @query("sc_gps_to_enu", f"{NV}, f as (select *, {_FIRST.format('lat')} as lat0, {_FIRST.format('lon')} as lon0, {_FIRST.format('alt')} as alt0 from nav) select session, event_id, {R('(lon - lon0) * 111320 * cos(lat0 * pi() / 180)')} as east, {R('(lat - lat0) * 111320')} as north, {R('alt - alt0')} as up from f")
