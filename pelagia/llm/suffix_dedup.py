@@ -5,8 +5,9 @@ Every byte covered by a ``LENGTH``-byte string that also starts earlier (smaller
 Prefix-free parsing: a phrase ends where the rolling hash of ``TRIGGER`` bytes is 0 modulo ``MODULUS``, and the next begins with
 those bytes, so phrases depend on content alone and none is a prefix of another. The work is cut by phrases:
 
-1. Every string has an anchor, the phrase of least hash that lies in it (the string itself where none does). Consecutive strings with
-   one anchor occurrence are a run, of about 45. Equal strings have equal anchors at equal offsets, so the strings of a run all differ,
+1. Every string has an anchor, the unit (the fewest phrases in a row that have ``UNIT`` bytes) of least hash that lies in it, or the
+   string itself where none does. Consecutive strings with
+   one anchor occurrence are a run, of about 25. Equal strings have equal anchors at equal offsets, so the strings of a run all differ,
    and a run whose anchor occurs once in the corpus repeats nothing. Blocks of documents ask for their distinct anchors (``_blocks``).
 2. Runs of recurring anchors are told apart by their whole content. All but the first with one content are repeats, and where an
    anchor has one content only, that is all. Most copies end here, as hashes of content spread over the cluster.
@@ -39,13 +40,14 @@ from pelagia.llm._text import U, buffers, inverse_powers, mix, powers, signed, s
 from pelagia.session import scratch, table, written
 
 LENGTH, TRIGGER, MODULUS = 100, 8, 8
+UNIT = 32
 GROUP = 2048
 PLACE_BITS = 28
 
 
 class Parse:
-    """Phrases of a slice of texts (raw, offsets): first byte ``start`` and last byte + 1 ``end`` of each phrase that lies between two
-    triggers of one text, and polynomial sums for the hash of any range of bytes."""
+    """Triggers of a slice of texts (raw, offsets); first byte ``start`` and last byte + 1 ``end`` of each unit of phrases of one text;
+    and polynomial sums for the hash of any range of bytes."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray):
         self.raw, self.offsets = raw, offsets
@@ -62,9 +64,12 @@ class Parse:
             roll ^= roll >> U(29)
             at = np.flatnonzero(roll % U(MODULUS) == 0)
             self.triggers = at[at + TRIGGER <= offsets[np.searchsorted(offsets, at, "right")]]
+        # units: the fewest whole phrases from a trigger on that have UNIT bytes
+        to = np.searchsorted(self.triggers, self.triggers + max(1, UNIT - TRIGGER))
+        whole = np.flatnonzero(to < len(self.triggers))
         text = np.searchsorted(offsets, self.triggers, "right")
-        whole = np.flatnonzero(text[1:] == text[:-1])
-        self.start, self.end = self.triggers[whole], self.triggers[whole + 1] + TRIGGER
+        whole = whole[text[whole] == text[to[whole]]]
+        self.start, self.end = self.triggers[whole], self.triggers[to[whole]] + TRIGGER
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U) * U(0xA24BAED4963EE407))
@@ -300,23 +305,29 @@ def _settled(joined: DataFrame, n: int, length: int) -> DataFrame:
     return written(joined.mapInArrow(run, "b long, gone binary, i int, d long, h long, s int, a long, text binary"))
 
 
-def _ranks(values: np.ndarray, most: int) -> np.ndarray:
-    """Ranks (from 1) of all suffixes of ``values`` by their first ``most`` entries, by doubling; a 0 ends its suffix."""
-    rank = np.unique(values, return_inverse=True)[1] + (values.min(initial=0) > 0)
-    ended = values == 0
-    rank[ended] = 0
-    have, n = 1, len(values)
-    stop = np.minimum.accumulate(np.where(ended, np.arange(n), n)[::-1])[::-1]
-    while have < most:
-        then = np.zeros(n, np.int64)
-        then[: max(0, n - have)] = rank[have:]
-        # behind a 0 nothing counts
-        then[stop < np.arange(n) + have] = 0
-        both = rank * np.int64(n + 1) + then
-        rank = np.unique(both, return_inverse=True)[1]
-        rank += int(both.min(initial=0) > 0)
-        rank[ended] = 0
+def _ranks(values: np.ndarray, bits: int) -> np.ndarray:
+    """Places of all suffixes of ``values`` (of ``bits`` bits each) in their order, equal for equal ones; a 0 ends its suffix. The first
+    entries, as many as fit into 63 bits, are sorted at once; then what is known is doubled, for suffixes that go on only."""
+    n, have = len(values), 63 // bits
+    left = np.minimum.accumulate(np.where(values == 0, np.arange(n), n)[::-1])[::-1] - np.arange(n)  # entries up to the next 0
+    packed = np.zeros(n, np.int64)
+    for k in range(have):
+        packed <<= bits
+        packed[: max(0, n - k)] |= np.where(left[: max(0, n - k)] > k, values[k:], 0)
+    order = np.argsort(packed, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(np.append(True, packed[order][1:] != packed[order][:-1]), np.arange(n), 0)) if n else order
+    at = np.flatnonzero(left >= have)
+    while len(at):
+        key = rank[at] * np.int64(n + 1) + rank[np.minimum(at + have, n - 1)]
+        order = np.argsort(key)
+        at, key = at[order], key[order]
+        own, here = rank[at], np.arange(len(at))
+        group = np.maximum.accumulate(np.where(np.append(True, own[1:] != own[:-1]), here, 0))
+        equal = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), here, 0))
+        rank[at] = own + equal - group
         have *= 2
+        at = at[left[at] >= have]
     return rank
 
 
@@ -336,19 +347,18 @@ def corpus_order(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) ->
     first = np.cumsum(size + 1) - (size + 1)
     dictionary = np.zeros(int((size + 1).sum()), np.int64)
     dictionary[spans(first, size)] = raw[spans(start[where], size)].astype(np.int64) + 1
-    suffix = _ranks(dictionary, int(size.max(initial=1)))
+    suffix = _ranks(dictionary, 9)
     phrase_rank = np.unique(suffix[first], return_inverse=True)[1] + 1
     # the parse: phrases of each text, then 0
     place = np.arange(len(start)) + text
     sequence = np.zeros(len(start) + texts + 1, np.int64)
     sequence[place] = phrase_rank[phrase]
-    per_text = np.bincount(text, minlength=texts)
-    follow = _ranks(sequence, int(per_text.max(initial=1)))
+    follow = _ranks(sequence, max(1, len(first).bit_length()))
     # strings: where their suffix starts in its phrase, and what follows the phrase
     stop = np.maximum(offsets[1:] - length + 1, offsets[:-1])
     at = spans(offsets[:-1], stop - offsets[:-1])
     own = np.searchsorted(start, at, "right") - 1
-    order = np.lexsort((follow[place[own] + 1], suffix[first[phrase[own]] + at - start[own]]))
+    order = np.argsort(suffix[first[phrase[own]] + at - start[own]] * np.int64(len(sequence) + 1) + follow[place[own] + 1])
     at = at[order]
     # neighbours that share all bytes
     padded = np.append(raw, np.zeros(8, np.uint8))
