@@ -133,19 +133,24 @@ class Runs:
 
 
 def _made(docs: DataFrame, n: int) -> DataFrame:
-    """The bucketed table of blocks: b, d, h (a slice's documents), sizes and raw (their texts)."""
+    """The bucketed table of blocks: b, d, h (a slice's documents, equal ones once), times (how often), sizes and raw (their texts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = blocks.block_ids()
         for batch in batches:
             for part in slices(batch):
+                d, h = (part.column(c).to_numpy() for c in ("_d", "_h"))
+                order = np.lexsort((h, d))
+                fresh = np.flatnonzero(np.append(True, (d[order][1:] != d[order][:-1]) | (h[order][1:] != h[order][:-1])))
+                times = np.diff(np.append(fresh, len(order)))
+                part = part.take(pa.array(order[fresh]))
                 raw, offsets = buffers(part.column("text"))
                 one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
-                arrays = [pa.array([next(names)], pa.int64()), one(part.column("_d")), one(part.column("_h")), pa.array([blocks.pack(np.diff(offsets))], pa.binary()), pa.array([blocks.pack(raw)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["b", "d", "h", "sizes", "raw"])
+                arrays = [pa.array([next(names)], pa.int64()), one(part.column("_d")), one(part.column("_h")), one(pa.array(times)), pa.array([blocks.pack(np.diff(offsets))], pa.binary()), pa.array([blocks.pack(raw)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["b", "d", "h", "times", "sizes", "raw"])
 
     spark, name = docs.sparkSession, f"blocks_{uuid.uuid4().hex}"
-    found = keys.rows(docs).mapInArrow(run, "b long, d array<long>, h array<long>, sizes binary, raw binary")
+    found = keys.rows(docs).mapInArrow(run, "b long, d array<long>, h array<long>, times array<long>, sizes binary, raw binary")
     found.repartition(n, "b").write.format("parquet").bucketBy(n, "b").option("path", scratch(spark)).saveAsTable(name)
     return spark.table(name)
 
@@ -483,7 +488,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFram
                 upto = np.append(0, np.cumsum(~away))[block.offsets]
                 kept = pa.Array.from_buffers(pa.binary(), texts, [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(block.raw[~away])])
                 sizes = np.diff(block.offsets)
-                yield pa.RecordBatch.from_arrays([pa.array(block.d), pa.array(sizes), pa.array(sizes - np.diff(upto)), spanned, kept], ["_d", "n_bytes", "n_removed", "spans", "kept"])
+                out = pa.RecordBatch.from_arrays([pa.array(block.d), pa.array(sizes), pa.array(sizes - np.diff(upto)), spanned, kept], ["_d", "n_bytes", "n_removed", "spans", "kept"])
+                times = batch.column("times")[i].values.to_numpy(zero_copy_only=False)
+                yield out if (times == 1).all() else out.take(pa.array(np.repeat(np.arange(texts), times)))
 
     found = made.join(gone, "b").join(more, "b", "left")
     found = found.mapInArrow(run, "_d long, n_bytes long, n_removed long, spans array<struct<first:int,last:int>>, kept binary")
