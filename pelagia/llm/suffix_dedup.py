@@ -41,7 +41,7 @@ from pelagia.session import scratch, table, written
 
 LENGTH, TRIGGER, MODULUS = 100, 8, 8
 UNIT = 32
-GROUP = 2048
+GROUP = 512
 PLACE_BITS = 28
 
 
