@@ -10,6 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pelagia.operators.pixels import indexed
+from pelagia.operators.selection import of_columns
 from pelagia.session import written
 
 Columns = list[Column]
@@ -332,11 +333,11 @@ def exact_corr(a: str, b: str) -> Column:
 
 
 def normalised(points: DataFrame) -> DataFrame:
-    """Points centred at their medians and scaled by the median distance."""
-    mid = F.broadcast(points.agg(*(F.median(c).alias(f"m{c}") for c in "xyz")))  # one row
-    moved = points.crossJoin(mid).select("pid", *((F.col(c) - F.col(f"m{c}")).alias(c) for c in "xyz"))
-    scale = F.broadcast(moved.agg(F.median(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)).alias("s")))
-    return moved.crossJoin(scale).select("pid", *((F.col(c) / F.col("s")).alias(c) for c in "xyz"))
+    """Points centred at their medians and scaled by the median distance; medians by counting."""
+    mid = of_columns(points, {c: F.col(c) for c in "xyz"}, [0.5])
+    moved = points.select("pid", *((F.col(c) - F.lit(mid[c][0])).alias(c) for c in "xyz"))
+    scale = of_columns(moved, {"d": F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)}, [0.5])["d"][0]
+    return moved.select("pid", *((F.col(c) / F.lit(scale)).alias(c) for c in "xyz"))
 
 
 def aligned(points: DataFrame) -> DataFrame:
@@ -344,7 +345,7 @@ def aligned(points: DataFrame) -> DataFrame:
     driver's. An axis' sign is its largest component's, the first axis turns where that would mirror."""
     import numpy as np
 
-    mid = points.agg(*(F.median(c).alias(c) for c in "xyz")).first()
+    mid = {c: q[0] for c, q in of_columns(points, {c: F.col(c) for c in "xyz"}, [0.5]).items()}
     cov = points.agg(*(F.covar_samp(a, b).alias(a + b) for i, a in enumerate("xyz") for b in "xyz"[i:])).first()
     matrix = np.array([[cov["".join(sorted(a + b))] for b in "xyz"] for a in "xyz"])
     axes = np.linalg.eigh(matrix)[1][:, ::-1].T

@@ -77,3 +77,14 @@ def fit_codebook(points: DataFrame, centres: DataFrame, rounds: int) -> tuple[Da
     for _ in range(rounds):
         centres = written(points.join(assign(points, centres), "gid").groupBy("c").agg(*(F.round(F.avg(a), 9).alias(f"c{a}") for a in "xyz")))
     return assign(points, centres), centres
+
+
+def poses_bounds(cameras: DataFrame, depths: DataFrame, key: str, shares: tuple[float, float] = (0.01, 0.99), else_: tuple[float, float] = (0.1, 100.0)) -> DataFrame:
+    """``key``, m0 .. m14, near, far: of each camera (r0 .. r8 its turned axes by rows, tx, ty, tz, height, width, fx) the 3 x 5 matrix by
+    rows, and the depths at ``shares`` of those that it sees (``else_`` where it sees none). The depths are counted, not sorted."""
+    from pelagia.operators.selection import quantiles
+
+    bounds = quantiles(depths, [key], "depth", list(shares)).select(key, F.get("q", F.lit(0)).alias("near"), F.get("q", F.lit(1)).alias("far"))
+    side = [("tx", "height"), ("ty", "width"), ("tz", "fx")]
+    matrix = [F.col(c).cast("double").alias(f"m{5 * row + k}") for row in range(3) for k, c in enumerate((*(f"r{3 * row + i}" for i in range(3)), *side[row]))]
+    return cameras.join(bounds, key, "left").select(key, *matrix, F.coalesce("near", F.lit(else_[0])).alias("near"), F.coalesce("far", F.lit(else_[1])).alias("far"))

@@ -11,6 +11,8 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
+from pelagia.operators.selection import of_columns
+
 Vector = list[Column]
 R9 = [f"r{k}" for k in range(9)]
 #: Key poses of a spline at most: its equations are solved on the driver.
@@ -64,13 +66,14 @@ def _lits(values) -> Vector:
 def spiral(poses: DataFrame, n: int, near: float, far: float, turns: float = 2.0, rise: float = 0.5, focus: float = 0.75) -> DataFrame:
     """n frames on a spiral before the mean pose, whose radii are the 90th percentiles of the centres' coordinates; all look at the point
     ahead whose inverse distance lies by the share ``focus`` between those of the near and the far bound."""
-    row = poses.agg(*(F.avg(c).alias(c) for c in [*"xyz", *R9]), *(F.percentile(F.abs(c), 0.9).alias(f"p{c}") for c in "xyz")).first()
+    row = poses.agg(*(F.avg(c).alias(c) for c in [*"xyz", *R9])).first()
+    radius = of_columns(poses, {c: F.abs(c) for c in "xyz"}, [0.9])
     back, up = np.array([row.r2, row.r5, row.r8]), np.array([row.r1, row.r4, row.r7])
     side = np.cross(up, back)
     mean = np.stack([c / np.linalg.norm(c) for c in (side, np.cross(back, side), back)], 1)
     centre = np.array([row.x, row.y, row.z])
     t = F.col("i") * (2 * math.pi * turns / n)
-    local = [row.px * F.cos(t), -row.py * F.sin(t), -row.pz * F.sin(rise * t)]
+    local = [radius["x"][0] * F.cos(t), -radius["y"][0] * F.sin(t), -radius["z"][0] * F.sin(rise * t)]
     at = [float(m[0]) * local[0] + float(m[1]) * local[1] + float(m[2]) * local[2] + float(c) for m, c in zip(mean, centre, strict=True)]
     aim = centre - mean[:, 2] / ((1 - focus) / near + focus / far)
     return _looking(_frames(poses, n), at, _lits(aim), _lits(up))
@@ -83,11 +86,12 @@ def ellipse(poses: DataFrame, n: int, axis: str = "z", height: float = 0.0, vari
     centre, around y from the centre to the path."""
     centre, k = centre_of_view(poses), "xyz".index(axis)
     plane = [c for c in range(3) if c != k]
-    row = poses.agg(*(F.avg(c).alias(c) for c in ("r1", "r4", "r7")), *(F.percentile(F.abs(F.col("xyz"[c]) - float(centre[c])), 0.9).alias(f"p{c}") for c in plane), F.percentile(axis, F.array(F.lit(0.1), F.lit(0.9))).alias("q")).first()
-    t, (low, high) = F.col("i") * (2 * math.pi / n), row.q
+    row = poses.agg(*(F.avg(c).alias(c) for c in ("r1", "r4", "r7"))).first()
+    found = of_columns(poses, {f"p{c}": F.abs(F.col("xyz"[c]) - float(centre[c])) for c in plane} | {"along": F.col(axis)}, [0.1, 0.9])
+    t, (low, high) = F.col("i") * (2 * math.pi / n), found["along"]
     at = [F.lit(0.0)] * 3
-    at[plane[0]] = float(centre[plane[0]]) + row[f"p{plane[0]}"] * F.cos(t)
-    at[plane[1]] = float(centre[plane[1]]) + row[f"p{plane[1]}"] * F.sin(t)
+    at[plane[0]] = float(centre[plane[0]]) + found[f"p{plane[0]}"][1] * F.cos(t)
+    at[plane[1]] = float(centre[plane[1]]) + found[f"p{plane[1]}"][1] * F.sin(t)
     at[k] = height + variation * (low + (high - low) * (0.5 * F.cos(t + 2 * math.pi * phase) + 0.5))
     mean = np.array([row.r1, row.r4, row.r7])
     up = np.zeros(3)

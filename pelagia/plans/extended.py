@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from pelagia.functions import geometry as G
 from pelagia.operators import cloud, extended as X, raster, resample, surfel
+from pelagia.operators.model import poses_bounds
 from pelagia.plans import scene
 from pelagia.plans.imaging import I, S
 from pelagia.plans.register import R, query, r6
@@ -252,10 +253,19 @@ def _(view):
     return X.lattice(view("splats"), 1.0, 3).select("gid", "i", "j", r6("x").alias("x"), r6("y").alias("y"))
 
 
-@query("sink_llff", scene.PROJECTED + f" select cam, {R('coalesce(quantile_cont(depth, 0.01), 0.1)')} as near, {R('coalesce(quantile_cont(depth, 0.99), 100)')} as far from pr group by cam")
+_LLFF = ("ca", "0", "-sa", "0", "h", "0", "1", "0", "0", "w", "sa", "0", "ca", "6", "f")
+
+
+@query("sink_llff", scene.PROJECTED + f", q as (select cam, coalesce(quantile_cont(depth, 0.01), 0.1) as near, coalesce(quantile_cont(depth, 0.99), 100) as far from pr group by cam), p as (select cam, ca, sa, 48::double as h, 64::double as w, fx as f from cams) select cam, {', '.join(f'{R(f'({c})::double')} as m{i}' for i, c in enumerate(_LLFF))}, {R('coalesce(near, 0.1)')} as near, {R('coalesce(far, 100)')} as far from p left join q using (cam)")
 def _(view):
-    q = scene.projected(view).groupBy("cam").agg(F.percentile("depth", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
-    return q.select("cam", r6(F.coalesce(F.get("q", F.lit(0)), F.lit(0.1))).alias("near"), r6(F.coalesce(F.get("q", F.lit(1)), F.lit(100.0))).alias("far"))
+    """A row of 17 numbers a camera: the 3 x 5 matrix (the turned axes, the translation, height, width and focal length) and the bounds."""
+    cams, zero, one = view("cams"), F.lit(0.0), F.lit(1.0)
+    ca, sa = F.col("ca"), F.col("sa")
+    axes = [ca, zero, -sa, zero, one, zero, sa, zero, ca]  # camera to world, by rows
+    poses = cams.select("cam", *(c.alias(f"r{i}") for i, c in enumerate(axes)), *(F.col(c).alias(c) for c in ("tx", "ty", "tz")), F.col("height").cast("double"), F.col("width").cast("double"), "fx")
+    lines = poses_bounds(poses, scene.projected(view), "cam")
+    saved = _saved(lines, "csv")
+    return saved.select("cam", *(r6(c).alias(c) for c in saved.columns if c != "cam"))
 
 
 @query("sink_cameras_json", ctes("cams") + """ select cam, '{"id":' || cam || ',"width":64,"height":48,"img_name":"cam' || cam || '","position":[' || (tz * sa) || ',0.0,' || (-tz * ca) || '],"rotation":[[' || ca || ',0.0,' || (-sa) || '],[0.0,1.0,0.0],[' || sa || ',0.0,' || ca || ']],"fx":' || fx || ',"fy":' || fy || '}' as line from cams""")
