@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pelagia.plans.register import ORACLE, QUERIES, R, r6
-from pelagia.streaming import incremental as S
+from pelagia.session import scratch
+from pelagia.streaming import incremental as S, keyed
 
 
 def _add(name: str, sql: str):
@@ -18,7 +19,7 @@ def _add(name: str, sql: str):
 
 @_add("ss_incremental_topk", "select doc_id, n_chars from documents order by n_chars desc, doc_id limit 25")
 def _(spark, sf_dir):
-    return S.top_k(S.table_stream(spark, sf_dir, "documents").select("doc_id", "n_chars"), 25, "n_chars", "doc_id")
+    return keyed.best(S.table_stream(spark, sf_dir, "documents").select("doc_id", "n_chars"), [], ["n_chars", "doc_id"], [True, False], 25, scratch(spark))
 
 
 @_add("ss_global_index", "select page_id, row_number() over (order by page_id) - 1 as i from pages")
@@ -28,7 +29,7 @@ def _(spark, sf_dir):
 
 @_add("ss_poll_monitor", f"select user_id, {R('max(value)')} as peak, {R('sum(value)')} as total from events group by user_id")
 def _(spark, sf_dir):
-    found = S.peaks(S.table_stream(spark, sf_dir, "events").select("user_id", "value"), "user_id", "value")
+    found = keyed.peaks(S.table_stream(spark, sf_dir, "events").select("user_id", "value"), "user_id", "value", scratch(spark))
     return found.select("user_id", r6("peak").alias("peak"), r6("total").alias("total"))
 
 
@@ -37,7 +38,7 @@ b as (select user_id, count(*) as n, avg(value) as recent, sum(value * case when
 select user_id, n, {R('recent')} as recent, {R('balance')} as balance, {R('greatest(-5, least(5, 0.2 * (50 - balance)))')} as step from b""")
 def _(spark, sf_dir):
     events = S.table_stream(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    buffer = S.recent(events, "user_id", ["ts", "event_id"], 50)
+    buffer = keyed.best(events, ["user_id"], ["ts", "event_id"], [True, True], 50, scratch(spark))
     found = S.control(buffer, "user_id", ["ts", "event_id"], "value", target=50.0, alpha=0.1, gain=0.2, bound=5.0)
     return found.select("user_id", "n", *(r6(c).alias(c) for c in ("recent", "balance", "step")))
 

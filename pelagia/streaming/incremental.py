@@ -1,4 +1,4 @@
-"""Incremental ranking and monitoring with Structured Streaming.
+"""Running numbers, controllers and event-time windows with Structured Streaming; states of keys are in ``keyed``.
 
 State is a small table in the shared folder, written anew for each micro-batch under its number, so a batch that is run
 again after a failure starts from the same state and gives the same result.
@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from pelagia.session import scratch, shared_dir
+from pelagia.session import _delete, scratch, shared_dir
 
 
 def _run(stream: DataFrame, fold, first: DataFrame, mode: str = "append") -> DataFrame:
@@ -24,18 +24,13 @@ def _run(stream: DataFrame, fold, first: DataFrame, mode: str = "append") -> Dat
         state = batch.sparkSession.read.schema(first.schema).parquet(f"{root}/state/{epoch - 1}")
         fold(state, batch).write.mode("overwrite").parquet(f"{root}/state/{epoch}")
         done["at"] = epoch
+        _delete(batch.sparkSession, f"{root}/state/{epoch - 2}")  # a batch that runs again needs the state before it only
 
     query = stream.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(first.schema).parquet(f"{root}/state/{done['at']}")
 
 
-def top_k(stream: DataFrame, k: int, score: str, order: str) -> DataFrame:
-    """The k highest rows of all batches, ties to the least ``order``."""
-    empty = stream.sparkSession.createDataFrame([], stream.schema)
-    return _run(stream, lambda state, batch: state.unionByName(batch).orderBy(F.desc(score), order).limit(k), empty)
-
-
 def indexed(stream: DataFrame, order: str) -> DataFrame:
     """Rows of all batches with a running index: each batch continues where the last one ended."""
     from pelagia.operators import pixels
@@ -55,13 +50,6 @@ def indexed(stream: DataFrame, order: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{rows}/*")
 
 
-def recent(stream: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
-    """The last n rows of each key over all batches, a rolling buffer: a state of n rows a key."""
-    last = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
-    empty = stream.sparkSession.createDataFrame([], stream.schema)
-    return _run(stream, lambda state, batch: state.unionByName(batch).withColumn("_r", F.row_number().over(last)).where(F.col("_r") <= n).drop("_r"), empty)
-
-
 def control(buffer: DataFrame, key: str, order: list[str], value: str, target: float, alpha: float, gain: float, bound: float) -> DataFrame:
     """key, n, recent (mean), balance (exponential mean from the oldest row of the buffer on), step: the proportional step
     gain (target - balance), within +-bound."""
@@ -72,18 +60,6 @@ def control(buffer: DataFrame, key: str, order: list[str], value: str, target: f
     return found.withColumn("step", F.greatest(F.lit(-bound), F.least(F.lit(bound), gain * (target - F.col("balance")))))
 
 
-def peaks(stream: DataFrame, key: str, value: str) -> DataFrame:
-    """key, peak, total of all batches: a mergeable aggregate, one row a key."""
-    schema = stream.select(key, F.col(value).alias("peak"), F.col(value).alias("total")).schema
-    empty = stream.sparkSession.createDataFrame([], schema)
-
-    def fold(state: DataFrame, batch: DataFrame) -> DataFrame:
-        now = batch.select(key, F.col(value).alias("peak"), F.col(value).alias("total"))
-        return state.unionByName(now).groupBy(key).agg(F.max("peak").alias("peak"), F.sum("total").alias("total"))
-
-    return _run(stream, fold, empty)
-
-
 def windows(stream: DataFrame, time: str, key: str, size: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Tumbling event-time windows with a watermark: start, key, n."""
     counts = stream.withWatermark(time, late).groupBy(F.window(time, size).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
