@@ -42,6 +42,8 @@ from pelagia.session import scratch, table, written
 LENGTH, TRIGGER, MODULUS = 100, 8, 8
 UNIT = 32
 GROUP = 512
+#: Bytes of texts that a worker looks at together: a block, and what is compared.
+BLOCK, COMPARED = 1_000_000, 1_500_000
 PLACE_BITS = 28
 
 
@@ -138,7 +140,7 @@ def _made(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = blocks.block_ids()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=BLOCK):
                 d, h = (part.column(c).to_numpy() for c in ("_d", "_h"))
                 order = np.lexsort((h, d))
                 fresh = np.flatnonzero(np.append(True, (d[order][1:] != d[order][:-1]) | (h[order][1:] != h[order][:-1])))
@@ -381,7 +383,7 @@ def corpus_order(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) ->
     return at, equal
 
 
-def _compared(found: DataFrame, length: int, group: int, limit: int = 4_000_000) -> DataFrame:
+def _compared(found: DataFrame, length: int, group: int, limit: int = COMPARED) -> DataFrame:
     """Rows (b, i, s, n, w, d, h) of the runs ``found``: strings s .. s + n - 1 of document i of block b that an earlier run of the
     same task has (w null), or one string that is the first of its task, by its hash w, where an anchor has several tasks."""
     names = ["b", "i", "s", "n", "w", "d", "h"]

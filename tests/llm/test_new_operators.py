@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from pelagia.llm import _blocks as B
 from pelagia.llm import alignment, bpe, quantiles, suffix_dedup
-from pelagia.llm._text import slices
 
 # --- suffix dedup
 
@@ -78,7 +77,7 @@ def test_suffix_dedup_of_one_common_passage(spark):
 def test_suffix_dedup_by_small_slices(spark, monkeypatch):
     rows = passages(9, 60)
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    monkeypatch.setattr(suffix_dedup, "slices", lambda batch: slices(batch, limit=500))
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 500)
     assert got_dedup(suffix_dedup.dedup(df, 50)) == plain_dedup(rows, 50)
 
 
