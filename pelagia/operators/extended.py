@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pelagia.operators.pixels import indexed
@@ -167,9 +169,6 @@ def band_component(images: DataFrame, low: int, high: int, least_area: int, widt
     """The largest 8-connected component of each image's pixels with low <= v <= high: img, n (components), area, row_ (its top row, null
     where the area, the distance of that row's last pixel from the right edge or the share of the band's pixels fails). The
     first component in reading order of those of the largest area. One image, an input row, is in a task at a time."""
-    import numpy as np
-    import pyarrow as pa
-
     from pelagia.operators.kernels import AROUND, parts_of
 
     def run(rows: pa.Table) -> pa.Table:
@@ -231,7 +230,7 @@ def random_cap(df: DataFrame, key: str, n: int, seed: str = "cap") -> DataFrame:
 
 def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: str = "draw") -> DataFrame:
     """n draws with replacement in proportion to the weight: draw, key. A draw falls in an interval of the running sum; the
-    running sum is kept by ranges of the key (their sums give the offsets), and draws meet intervals by range, then by value."""
+    running sum is kept by ranges of the key (their sums give the offsets), and draws are merged with a range's intervals."""
     spark = df.sparkSession
     parts = df.select(key, F.col(weight).cast("double").alias("w")).where("w > 0").repartitionByRange(key).withColumn("_p", F.spark_partition_id())
     order = Window.partitionBy("_p").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
@@ -246,8 +245,18 @@ def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: str = "d
     edges = F.broadcast(spark.createDataFrame(rows, "_p int, _a double, _b double"))
     draws = spark.range(n).select(F.col("id").alias("draw"), (uniform(seed, "id") * first).alias("u"))
     draws = draws.join(edges, (F.col("u") > F.col("_a")) & (F.col("u") <= F.col("_b"))).select("draw", "_p", (F.col("u") - F.col("_a")).alias("u"))
-    hits = draws.join(placed, "_p").where((F.col("u") <= F.col("_s")) & (F.col("u") > F.col("_s") - F.col("w")))
-    return hits.groupBy("draw").agg(F.min(key).alias(key))
+
+    def merge(drawn: pa.Table, own: pa.Table) -> pa.Table:
+        """Each draw's interval of a range's running sum, by binary search: work in proportion to draws and rows."""
+        u, sums = drawn.column("u").to_numpy(), own.column("_s").to_numpy()
+        order = np.argsort(sums, kind="stable")
+        if not len(u) or not len(order):
+            return pa.table({"draw": pa.array([], pa.int64()), key: pa.array([], own.schema.field(key).type)})
+        at = np.minimum(np.searchsorted(sums[order], u), len(order) - 1)
+        return pa.table({"draw": drawn.column("draw"), key: own.column(key).take(pa.array(order[at]))})
+
+    kind = df.schema[key].dataType.simpleString()
+    return draws.groupBy("_p").cogroup(placed.select("_p", key, "_s").groupBy("_p")).applyInArrow(merge, f"draw long, {key} {kind}")
 
 
 def uniform_box(points: DataFrame, n: int) -> DataFrame:
@@ -343,8 +352,6 @@ def normalised(points: DataFrame) -> DataFrame:
 def aligned(points: DataFrame) -> DataFrame:
     """pid, x, y, z along the principal axes of the points around their medians, the widest first; the 3 x 3 eigenproblem is the
     driver's. An axis' sign is its largest component's, the first axis turns where that would mirror."""
-    import numpy as np
-
     mid = {c: q[0] for c, q in of_columns(points, {c: F.col(c) for c in "xyz"}, [0.5]).items()}
     cov = points.agg(*(F.covar_samp(a, b).alias(a + b) for i, a in enumerate("xyz") for b in "xyz"[i:])).first()
     matrix = np.array([[cov["".join(sorted(a + b))] for b in "xyz"] for a in "xyz"])

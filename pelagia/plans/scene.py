@@ -172,16 +172,29 @@ def _(view):
     return raster.to_camera(_pairs(view)).select("cam", "gid", F.array(r6(s[1]), r6(s[2]), r6(s[0])).alias("aer"))
 
 
+#: The bases as textbooks give them, by degree.
+_HARMONICS = (
+    ("sqrt(1 / (4 * pi()))",),
+    ("-sqrt(3 / (4 * pi())) * y", "sqrt(3 / (4 * pi())) * z", "-sqrt(3 / (4 * pi())) * x"),
+    ("sqrt(15 / (4 * pi())) * x * y", "-sqrt(15 / (4 * pi())) * y * z", "sqrt(5 / (16 * pi())) * (3 * z * z - 1)", "-sqrt(15 / (4 * pi())) * x * z", "sqrt(15 / (16 * pi())) * (x * x - y * y)"),
+    ("-sqrt(35 / (32 * pi())) * y * (3 * x * x - y * y)", "sqrt(105 / (4 * pi())) * x * y * z", "-sqrt(21 / (32 * pi())) * y * (5 * z * z - 1)", "sqrt(7 / (16 * pi())) * z * (5 * z * z - 3)", "-sqrt(21 / (32 * pi())) * x * (5 * z * z - 1)", "sqrt(105 / (16 * pi())) * z * (x * x - y * y)", "-sqrt(35 / (32 * pi())) * x * (x * x - 3 * y * y)"),
+    ("0.75 * sqrt(35 / pi()) * x * y * (x * x - y * y)", "-0.75 * sqrt(35 / (2 * pi())) * y * z * (3 * x * x - y * y)", "0.75 * sqrt(5 / pi()) * x * y * (7 * z * z - 1)", "-0.75 * sqrt(5 / (2 * pi())) * y * z * (7 * z * z - 3)", "0.1875 * sqrt(1 / pi()) * (35 * z * z * z * z - 30 * z * z + 3)", "-0.75 * sqrt(5 / (2 * pi())) * x * z * (7 * z * z - 3)", "0.375 * sqrt(5 / pi()) * (x * x - y * y) * (7 * z * z - 1)", "-0.75 * sqrt(35 / (2 * pi())) * x * z * (x * x - 3 * y * y)", "0.1875 * sqrt(35 / pi()) * (x * x * x * x - 6 * x * x * y * y + y * y * y * y)"),
+)
+_SHARES = ("r", "o", "0.25::double", "g * 0.5", "b * 0.125")
+_COLOUR = lambda degree: " + ".join(f"{share} * (1 + {k} / 10.0::double) * {base}" for bases, share in zip(_HARMONICS[: degree + 1], _SHARES, strict=False) for k, base in enumerate(bases))
+
+
 @query("sc_spherical_harmonics", ctes("splats") + f""",
-d as (select *, sqrt(x*x + y*y + z*z) as n from splats where x*x + y*y + z*z > 0), u as (select gid, o, r, x/n as x, y/n as y, z/n as z from d)
-select gid, {R('greatest(0, 0.5 + r * 0.28209479177387814 + o * 0.4886025119029199 * (-y + z - x) + 0.25 * (1.0925484305920792 * x * y - 1.0925484305920792 * y * z + 0.31539156525252005 * (2*z*z - x*x - y*y) - 1.0925484305920792 * x * z + 0.5462742152960396 * (x*x - y*y)))')} as c from u""")
+d as (select *, sqrt(x*x + y*y + z*z) as n from splats where x*x + y*y + z*z > 0), u as (select gid, o, r, g, b, x/n as x, y/n as y, z/n as z from d)
+select gid, {', '.join(f'{R(f"greatest(0, 0.5 + {_COLOUR(d)})")} as c{d}' for d in range(5))} from u""")
 def _(view):
+    """The colour of each splat seen from the origin, by harmonics of degrees 0 to 4."""
     n = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
-    df = view("splats").withColumn("n", n).where("n > 0")
-    basis = G.sh_basis(F.col("x") / F.col("n"), F.col("y") / F.col("n"), F.col("z") / F.col("n"))
-    weights = [F.col("r"), *[F.col("o")] * 3, *[F.lit(0.25)] * 5]
-    total = sum((b * w for b, w in zip(basis[1:], weights[1:], strict=True)), basis[0] * weights[0])
-    return df.select("gid", r6(F.greatest(total + 0.5, F.lit(0.0))).alias("c"))
+    df = view("splats").withColumn("n", n).where("n > 0").selectExpr("gid", "r", "g", "b", "o", "x / n as x", "y / n as y", "z / n as z")
+    basis = G.sh_basis(F.col("x"), F.col("y"), F.col("z"), 4)
+    shares = [F.col("r"), F.col("o"), F.lit(0.25), F.col("g") * 0.5, F.col("b") * 0.125]
+    parts = [sum((shares[d] * (1 + k / 10.0) * basis[d * d + k] for k in range(1, 2 * d + 1)), shares[d] * basis[d * d]) for d in range(5)]
+    return df.select("gid", *(r6(F.greatest(sum(parts[1 : d + 1], parts[0]) + 0.5, F.lit(0.0))).alias(f"c{d}") for d in range(5)))
 
 
 @query("sc_rgb_sh", ctes("splats") + f" select gid, {R('(r - 0.5) / 0.28209479177387814')} as sh0, {R('(r - 0.5) / 0.28209479177387814 * 0.28209479177387814 + 0.5')} as back from splats")
