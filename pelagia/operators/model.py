@@ -2,17 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pelagia.session import written
-
-#: Centres of a codebook at most; they are broadcast.
-CODEBOOK = 1 << 17
-
 
 def grad_stats(observations: DataFrame) -> DataFrame:
     return observations.groupBy("gid").agg(F.sum("grad").alias("grad"), F.count("*").alias("n"), F.max("radius").alias("radius"))
@@ -49,36 +40,6 @@ def dequantise(df: DataFrame, bits: int) -> DataFrame:
     return df.withColumn("back", F.col("q") / float(2**bits - 1) * (F.col("high") - F.col("low")) + F.col("low"))
 
 
-def assign(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """gid, c: the nearest centre by Manhattan distance (to nine digits), ties to the least. A codebook has at most ``CODEBOOK``
-    centres; it is broadcast, and each batch keeps the least distance only."""
-    rows = centres.select("c", "cx", "cy", "cz").orderBy("c").limit(CODEBOOK + 1).collect()
-    if len(rows) > CODEBOOK:
-        raise ValueError(f"a codebook has at most {CODEBOOK} centres")
-    shared = points.sparkSession.sparkContext.broadcast((np.array([r.c for r in rows], np.int64), np.array([[r.cx, r.cy, r.cz] for r in rows]).reshape(-1, 3)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, at = shared.value
-        block = max(1, (1 << 20) // max(1, len(names)))
-        for batch in batches:
-            xyz = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in "xyz"], 1)
-            best = [np.zeros(0, np.int64)]
-            for k in range(0, len(xyz) if len(names) else 0, block):
-                d = np.abs(xyz[k : k + block, None] - at[None]).sum(2)
-                best.append(names[d.round(9).argmin(1)])
-            found = np.concatenate(best)
-            yield pa.RecordBatch.from_arrays([batch.column("gid").cast(pa.int64()).slice(0, len(found)), pa.array(found)], ["gid", "c"])
-
-    return points.select(F.col("gid").cast("long").alias("gid"), *(F.col(c).cast("double").alias(c) for c in "xyz")).mapInArrow(run, "gid long, c long")
-
-
-def fit_codebook(points: DataFrame, centres: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """(gid, c; c, cx, cy, cz) after ``rounds`` of Manhattan assignment and means, from the given centres; a centre without points goes."""
-    for _ in range(rounds):
-        centres = written(points.join(assign(points, centres), "gid").groupBy("c").agg(*(F.round(F.avg(a), 9).alias(f"c{a}") for a in "xyz")))
-    return assign(points, centres), centres
-
-
 def poses_bounds(cameras: DataFrame, depths: DataFrame, key: str, shares: tuple[float, float] = (0.01, 0.99), else_: tuple[float, float] = (0.1, 100.0)) -> DataFrame:
     """``key``, m0 .. m14, near, far: of each camera (r0 .. r8 its turned axes by rows, tx, ty, tz, height, width, fx) the 3 x 5 matrix by
     rows, and the depths at ``shares`` of those that it sees (``else_`` where it sees none). The depths are counted, not sorted."""

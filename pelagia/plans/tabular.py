@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from pelagia.functions import geometry as G
-from pelagia.operators import cloud, extended as X, model, parse, ranking, telemetry as T
+from pelagia.operators import cloud, codebook, extended as X, model, parse, ranking, telemetry as T
 from pelagia.plans.register import R, query, r6
 from pelagia.plans.views import ctes
 from pelagia.session import scratch, written
@@ -517,22 +517,22 @@ def _(view):
 
 
 def _fit(i: int) -> str:
-    return f"""d{i} as (select gid, x, y, z, c, abs(x - cx) + abs(y - cy) + abs(z - cz) as d from splats, c{i}), a{i} as materialized (select gid, any_value(x) as x, any_value(y) as y, any_value(z) as z, arg_min(c, (round(d, 9), c)) as c from d{i} group by gid)"""
+    return f"a{i} as materialized (select gid, arg_min(c, (d, c)) as c from (select p.gid, k.c, round(list_sum(list_transform(range(1, 25), lambda j: abs(p.v[j] - k.v[j]))), 9) as d from p, c{i} k) group by gid)"
 
 
 def _centres(i: int) -> str:
-    return f"c{i + 1} as materialized (select c, round(avg(x), 9) as cx, round(avg(y), 9) as cy, round(avg(z), 9) as cz from a{i} group by c)"
+    return f"c{i + 1} as materialized (select c, list(m order by j) as v from (select c, j, round(avg(v[j]), 9) as m from a{i} join p using (gid), range(1, 25) r(j) group by c, j) group by c)"
 
 
-@query("dm_kmeans", f"""{SP}, c0 as (select gid as c, x as cx, y as cy, z as cz from splats where gid in (select min(gid) from splats group by scene)), {_fit(0)}, {_centres(0)}, {_fit(1)}, {_centres(1)}, {_fit(2)},
-b as (select {', '.join(f'min(c{c}) as l{c}, max(c{c}) as h{c}' for c in 'xyz')} from c2),
-q as (select c, {', '.join(f'round_even((c{c} - l{c}) / (h{c} - l{c}) * 63, 0)::int as q{c}' for c in 'xyz')} from c2, b) select gid, c, qx, qy, qz from a2 join q using (c)""")
+@query("dm_kmeans", f"""with p as materialized (select vec_id as gid, label as scene, list_transform(embedding[17:40], lambda x: round(x::double, 6)) as v from embeddings), c0 as materialized (select gid as c, v from p where gid in (select min(gid) from p group by scene)), {_fit(0)}, {_centres(0)}, {_fit(1)}, {_centres(1)}, {_fit(2)},
+b as (select min(list_min(v)) as l, max(list_max(v)) as h from c2) select gid, c, array_to_string(list_transform(v, lambda x: round_even((x - l) / (h - l) * 63, 0)::int), ' ') as codes from a2 join c2 using (c), b""")
 def _(view):
-    first = view("splats").groupBy("scene").agg(F.min_by(F.struct("gid", "x", "y", "z"), "gid").alias("s"))
-    centres = first.select(F.col("s.gid").alias("c"), *(F.col(f"s.{a}").alias(f"c{a}") for a in "xyz"))
-    found, centres = model.fit_codebook(view("splats").select("gid", "x", "y", "z"), centres, 2)
-    codes = X.coded(centres, {f"c{a}": 6 for a in "xyz"}).select("c", *(F.col(f"c{a}").alias(f"q{a}") for a in "xyz"))
-    return found.join(F.broadcast(codes), "c").select("gid", "c", "qx", "qy", "qz")
+    """A 6-bit codebook of the 24 coefficients of each splat."""
+    rows = view("embeddings").select(F.col("vec_id").alias("gid"), F.col("label").alias("scene"), F.transform(F.slice("embedding", 17, 24), lambda x: F.round(x.cast("double"), 6)).alias("v"))
+    first = rows.groupBy("scene").agg(F.min_by(F.struct("gid", "v"), "gid").alias("s")).select(F.col("s.gid").alias("c"), F.col("s.v").alias("v"))
+    found, centres = codebook.fit(rows, first, 2)
+    codes = codebook.quantised(centres, 6).select("c", F.array_join(F.col("q").cast("array<string>"), " ").alias("codes"))
+    return found.join(codes, "c").select("gid", "c", "codes")
 
 
 @query("ud_strategy_iface", f"{_POL} select count(*) as n from (select gid from a where action <> 'prune' union all select gid from a where action in ('clone', 'split'))")
