@@ -1,6 +1,6 @@
 """URL filter by a character language-model ratio.
 
-Two smoothed variable-order Markov models, one of accepted and one of rejected URLs, give each URL a length-normalised
+A character is a byte of the URL's UTF-8, so a letter beyond ASCII counts as several. Two smoothed variable-order Markov models, one of accepted and one of rejected URLs, give each URL a length-normalised
 log-likelihood difference (rejected minus accepted, a byte); a URL is blocked above a threshold calibrated on a
 held-out fifth of the labelled URLs. The labels are what the rule list says of the URLs that a rule fits, or a
 ``labels`` column of the caller. Every order backs off to the next shorter one (Dirichlet smoothing), order 0 to the
@@ -214,7 +214,8 @@ def score(df: DataFrame, model: tuple | None) -> DataFrame:
     if rest is None:
         return df.withColumn("score", total / bytes_)
     cold = df.select("url").where("url is not null").distinct().select("url", F.explode(others(url)).alias("w"))
-    sums = cold.join(rest, "w").groupBy("url").agg(F.sum("s").alias("_cold"))
+    # written first: a join of two tables can be split where a URL has a third of all rows, one on an aggregate's exchange cannot
+    sums = written(cold.join(rest, "w").groupBy("url").agg(F.sum("s").alias("_cold")))
     return df.join(sums, "url", "left").withColumn("score", (total + F.coalesce("_cold", F.lit(0.0))) / bytes_).select(*df.columns, "score")
 
 
