@@ -1,62 +1,15 @@
-"""Point clouds: neighbours and cloud distances by grid cells, not by all pairs.
-
-Points meet only the points of the 27 cells around theirs: an equi join on the cell, exact for neighbours within one cell
-size; what has too few of them there is searched again with a doubled cell, so distances are exact at any density.
-"""
+"""Point clouds: neighbours (by k-d splits, see ``kdtree``), voxels, transforms."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pelagia.session import written
+from pelagia.operators.kdtree import nearest  # noqa: F401
 
 
 def _cell(size: float, *axes: str) -> list[Column]:
     return [F.floor(F.col(a) / size).cast("long").alias(f"c{a}") for a in axes]
 
 
-def _around(points: DataFrame, size: float) -> DataFrame:
-    """Each point once for each of the 27 cells around its own."""
-    df = points.select("*", *_cell(size, "x", "y", "z"))
-    for a in "xyz":
-        df = df.withColumn(f"c{a}", F.explode(F.array(*(F.col(f"c{a}") + k for k in (-1, 0, 1)))))
-    return df
-
-
-def _near(queries: DataFrame, points: DataFrame, size: float) -> DataFrame:
-    """qid, pid, d2 of the pairs within ``size``."""
-    q = _around(queries, size).select(F.col("pid").alias("qid"), *(F.col(a).alias(f"q{a}") for a in "xyz"), "cx", "cy", "cz")
-    p = points.select("pid", "x", "y", "z", *_cell(size, "x", "y", "z"))
-    d2 = sum(((F.col(f"q{a}") - F.col(a)) ** 2 for a in "yz"), (F.col("qx") - F.col("x")) ** 2)
-    return q.join(p, ["cx", "cy", "cz"]).select("qid", "pid", F.round(d2, 9).alias("d2")).where(F.col("d2") <= size * size)
-
-
-def nearest(queries: DataFrame, points: DataFrame, k: int, size: float) -> DataFrame:
-    """qid, pid, d2, rank: the k nearest points of each query by (distance, id). Cells are at most ``size`` wide, and no wider than to
-    hold about k / 2 points at the mean density; a query with fewer points in reach is searched with doubled cells until it has
-    k or all points are in reach. The window keeps k rows of a query in each task before the shuffle."""
-    bounds = points.agg(*(F.min(a).alias(f"l{a}") for a in "xyz"), *(F.max(a).alias(f"h{a}") for a in "xyz"), F.count("*").alias("n")).first()
-    own = queries.agg(*(F.min(a).alias(f"l{a}") for a in "xyz"), *(F.max(a).alias(f"h{a}") for a in "xyz")).first()
-    want = min(k, bounds.n)
-    span = sum((max(bounds[f"h{a}"], own[f"h{a}"]) - min(bounds[f"l{a}"], own[f"l{a}"])) ** 2 for a in "xyz") ** 0.5 + size if bounds.n and own[0] is not None else 0
-    order = Window.partitionBy("qid").orderBy("d2", "pid")
-    found, left = None, queries
-    if bounds.n:
-        wide = max(bounds[f"h{a}"] - bounds[f"l{a}"] for a in "xyz") or size
-        volume = 1.0
-        for a in "xyz":
-            volume *= max(bounds[f"h{a}"] - bounds[f"l{a}"], wide / 100)
-        size = min(size, (volume * k / (2 * bounds.n)) ** (1 / 3))
-    while True:
-        ranked = written(_near(left, points, size).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
-        full = ranked.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= want)
-        done = ranked.join(full.select("qid"), "qid", "left_semi")
-        found = done if found is None else found.unionByName(done)
-        left = written(left.join(full.select(F.col("qid").alias("pid")), "pid", "left_anti"))
-        if size > span or not left.head(1):
-            return found
-        size *= 2
-
-
 def voxels(points: DataFrame, size: float) -> DataFrame:
     return points.select(*_cell(size, "x", "y", "z")).distinct()

@@ -201,7 +201,7 @@ def _(view):
 @query("ag_reflectivity_reg", ctes("cloud_a") + f", d as (select a.pid as q, b.pid as p, round((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z), 9) as d2 from cloud_a a, cloud_a b), k as (select *, row_number() over (partition by q order by d2, p) as r from d) select {R('avg(pow((k.q % 10 - k.p % 10) / 10.0::double, 2)) + 0.1 * (select var_pop((pid % 10) / 10.0::double) from cloud_a)')} as loss from k where r between 2 and 4")
 def _(view):
     a = view("cloud_a")
-    near = cloud.nearest(a, a, 4, 1.0).where("rank > 1")
+    near = cloud.nearest(a, a, 4).where("rank > 1")
     smooth = near.agg(F.avg(((F.col("qid") % 10 - F.col("pid") % 10) / 10.0) ** 2).alias("s"))
     return smooth.crossJoin(a.agg(F.var_pop((F.col("pid") % 10) / 10.0).alias("v"))).select(r6(F.col("s") + 0.1 * F.col("v")).alias("loss"))
 

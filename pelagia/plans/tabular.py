@@ -410,13 +410,13 @@ _KNN = ctes("cloud_a") + f", d as (select a.pid as qid, b.pid, {_D2} as d2 from
 @query("jn_knn", f"{_KNN} select qid, pid, {R('d2')} as d2, rank from k where rank <= 4")
 def _(view):
     a = view("cloud_a")
-    return cloud.nearest(a, a, 4, 1.0).select("qid", "pid", r6("d2").alias("d2"), "rank")
+    return cloud.nearest(a, a, 4).select("qid", "pid", r6("d2").alias("d2"), "rank")
 
 
 @query("jn_mean_knn_dist", f"{_KNN} select qid, {R('greatest(avg(d2), 1e-7)')} as d2 from k where rank between 2 and 4 group by qid")
 def _(view):
     a = view("cloud_a")
-    return cloud.nearest(a, a, 4, 1.0).where("rank > 1").groupBy("qid").agg(r6(F.greatest(F.avg("d2"), F.lit(1e-7))).alias("d2"))
+    return cloud.nearest(a, a, 4).where("rank > 1").groupBy("qid").agg(r6(F.greatest(F.avg("d2"), F.lit(1e-7))).alias("d2"))
 
 
 @query("jn_nearest_cloud", f"""{CL}, d as (select a.pid as p, b.pid as q, {_D2} as d2 from cloud_a a, cloud_b b), x as (select p, sqrt(min(d2)) as d from d group by p), y as (select q, sqrt(min(d2)) as d from d group by q)
@@ -425,7 +425,7 @@ def _(view):
     a, b = view("cloud_a"), view("cloud_b")
 
     def side(q, p, *names):
-        d = cloud.nearest(q, p, 1, 1.0).select(F.sqrt("d2").alias("d"))
+        d = cloud.nearest(q, p, 1).select(F.sqrt("d2").alias("d"))
         return d.agg(F.avg("d").alias(names[0]), F.max("d").alias(names[1]), F.avg((F.col("d") <= 0.5).cast("double")).alias(names[2]))
 
     both = side(a, b, "a0", "a1", "a2").crossJoin(side(b, a, "b0", "b1", "b2"))  # one row each

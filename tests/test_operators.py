@@ -43,7 +43,7 @@ def test_neighbours_are_exact_at_any_density(spark):
     rng = np.random.default_rng(2)
     p = np.concatenate((rng.random((150, 3)), 40 + 20 * rng.random((30, 3))))
     df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(p)], "pid long, x double, y double, z double")
-    got = {(r.qid, r["rank"]): r.d2 for r in cloud.nearest(df, df, 3, 0.05).collect()}
+    got = {(r.qid, r["rank"]): r.d2 for r in cloud.nearest(df, df, 3).collect()}
     d = ((p[:, None] - p[None]) ** 2).sum(2)
     want = np.sort(d, 1)[:, :3]
     assert len(got) == 3 * len(p) and all(np.isclose(got[i, k + 1], want[i, k]) for i in range(len(p)) for k in range(3))
