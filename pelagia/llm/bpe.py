@@ -344,15 +344,17 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {of}, ids array<int>, decoded string")
 
 
-def digests(trip: DataFrame) -> DataFrame:
+def digests(trip: DataFrame, *more: str) -> DataFrame:
+    """Of each document the ids' count and digests, and the columns ``more``."""
     return trip.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        *more,
     )
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document with its token ids' count and digests."""
-    return digests(round_trip(docs))
+    """Pipeline stage: every document with its token ids, their count and digests."""
+    return digests(round_trip(docs), "ids")

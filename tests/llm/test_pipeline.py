@@ -78,3 +78,16 @@ def test_mixing_meets_its_targets_by_copies(spark):
     share = found.groupby("source").n_tokens.sum() ** mixing.TEMPERATURE
     out = mixing.described(mixing.stage(spark, df, "")).toPandas().groupby("source").n_tokens.sum()
     assert (abs(out / out.sum() - share / share.sum()) < 0.02).all() and found.copies.max() > 1
+
+
+def test_the_last_stage_hands_on_token_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from pelagia.llm import bpe
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {1: "Hello  wörld", 2: "", 3: "1234 x\n\ny"}
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], SCHEMA)
+    found = {r.doc_id: (r.n_tokens, list(r.ids)) for r in bpe.stage(spark, df, "").collect()}
+    assert found == {i: (len(w), w) for i, t in texts.items() for w in [plain.encode(t, add_special_tokens=False).ids]}
