@@ -3,7 +3,7 @@
 toxicity drops the documents that the field scores as toxic; the n-gram Jaccard join keeps the least doc_id of each group;
 substring dedup removes passages of 50 words or more that a smaller document has; mixing takes each document as often as its
 targets ask for, so some occur twice;
-BPE encodes what is left and returns a row for each document.
+BPE encodes what is left and returns a row for each document, with its token ids.
 """
 
 from __future__ import annotations
