@@ -245,3 +245,47 @@ def query(spark, sf_dir: str) -> DataFrame:
     error = F.greatest(F.lit(0).cast("long"), F.col("n_below") + 1 - F.col("target"), F.col("target") - F.col("n_upto"))
     found = found.withColumn("rank_error", error).withColumn("within", 1000 * F.col("rank_error") <= PER_MILLE * F.col("n"))
     return found.select(*of, F.col("i").cast("int").alias("i"), "n", "target", "exact_x", "points", "answer", "n_below", "n_upto", "rank_error", "within")
+
+
+def _shares(before: str, count: str, n: str, i: str, m: str, low: str) -> str:
+    """The SQL of ``_packed``: two columns, w and o."""
+    return f"({before} * {WINDOWS}) // {n} as w, case when {count} * {WINDOWS} >= {n} or {i} < 2 or {i} = {m} - 1 then {low} end as o"
+
+
+def _estimated(of: str, keys: str) -> str:
+    return f"""select {keys}, n, points, q as i, high as answer, upto, top from (select {keys}, high, count, top, (sum(count) over (partition by {keys} order by low))::bigint as upto, (sum(count) over (partition by {keys}))::bigint as n, count(*) over (partition by {keys}) as points from {of}), range(1, {QUANTILES}) r(q)
+where n >= {LEAST} and (q * n + {QUANTILES - 1}) // {QUANTILES} > upto - count and (q * n + {QUANTILES - 1}) // {QUANTILES} <= upto"""
+
+
+def _exact(of: str, keys: str) -> str:
+    return f"select {keys}, q as i, x as exact_x from {of}, range(1, {QUANTILES}) r(q) where n >= {LEAST} and (q * n + {QUANTILES - 1}) // {QUANTILES} > before and (q * n + {QUANTILES - 1}) // {QUANTILES} <= before + c"
+
+
+def sql() -> str:
+    """The query as DuckDB SQL; crc32 is folded bit by bit into a table, and by bytes over the ids."""
+    bits = "list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)"
+    crc = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(id::varchar, ''), lambda h: unicode(h)::bigint)), lambda c, h: xor(c >> 8, t[(xor(c, h) & 255) + 1])), 4294967295)"
+    return f"""with t as (select list({bits} order by b) as t from (select unnest(range(256))::bigint as b)),
+ids as materialized (select distinct click_id as id from clicks union select distinct vendor_id from sale_lines),
+b as materialized (select id, (case when id is null then 0 else {crc} end % {BATCHES})::int as batch from ids, t),
+one as (select click_id as id, any_value(client_id)::varchar as grp, any_value(value) as money from clicks group by click_id),
+rows_ as (select 'value' as stream, grp, id, money from one union all select 'price', brand, vendor_id, price from sale_lines join items using (item_id)),
+c as materialized (select stream, grp, batch, floor(100 * money + 0.5)::bigint + 1000 * batch as x, count(*) as c from rows_ join b on b.id is not distinct from rows_.id where grp is not null and money is not null and isfinite(money) group by all),
+p as materialized (select *, (sum(c) over k - c)::bigint as before, (sum(c) over a)::bigint as n, row_number() over k - 1 as j, count(*) over a as m from c window k as (partition by stream, grp, batch order by x), a as (partition by stream, grp, batch)),
+s as materialized (select stream, grp, batch, min(x) as low, max(x) as high, sum(c)::bigint as count, arg_max(c, x) as top from (select *, {_shares('before', 'c', 'n', 'j', 'm', 'x')} from p) group by stream, grp, batch, w, o),
+e as (select stream, grp, low as v, (count << 16) // (high - low + 1) as d, (count << 16) % (high - low + 1) as rest from s union all select stream, grp, high + 1, -((count << 16) // (high - low + 1)), 0 from s),
+f as (select stream, grp, v, sum(d) as d, sum(rest) as rest from e group by all),
+g as (select stream, grp, v as low, lead(v) over k - 1 as high, sum(d) over k as d, rest from f window k as (partition by stream, grp order by v)),
+h as (select stream, grp, low, high, (coalesce(d * (high - low + 1), 0) + rest)::bigint as mass from g),
+l as (select *, (sum(mass) over (partition by stream, grp order by low))::bigint as upto from h),
+o as (select stream, grp, low, high, (upto - mass) >> 16 as before, (upto >> 16) - ((upto - mass) >> 16) as c, upto >> 16 as upto from l where upto >> 16 > (upto - mass) >> 16),
+q as (select *, row_number() over (partition by stream, grp order by low) - 1 as j, count(*) over (partition by stream, grp) as m, max(upto) over (partition by stream, grp) as n from o),
+u as materialized (select stream, grp, min(low) as low, max(high) as high, sum(c)::bigint as count, null::bigint as top from (select *, {_shares('before', 'c', 'n', 'j', 'm', 'low')} from q) group by stream, grp, w, o),
+y as materialized ({_estimated('s', 'stream, grp, batch')}), z as materialized ({_estimated('u', 'stream, grp')}),
+wx as materialized (select stream, grp, x, sum(c)::bigint as c from c group by all),
+wp as (select *, (sum(c) over (partition by stream, grp order by x) - c)::bigint as before, (sum(c) over (partition by stream, grp))::bigint as n from wx),
+wb as (select stream, grp, i, (coalesce(sum(c) filter (x < answer), 0))::bigint as n_below, (coalesce(sum(c) filter (x <= answer), 0))::bigint as n_upto from z join wx using (stream, grp) group by all),
+r as (select stream, grp, batch, i, n, exact_x, points, answer, upto - top as n_below, upto as n_upto from y join ({_exact('p', 'stream, grp, batch')}) using (stream, grp, batch, i)
+  union all select stream, grp, -1, i, n, exact_x, points, answer, n_below, n_upto from z join ({_exact('wp', 'stream, grp')}) using (stream, grp, i) join wb using (stream, grp, i)),
+v as (select *, (i * n + {QUANTILES - 1}) // {QUANTILES} as target from r), x as (select *, greatest(0, n_below + 1 - target, target - n_upto)::bigint as rank_error from v)
+select stream, grp, batch::int as batch, i::int as i, n, target, exact_x, points, answer, n_below, n_upto, rank_error, 1000 * rank_error <= {PER_MILLE} * n as within from x"""

@@ -33,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_license_scan": license_scan.sql(),
         "op8_topk_search": topk.SQL,
         "op9_mixing": mixing.sql(),
+        "op12_quantiles": quantiles.sql(),
     }

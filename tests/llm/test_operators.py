@@ -577,13 +577,13 @@ def test_url_models_count_exactly(spark, monkeypatch, hot):
     assert len(got) == 403 and all(abs(r.score - want.get(r.url, 0.0)) < 1e-9 for r in got)
 
 
-@pytest.mark.parametrize("name", ["op1_license_scan", "op8_topk_search", "op9_mixing"])
+@pytest.mark.parametrize("name", ["op1_license_scan", "op8_topk_search", "op9_mixing", "op12_quantiles"])
 def test_sql_agrees(spark, name):
     from pelagia.llm import registry
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "clicks", "sale_lines", "items"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = con.execute(registry.oracle_sql()[name]).df()
     got = registry.queries()[name](spark, sf).toPandas()[list(want.columns)]
