@@ -6,6 +6,10 @@ neighbourhoods are windows by one line of one image. Variances of integers come
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -115,23 +119,43 @@ def psnr(difference: Column) -> Column:
     return -10 * F.log10(F.avg(difference * difference))
 
 
-def _right() -> Column:
-    return F.lead("v").over(Window.partitionBy("img", "py").orderBy("px"))
+def _by_row(images: DataFrame, kernel, schema: str) -> DataFrame:
+    """img and sums of each image of rows (img, w, v: the pixels by lines of w). An image is its own row, so nothing is exchanged and no
+    pixel is a row; ``kernel(v, i, px, n, w)`` gives per-pixel numbers of a batch (value, place in the image, column, the
+    image's pixels and width), which are summed by image."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sizes = part.column("v").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                first = np.cumsum(sizes) - sizes
+                v = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                n, w = np.repeat(sizes, sizes), np.repeat(part.column("w").to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+                i = np.arange(len(v)) - np.repeat(first, sizes)
+                ends = np.append(first, len(v))
+                found = {k: np.diff(np.append(0, np.cumsum(x))[ends]) if x.dtype != float else np.bincount(np.repeat(np.arange(len(sizes)), sizes), x, len(sizes)) for k, x in kernel(v, i, i % w, n, w).items()}
+                some = pa.array(sizes > 0)
+                yield pa.RecordBatch.from_arrays([part.column("img"), pa.array(sizes), *(pa.array(x) for x in found.values())], ["img", "n", *found]).filter(some)
 
-def _below() -> Column:
-    return F.lead("v").over(Window.partitionBy("img", "px").orderBy("py"))
+    kind = images.schema["img"].dataType.simpleString()
+    return images.select("img", "w", "v").mapInArrow(run, f"img {kind}, n long, {schema}")
 
 
-def _by_image(images: DataFrame) -> DataFrame:
-    """One exchange by image: windows along rows and columns and sums by image need no other (an image is one input row)."""
-    return images.repartition("img")
+def _beside(v: np.ndarray, there: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """The value ``step`` places on where a pixel is there, else the pixel's own."""
+    at = np.arange(len(v))
+    return v[np.where(there, at + step, at)]
 
 
 def total_variation(images: DataFrame) -> DataFrame:
-    d = _by_image(images).select("img", F.abs(_right() - F.col("v")).alias("dx"), F.abs(_below() - F.col("v")).alias("dy"))
-    dx, dy = F.coalesce("dx", F.lit(0)), F.coalesce("dy", F.lit(0))
-    return d.groupBy("img").agg(F.sum(dx + dy).cast("long").alias("aniso"), F.sum(F.sqrt((dx * dx + dy * dy).cast("double"))).alias("iso"))
+    """img, aniso, iso of image rows (img, w, v): sums of the steps to the right and below, and of their lengths."""
+
+    def kernel(v, i, px, n, w):
+        dx, dy = (np.abs(_beside(v, there, step) - v) for there, step in (((px + 1 < w) & (i + 1 < n), 1), (i + w < n, w)))
+        return {"aniso": dx + dy, "iso": np.sqrt((dx * dx + dy * dy).astype(float))}
+
+    return _by_row(images, kernel, "aniso long, iso double").drop("n")
 
 
 def entropy(images: DataFrame) -> DataFrame:
@@ -142,18 +166,26 @@ def entropy(images: DataFrame) -> DataFrame:
 
 
 def laplacian_variance(images: DataFrame) -> DataFrame:
-    """Variance of the 4-neighbour Laplacian; a border pixel's missing neighbour is the pixel itself."""
-    x, y = Window.partitionBy("img", "py").orderBy("px"), Window.partitionBy("img", "px").orderBy("py")
-    v = F.col("v")
-    sides = [F.coalesce(f("v").over(w), v) for w in (x, y) for f in (F.lag, F.lead)]
-    d = _by_image(images).select("img", (sides[0] + sides[1] + sides[2] + sides[3] - 4 * v).alias("v"))
-    return _sums(d, "img").select("img", _variance().alias("var"))
+    """img, var of image rows (img, w, v): the variance of the 4-neighbour Laplacian, from exact sums; a border pixel's missing neighbour
+    is the pixel itself."""
+
+    def kernel(v, i, px, n, w):
+        sides = (((px + 1 < w) & (i + 1 < n), 1), (px > 0, -1), (i + w < n, w), (i >= w, -w))
+        d = sum(_beside(v, there, step) for there, step in sides) - 4 * v
+        return {"s1": d, "s2": d * d}
+
+    return _by_row(images, kernel, "s1 long, s2 long").select("img", _variance().alias("var"))
 
 
 def edge_density(images: DataFrame, least: int) -> DataFrame:
-    dx, dy = F.coalesce(_right(), F.col("v")) - F.col("v"), F.coalesce(_below(), F.col("v")) - F.col("v")
-    hard = _by_image(images).select("img", (dx * dx + dy * dy > least * least).cast("double").alias("e"))
-    return hard.groupBy("img").agg(F.least(F.lit(1.0), 10 * F.avg("e")).alias("density"))
+    """img, density of image rows (img, w, v): ten times the share of pixels whose step to the right and below is longer than ``least``, 1
+    at most."""
+
+    def kernel(v, i, px, n, w):
+        dx, dy = (_beside(v, there, step) - v for there, step in (((px + 1 < w) & (i + 1 < n), 1), (i + w < n, w)))
+        return {"hard": (dx * dx + dy * dy > least * least).astype(np.int64)}
+
+    return _by_row(images, kernel, "hard long").select("img", F.least(F.lit(1.0), 10 * (F.col("hard") / F.col("n"))).alias("density"))
 
 
 def image_stats(images: DataFrame) -> DataFrame:

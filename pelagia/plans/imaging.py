@@ -147,7 +147,7 @@ def _(view):
 
 @query("ag_total_variation", f"{I}, d as (select img, abs(lead(v) over (partition by img, py order by px) - v) as dx, abs(lead(v) over (partition by img, px order by py) - v) as dy from img_px) select img, (coalesce(sum(dx), 0) + coalesce(sum(dy), 0))::bigint as aniso, {R('sum(sqrt((coalesce(dx, 0) * coalesce(dx, 0) + coalesce(dy, 0) * coalesce(dy, 0))::double))')} as iso from d group by img")
 def _(view):
-    return P.total_variation(view("img_px")).select("img", "aniso", r6("iso").alias("iso"))
+    return P.total_variation(view("img_rows")).select("img", "aniso", r6("iso").alias("iso"))
 
 
 @query("ag_hist_256", f"{I}, c as (select img, v, count(*) as n from img_px group by 1, 2), p as (select img, n::double / sum(n) over (partition by img) as p from c) select img, {R('least(1, -sum(p * ln(p) / ln(2.0::double)) / 8)')} as entropy from p group by img")
@@ -157,7 +157,7 @@ def _(view):
 
 @query("ag_laplacian_var", f"{I}, d as (select img, coalesce(lag(v) over wx, v) + coalesce(lead(v) over wx, v) + coalesce(lag(v) over wy, v) + coalesce(lead(v) over wy, v) - 4 * v as d from img_px window wx as (partition by img, py order by px), wy as (partition by img, px order by py)), s as (select img, count(*)::bigint as n, sum(d)::bigint as s1, sum(d * d)::bigint as s2 from d group by img) select img, {R(_VAR)} as var from s")
 def _(view):
-    return P.laplacian_variance(view("img_px")).select("img", r6("var").alias("var"))
+    return P.laplacian_variance(view("img_rows")).select("img", r6("var").alias("var"))
 
 
 @query("ag_saturation_penalty", f"{I} select img, {R('exp(-5 * avg(case when v < 5 or v > 250 then 1.0::double else 0 end))')} as keep from img_px group by img")
@@ -168,7 +168,7 @@ def _(view):
 
 @query("ag_edge_density", f"{I}, d as (select img, coalesce(lead(v) over (partition by img, py order by px), v) - v as dx, coalesce(lead(v) over (partition by img, px order by py), v) - v as dy from img_px) select img, {R('least(1, 10 * avg(case when dx * dx + dy * dy > 900 then 1.0::double else 0 end))')} as density from d group by img")
 def _(view):
-    return P.edge_density(view("img_px"), 30).select("img", r6("density").alias("density"))
+    return P.edge_density(view("img_rows"), 30).select("img", r6("density").alias("density"))
 
 
 @query("ag_image_stats", f"{I}, s as (select img, min(v) as lo, max(v) as hi, count(*)::bigint as n, sum(v)::bigint as s1, sum(v * v)::bigint as s2, count(*) filter (py < 4)::bigint as n4, sum(case when py < 4 then v else 0 end)::bigint as t from img_px group by img) select img, lo, hi, n, {R('s1::double / n')} as mean, {R(f'sqrt({_VAR})')} as std, {R('t::double / n4')} as top from s")
