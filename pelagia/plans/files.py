@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from pelagia.plans.register import R, query, r6
 from pelagia.plans.views import ctes
 from pelagia.session import scratch
-from pelagia.sources import scene_files as S
+from pelagia.sources import png, scene_files as S
 
 C, SP, PX, CL = ctes("cams"), ctes("splats"), ctes("sonar_px"), ctes("cloud_a")
 f4 = lambda c: f"({c})::float::double"
@@ -227,15 +227,18 @@ def _(view):
 
 
 def _tree(view) -> tuple:
-    """A file for each nation, every fifth no image, in r<region>/images or r<region>/deep/er; one directory is named cache."""
+    """A file for each nation, in r<region>/images or r<region>/deep/er; one directory is named cache. Every fifth is no whole image: no
+    PNG, a cut one, or one with a changed byte."""
     nations = view("nation")
     spark, path = nations.sparkSession, scratch(nations.sparkSession) + "/walk"
     for r in nations.collect():  # 25 rows
         k = r.n_nationkey
         folder = f"r{r.n_regionkey}/" + ("images" if k % 3 else "deep/er" if k % 2 else "cache")
-        size = (100 + k).to_bytes(4, "big") + (50 + k).to_bytes(4, "big")
-        good = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + size + b"\x08\0\0\0\0" + b"\0" * 4
-        S._saved(spark, f"{path}/{folder}/n{k}.png", [b"no image" if k % 5 == 0 else good])
+        y, x = np.mgrid[0 : 20 + k, 0 : 30 + k]
+        good = png.encode(((x * 3 + y * 5 + k) % 256).astype(np.uint8)[..., None], [0, 1, 2, 3, 4])
+        if k % 5 == 0:
+            good = (b"no image", good[: len(good) // 2], good[:60] + bytes([good[60] ^ 1]) + good[61:])[k // 5 % 3]
+        S._saved(spark, f"{path}/{folder}/n{k}.png", [good])
         S._saved(spark, f"{path}/{folder}/n{k}.txt", [b"text"])
     return spark, path
 
@@ -243,9 +246,9 @@ def _tree(view) -> tuple:
 _TREE = "with t as (select n_nationkey as k, 'r' || n_regionkey as top, case when n_nationkey % 3 <> 0 then 'images' when n_nationkey % 2 <> 0 then 'deep/er' else 'cache' end as low from nation), f as (select k, top, low, top || '/' || low || '/n' || k || '.png' as relative from t)"
 
 
-@query("src_image_walk", f"{_TREE} select row_number() over (order by relative) - 1 as i, relative, (case when k % 5 = 0 then 8 else 33 end)::bigint as length from f")
+@query("src_image_walk", f"{_TREE} select row_number() over (order by relative) - 1 as i, relative from f")
 def _(view):
-    return S.image_walk(*_tree(view)).select("i", "relative", "length")
+    return S.image_walk(*_tree(view)).where("length > 0").select("i", "relative")
 
 
 @query("src_scene_discovery", f"{_TREE} select case when low = 'images' then top else top || '/' || low end as scene, count(*) as n from f where low <> 'cache' and low <> 'deep/er' group by 1")
@@ -253,7 +256,8 @@ def _(view):
     return S.scenes(S.image_walk(*_tree(view)), 2, ("cache", "deep"))
 
 
-@query("src_safe_image", f"{_TREE} select top as scene, count(*) as n, count(*) filter (k % 5 = 0) as failed, sum(case when k % 5 <> 0 then 100 + k end)::bigint as width from f group by top")
+@query("src_safe_image", f"{_TREE}, p as (select top, k, k % 5 = 0 as bad, y, x from f, range(44) a(y), range(54) b(x) where y < 20 + k and x < 30 + k) select top as scene, count(distinct k) as n, count(distinct k) filter (bad) as failed, sum(30 + k) filter (not bad and y = 0 and x = 0)::bigint as width, sum((x * 3 + y * 5 + k) % 256) filter (not bad)::bigint as light from p group by top")
 def _(view):
-    found = S.image_sizes(*_tree(view)).withColumn("scene", F.regexp_extract("path", r"/walk/(\w+)/", 1))
-    return found.groupBy("scene").agg(F.count("*").alias("n"), F.count_if(F.col("width").isNull()).alias("failed"), F.sum("width").alias("width"))
+    found = S.safe_images(*_tree(view)).withColumn("scene", F.regexp_extract("path", r"/walk/(\w+)/", 1))
+    light = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x)
+    return found.groupBy("scene").agg(F.count("*").alias("n"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.sum("width").alias("width"), F.sum(light).alias("light"))

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pelagia.sources import record_files
+from pelagia.sources import png, record_files
 from pelagia.sources.record_files import CAMERA_MODELS, IMAGES, POINTS, SPLATS, write_files  # noqa: F401
 
 BATCH = 50_000
@@ -177,16 +177,19 @@ def scenes(files: DataFrame, depth: int, skip: tuple[str, ...] = ()) -> DataFram
     return df.where(F.size("f") > 0).select(own.alias("f")).where(F.size("f").between(1, depth)).groupBy(F.array_join("f", "/").alias("scene")).agg(F.count("*").alias("n"))
 
 
-def _png_size(data: bytes) -> Iterator[dict]:
-    good = len(data) >= 33 and data[:8] == b"\x89PNG\r\n\x1a\n" and data[12:16] == b"IHDR"
-    width, height = struct.unpack(">II", data[16:24]) if good else (None, None)
-    yield {"width": width, "height": height}
+def _png(data: bytes) -> Iterator[dict]:
+    try:
+        image = png.gray(png.decode(data))
+    except png.BrokenImage as e:
+        yield {"width": None, "height": None, "v": None, "error": str(e)}
+    else:
+        yield {"width": image.shape[1], "height": image.shape[0], "v": image.ravel().tolist(), "error": None}
 
 
-def image_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """path, width, height of ``*.png``; null where the file is no image, so failures can be counted. Spark lists no files
-    of no bytes."""
-    return _parsed(spark, path, _png_size, "width int, height int", "*.png")
+def safe_images(spark: SparkSession, path: str) -> DataFrame:
+    """path, width, height, v (gray levels by lines), error of ``*.png``: decoded on executors; a file that is cut, broken or no image has
+    nulls and says why, so failures can be counted. Spark lists no files of no bytes."""
+    return _parsed(spark, path, _png, "width int, height int, v array<int>, error string", "*.png")
 
 
 def ply_points(spark: SparkSession, path: str) -> DataFrame:

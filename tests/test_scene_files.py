@@ -85,4 +85,4 @@ def test_text_images_dense_maps_and_bad_images(spark, tmp_path):
     (tmp_path / "i").mkdir()
     (tmp_path / "i" / "bad.png").write_bytes(b"no image")
     (tmp_path / "i" / "cut.png").write_bytes(b"\x89PNG\r\n\x1a\n")
-    assert [r.width for r in S.image_sizes(spark, str(tmp_path / "i")).collect()] == [None, None]
+    assert [(r.width, r.error is None) for r in S.safe_images(spark, str(tmp_path / "i")).collect()] == [(None, False)] * 2
