@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pelagia.functions import geometry as G
-from pelagia.operators import raster
+from pelagia.operators import frustum, raster
 from pelagia.plans.register import R, query, r6
 from pelagia.plans.views import ctes
 from pelagia.session import written
@@ -146,7 +146,16 @@ def _(view):
 
 @query("flt_frustum", f"{PROJECTED} select cam, count(*) as n, sum(case when radius > 0 then 1 else 0 end)::bigint as kept from pr group by cam")
 def _(view):
-    return projected(view).groupBy("cam").agg(F.count("*").alias("n"), F.count_if(F.col("radius") > 0).alias("kept"))
+    """What each camera keeps of all splats; it meets those of the cells only that it may see."""
+    cams, splats = view("cams"), view("splats")
+    kept = written(raster.project(frustum.pairs(cams, splats, leaf=64))).where("radius > 0").groupBy("cam").agg(F.count("*").alias("kept"))
+    every = cams.select("cam").crossJoin(F.broadcast(splats.agg(F.count("*").alias("n"))))  # one row
+    return every.join(kept, "cam", "left").select("cam", "n", F.coalesce("kept", F.lit(0)).alias("kept"))
+
+
+@query("jn_cam_visible", f"{PROJECTED} select cam, gid, radius from pr where radius > 0")
+def _(view):
+    return written(raster.project(frustum.pairs(view("cams"), view("splats"), leaf=64))).where("radius > 0").select("cam", "gid", "radius")
 
 
 @query("flt_radius_clip", f"{PROJECTED} select cam, gid, radius from pr where radius > 8")
