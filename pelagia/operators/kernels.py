@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from pelagia.operators.image_rows import Found, by_image, colour_fit
+
 
 def _columns(rows: pa.Table, *names: str) -> list[np.ndarray]:
     return [rows.column(c).to_numpy() for c in names]
@@ -34,15 +36,7 @@ def color_matched(pairs: DataFrame, channels: int, rounds: int = 5, margin: floa
     def run(rows: pa.Table) -> pa.Table:
         first = np.stack(_columns(rows, *(f"a{c}" for c in range(channels))), 1).astype(float)
         wanted = np.stack(_columns(rows, *(f"b{c}" for c in range(channels))), 1).astype(float)
-        open_ = lambda z: np.abs(z - 0.5) <= 0.5 - margin
-        fixed, now, (i, j) = open_(first) & open_(wanted), first, np.triu_indices(channels)
-        for _ in range(rounds):
-            terms = np.column_stack((now[:, i] * now[:, j], now, np.ones(len(now))))
-            used, warped = fixed & open_(now), np.zeros_like(now)
-            for c in range(channels):
-                if used[:, c].any():
-                    warped[:, c] = terms @ np.linalg.lstsq(terms[used[:, c]], wanted[used[:, c], c], rcond=None)[0]
-            now = np.clip(warped, 0.0, 1.0)
+        now = colour_fit(first, wanted, rounds, margin)
         kept = rows.select(["img", "py", "px"])
         for c in range(channels):
             kept = kept.append_column(f"v{c}", pa.array(now[:, c]))
@@ -102,8 +96,7 @@ def corner_match(images: DataFrame, template: DataFrame, side: int, bottom: floa
     centred = pattern - pattern.mean()
     size = math.sqrt((centred**2).sum())
 
-    def run(rows: pa.Table) -> pa.Table:
-        whole = _dense(rows, "py", "px", "v", np.nan)
+    def kernel(whole: np.ndarray) -> Found:
         h, w = whole.shape
         y, x = int(h * (1 - bottom)), int(w * (1 - right))
         place, score, reject = (None, None), None, "small"
@@ -120,10 +113,9 @@ def corner_match(images: DataFrame, template: DataFrame, side: int, bottom: floa
             if np.isfinite(c.flat[best]):
                 place, score = (y + best // c.shape[1], x + best % c.shape[1]), float(c.flat[best])
                 reject = "score" if score < least else "edge" if h - place[0] - side > reach else None
-        return pa.table({"img": rows.column("img").combine_chunks()[:1], "row_": pa.array([place[0]], pa.int64()), "col_": pa.array([place[1]], pa.int64()), "score": pa.array([score], pa.float64()), "reject": pa.array([reject], pa.string())})
+        return {"row_": np.nan if place[0] is None else place[0], "col_": np.nan if place[1] is None else place[1], "score": np.nan if score is None else score, "reject": np.array([reject], object)}
 
-    kind = images.schema["img"].dataType.simpleString()
-    return images.select("img", "py", "px", F.col("v").cast("double").alias("v")).groupBy("img").applyInArrow(run, f"img {kind}, row_ long, col_ long, score double, reject string")
+    return by_image(images, kernel, "row_ long, col_ long, score double, reject string")
 
 
 #: The eight and the four neighbours of a pixel.
@@ -186,8 +178,10 @@ def solidity(images: DataFrame, threshold: int) -> DataFrame:
     """img, outline, hull, solidity of the bright mask's largest part: the area in its outer outline (holes count as filled), that of
     the outline's convex hull, and their quotient, the hull's area being 1 at least. Parts hang together by eight neighbours; the
     largest is the first in reading order of those with the largest outline."""
-    def run(rows: pa.Table) -> pa.Table:
-        py, px = _columns(rows, "py", "px")
+    def kernel(image: np.ndarray) -> Found:
+        py, px = np.nonzero(image > threshold)
+        if not len(py):
+            return None
         mask = np.zeros((int(py.max() - py.min()) + 3, int(px.max() - px.min()) + 3), bool)
         mask[py - py.min() + 1, px - px.min() + 1] = True
         label = parts_of(mask, AROUND)
@@ -213,11 +207,9 @@ def solidity(images: DataFrame, threshold: int) -> DataFrame:
             best = max(best, float(areas[i]))
         first = int(np.flatnonzero(areas == best)[0])
         hull = hull_area(parts[first])
-        return pa.table({"img": rows.column("img").combine_chunks()[:1], "outline": pa.array([best]), "hull": pa.array([hull]), "solidity": pa.array([best / max(hull, 1.0)])})
+        return {"outline": best, "hull": hull, "solidity": best / max(hull, 1.0)}
 
-    kind = images.schema["img"].dataType.simpleString()
-    bright = images.where(F.col("v") > threshold).select("img", F.col("py").cast("long").alias("py"), F.col("px").cast("long").alias("px"))
-    return bright.groupBy("img").applyInArrow(run, f"img {kind}, outline double, hull double, solidity double")
+    return by_image(images, kernel, "outline double, hull double, solidity double")
 
 
 def health(images: DataFrame, pixels: DataFrame) -> DataFrame:
