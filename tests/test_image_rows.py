@@ -55,7 +55,7 @@ def test_static_likeness_against_plain_medians(spark, monkeypatch):
 
 
 #: Queries of images by themselves.
-NAMES = ["ag_static_corr", "sc_color_correct"]
+NAMES = ["ag_static_corr", "sc_color_correct", "ag_ssim"]
 
 
 @pytest.mark.parametrize("name", NAMES)
