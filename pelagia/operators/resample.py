@@ -6,14 +6,11 @@ image itself. Pixels that an image lacks add nothing to a result.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pelagia.operators.extended import uniform
-from pelagia.operators.kernels import _dense
+from pelagia.operators.image_rows import by_image, rounded
 
 
 def _bilinear(image: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,24 +29,7 @@ def _bilinear(image: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarr
     return total, hit
 
 
-def _by_image(images: DataFrame, kernel: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
-    """Rows of ``kernel(image)`` for each image (img, py, px, v); missing pixels are nan."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    kind = images.schema["img"].dataType.simpleString()
-    wanted = images.sparkSession.createDataFrame([], f"img {kind}, {schema}").schema
-    arrow = to_arrow_schema(wanted)
-
-    def run(rows: pa.Table) -> pa.Table:
-        found = kernel(_dense(rows, "py", "px", "v", np.nan))
-        n = len(next(iter(found.values())))
-        arrays = {"img": pa.array(np.full(n, rows.column("img")[0].as_py()), arrow.field("img").type), **{k: pa.array(v, arrow.field(k).type) for k, v in found.items()}}
-        return pa.table(arrays)
-
-    return images.select("img", "py", "px", F.col("v").cast("double").alias("v")).groupBy("img").applyInArrow(run, wanted)
-
-
-def undistorted(images: DataFrame, k: float, margins: tuple[int, int, int, int]) -> DataFrame:
+def undistorted(images: DataFrame, k: float, margins: tuple[int, int, int, int], digits: int) -> DataFrame:
     """img, y, x, v: images resampled through x' = x (1 + k r^2), r in shares of the sides from the middle, by bilinear taps, zero beyond
     the image, without the margins (left, top, right, bottom); y and x count from the region's corner."""
     left, top, right, bottom = margins
@@ -60,12 +40,12 @@ def undistorted(images: DataFrame, k: float, margins: tuple[int, int, int, int])
         cx, cy = (x + 0.5) / w - 0.5, (y + 0.5) / h - 0.5
         bend = 1 + k * (cx * cx + cy * cy)
         v, hit = _bilinear(image, np.round((cx * bend + 0.5) * w - 0.5, 9), np.round((cy * bend + 0.5) * h - 0.5, 9))
-        return {"y": (y - top)[hit], "x": (x - left)[hit], "v": v[hit]}
+        return {"y": (y - top)[hit], "x": (x - left)[hit], "v": rounded(v[hit], digits)}
 
-    return _by_image(images, kernel, "y int, x int, v double")
+    return by_image(images, kernel, "y int, x int, v double")
 
 
-def fisheye_undistorted(images: DataFrame, params: tuple[float, float, float, float]) -> DataFrame:
+def fisheye_undistorted(images: DataFrame, params: tuple[float, float, float, float], digits: int) -> DataFrame:
     """img, y, x, v, seen: images of a fisheye lens (a focal length of the sides, centred) resampled through r' = r (1 + p0 t^2 + p1 t^4 +
     p2 t^6 + p3 t^8), t the angle. The region is the box of the places that fall inside the image (seen); y and x count from its
     corner."""
@@ -84,9 +64,9 @@ def fisheye_undistorted(images: DataFrame, params: tuple[float, float, float, fl
         (y0, y1_), (x0, x1_) = ((c[seen].min(), c[seen].max()) for c in (y, x))
         value, hit = _bilinear(image, u, v)
         own = hit & (y >= y0) & (y <= y1_) & (x >= x0) & (x <= x1_)
-        return {"y": (y - y0)[own], "x": (x - x0)[own], "v": value[own], "seen": seen[own]}
+        return {"y": (y - y0)[own], "x": (x - x0)[own], "v": rounded(value[own], digits), "seen": seen[own]}
 
-    return _by_image(images, kernel, "y int, x int, v double, seen boolean")
+    return by_image(images, kernel, "y int, x int, v double, seen boolean")
 
 
 def sector_to_polar(images: DataFrame, opening: float) -> DataFrame:
@@ -103,14 +83,17 @@ def sector_to_polar(images: DataFrame, opening: float) -> DataFrame:
         there = ~np.isnan(v)
         return {"r": r[there], "a": a[there], "v": v[there]}
 
-    return _by_image(images, kernel, "r int, a int, v double")
+    return by_image(images, kernel, "r int, a int, v double")
 
 
 def random_patch(images: DataFrame, side: int, cx: float, cy: float) -> DataFrame:
-    """A random side x side patch of each image, drawn from the image's own size (the whole side where an image is smaller); coordinates
+    """A random side x side patch of each image row (img, w, v), drawn from the image's own size (the whole side where an image is smaller); coordinates
     and the principal point count from its corner."""
-    sizes = images.groupBy("img").agg((F.max("py") + 1).alias("h"), (F.max("px") + 1).alias("w"))
-    oy, ox = (F.floor(uniform(f"patch:{a}", "img") * F.greatest(F.col(n) - side + 1, F.lit(1))).cast("int") for a, n in (("y", "h"), ("x", "w")))
-    df = images.join(sizes.select("img", oy.alias("oy"), ox.alias("ox")), "img")
-    inside = (F.col("py") - F.col("oy")).between(0, side - 1) & (F.col("px") - F.col("ox")).between(0, side - 1)
-    return df.where(inside).select("img", (F.col("py") - F.col("oy")).alias("py"), (F.col("px") - F.col("ox")).alias("px"), "v", (cx - F.col("ox")).cast("double").alias("cx"), (cy - F.col("oy")).cast("double").alias("cy"))
+    n, w = F.size("v"), F.least(F.size("v"), F.col("w"))
+    oy, ox = (F.floor(uniform(f"patch:{a}", "img") * F.greatest(size - side + 1, F.lit(1))).cast("int") for a, size in (("y", F.ceil(n / w)), ("x", w)))
+    df = images.where("size(v) > 0").select("img", "v", w.alias("w"), n.alias("n"), oy.alias("oy"), ox.alias("ox"))
+    y, x = (lambda k: F.floor(k / side).cast("int")), (lambda k: k % side)
+    place = lambda k: (F.col("oy") + y(k)) * F.col("w") + F.col("ox") + x(k)
+    inside = F.filter(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda k: (F.col("ox") + x(k) < F.col("w")) & (place(k) < F.col("n")))
+    patch = F.transform(inside, lambda k: F.struct(y(k).alias("py"), x(k).alias("px"), F.get("v", place(k)).alias("v")))
+    return df.select("img", (cx - F.col("ox")).cast("double").alias("cx"), (cy - F.col("oy")).cast("double").alias("cy"), F.inline(patch)).select("img", "py", "px", "v", "cx", "cy")
