@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from pelagia.functions import geometry as G
-from pelagia.operators import cloud, codebook, extended as X, model, parse, ranking, telemetry as T
+from pelagia.operators import cloud, codebook, extended as X, image_rows, model, parse, ranking, telemetry as T
 from pelagia.plans.register import R, query, r6
 from pelagia.plans.views import ctes
 from pelagia.session import scratch, written
@@ -304,8 +304,7 @@ def _(view):
 
 @query("sc_depth_to_points", ctes("img_px") + f" select img, py, px, {R('(px + 0.5 - 8) / 20 * v')} as x, {R('(py + 0.5 - 8) / 20 * v')} as y, v::double as z from img_px")
 def _(view):
-    v = F.col("v").cast("double")
-    return view("img_px").select("img", "py", "px", r6((F.col("px") + 0.5 - 8) / 20 * v).alias("x"), r6((F.col("py") + 0.5 - 8) / 20 * v).alias("y"), v.alias("z"))
+    return image_rows.depth_points(view("img_rows"), 20.0, 8.0, 8.0, 6)
 
 
 @query("sc_schedule", f"{ctes('telemetry')}, e as (select run, max(step) as n from telemetry group by run) select run, step, {R('least(1, step / 50.0::double)')} as ramp, {R('exp(-step / 40.0::double)')} as decay, {R('exp(ln(0.01::double) * (1 - step / n::double) + ln(0.0001::double) * (step / n::double))')} as lr from telemetry join e using (run)")
