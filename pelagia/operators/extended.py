@@ -46,16 +46,6 @@ def quat_of(m: Columns) -> Columns:
     return [w, (m[7] - m[5]) / (4 * w), (m[2] - m[6]) / (4 * w), (m[3] - m[1]) / (4 * w)]
 
 
-def normals(images: DataFrame) -> DataFrame:
-    """Unit normals of a height image by forward differences; pixels without a next pixel have none."""
-    v = F.col("v").cast("double")
-    gx = F.lead("v").over(Window.partitionBy("img", "py").orderBy("px")) - v
-    gy = F.lead("v").over(Window.partitionBy("img", "px").orderBy("py")) - v
-    d = images.repartition("img").select("img", "py", "px", gx.alias("gx"), gy.alias("gy")).where("gx is not null and gy is not null")
-    n = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") + 1)
-    return d.select("img", "py", "px", (-F.col("gx") / n).alias("nx"), (-F.col("gy") / n).alias("ny"))
-
-
 def medium(weighted: DataFrame, attenuation: float, backscatter: float) -> DataFrame:
     """Adds object (attenuated) and medium (backscatter between consecutive depths) terms of each splat of a pixel."""
     order = Window.partitionBy("cam", "px", "py").orderBy("depth", "gid")
@@ -88,15 +78,6 @@ def grid_density(splats: DataFrame, low: int, high: int) -> DataFrame:
     return near.groupBy(F.col("gx").cast("int").alias("gx"), F.col("gy").cast("int").alias("gy")).agg(density.alias("density"))
 
 
-def edge_profile(images: DataFrame) -> DataFrame:
-    """Row of the hardest step between row means, its size, and whether it stands out."""
-    rows = images.groupBy("img", "py").agg((F.sum("v").cast("double") / F.count("*")).alias("m"))
-    step = F.abs(F.col("m") - F.lag("m").over(Window.partitionBy("img").orderBy("py")))
-    d = rows.select("img", "py", step.alias("d")).where("d is not null")
-    best = d.groupBy("img").agg(F.max_by("py", F.struct(F.round("d", 9), -F.col("py"))).alias("row_"), F.max("d").alias("d"), F.median("d").alias("mid"))
-    return best.select("img", "row_", "d", ((F.col("d") >= 2) & (F.col("d") > 5 * F.col("mid"))).alias("hard"))
-
-
 def icv(images: DataFrame, side: int) -> DataFrame:
     """Mean over windows of mean / deviation, where there is any deviation."""
     v = F.col("v").cast("long")
@@ -187,15 +168,6 @@ def band_component(images: DataFrame, low: int, high: int, least_area: int, widt
     return band.groupBy("img").applyInArrow(run, "img long, n long, area long, row_ long")
 
 
-def edge_scan(images: DataFrame, dark: float, patience: int) -> DataFrame:
-    """Deepest dark row from the top, before the first place ``patience`` rows past the deepest one so far; -1 where none is."""
-    rows = images.groupBy("img", "py").agg((F.sum("v").cast("double") / F.count("*") < dark).alias("hit"))
-    deep = F.max(F.when(F.col("hit"), F.col("py"))).over(Window.partitionBy("img").orderBy("py").rowsBetween(Window.unboundedPreceding, 0))
-    d = rows.withColumn("deep", deep)
-    d = d.withColumn("stop", F.min(F.when(F.col("py") - F.coalesce("deep", F.lit(-1)) >= patience, F.col("py"))).over(Window.partitionBy("img")))
-    return d.groupBy("img").agg(F.coalesce(F.max(F.when(F.col("hit") & (F.col("py") < F.coalesce("stop", F.lit(1000))), F.col("py"))), F.lit(-1)).alias("edge"))
-
-
 def sonar_config(df: DataFrame) -> DataFrame:
     """Bins and range of the first agent's last sensor, or of a flat configuration; column json."""
     one = ("RangeBins", "int"), ("AzimuthBins", "int"), ("RangeMax", "double"), ("Azimuth", "double")
@@ -305,42 +277,6 @@ def noised(splats: DataFrame, scale: float = 0.01, seed: str = "noise") -> DataF
     return splats.withColumns({c: F.col(c) + m for c, m in zip("xyz", moved, strict=True)})
 
 
-def median_filtered(images: DataFrame, reach: int) -> DataFrame:
-    """Median of each pixel's column within reach, and whether the pixel is an outlier of it."""
-    near = F.array_sort(F.collect_list("v").over(Window.partitionBy("img", "px").orderBy("py").rowsBetween(-reach, reach)))
-    df = images.withColumn("s", near).withColumn("n", F.size("s"))
-    low, high = F.get("s", F.floor((F.col("n") - 1) / 2).cast("int")), F.get("s", F.floor(F.col("n") / 2).cast("int"))
-    return df.withColumn("m", (low + high) / 2.0).select("img", "py", "px", "m", (F.abs(F.col("v") - F.col("m")) > 60).alias("odd"))
-
-
-def edge_peaks(images: DataFrame, least: float, keep: int) -> DataFrame:
-    """The strongest local maxima of the steps between row means."""
-    rows = images.groupBy("img", "py").agg((F.sum("v").cast("double") / F.count("*")).alias("m"))
-    w = Window.partitionBy("img").orderBy("py")
-    d = rows.select("img", "py", F.round(F.abs(F.col("m") - F.lag("m").over(w)), 9).alias("d")).where("d is not null")
-    d = d.withColumns({"b": F.coalesce(F.lag("d").over(w), F.lit(0.0)), "a": F.coalesce(F.lead("d").over(w), F.lit(0.0))})
-    best = Window.partitionBy("img").orderBy(F.desc("d"), "py")
-    return d.where((F.col("d") >= least) & (F.col("d") > F.col("b")) & (F.col("d") >= F.col("a"))).withColumn("r", F.row_number().over(best)).where(F.col("r") <= keep).select("img", "py", "d", "r")
-
-
-def mask_props(images: DataFrame, threshold: int) -> DataFrame:
-    """Area, centroid, box and contrast of each image's bright mask, the share of it within a tenth of the size from an edge, and
-    the deviation of its values."""
-    on = F.col("v") > threshold
-    size = images.groupBy("img").agg((F.max("py") + 1).alias("h"), (F.max("px") + 1).alias("w"))
-    my, mx = F.floor(F.col("h") / 10), F.floor(F.col("w") / 10)
-    edge = (F.col("py") < my) | (F.col("py") >= F.col("h") - my) | (F.col("px") < mx) | (F.col("px") >= F.col("w") - mx)
-    n, v = F.count_if(on), F.when(on, F.col("v").cast("long"))
-    spread = F.sqrt((n * F.sum(v * v) - F.sum(v) * F.sum(v)).cast("double")) / n
-    return images.join(size, "img").groupBy("img").agg((F.count_if(on & edge) / F.greatest(n, F.lit(1))).alias("edge"), F.when(n > 0, spread).alias("std"), F.count_if(on).alias("area"), F.avg(F.when(on, F.col("py"))).alias("cy"), F.avg(F.when(on, F.col("px"))).alias("cx"), F.min(F.when(on, F.col("py"))).alias("y0"), F.max(F.when(on, F.col("py"))).alias("y1"), F.avg(F.when(on, F.col("v"))).alias("inside"), F.avg(F.when(~on, F.col("v"))).alias("outside")).where("area > 0")
-
-
-def exact_corr(a: str, b: str) -> Column:
-    """Correlation from plain sums, which are exact for integers and halves; null where a side does not vary."""
-    x, y, n = F.col(a).cast("double"), F.col(b).cast("double"), F.count("*")
-    return F.try_divide(n * F.sum(x * y) - F.sum(x) * F.sum(y), F.sqrt((n * F.sum(x * x) - F.sum(x) * F.sum(x)) * (n * F.sum(y * y) - F.sum(y) * F.sum(y))))
-
-
 def normalised(points: DataFrame) -> DataFrame:
     """Points centred at their medians and scaled by the median distance; medians by counting."""
     mid = of_columns(points, {c: F.col(c) for c in "xyz"}, [0.5])

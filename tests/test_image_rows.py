@@ -55,7 +55,7 @@ def test_static_likeness_against_plain_medians(spark, monkeypatch):
 
 
 #: Queries of images by themselves.
-NAMES = ["ag_static_corr", "sc_color_correct", "ag_ssim", "flt_undistort_fisheye", "flt_undistort", "sc_cart_sector_to_polar", "flt_random_patch", "sc_depth_to_normal", "wn_median_filter", "ag_template_match", "sc_depth_to_points", "ag_mask_props", "ag_edge_profile", "ag_mount_row", "ag_mask_solidity", "wn_edge_peaks"]
+NAMES = ["ag_static_corr", "sc_color_correct", "ag_ssim", "flt_undistort_fisheye", "flt_undistort", "sc_cart_sector_to_polar", "flt_random_patch", "sc_depth_to_normal", "wn_median_filter", "ag_template_match", "sc_depth_to_points", "ag_mask_props", "ag_edge_profile", "ag_mount_row", "ag_mask_solidity", "wn_edge_peaks", "wn_edge_scan"]
 
 
 @pytest.mark.parametrize("name", NAMES)
