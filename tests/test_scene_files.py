@@ -86,3 +86,11 @@ def test_text_images_dense_maps_and_bad_images(spark, tmp_path):
     (tmp_path / "i" / "bad.png").write_bytes(b"no image")
     (tmp_path / "i" / "cut.png").write_bytes(b"\x89PNG\r\n\x1a\n")
     assert [(r.width, r.error is None) for r in S.safe_images(spark, str(tmp_path / "i")).collect()] == [(None, False)] * 2
+
+
+def test_the_walk_tells_the_length_of_every_image(spark):
+    from pelagia import catalog_of_queries as base
+
+    found = base.queries()["src_image_walk"](spark, "/root/testdata/sf0.001").collect()
+    assert len(found) == 25 and [r.i for r in sorted(found, key=lambda r: r.relative)] == list(range(25))
+    assert {r.relative.rpartition("/n")[2]: r.length for r in found} == {f"{k}.png": 33 if k % 5 else 8 for k in range(25)}
