@@ -51,3 +51,17 @@ def test_states_of_old_batches_go(spark, tmp_path):
     spark.createDataFrame([(i,) for i in range(40)], "n long").repartition(8).write.parquet(path)
     found = incremental.indexed(spark.readStream.schema("n long").option("maxFilesPerTrigger", 2).parquet(path), "n").collect()
     assert sorted(r.i for r in found) == list(range(40)) and len({r.n for r in found}) == 40
+
+
+def test_sums_are_an_aggregate_and_a_hot_key_is_cut_before_it_is_exchanged(spark, tmp_path):
+    df = spark.createDataFrame([("hot" if i % 3 else f"k{i % 7}", i, float(i)) for i in range(3000)], SCHEMA).coalesce(1)
+    kept = keyed._first_rows(df, ["k"], ["t"], [True], 5).collect()
+    assert len(kept) == 40 and sorted(r.t for r in kept if r.k == "hot") == [2993, 2995, 2996, 2998, 2999][-5:]
+    df.write.parquet(f"{tmp_path}/in")
+    before = spark.conf.get(keyed.PROVIDER, None)
+    found = {r.k: (r.peak, r.total, r.n) for r in keyed.peaks(stream(spark, f"{tmp_path}/in"), "k", "v", f"file://{tmp_path}/p").collect()}
+    assert found["hot"] == (2999.0, float(sum(i for i in range(3000) if i % 3)), 2000) and len(found) == 8
+    assert spark.conf.get(keyed.PROVIDER, None) == before and not hasattr(keyed, "Peaks")
+    # one state for each key, not one for each shard of it
+    keyed.best(stream(spark, f"{tmp_path}/in"), ["k"], ["t"], [True], 5, f"file://{tmp_path}/b").collect()
+    assert keyed._known(spark, f"file://{tmp_path}/b", "best").groupBy("key").count().count() == 8
