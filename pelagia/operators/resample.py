@@ -10,7 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from pelagia.operators.extended import uniform
-from pelagia.operators.image_rows import by_image, rounded
+from pelagia.operators.image_rows import by_image, repeated, rounded
+from pelagia.session import written
 
 
 def _bilinear(image: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,10 +89,18 @@ def sector_to_polar(images: DataFrame, opening: float) -> DataFrame:
 
 def random_patch(images: DataFrame, side: int, cx: float, cy: float) -> DataFrame:
     """A random side x side patch of each image row (img, w, v), drawn from the image's own size (the whole side where an image is smaller); coordinates
-    and the principal point count from its corner."""
+    and the principal point count from its corner. Rows of one id are one image as large as the largest of them, and all their pixels in
+    the patch are its own; rows without an id have none."""
     n, w = F.size("v"), F.least(F.size("v"), F.col("w"))
-    oy, ox = (F.floor(uniform(f"patch:{a}", "img") * F.greatest(size - side + 1, F.lit(1))).cast("int") for a, size in (("y", F.ceil(n / w)), ("x", w)))
-    df = images.where("size(v) > 0").select("img", "v", w.alias("w"), n.alias("n"), oy.alias("oy"), ox.alias("ox"))
+    df = images.where("img is not null and size(v) > 0").select("img", "v", w.alias("w"), n.alias("n"))
+    size = {"y": F.ceil(F.col("n") / F.col("w")), "x": F.col("w")}
+    ids = repeated(images.where("img is not null"))
+    if ids is not None:  # the sizes are written: a join of two tables splits a hot id
+        sizes = written(df.join(ids, "img", "left_semi").groupBy("img").agg(*(F.max(c).alias(f"_{a}") for a, c in size.items())))
+        df = df.join(sizes, "img", "left")
+        size = {a: F.coalesce(f"_{a}", c) for a, c in size.items()}
+    oy, ox = (F.floor(uniform(f"patch:{a}", "img") * F.greatest(c - side + 1, F.lit(1))).cast("int") for a, c in size.items())
+    df = df.select("img", "v", "w", "n", oy.alias("oy"), ox.alias("ox"))
     y, x = (lambda k: F.floor(k / side).cast("int")), (lambda k: k % side)
     place = lambda k: (F.col("oy") + y(k)) * F.col("w") + F.col("ox") + x(k)
     inside = F.filter(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda k: (F.col("ox") + x(k) < F.col("w")) & (place(k) < F.col("n")))

@@ -14,6 +14,9 @@ DARK, BRIGHT = "\x01" * 16, "zz" * 8
 #: What is added to the first 30 documents: text and id.
 ODD = {
     "empty": [("", 1000), ("", 1001), (None, 1002), ("a", 1003)],
+    "no id": [("abc" * 60, None), (DARK * 30 + BRIGHT * 9, None), ("", None), (None, None)],
+    "one without id": [(DARK + BRIGHT * 5 + DARK + BRIGHT, None)],
+    "repeated": [("ABCabc" * 400, 3), ("short", 3), (DARK * 1100, 4), ("", 4), ("", 5), ("", 1000), ("", 1000), (None, 1001), ("tiny", 1001), ("ab", 1001), ("cd" * 99, 1001)],
 }
 
 
@@ -35,3 +38,7 @@ def same(spark, folder, name):
 
 def test_medians_of_places(spark, folder):
     same(spark, folder, "ag_pixel_median")
+
+
+def test_random_patches(spark, folder):
+    same(spark, folder, "flt_random_patch")
