@@ -42,3 +42,7 @@ def test_medians_of_places(spark, folder):
 
 def test_random_patches(spark, folder):
     same(spark, folder, "flt_random_patch")
+
+
+def test_edge_scans(spark, folder):
+    same(spark, folder, "wn_edge_scan")
