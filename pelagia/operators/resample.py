@@ -6,6 +6,8 @@ image itself. Pixels that an image lacks add nothing to a result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
@@ -87,18 +89,23 @@ def sector_to_polar(images: DataFrame, opening: float) -> DataFrame:
     return by_image(images, kernel, "r int, a int, v double")
 
 
-def random_patch(images: DataFrame, side: int, cx: float, cy: float) -> DataFrame:
+def random_patch(images: DataFrame, side: int, cx: float, cy: float, rows: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """A random side x side patch of each image row (img, w, v), drawn from the image's own size (the whole side where an image is smaller); coordinates
     and the principal point count from its corner. Rows of one id are one image as large as the largest of them, and all their pixels in
-    the patch are its own; rows without an id have none."""
-    n, w = F.size("v"), F.least(F.size("v"), F.col("w"))
-    df = images.where("img is not null and size(v) > 0").select("img", "v", w.alias("w"), n.alias("n"))
+    the patch are its own; rows without an id have none. ``rows`` makes w and v of other columns, after the joins."""
+
+    def sized(df: DataFrame) -> DataFrame:
+        n, w = F.size("v"), F.least(F.size("v"), F.col("w"))
+        return rows(df).where("size(v) > 0").withColumns({"w": w, "n": n})
+
+    df = images.where("img is not null")
     size = {"y": F.ceil(F.col("n") / F.col("w")), "x": F.col("w")}
-    ids = repeated(images.where("img is not null"))
+    ids = repeated(df)
     if ids is not None:  # the sizes are written: a join of two tables splits a hot id
-        sizes = written(df.join(ids, "img", "left_semi").groupBy("img").agg(*(F.max(c).alias(f"_{a}") for a, c in size.items())))
+        sizes = written(sized(df.join(ids, "img", "left_semi")).groupBy("img").agg(*(F.max(c).alias(f"_{a}") for a, c in size.items())))
         df = df.join(sizes, "img", "left")
         size = {a: F.coalesce(f"_{a}", c) for a, c in size.items()}
+    df = sized(df)
     oy, ox = (F.floor(uniform(f"patch:{a}", "img") * F.greatest(c - side + 1, F.lit(1))).cast("int") for a, c in size.items())
     df = df.select("img", "v", "w", "n", oy.alias("oy"), ox.alias("ox"))
     y, x = (lambda k: F.floor(k / side).cast("int")), (lambda k: k % side)

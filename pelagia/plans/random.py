@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pelagia.operators import density as D, extended as X, model, resample
 from pelagia.plans import scene
 from pelagia.plans.register import R, query, r6
-from pelagia.plans.views import ctes
+from pelagia.plans.views import ctes, placed
 
 SP, S, I = ctes("splats"), ctes("sonar_px"), ctes("img_px")
 
@@ -110,7 +110,7 @@ def _(view):
 o as (select img, py, px, v, floor({U('patch:y', 'img')} * greatest(h - 7, 1))::int as oy, floor({U('patch:x', 'img')} * greatest(w - 7, 1))::int as ox from img_px join z using (img))
 select img, py - oy as py, px - ox as px, v, {R('32::double - ox')} as cx, {R('24::double - oy')} as cy from o where py - oy between 0 and 7 and px - ox between 0 and 7""")
 def _(view):
-    return resample.random_patch(view("img_places"), 8, 32.0, 24.0)
+    return resample.random_patch(view("img_texts"), 8, 32.0, 24.0, placed)
 
 
 _W = [f"w{min(i, j)}{max(i, j)}" for i in range(3) for j in range(3)]
